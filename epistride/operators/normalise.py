@@ -60,8 +60,12 @@ def apply_normalisation(
 ) -> DataFrame:
     """Standardise the vector column; null where dimensions differ."""
     vector = vector or c.action
-    mean, std = stats.select("mean").scalar(), stats.select("std").scalar()
-    return frames.withColumn(vector, standardise(named(vector), mean, std))
+    fitted = frames.withColumns(
+        {"__mean": stats.select("mean").scalar(), "__std": stats.select("std").scalar()}
+    )
+    return fitted.withColumn(
+        vector, standardise(named(vector), F.col("__mean"), F.col("__std"))
+    ).drop("__mean", "__std")
 
 
 def statistics_problems(stats: DataFrame, dimension: int) -> DataFrame:

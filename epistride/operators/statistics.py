@@ -31,13 +31,14 @@ def _cells(frames: DataFrame, features: Sequence[str]) -> Column:
             F.lit(name).alias("feature"), position.cast("int").alias("position"), x.cast("double").alias("x")
         )
 
-    lists = []
-    for name in features:
+    def cells(name: str) -> Column:
         if isinstance(frames.schema[name].dataType, T.ArrayType):
-            lists.append(F.transform(named(name), lambda x, i, n=name: cell(n, i, x)))
+            listed = F.transform(named(name), lambda x, i: cell(name, i, x))
         else:
-            lists.append(F.array(cell(name, F.lit(0), named(name))))
-    return F.concat(*[F.coalesce(cells, F.array().cast("array<struct<feature:string,position:int,x:double>>")) for cells in lists])
+            listed = F.array(cell(name, F.lit(0), named(name)))
+        return F.coalesce(listed, F.array().cast("array<struct<feature:string,position:int,x:double>>"))
+
+    return F.concat(*[cells(name) for name in features])
 
 
 def feature_statistics(
@@ -104,7 +105,8 @@ def as_episode_lines(stats: DataFrame, c: Columns = COLUMNS) -> DataFrame:
     per_feature = stats.groupBy(named(c.episode), "feature").agg(
         F.sort_array(F.collect_list(F.struct("position", *names))).alias("dims")
     )
-    moments = F.struct(*[F.transform("dims", lambda d, n=n: d.getField(n)).alias(n) for n in names])
+    column = lambda name: F.transform("dims", lambda d: d.getField(name)).alias(name)
+    moments = F.struct(*[column(name) for name in names])
     return per_feature.groupBy(named(c.episode)).agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("feature", moments.alias("moments"))))).alias("stats")
     )

@@ -177,7 +177,7 @@ def window_problems(windows: DataFrame, task: str | None = None, finite: Sequenc
         tests["task changes"] = F.exists(
             "steps", lambda s: ~s.getField(task).eqNullSafe(F.element_at("steps", 1).getField(task))
         )
-    for name in finite:
-        tests[f"{name} not finite"] = F.exists("steps", lambda s, n=name: ~is_finite(s.getField(n)))
+    unusable = lambda name: F.exists("steps", lambda s: ~is_finite(s.getField(name)))
+    tests.update({f"{name} not finite": unusable(name) for name in finite})
     reasons = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]))
     return windows.select("sample_id", F.explode(reasons).alias("problem"))
