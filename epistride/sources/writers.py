@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from epistride.columns import COLUMNS, Columns, named
 from epistride.functions.scalars import chunk_of, file_of, json_safe
 from epistride.functions.versions import NEWEST
-from epistride.operators.curves import assemble_curves, curve_metrics
+from epistride.operators.curves import assemble_curves
+from epistride.operators.metrics import curve_metrics
 from epistride.operators.scans import BLOCK_ROWS, position_block
 
 ROW_GROUP_ROWS = 65_536
