@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from epistride.columns import named
 from epistride.functions.scalars import chunk_of, file_of, strict_bool, strict_long
 from epistride.operators.scans import BLOCK_ROWS, blocked_scan, latest, position_block, running_sum
+from epistride.session import stored
 
 KEY = "episode_index"
 
@@ -125,10 +126,11 @@ def episode_shards(episodes: DataFrame, max_frames: int, block_episodes: int = B
     """
     if max_frames < 1:
         raise ValueError("max_frames must be positive")
-    placed = episode_offsets(episodes, block_episodes)
-    total = episodes.agg(F.sum("length")).collect()[0][0] or 0
+    # Every step below reads the offsets, and the way up and down the links.
+    placed = stored(episode_offsets(episodes, block_episodes), "offsets")
+    total = placed.agg(F.sum("length")).collect()[0][0] or 0
     width = BLOCK_SHARDS * max_frames
-    links = _next_shard(placed, max_frames, width, total)
+    links = stored(_next_shard(placed, max_frames, width, total), "links")
     levels, widths = [links], [width]
     while widths[-1] < total:
         levels.append(_shorten(levels[-1], widths[-1], max_frames))
@@ -230,41 +232,36 @@ def shard_ranges(sharded: DataFrame) -> DataFrame:
     )
 
 
-def episode_table(
-    episodes: DataFrame,
-    max_data_frames: int,
-    max_video_frames: int | None = None,
-    fps: float = 10.0,
-    camera: str | None = None,
-) -> DataFrame:
-    """Episode metadata: data address, flat range and, per camera, video range.
+def episode_table(episodes: DataFrame, data_shards: DataFrame, video_shards: DataFrame | None = None, fps: float = 10.0, camera: str | None = None) -> DataFrame:
+    """Episode metadata: data address, flat range and, with a camera, video range.
 
-    ``episodes`` has ``episode_index``, ``length`` and ``tasks``.
+    ``episodes`` has ``episode_index`` and ``tasks``; the shards come from
+    ``episode_shards``.
     """
-    data = episode_shards(episodes, max_data_frames)
-    table = data.select(
+    table = episodes.select(KEY, "tasks").join(
+        data_shards.select(
+            KEY,
+            "length",
+            chunk_of(F.col("shard")).alias("data/chunk_index"),
+            file_of(F.col("shard")).alias("data/file_index"),
+            F.col("offset").alias("dataset_from_index"),
+            (F.col("offset") + F.col("length")).alias("dataset_to_index"),
+        ),
         KEY,
-        "tasks",
-        "length",
-        chunk_of(F.col("shard")).alias("data/chunk_index"),
-        file_of(F.col("shard")).alias("data/file_index"),
-        F.col("offset").alias("dataset_from_index"),
-        (F.col("offset") + F.col("length")).alias("dataset_to_index"),
     )
     if camera is not None:
-        table = table.join(video_ranges(episodes.select(KEY, "length"), max_video_frames or max_data_frames, fps, camera), KEY)
+        table = table.join(video_ranges(data_shards if video_shards is None else video_shards, fps, camera), KEY)
     return table.withColumns(
         {"meta/episodes/chunk_index": F.lit(0).cast("long"), "meta/episodes/file_index": F.lit(0).cast("long")}
     )
 
 
-def video_ranges(episodes: DataFrame, max_frames: int, fps: float, camera: str) -> DataFrame:
+def video_ranges(sharded: DataFrame, fps: float, camera: str) -> DataFrame:
     """Video address and time range of every episode inside its shard."""
-    video = episode_shards(episodes, max_frames)
-    begins = video.groupBy("shard").agg(F.min("offset").alias("shard_start"))
+    begins = sharded.groupBy("shard").agg(F.min("offset").alias("shard_start"))
     local = F.col("offset") - F.col("shard_start")
     rate = F.lit(float(fps))
-    return video.join(begins, "shard").select(
+    return sharded.join(begins, "shard").select(
         KEY,
         chunk_of(F.col("shard")).alias(f"videos/{camera}/chunk_index"),
         file_of(F.col("shard")).alias(f"videos/{camera}/file_index"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from epistride.columns import COLUMNS, Columns, named
 from epistride.functions.scalars import all_finite
 from epistride.operators import integrity, layout, returns, shards, statistics
+from epistride.session import stored
 from epistride.sources import readers, writers
 
 
@@ -46,14 +47,17 @@ def write_flat_dataset(
     vectors = [n for n in (c.action, c.state) if n in rows.columns]
     for name in vectors:
         integrity.require_none(rows.where(~all_finite(named(name))).select(named(c.index)), f"{name} is not finite", [c.index])
-    frames = flat_frames(rows, episodes, fps, c)
+    frames = stored(flat_frames(rows, episodes, fps, c), "frames")
     label = episodes.select(F.col("episode_index").alias(c.episode), (F.col("ep_success") == 1).alias("success"))
     made = returns.with_returns(frames, label, normalisation, failure_penalty, step_scale, c)
-    lengths = episodes.select("episode_index", "length", F.array(F.lit(task.strip())).alias("tasks"))
-    sharded = shards.episode_shards(lengths.select("episode_index", "length"), max_data_frames)
+    lengths = episodes.select("episode_index", "length")
+    sharded = stored(shards.episode_shards(lengths, max_data_frames), "shards")
     writers.write_frames(made, sharded, output, max_data_frames, compression, c)
-    table = shards.episode_table(lengths, max_data_frames, max_video_frames, fps, camera)
-    writers.write_episodes(table, output)
+    video = None
+    if camera is not None and max_video_frames not in (None, max_data_frames):
+        video = shards.episode_shards(lengths, max_video_frames)
+    told = lengths.select("episode_index", F.array(F.lit(task.strip())).alias("tasks"))
+    writers.write_episodes(shards.episode_table(told, sharded, video, fps, camera), output)
     tasks = spark.createDataFrame([(0, task.strip())], "task_index long, task string")
     writers.write_tasks(tasks, output)
     features = statistics.feature_map(statistics.inferred_features(made))

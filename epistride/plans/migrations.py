@@ -10,6 +10,7 @@ from epistride.operators import statistics
 from epistride.operators.integrity import coverage, require_none, zero_based
 from epistride.operators.shards import episode_shards, episode_table
 from epistride.operators.tasks import index_tasks, single_task, task_lists
+from epistride.session import stored
 from epistride.sources import writers
 
 
@@ -70,9 +71,9 @@ def to_episode_statistics(frames: DataFrame, whole: DataFrame, tolerance: float
 
 def to_sharded(frames: DataFrame, episodes: DataFrame, tasks: DataFrame, root: str, fps: float, max_frames: int = writers.DATA_FRAMES, compression: str = "snappy", c: Columns = COLUMNS) -> None:
     """Third step: few episode-aligned shards plus an episode table."""
-    sharded = episode_shards(episodes.select("episode_index", "length"), max_frames)
+    sharded = stored(episode_shards(episodes.select("episode_index", "length"), max_frames), "shards")
     writers.write_frames(frames, sharded, root, max_frames, compression, c)
-    writers.write_episodes(episode_table(episodes, max_frames, fps=fps), root)
+    writers.write_episodes(episode_table(episodes, sharded), root)
     writers.write_tasks(tasks, root)
     features = statistics.feature_map(statistics.inferred_features(frames))
     writers.write_info(writers.dataset_info(episodes, tasks, features, fps), root)

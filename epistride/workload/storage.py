@@ -92,7 +92,7 @@ SELECT episode_index, shard // 1000 AS "videos/cam/chunk_index", shard % 1000 AS
 FROM sharded JOIN begins USING (shard)""")
 def video_ranges(spark: SparkSession, folder: str) -> DataFrame:
     lengths = document_episodes(spark, folder).select("episode_index", "length")
-    made = shards.video_ranges(lengths, CAP, 25.0, "cam")
+    made = shards.video_ranges(stored(shards.episode_shards(lengths, CAP), "shards"), 25.0, "cam")
     return made.select(
         *[F.round(f"`{n}`", 6).alias(n) if n.endswith("timestamp") else F.col(f"`{n}`") for n in made.columns]
     )
@@ -183,8 +183,9 @@ def _write_dataset(spark: SparkSession, folder: str, max_frames: int = 1000) ->
     frames = event_table(spark, folder)
     root = scratch_path(spark, "dataset")
     rows = frames.select("episode_index", "frame_index", "task_index", "event_id", "observed")
-    episodes = integrity.episode_summary(frames).select(
-        "episode_index", "length", F.array(F.concat(F.lit("task "), (F.col("episode_index") % 5).cast("string"))).alias("tasks")
+    text = F.concat(F.lit("task "), (F.col("episode_index") % 5).cast("string"))
+    episodes = stored(
+        integrity.episode_summary(frames).select("episode_index", "length", F.array(text).alias("tasks")), "episodes"
     )
     texts = rows.select("task_index").distinct().withColumn("task", F.concat(F.lit("task "), F.col("task_index").cast("string")))
     migrations.to_sharded(rows, episodes, texts, root, 25.0, max_frames)
@@ -210,8 +211,9 @@ SELECT CAST(shard // 1000 AS INTEGER) AS chunk, CAST(shard % 1000 AS INTEGER) AS
 def shard_files(spark: SparkSession, folder: str) -> DataFrame:
     """Rows and files of every written shard directory."""
     root = _write_dataset(spark, folder)
-    return spark.read.parquet(f"{root}/data").groupBy("chunk", "file").agg(
-        F.count(F.lit(1)).alias("row_count"), F.countDistinct(F.input_file_name()).alias("files")
+    rows = spark.read.parquet(f"{root}/data").select("chunk", "file", F.input_file_name().alias("name"))
+    return rows.groupBy("chunk", "file").agg(
+        F.count(F.lit(1)).alias("row_count"), F.countDistinct("name").alias("files")
     )
 
 
@@ -285,9 +287,10 @@ def _write_legacy(spark: SparkSession, folder: str) -> str:
 def _ordered_turns(spark: SparkSession, folder: str) -> DataFrame:
     """Conversation turns with their global row number."""
     turns = conversation_frames(spark, folder).select("episode_index", "frame_index", "role", "n_chars")
-    return turns.join(_flat_layout(spark, folder).select("episode_index", "offset"), "episode_index").withColumn(
+    numbered = turns.join(_flat_layout(spark, folder).select("episode_index", "offset"), "episode_index").withColumn(
         "index", F.col("offset") + F.col("frame_index")
-    ).drop("offset")
+    )
+    return stored(numbered.drop("offset"), "turns")
 
 
 @query("L1 A6 K5 E9", """
@@ -485,7 +488,9 @@ SELECT doc_id AS episode_id, n_chars AS frame_count, 'videos/cam/chunk-000/file-
 def episode_table_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Video ranges of shared shards, checked against their lengths."""
     episodes = document_episodes(spark, folder).select("episode_index", "length", F.array("task").alias("tasks"))
-    made = stored(shards.episode_table(episodes, CAP, CAP * 2, 25.0, "cam"), "episodes")
+    lengths = episodes.select("episode_index", "length")
+    data, video = (stored(shards.episode_shards(lengths, cap), "shards") for cap in (CAP, CAP * 2))
+    made = stored(shards.episode_table(episodes, data, video, 25.0, "cam"), "episodes")
     integrity.require_none(align.duration_problems(made, "cam", 25.0), "durations", ["episode_index"])
     rows = align.sources_from_episodes(made, "cam", 25.0, history=3)
     return rows.select("episode_id", "frame_count", F.substring("path", 1, 26).alias("prefix"), "last_source_frame")
