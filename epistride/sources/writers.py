@@ -73,6 +73,7 @@ def write_frames(
         .write.mode("errorifexists")
         .option("compression", compression)
         .option("parquet.block.row.count.limit", ROW_GROUP_ROWS)
+        .option("maxRecordsPerFile", max_frames)
         .partitionBy("chunk", "file")
         .parquet(f"{root}/data")
     )
