@@ -133,8 +133,10 @@ def episode_shards(episodes: DataFrame, max_frames: int, block_episodes: int = B
     links = stored(_next_shard(placed, max_frames, width, total), "links")
     levels, widths = [links], [width]
     while widths[-1] < total:
-        levels.append(_shorten(levels[-1], widths[-1], max_frames))
+        shorter = _shorten(levels[-1], widths[-1], max_frames)
         widths.append(widths[-1] * level_blocks)
+        # All but the last are read again on the way down.
+        levels.append(stored(shorter, "links") if widths[-1] < total else shorter)
     marks = episodes.sparkSession.createDataFrame([(0,)], "at long")
     for level, span in zip(reversed(levels), reversed(widths)):
         marks = _walk(level, marks, span)
