@@ -9,18 +9,16 @@ from pyspark.sql import functions as F
 
 from epistride.columns import COLUMNS, Columns, named
 from epistride.functions.scalars import first_positive, is_finite, positive_or_null
-from epistride.operators.curves import curve_gaps
+from epistride.operators.curves import curve_gaps, curve_spans
 from epistride.operators.integrity import episode_summary
-from epistride.operators.scans import BLOCK_ROWS, blocked_scan, latest, position_block, running_count
-
-
-def curve_spans(points: DataFrame) -> DataFrame:
-    """First and last frame and number of points of every curve."""
-    return points.groupBy("episode_id").agg(
-        F.min("frame_index").alias("first_curve_frame"),
-        F.max("frame_index").alias("last_curve_frame"),
-        F.count(F.lit(1)).alias("curve_points"),
-    )
+from epistride.operators.scans import (
+    BLOCK_ROWS,
+    blocked_scan,
+    following,
+    latest,
+    position_block,
+    running_count,
+)
 
 
 def frame_states(frames: DataFrame, points: DataFrame, c: Columns = COLUMNS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -53,19 +51,19 @@ def frame_states(frames: DataFrame, points: DataFrame, c: Columns = COLUMNS, blo
             "visible_points": running_count(F.col("point_frame")),
             "latest_frame": latest(F.col("point_frame")),
             "latest_value": latest(F.col("value")),
+            "next_frame": following(F.col("point_frame")),
         },
-    ).where(F.col("is_frame") == 1)
-    totals = curve_spans(points).select("episode_id", "curve_points")
+    )
     exact = F.coalesce(F.col("latest_frame") == F.col("frame_index"), F.lit(False))
     status = (
         F.when(F.col("visible_points") == 0, "warming_up")
         .when(exact, "estimated")
-        .when(F.col("visible_points") == F.col("curve_points"), "terminal_hold")
+        .when(F.col("next_frame").isNull(), "terminal_hold")
         .otherwise("no_estimate")
     )
     shown = F.col("status").isin("estimated", "terminal_hold")
     return (
-        scanned.join(totals, "episode_id")
+        scanned.where((F.col("is_frame") == 1) & ((F.col("visible_points") > 0) | F.col("next_frame").isNotNull()))
         .withColumn("status", status)
         .select(
             "episode_id",

@@ -15,6 +15,7 @@ from epistride.operators.scans import (
     BLOCK_ROWS,
     blocked_scan,
     following,
+    join_episodes,
     position_block,
     running_count,
 )
@@ -60,6 +61,15 @@ def explode_curves(curves: DataFrame, value: str = "values") -> DataFrame:
     )
 
 
+def curve_spans(points: DataFrame) -> DataFrame:
+    """First and last frame and number of points of every curve."""
+    return points.groupBy("episode_id").agg(
+        F.min("frame_index").alias("first_curve_frame"),
+        F.max("frame_index").alias("last_curve_frame"),
+        F.count(F.lit(1)).alias("curve_points"),
+    )
+
+
 def curve_summary(points: DataFrame) -> DataFrame:
     """One row: episodes and points."""
     per_episode = points.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n"))
@@ -73,7 +83,8 @@ def limit_curves(points: DataFrame, episodes: int) -> DataFrame:
     if episodes < 1:
         raise ValueError("the limit must be positive")
     first = points.select("episode_id").distinct().orderBy("episode_id").limit(episodes)
-    return points.join(first, "episode_id", "left_semi")
+    # The report size is the caller's number, which bounds the broadcast.
+    return points.join(F.broadcast(first), "episode_id", "left_semi")
 
 
 def ordered_unique(values: DataFrame, key: str, position: str) -> DataFrame:
@@ -138,13 +149,12 @@ def curve_segments(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame
 
 def preview_points(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The middle point of every curve."""
-    sizes = points.groupBy("episode_id").agg(F.count(F.lit(1)).alias("__n"))
-    return (
-        ranked_points(points, block_rows)
-        .join(sizes, "episode_id")
-        .where(F.col("position") == F.floor(F.col("__n") / 2) + 1)
-        .drop("__n", "position")
+    joined = join_episodes(
+        ranked_points(points, block_rows), curve_spans(points), "episode_id", "frame_index",
+        "first_curve_frame", "last_curve_frame", block_rows,
     )
+    middle = joined.where(F.col("position") == F.floor(F.col("curve_points") / 2) + 1)
+    return middle.select(*[named(n) for n in points.columns])
 
 
 def value_domain(

@@ -47,6 +47,11 @@ def episode_summary(frames: DataFrame, c: Columns = COLUMNS) -> DataFrame:
     )
 
 
+def frame_spans(frames: DataFrame, c: Columns = COLUMNS) -> DataFrame:
+    """First and last frame per episode."""
+    return episode_summary(frames, c).drop("length")
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their row count."""
     return (
@@ -64,7 +69,6 @@ def episode_runs(frames: DataFrame, c: Columns = COLUMNS, block_rows: int = 1_00
         position_block(named(c.index), block_rows),
         [c.index],
         {"before": previous(named(c.episode))},
-        bounded_carry=True,
     )
     starts = F.when(F.col("before").isNull() | (F.col("before") != named(c.episode)), 1).otherwise(0)
     return marked.groupBy(named(c.episode)).agg(
@@ -147,8 +151,11 @@ def zero_based(frames: DataFrame, c: Columns = COLUMNS) -> DataFrame:
 
 
 def unknown_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Keys of ``left`` that ``right`` lacks."""
-    return left.select(named(key)).distinct().join(right.select(named(key)), key, "left_anti")
+    """Keys of ``left`` that ``right`` lacks.
+
+    Both sides are reduced to distinct keys before they are shuffled.
+    """
+    return left.select(named(key)).distinct().join(right.select(named(key)).distinct(), key, "left_anti")
 
 
 def coverage(requested: DataFrame, available: DataFrame, key: str) -> DataFrame:
@@ -190,8 +197,9 @@ def dataset_totals(frames: DataFrame, success: str | None = None, c: Columns = C
     ).withColumn("total_tasks", tasks.scalar())
 
 
-def size_gates(windows: DataFrame, required: int) -> DataFrame:
-    """One row: enough windows for one, and for one full batch?"""
-    return windows.agg(F.count(F.lit(1)).alias("windows")).withColumns(
+def size_gates(total: DataFrame, required: int) -> DataFrame:
+    """Enough windows for one, and for one full batch?  ``total`` is the
+    one-row count from ``windows.total_windows``."""
+    return total.withColumns(
         {"any_window": F.col("windows") > 0, "full_batch": F.col("windows") >= required}
     )

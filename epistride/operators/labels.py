@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from epistride.columns import COLUMNS, Columns, named
 from epistride.functions.scalars import scalar_cell, strict_bool
+from epistride.operators.integrity import frame_spans
+from epistride.operators.scans import join_episodes
 
 # Success columns in order of precedence.
 SUCCESS_COLUMNS = (
@@ -88,13 +90,14 @@ def label_problems(frames: DataFrame, labels: DataFrame, c: Columns = COLUMNS) -
 
 def with_labels(frames: DataFrame, labels: DataFrame, c: Columns = COLUMNS) -> DataFrame:
     """Frames with their episode's label as a 0/1 byte."""
-    per_episode = labels.select(named(c.episode), F.col("success").cast("byte").alias(c.success))
-    return frames.join(per_episode, c.episode)
+    label = labels.select(named(c.episode), F.col("success").cast("byte").alias(c.success))
+    spans = frame_spans(frames, c).join(label, c.episode)
+    return join_episodes(frames, spans, c.episode, c.frame).drop("first_frame", "last_frame")
 
 
 def disagreeing_labels(frames: DataFrame, labels: DataFrame, existing: str, c: Columns = COLUMNS) -> DataFrame:
     """Frames whose stored label differs from the derived one."""
     stored = frames.select(named(c.episode), named(c.frame), strict_bool(named(existing)).alias("stored"))
-    return stored.join(labels.select(named(c.episode), "success"), c.episode).where(
-        ~F.col("stored").eqNullSafe(F.col("success"))
-    )
+    spans = frame_spans(frames, c).join(labels.select(named(c.episode), "success"), c.episode)
+    joined = join_episodes(stored, spans, c.episode, c.frame).drop("first_frame", "last_frame")
+    return joined.where(~F.col("stored").eqNullSafe(F.col("success")))

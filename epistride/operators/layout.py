@@ -105,11 +105,10 @@ def spot_check(candidates: DataFrame, written: DataFrame, expected: DataFrame, t
     """
     want = expected.select("index", F.col("dimension").alias("want_dim"), F.col("return").cast("double").alias("want_return"))
     have = written.select("index", F.col("dimension").alias("have_dim"), F.col("return").cast("double").alias("have_return"))
-    # Only a handful of candidates; they select the rows on both sides.
-    few = F.broadcast(candidates.select("index"))
+    chosen = candidates.select("index").distinct()
     return (
-        want.join(few, "index", "left_semi")
-        .join(have.join(few, "index", "left_semi"), "index", "left")
+        want.join(chosen, "index", "left_semi")
+        .join(have.join(chosen, "index", "left_semi"), "index", "left")
         .select(
             "index",
             F.col("have_dim").isNotNull().alias("found"),

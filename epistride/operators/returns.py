@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 
 from epistride.columns import COLUMNS, Columns, named
 from epistride.functions.scalars import affine, clip
+from epistride.operators.scans import join_episodes
+from epistride.session import stored
 
 NORMALISATIONS = ("task_max", "global_minmax", "none")
 
+TASK_SALTS = 32
+
 
 def task_max_length(episodes: DataFrame, task: str = "task_index") -> DataFrame:
     """Longest episode of every task."""
@@ -31,22 +35,35 @@ def episode_terms(
     step_scale: float = 1.0,
     c: Columns = COLUMNS,
 ) -> DataFrame:
-    """Per episode: length, first frame, scaled task length and last reward."""
+    """Per episode: length, frame range, scaled task length and last reward.
+
+    The episode table is stored: it is small next to the frames and read for
+    the task lengths, the fitted range and the join.
+    """
     _check_arguments(failure_penalty, step_scale)
-    episodes = frames.groupBy(named(c.episode)).agg(
-        F.count(F.lit(1)).alias("length"),
-        F.min(named(c.frame)).alias("first_frame"),
-        F.min(named(c.task)).alias(c.task),
+    episodes = stored(
+        frames.groupBy(named(c.episode)).agg(
+            F.count(F.lit(1)).alias("length"),
+            F.min(named(c.frame)).alias("first_frame"),
+            F.max(named(c.frame)).alias("last_frame"),
+            F.min(named(c.task)).alias(c.task),
+        ),
+        "episodes",
     )
     scaled = F.col("task_max_length").cast("double") * F.lit(float(step_scale))
     penalty = F.lit(float(failure_penalty)) if failure_penalty is not None else F.col("task_length")
+    # One task may own a third of the episodes: its row is joined in copies.
+    salted = episodes.withColumn("__salt", F.pmod(F.hash(named(c.episode)), F.lit(TASK_SALTS)))
+    copies = task_max_length(episodes, c.task).withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), F.lit(TASK_SALTS - 1)))
+    )
     return (
-        episodes.join(task_max_length(episodes, c.task), c.task)
+        salted.join(copies, [c.task, "__salt"])
         .join(labels.select(named(c.episode), "success"), c.episode)
         .withColumn("task_length", scaled)
         .withColumn("last_reward", F.when(F.col("success"), F.lit(0.0)).when(~F.col("success"), -penalty))
         .select(
-            named(c.episode), "length", "first_frame", "success", "task_max_length", "task_length", "last_reward"
+            named(c.episode), "length", "first_frame", "last_frame", "success", "task_max_length", "task_length", "last_reward"
         )
     )
 
@@ -76,7 +93,7 @@ def with_returns(
     remaining = F.col("length") - 1 - (named(c.frame) - F.col("first_frame"))
     raw = F.col("last_reward") - F.lit(float(step_scale)) * remaining
     kept = [named(name) for name in (keep or frames.columns)]
-    joined = frames.join(terms, c.episode).withColumn("__raw", raw)
+    joined = join_episodes(frames, terms, c.episode, c.frame).withColumn("__raw", raw)
     return joined.select(
         *kept,
         _normalised(normalisation, terms, step_scale).cast("float").alias(c.ret),

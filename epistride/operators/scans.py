@@ -107,14 +107,12 @@ def blocked_scan(
     order: Sequence[str],
     outputs: dict[str, Running],
     spanning: Column | None = None,
-    bounded_carry: bool = False,
 ) -> DataFrame:
     """Add running ``outputs`` along ``order`` within ``keys``.
 
     ``block`` must never decrease along ``order``.  ``spanning`` marks the rows
     of keys that reach over more than one block; the summary then skips all
-    others.  ``bounded_carry`` says the summary is known to be small (its rows
-    are bounded by rows / block size) and may be broadcast.
+    others.
     """
     keys = list(keys)
     rows = df.withColumn(_BLOCK, block)
@@ -139,9 +137,6 @@ def blocked_scan(
     carry = summary.withColumns(carried).select(
         *[named(k) for k in keys], _BLOCK, *carried
     ).where(reduce(or_, [F.col(name).isNotNull() for name in carried]))
-    if bounded_carry:
-        carry = F.broadcast(carry)
-
     merged = local.join(carry, [*keys, _BLOCK], "left")
     return merged.select(
         *[named(name) for name in df.columns],
@@ -153,11 +148,11 @@ def blocked_scan(
 
 
 def ordered_rank(
-    df: DataFrame, block: Column, order: Sequence[str], name: str = "rank", bounded_carry: bool = False
+    df: DataFrame, block: Column, order: Sequence[str], name: str = "rank"
 ) -> DataFrame:
     """1-based rank over the whole table, without a single-task sort."""
     one = F.lit(1).cast("long")
-    return blocked_scan(df, [], block, order, {name: running_sum(one)}, bounded_carry=bounded_carry)
+    return blocked_scan(df, [], block, order, {name: running_sum(one)})
 
 
 def hash_rank(df: DataFrame, salt: str, key: Column, tie: Sequence[str], name: str = "rank") -> DataFrame:
@@ -166,10 +161,7 @@ def hash_rank(df: DataFrame, salt: str, key: Column, tie: Sequence[str], name: s
     The summary has at most 65,536 rows whatever the table's size.
     """
     hashed = df.withColumn("__hash", F.md5(F.concat_ws(":", F.lit(salt), key.cast("string"))))
-    ranked = ordered_rank(
-        hashed, F.substring("__hash", 1, 4), ["__hash", *tie], name, bounded_carry=True
-    )
-    return ranked.drop("__hash")
+    return ordered_rank(hashed, F.substring("__hash", 1, 4), ["__hash", *tie], name).drop("__hash")
 
 
 def number_rows(
@@ -209,6 +201,28 @@ def number_rows(
         [order, *tie],
         {name: running_sum(F.lit(1).cast("long"))},
         spanning=F.col("__low").isNotNull(),
-        bounded_carry=True,
     )
     return counted.withColumn(name, F.col(name) - 1).drop("__low", "__width")
+
+
+def join_episodes(
+    frames: DataFrame,
+    episodes: DataFrame,
+    episode: str,
+    frame: str,
+    first: str = "first_frame",
+    last: str = "last_frame",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Inner join of frames with their episode's row, safe for hot episodes.
+
+    An equi-join on the episode alone sends a hot episode to one task, and
+    Spark cannot split it when the episode side is an aggregate on that key.
+    So the episode side gets one row per block of its frame range and the join
+    is on (episode, block); that adds only rows / block_rows rows.  ``first``
+    and ``last`` must span all frames of the episode in ``frames``.
+    """
+    blocks = F.sequence(position_block(named(first), block_rows), position_block(named(last), block_rows))
+    spread = episodes.withColumn(_BLOCK, F.explode(blocks))
+    placed = frames.withColumn(_BLOCK, position_block(named(frame), block_rows))
+    return placed.join(spread, [episode, _BLOCK]).drop(_BLOCK)

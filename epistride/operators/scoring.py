@@ -50,9 +50,9 @@ def scored_positions(scored: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def completeness(processed: DataFrame, expected: DataFrame) -> DataFrame:
-    """One row: are there as many scored records as windows?"""
-    windows = expected.agg(F.count(F.lit(1)).alias("n"))
+def completeness(processed: DataFrame, total: DataFrame) -> DataFrame:
+    """One row: are there as many scored records as windows?  ``total`` is the
+    one-row count from ``windows.total_windows``."""
     return processed.agg(F.count(F.lit(1)).alias("records")).withColumn(
-        "windows", windows.scalar()
+        "windows", total.scalar()
     ).withColumn("complete", F.col("records") == F.col("windows"))

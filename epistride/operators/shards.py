@@ -103,7 +103,6 @@ def locate_rows(rows: DataFrame, episodes: DataFrame, index: str = "index", bloc
         position_block(F.col("__at"), block_rows),
         ["__at", "__order"],
         {"__owner": latest(F.col("__start"))},
-        bounded_carry=True,
     ).where((F.col("__order") == 1) & (F.col("__at") < F.col("__owner.offset") + F.col("__owner.length")))
     return scanned.select(
         F.col("__at").alias(index),
@@ -277,7 +276,7 @@ def first_seen_ids(frames: DataFrame, text: str, index: str = "index", block_row
     first = frames.groupBy(named(text)).agg(F.min(named(index)).alias("first_row"))
     ranked = blocked_scan(
         first, [], position_block(F.col("first_row"), block_rows), ["first_row"],
-        {"task_index": running_sum(F.lit(1).cast("long"))}, bounded_carry=True,
+        {"task_index": running_sum(F.lit(1).cast("long"))},
     )
     return ranked.select(named(text), (F.col("task_index") - 1).alias("task_index"), "first_row")
 

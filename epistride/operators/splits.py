@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from epistride.columns import COLUMNS, Columns, named
 from epistride.operators.integrity import coverage, distinct_episodes
 from epistride.operators.scans import hash_rank
+from epistride.session import stored
 
 
 def validation_count(episodes: Column, fraction: float) -> Column:
@@ -24,7 +25,7 @@ def seeded_split(frames: DataFrame, fraction: float, seed: int, c: Columns = COL
     The same ids and seed always give the same split, in whatever order or
     partitioning the rows arrive.
     """
-    episodes = distinct_episodes(frames, c)
+    episodes = stored(distinct_episodes(frames, c), "episodes")
     held_out = episodes.agg(F.count(F.lit(1)).alias("n")).select(
         validation_count(F.col("n"), fraction).alias("held_out")
     )
@@ -36,7 +37,11 @@ def seeded_split(frames: DataFrame, fraction: float, seed: int, c: Columns = COL
 
 
 def select_split(frames: DataFrame, split: DataFrame, name: str, c: Columns = COLUMNS) -> DataFrame:
-    """Frames of one split, or of ``all``."""
+    """Frames of one split, or of ``all``.
+
+    A plain semi-join: a split read from a table or a manifest is shuffled for
+    the join, so Spark splits a hot episode's partition at run time.
+    """
     if name == "all":
         return frames
     wanted = split.where(F.col("split") == name).select(named(c.episode))

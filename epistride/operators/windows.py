@@ -16,8 +16,16 @@ from pyspark.sql import functions as F
 
 from epistride.columns import COLUMNS, Columns, named
 from epistride.functions.scalars import is_finite, sample_id
-from epistride.operators.integrity import episode_summary
-from epistride.operators.scans import BLOCK_ROWS, blocked_scan, hash_rank, position_block, running_sum
+from epistride.operators.integrity import episode_summary, frame_spans
+from epistride.operators.scans import (
+    BLOCK_ROWS,
+    blocked_scan,
+    hash_rank,
+    join_episodes,
+    position_block,
+    running_sum,
+)
+from epistride.session import stored
 
 
 def _check_history(history: int) -> None:
@@ -83,8 +91,7 @@ def window_starts(frames: DataFrame, history: int, c: Columns = COLUMNS) -> Data
     """First frames of all windows, by arithmetic: no window is built."""
     _check_history(history)
     return (
-        frames.select(*[named(k) for k in c.key])
-        .join(episode_summary(frames, c), c.episode)
+        join_episodes(frames.select(*[named(k) for k in c.key]), frame_spans(frames, c), c.episode, c.frame)
         .where(named(c.frame) + history <= F.col("last_frame"))
         .select(
             named(c.episode).alias("episode_id"),
@@ -102,12 +109,17 @@ def window_counts(frames: DataFrame, history: int, c: Columns = COLUMNS) -> Data
     )
 
 
+def total_windows(frames: DataFrame, history: int, c: Columns = COLUMNS) -> DataFrame:
+    """One row: number of windows, from the episode lengths alone."""
+    return window_counts(frames, history, c).agg(F.coalesce(F.sum("windows"), F.lit(0)).alias("windows"))
+
+
 def endpoint_frames(frames: DataFrame, history: int, c: Columns = COLUMNS) -> DataFrame:
     """Frames that are the last history position of some window."""
     _check_history(history)
-    spans = episode_summary(frames, c).select(named(c.episode), "first_frame", "last_frame")
     inside = (named(c.frame) >= F.col("first_frame") + history - 1) & (named(c.frame) < F.col("last_frame"))
-    return frames.join(spans, c.episode).where(inside).drop("first_frame", "last_frame")
+    joined = join_episodes(frames, frame_spans(frames, c), c.episode, c.frame)
+    return joined.where(inside).drop("first_frame", "last_frame")
 
 
 def endpoint(values: Column, valid: Column) -> Column:
@@ -124,19 +136,20 @@ def window_numbers(
     The number is an offset per episode plus the distance from its first
     frame, so only the episode table is scanned in order.
     """
-    counted = window_counts(frames, history, c)
+    counted = stored(window_counts(frames, history, c), "episodes")
     offsets = blocked_scan(
         counted,
         [],
         position_block(named(c.episode), block_episodes),
         [c.episode],
         {"before": running_sum(F.col("windows"), exclusive=True)},
-    ).select(named(c.episode).alias("episode_id"), "first_frame", "before")
-    return (
-        window_starts(frames, history, c)
-        .join(offsets, "episode_id")
-        .withColumn("rank", F.col("before") + F.col("start_frame") - F.col("first_frame") + 1)
-        .drop("first_frame", "before")
+    ).where(F.col("windows") > 0)
+    joined = join_episodes(frames.select(*[named(k) for k in c.key]), offsets, c.episode, c.frame)
+    return joined.where(named(c.frame) + history <= F.col("last_frame")).select(
+        named(c.episode).alias("episode_id"),
+        named(c.frame).alias("start_frame"),
+        sample_id(named(c.episode), named(c.frame)).alias("sample_id"),
+        (F.col("before") + named(c.frame) - F.col("first_frame") + 1).alias("rank"),
     )
 
 
@@ -160,9 +173,9 @@ def epoch_order(samples: DataFrame, seed: int, epoch: int, key: str = "sample_id
     return hash_rank(samples, f"{seed}:{epoch}", named(key), [key])
 
 
-def drop_padding(ranked: DataFrame, shards: int, rank: str = "rank") -> DataFrame:
+def drop_padding(ranked: DataFrame, shards: int, total: DataFrame | None = None, rank: str = "rank") -> DataFrame:
     """Keep only the ranks that fill all shards equally."""
-    count = ranked.agg(F.count(F.lit(1)).alias("n")).scalar()
+    count = (total or ranked.agg(F.count(F.lit(1)).alias("n"))).scalar()
     return ranked.where(named(rank) <= F.floor(count / F.lit(shards)) * shards)
 
 

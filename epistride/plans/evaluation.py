@@ -44,8 +44,8 @@ def evaluate(
     integrity.require_none(integrity.uneven_episodes(chosen, c), "episodes are not consecutive", [c.episode])
     made = windows.split_window(windows.history_windows(chosen, history, list(fields), c), history, list(fields))
     scored = stored(scoring.score_windows(made, scorer, schema, list(fields)), "scores")
-    starts = windows.window_starts(chosen, history, c)
-    complete = scoring.completeness(scored, starts)
+    total = windows.total_windows(chosen, history, c)
+    complete = scoring.completeness(scored, total)
     integrity.require_none(complete.where(~F.col("complete") | (F.col("windows") < 1)), "windows were not all scored", ["records"])
 
     targets = chosen.select(
@@ -70,6 +70,6 @@ def evaluate(
         shown = curves.limit_curves(points, max_curve_episodes) if max_curve_episodes else points
         writers.write_curves(shown, folder)
         writers.write_document(curves.curve_summary(shown), f"{folder}/episode_curves_summary.json")
-        writers.write_document(writers.evaluation_summary(summary, starts, split_name), f"{folder}/summary.json")
+        writers.write_document(writers.evaluation_summary(summary, total, split_name), f"{folder}/summary.json")
         writers.write_alignment(report, f"{folder}/alignment")
     return result

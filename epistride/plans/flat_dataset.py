@@ -76,7 +76,11 @@ def verify_flat_dataset(spark: SparkSession, output: str, expected: DataFrame, e
         episodes.select(F.col("ep_offset").alias("offset"), "length", (F.col("ep_success") == 1).alias("success"))
     )
     size = F.size(named(c.action)) if c.action in expected.columns else F.lit(0)
-    sample = lambda df: df.select(named(c.index).alias("index"), size.alias("dimension"), named(c.ret).alias("return"))
+    # At most six row numbers, so they go to the scans as a filter.
+    chosen = [row[0] for row in rows.collect()]
+    sample = lambda df: df.where(named(c.index).isin(chosen)).select(
+        named(c.index).alias("index"), size.alias("dimension"), named(c.ret).alias("return")
+    )
     checked = layout.spot_check(rows, sample(written), sample(expected))
     integrity.require_none(
         checked.where(~(F.col("found") & F.col("dimension_ok") & F.col("return_ok"))), "written rows differ", ["index"]

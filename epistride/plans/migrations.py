@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from epistride.columns import COLUMNS, Columns, named
 from epistride.operators import statistics
-from epistride.operators.integrity import coverage, require_none, zero_based
+from epistride.operators.integrity import coverage, frame_spans, require_none, zero_based
+from epistride.operators.scans import join_episodes
 from epistride.operators.shards import episode_shards, episode_table
 from epistride.operators.tasks import index_tasks, single_task, task_lists
 from epistride.session import stored
@@ -19,7 +20,9 @@ def with_episode_tasks(frames: DataFrame, pairs: DataFrame, c: Columns = COLUMNS
     mapping = single_task(task_lists(pairs))
     require_none(mapping.where(F.col("task").isNull()), "episodes without exactly one instruction")
     require_none(coverage(mapping, frames, c.episode), "instructions and episodes differ", ["episode_index"])
-    return frames.join(mapping.select(F.col("episode_index").alias(c.episode), F.col("task").alias(c.task_text)), c.episode)
+    texts = mapping.select(F.col("episode_index").alias(c.episode), F.col("task").alias(c.task_text))
+    spans = frame_spans(frames, c).join(texts, c.episode)
+    return join_episodes(frames, spans, c.episode, c.frame).drop("first_frame", "last_frame")
 
 
 def to_indexed_tasks(frames: DataFrame, task: str | None = None, column: str | None = None, c: Columns = COLUMNS) -> tuple[DataFrame, DataFrame, DataFrame]:

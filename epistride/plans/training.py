@@ -51,7 +51,9 @@ def prepare_training(
         part = splits.select_split(scaled, split, name, c)
         return windows.history_windows(part, history, [vector, *fields], c)
 
-    counted = windows.window_counts(splits.select_split(frames, split, "train", c), history, c)
-    available = counted.agg(F.coalesce(F.sum("windows"), F.lit(0)).alias("windows"))
-    integrity.require_none(available.where(F.col("windows") < max(1, batch)), "too few training windows", ["windows"])
+    available = windows.total_windows(splits.select_split(frames, split, "train", c), history, c)
+    gates = integrity.size_gates(available, batch)
+    integrity.require_none(
+        gates.where(~(F.col("any_window") & F.col("full_batch"))), "too few training windows", ["windows"]
+    )
     return TrainingData(split, statistics, cut("train"), cut("val"))

@@ -52,13 +52,18 @@ def read_episodes(spark: SparkSession, root: str, strict: bool = True) -> DataFr
     return episodes
 
 
-def read_tasks(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+def _documents(spark: SparkSession, path: str, pretty: bool) -> DataFrame:
+    """JSON texts: one per file when ``pretty``, otherwise one per line."""
+    return spark.read.text(path, wholetext=pretty)
+
+
+def read_tasks(spark: SparkSession, path: str, form: str = "parquet", pretty: bool = True) -> DataFrame:
     """(task_index, task) from any of the known forms.
 
     ``parquet`` takes the text from a ``task`` column or, when the file was
     written from an indexed pandas frame, from its index column; ``lines`` is
-    one object per line; ``object`` maps id to text; ``list`` is texts in id
-    order.
+    one object per line; ``object`` maps id to text, also in pages of one line
+    each (``pretty=False``); ``list`` is texts in id order.
     """
     if form == "parquet":
         table = spark.read.parquet(path)
@@ -68,7 +73,7 @@ def read_tasks(spark: SparkSession, path: str, form: str = "parquet") -> DataFra
         )
     if form == "lines":
         return spark.read.schema(TASK_LINES).json(path).select("task_index", clean_text(F.col("task")).alias("task"))
-    document = spark.read.text(path, wholetext=True)
+    document = _documents(spark, path, pretty)
     if form == "object":
         pairs = document.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "text"))
         index: Column = strict_long_token(F.col("key"))
@@ -210,14 +215,13 @@ _VIDEO = (
 )
 
 
-def read_video_map(spark: SparkSession, path: str) -> DataFrame:
-    """One row per episode of an object of episode -> path or description."""
-    text = spark.read.text(path, wholetext=True)
-    return parse_video_map(text.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "entry")))
+def read_video_map(spark: SparkSession, path: str, pretty: bool = True) -> DataFrame:
+    """One row per episode of an object of episode -> path or description.
 
-
-def parse_video_map(pairs: DataFrame) -> DataFrame:
-    """The same for (key, entry) rows, for maps too large for one document."""
+    ``pretty`` reads one object per file, otherwise one per line.
+    """
+    text = _documents(spark, path, pretty)
+    pairs = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "entry"))
     described = F.from_json("entry", _VIDEO)
     entry = F.when(F.ltrim("entry").startswith("{"), described).otherwise(
         F.from_json(F.to_json(F.struct(F.col("entry").alias("path"))), _VIDEO)

@@ -249,11 +249,11 @@ def write_curves(points: DataFrame, folder: str, page_frames: int = BLOCK_ROWS)
     )
 
 
-def evaluation_summary(metrics: DataFrame, windows: DataFrame, split: str) -> DataFrame:
-    """One row: split, number of windows and the metrics."""
-    count = windows.agg(F.count(F.lit(1)).alias("n"))
+def evaluation_summary(metrics: DataFrame, total: DataFrame, split: str) -> DataFrame:
+    """One row: split, number of windows and the metrics.  ``total`` is the
+    one-row count from ``windows.total_windows``."""
     return json_safe(
-        metrics.select(F.lit(split).alias("split"), count.scalar().alias("num_windows"), *[named(n) for n in metrics.columns])
+        metrics.select(F.lit(split).alias("split"), total.scalar().alias("num_windows"), *[named(n) for n in metrics.columns])
     )
 
 

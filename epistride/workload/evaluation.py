@@ -148,8 +148,8 @@ WITH {SCORED_SQL}
 SELECT count(*) AS records, (SELECT count(*) FROM starts WHERE s4 IS NOT NULL) AS windows, true AS complete
 FROM positions WHERE position = {HISTORY} - 1""")
 def scoring_completeness(spark: SparkSession, folder: str) -> DataFrame:
-    expected = windows.window_starts(event_table(spark, folder), HISTORY)
-    return scoring.completeness(_endpoints(spark, folder), expected)
+    frames = event_frames(spark, folder)
+    return scoring.completeness(_endpoints(spark, folder), windows.total_windows(frames, HISTORY))
 
 
 @query("D12", f"""

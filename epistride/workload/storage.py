@@ -262,10 +262,10 @@ def task_lines_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 def task_object_scan(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "tasks")
     pair = F.struct(F.col("task_index").cast("string"), "task")
-    _source_tasks(spark, folder).agg(
+    _source_tasks(spark, folder).groupBy(F.floor(F.col("task_index") / 8).alias("page")).agg(
         F.to_json(F.map_from_entries(F.collect_list(pair))).alias("value")
-    ).write.text(path)
-    return readers.read_tasks(spark, path, "object")
+    ).select("value").write.text(path)
+    return readers.read_tasks(spark, path, "object", pretty=False)
 
 
 @query("A5 K5 L1 A6", """
@@ -409,8 +409,8 @@ def wrapped_curve_artifact(spark: SparkSession, folder: str) -> DataFrame:
     from epistride.operators.curves import assemble_curves
 
     path = scratch_path(spark, "curves")
-    pages = assemble_curves(_turn_points(spark, folder))
-    pages.groupBy(F.floor(F.col("episode_id") / 100).alias("part")).agg(
+    pages = assemble_curves(_turn_points(spark, folder), page_frames=1024)
+    pages.groupBy(F.floor(F.col("episode_id") / 100).alias("part"), "page").agg(
         F.collect_list(F.struct("episode_id", "page", "frame_indices", "values")).alias("episode_curves")
     ).select("episode_curves").write.json(path)
     return readers.read_curves(spark, path, pretty=False).withColumn("value", F.round("value", 6))
@@ -474,9 +474,13 @@ def video_map_sources(spark: SparkSession, folder: str) -> DataFrame:
     full = F.to_json(F.struct(clip.alias("path"), F.lit(5).alias("frame_offset"), F.lit(30.0).alias("fps"), F.lit(40).alias("frame_count"), F.lit(4).alias("history_size")))
     entry = F.when(F.col("episode_id") % 3 == 0, full).otherwise(F.to_json(F.struct(clip.alias("v"))))
     entry = F.when(F.col("episode_id") % 3 == 0, entry).otherwise(F.regexp_extract(entry, r'^\{"v":(.*)\}$', 1))
-    pairs = points.select("episode_id").distinct().select(F.concat(F.lit('"'), key, F.lit('":'), entry).alias("pair"))
-    pairs.agg(F.concat(F.lit("{"), F.array_join(F.collect_list("pair"), ","), F.lit("}")).alias("value")).write.text(path)
-    video_map = readers.read_video_map(spark, path)
+    pairs = points.select("episode_id").distinct().select(
+        F.floor(F.col("episode_id") / 500).alias("page"), F.concat(F.lit('"'), key, F.lit('":'), entry).alias("pair")
+    )
+    pairs.groupBy("page").agg(
+        F.concat(F.lit("{"), F.array_join(F.collect_list("pair"), ","), F.lit("}")).alias("value")
+    ).select("value").write.text(path)
+    video_map = readers.read_video_map(spark, path, pretty=False)
     integrity.require_none(readers.video_map_problems(video_map), "video map", ["episode_id"])
     # The rate of a map without one comes from the caller's probe, here 24.
     made = align.sources_from_map(points, video_map.withColumn("fps", F.coalesce("fps", F.lit(24.0))), offset=2, history=3)

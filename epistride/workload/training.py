@@ -277,7 +277,7 @@ def window_numbers(spark: SparkSession, folder: str) -> DataFrame:
 @query("E17", f"WITH {NUMBERED_SQL} SELECT sample_id, rank, CAST((rank - 1) // 64 AS BIGINT) AS batch FROM starts WHERE (rank - 1) // 64 < (SELECT count(*) // 64 FROM starts)")
 def full_batches(spark: SparkSession, folder: str) -> DataFrame:
     frames = event_table(spark, folder)
-    total = windows.window_counts(frames, HISTORY).agg(F.sum("windows").alias("n"))
+    total = windows.total_windows(frames, HISTORY)
     numbered = windows.window_numbers(frames, HISTORY)
     return windows.batches(numbered, 64, drop_last=True, total=total).select("sample_id", "rank", "batch")
 
@@ -293,13 +293,14 @@ WITH {NUMBERED_SQL},
 shuffled AS (SELECT sample_id, row_number() OVER (ORDER BY md5(concat('{SEED}:3:', sample_id)), sample_id) AS rank FROM starts)
 SELECT * FROM shuffled WHERE rank <= (SELECT count(*) // 8 * 8 FROM starts)""")
 def epoch_order(spark: SparkSession, folder: str) -> DataFrame:
-    samples = windows.window_starts(event_table(spark, folder), HISTORY).select("sample_id")
-    return windows.drop_padding(windows.epoch_order(samples, SEED, 3), 8)
+    frames = event_table(spark, folder)
+    shuffled = windows.epoch_order(windows.window_starts(frames, HISTORY).select("sample_id"), SEED, 3)
+    return windows.drop_padding(shuffled, 8, windows.total_windows(frames, HISTORY))
 
 
 @query("D27", f"WITH {NUMBERED_SQL} SELECT count(*) AS windows, count(*) > 0 AS any_window, count(*) >= 100000 AS full_batch FROM starts")
 def window_size_gates(spark: SparkSession, folder: str) -> DataFrame:
-    return size_gates(windows.window_starts(event_table(spark, folder), HISTORY), 100_000)
+    return size_gates(windows.total_windows(event_frames(spark, folder), HISTORY), 100_000)
 
 
 @query("C13 D9", """
