@@ -31,6 +31,7 @@ def frame_states(frames: DataFrame, points: DataFrame, c: Columns = COLUMNS, blo
         named(c.episode).cast("long").alias("episode_id"),
         named(c.frame).cast("long").alias("frame_index"),
         F.lit(1).alias("is_frame"),
+        (named(c.frame).cast("long") * 2 + 1).alias("place"),
         F.lit(None).cast("double").alias("value"),
         F.lit(None).cast("long").alias("point_frame"),
     ).unionByName(
@@ -38,6 +39,7 @@ def frame_states(frames: DataFrame, points: DataFrame, c: Columns = COLUMNS, blo
             F.col("episode_id").cast("long").alias("episode_id"),
             F.col("frame_index").cast("long").alias("frame_index"),
             F.lit(0).alias("is_frame"),
+            (F.col("frame_index").cast("long") * 2).alias("place"),
             F.col("value").cast("double").alias("value"),
             F.col("frame_index").cast("long").alias("point_frame"),
         )
@@ -46,7 +48,7 @@ def frame_states(frames: DataFrame, points: DataFrame, c: Columns = COLUMNS, blo
         timeline,
         ["episode_id"],
         position_block(F.col("frame_index"), block_rows),
-        ["frame_index", "is_frame"],
+        ["place"],
         {
             "visible_points": running_count(F.col("point_frame")),
             "latest_frame": latest(F.col("point_frame")),

@@ -153,7 +153,8 @@ def preview_points(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame
         ranked_points(points, block_rows), curve_spans(points), "episode_id", "frame_index",
         "first_curve_frame", "last_curve_frame", block_rows,
     )
-    middle = joined.where(F.col("position") == F.floor(F.col("curve_points") / 2) + 1)
+    # Position floor(n / 2) + 1, written so that it stays a filter of the join.
+    middle = joined.where((F.col("position") * 2 - F.col("curve_points")).isin(1, 2))
     return middle.select(*[named(n) for n in points.columns])
 
 

@@ -112,11 +112,12 @@ def blocked_scan(
 
     ``block`` must never decrease along ``order``.  ``spanning`` marks the rows
     of keys that reach over more than one block; the summary then skips all
-    others.
+    others.  With ``latest`` or ``following`` over numbers, give one numeric
+    order column: the summary is then hashed in the scan stage, not sorted.
     """
     keys = list(keys)
     rows = df.withColumn(_BLOCK, block)
-    ordering = F.struct(*[named(name) for name in order])
+    ordering = named(order[0]) if len(order) == 1 else F.struct(*[named(name) for name in order])
     inside = Window.partitionBy(*[named(k) for k in keys], _BLOCK)
     ahead = inside.orderBy(*[named(name).asc() for name in order])
     back = inside.orderBy(*[named(name).desc() for name in order])

@@ -88,26 +88,34 @@ def locate_rows(rows: DataFrame, episodes: DataFrame, index: str = "index", bloc
     start seen is the row's episode.  Rows beyond the last episode stay out.
     """
     extra = [n for n in rows.columns if n != index]
-    timeline = rows.withColumn("__start", F.lit(None).cast("struct<episode_index:bigint,offset:bigint,length:bigint>")).withColumn(
-        "__order", F.lit(1)
-    ).select(named(index).alias("__at"), "__order", "__start", *[named(n) for n in extra])
+    nothing = F.lit(None).cast("long")
+    timeline = rows.select(
+        named(index).cast("long").alias("__at"),
+        (named(index).cast("long") * 2 + 1).alias("__place"),
+        *[nothing.alias(n) for n in ("__episode", "__offset", "__length")],
+        *[named(n) for n in extra],
+    )
     starts = episodes.select(
-        F.col("offset").alias("__at"),
-        F.lit(0).alias("__order"),
-        F.struct(F.col(KEY).cast("long").alias(KEY), F.col("offset").cast("long").alias("offset"), F.col("length").cast("long").alias("length")).alias("__start"),
+        F.col("offset").cast("long").alias("__at"),
+        (F.col("offset").cast("long") * 2).alias("__place"),
+        F.col(KEY).cast("long").alias("__episode"),
+        F.col("offset").cast("long").alias("__offset"),
+        F.col("length").cast("long").alias("__length"),
         *[F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in extra],
     )
     scanned = blocked_scan(
         timeline.unionByName(starts),
         [],
         position_block(F.col("__at"), block_rows),
-        ["__at", "__order"],
-        {"__owner": latest(F.col("__start"))},
-    ).where((F.col("__order") == 1) & (F.col("__at") < F.col("__owner.offset") + F.col("__owner.length")))
-    return scanned.select(
+        ["__place"],
+        {f"__owner_{n}": latest(F.col(f"__{n}")) for n in ("episode", "offset", "length")},
+    )
+    is_row = F.col("__episode").isNull()
+    inside = F.col("__at") < F.col("__owner_offset") + F.col("__owner_length")
+    return scanned.where(is_row & inside).select(
         F.col("__at").alias(index),
-        F.col(f"__owner.{KEY}").alias(KEY),
-        (F.col("__at") - F.col("__owner.offset")).alias("frame_index"),
+        F.col("__owner_episode").alias(KEY),
+        (F.col("__at") - F.col("__owner_offset")).alias("frame_index"),
         *[named(n) for n in extra],
     )
 
@@ -155,18 +163,18 @@ def _next_shard(placed: DataFrame, max_frames: int, width: int, total: int) -> D
     ``to`` is ``total`` for the last shard.
     """
     starts = placed.select(
-        F.col("offset").alias("at"), F.lit(0).alias("probe"), F.col("offset").alias("owner"),
+        F.col("offset").alias("at"), (F.col("offset") * 2).alias("place"), F.col("offset").alias("owner"),
         F.lit(None).cast("long").alias("asked_by"),
     )
     ending = F.col("offset") + F.greatest(F.col("length"), F.lit(max_frames)) >= total
     probes = placed.where((F.col("length") < max_frames) & ~ending).select(
-        (F.col("offset") + max_frames).alias("at"), F.lit(1).alias("probe"),
+        (F.col("offset") + max_frames).alias("at"), ((F.col("offset") + max_frames) * 2 + 1).alias("place"),
         F.lit(None).cast("long").alias("owner"), F.col("offset").alias("asked_by"),
     )
     found = blocked_scan(
-        starts.unionByName(probes), [], position_block(F.col("at"), width), ["at", "probe"],
+        starts.unionByName(probes), [], position_block(F.col("at"), width), ["place"],
         {"to": latest(F.col("owner"))},
-    ).where(F.col("probe") == 1).select(F.col("asked_by").alias("at"), "to", F.lit(False).alias("forced"))
+    ).where(F.col("asked_by").isNotNull()).select(F.col("asked_by").alias("at"), "to", F.lit(False).alias("forced"))
     alone = placed.where((F.col("length") >= max_frames) | ending).select(
         F.col("offset").alias("at"),
         F.when(ending, F.lit(total)).otherwise(F.col("offset") + F.col("length")).cast("long").alias("to"),
