@@ -14,8 +14,8 @@ from epistride.operators.integrity import episode_summary
 from epistride.operators.scans import (
     BLOCK_ROWS,
     blocked_scan,
-    following,
     latest,
+    overall_max,
     position_block,
     running_count,
 )
@@ -53,19 +53,19 @@ def frame_states(frames: DataFrame, points: DataFrame, c: Columns = COLUMNS, blo
             "visible_points": running_count(F.col("point_frame")),
             "latest_frame": latest(F.col("point_frame")),
             "latest_value": latest(F.col("value")),
-            "next_frame": following(F.col("point_frame")),
+            "last_point": overall_max(F.col("point_frame")),
         },
     )
     exact = F.coalesce(F.col("latest_frame") == F.col("frame_index"), F.lit(False))
     status = (
         F.when(F.col("visible_points") == 0, "warming_up")
         .when(exact, "estimated")
-        .when(F.col("next_frame").isNull(), "terminal_hold")
+        .when(F.col("frame_index") > F.col("last_point"), "terminal_hold")
         .otherwise("no_estimate")
     )
     shown = F.col("status").isin("estimated", "terminal_hold")
     return (
-        scanned.where((F.col("is_frame") == 1) & ((F.col("visible_points") > 0) | F.col("next_frame").isNotNull()))
+        scanned.where((F.col("is_frame") == 1) & F.col("last_point").isNotNull())
         .withColumn("status", status)
         .select(
             "episode_id",

@@ -154,7 +154,7 @@ def preview_points(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame
         "first_curve_frame", "last_curve_frame", block_rows,
     )
     # Position floor(n / 2) + 1, written so that it stays a filter of the join.
-    middle = joined.where((F.col("position") * 2 - F.col("curve_points")).isin(1, 2))
+    middle = joined.where((F.col("position") * 2 - F.col("__curve_points")).isin(1, 2))
     return middle.select(*[named(n) for n in points.columns])
 
 

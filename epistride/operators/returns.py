@@ -90,21 +90,21 @@ def with_returns(
     if normalisation not in NORMALISATIONS:
         raise ValueError(f"normalisation must be one of {NORMALISATIONS}")
     terms = episode_terms(frames, labels, failure_penalty, step_scale, c)
-    remaining = F.col("length") - 1 - (named(c.frame) - F.col("first_frame"))
-    raw = F.col("last_reward") - F.lit(float(step_scale)) * remaining
+    remaining = F.col("__length") - 1 - (named(c.frame) - F.col("__first_frame"))
+    raw = F.col("__last_reward") - F.lit(float(step_scale)) * remaining
     kept = [named(name) for name in (keep or frames.columns)]
     joined = join_episodes(frames, terms, c.episode, c.frame).withColumn("__raw", raw)
     return joined.select(
         *kept,
         _normalised(normalisation, terms, step_scale).cast("float").alias(c.ret),
         F.col("__raw").cast("float").alias(c.ret_raw),
-        F.col("success").cast("byte").alias(c.success),
+        F.col("__success").cast("byte").alias(c.success),
     )
 
 
 def _normalised(normalisation: str, terms: DataFrame, step_scale: float) -> Column:
     if normalisation == "task_max":
-        return clip(F.col("__raw") / F.col("task_length"), -1.0, 0.0)
+        return clip(F.col("__raw") / F.col("__task_length"), -1.0, 0.0)
     if normalisation == "global_minmax":
         limits = raw_range(terms, step_scale)
         return affine(F.col("__raw"), limits.select("low").scalar(), limits.select("high").scalar())

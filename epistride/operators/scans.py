@@ -62,14 +62,22 @@ def following(value: Column) -> Running:
     return Running("following", value, True)
 
 
+def overall_max(value: Column) -> Running:
+    """Largest value of the whole key, earlier and later rows alike."""
+    return Running("overall_max", value)
+
+
 def position_block(position: Column, rows: int = BLOCK_ROWS) -> Column:
     """Block number of a dense integer position."""
     return F.floor(position / F.lit(rows)).cast("long")
 
 
-def _local(spec: Running, ahead, back) -> Column:
+def _local(spec: Running, inside, order) -> Column:
+    if spec.kind == "overall_max":
+        return F.max(spec.value).over(inside)
+    directed = [named(n).desc() if spec.kind == "following" else named(n).asc() for n in order]
     until = -1 if spec.exclusive else 0
-    window = (back if spec.kind == "following" else ahead).rowsBetween(Window.unboundedPreceding, until)
+    window = inside.orderBy(*directed).rowsBetween(Window.unboundedPreceding, until)
     if spec.kind == "sum":
         return F.sum(spec.value).over(window)
     if spec.kind == "min":
@@ -82,14 +90,19 @@ def _block_total(spec: Running, order: Column) -> Column:
         return F.sum(spec.value)
     if spec.kind == "min":
         return F.min(spec.value)
+    if spec.kind == "overall_max":
+        return F.max(spec.value)
     present = F.when(spec.value.isNotNull(), order)
     if spec.kind == "following":
         return F.min_by(spec.value, present)
     return F.max_by(spec.value, present)
 
 
-def _carried(spec: Running, total: Column, ahead, back) -> Column:
-    return _local(Running(spec.kind, total, True), ahead, back)
+def _carried(spec: Running, total: Column, across) -> Column:
+    carried = _local(Running(spec.kind, total, True), across, [_BLOCK])
+    if spec.kind == "overall_max":
+        return F.when(F.count(F.lit(1)).over(across) > 1, carried)
+    return carried
 
 
 def _merged(spec: Running, local: Column, carried: Column) -> Column:
@@ -97,6 +110,8 @@ def _merged(spec: Running, local: Column, carried: Column) -> Column:
         return F.coalesce(local, F.lit(0)) + F.coalesce(carried, F.lit(0))
     if spec.kind == "min":
         return F.least(local, carried)
+    if spec.kind == "overall_max":
+        return F.greatest(local, carried)
     return F.coalesce(local, carried)
 
 
@@ -119,22 +134,16 @@ def blocked_scan(
     rows = df.withColumn(_BLOCK, block)
     ordering = named(order[0]) if len(order) == 1 else F.struct(*[named(name) for name in order])
     inside = Window.partitionBy(*[named(k) for k in keys], _BLOCK)
-    ahead = inside.orderBy(*[named(name).asc() for name in order])
-    back = inside.orderBy(*[named(name).desc() for name in order])
-    local = rows.withColumns(
-        {f"__local_{name}": _local(spec, ahead, back) for name, spec in outputs.items()}
-    )
+    local = rows.withColumns({f"__local_{name}": _local(spec, inside, order) for name, spec in outputs.items()})
 
     summary = (rows if spanning is None else rows.where(spanning)).groupBy(
         *[named(k) for k in keys], _BLOCK
     ).agg(*[_block_total(spec, ordering).alias(f"__total_{name}") for name, spec in outputs.items()])
     across = Window.partitionBy(*[named(k) for k in keys])
-    across_ahead, across_back = across.orderBy(F.asc(_BLOCK)), across.orderBy(F.desc(_BLOCK))
     carried = {
-        f"__carry_{name}": _carried(spec, F.col(f"__total_{name}"), across_ahead, across_back)
-        for name, spec in outputs.items()
+        f"__carry_{name}": _carried(spec, F.col(f"__total_{name}"), across) for name, spec in outputs.items()
     }
-    # A key's first block has nothing before it, so short keys leave no rows.
+    # A key of one block has nothing to carry, so short keys leave no rows.
     carry = summary.withColumns(carried).select(
         *[named(k) for k in keys], _BLOCK, *carried
     ).where(reduce(or_, [F.col(name).isNotNull() for name in carried]))
@@ -222,8 +231,15 @@ def join_episodes(
     So the episode side gets one row per block of its frame range and the join
     is on (episode, block); that adds only rows / block_rows rows.  ``first``
     and ``last`` must span all frames of the episode in ``frames``.
+
+    Columns of the episode side come out with ``__`` before their name, so
+    they never clash with frame columns.
     """
     blocks = F.sequence(position_block(named(first), block_rows), position_block(named(last), block_rows))
-    spread = episodes.withColumn(_BLOCK, F.explode(blocks))
+    spread = episodes.select(
+        named(episode),
+        *[named(n).alias(f"__{n}") for n in episodes.columns if n != episode],
+        F.explode(blocks).alias(_BLOCK),
+    )
     placed = frames.withColumn(_BLOCK, position_block(named(frame), block_rows))
     return placed.join(spread, [episode, _BLOCK]).drop(_BLOCK)

@@ -92,7 +92,7 @@ def window_starts(frames: DataFrame, history: int, c: Columns = COLUMNS) -> Data
     _check_history(history)
     return (
         join_episodes(frames.select(*[named(k) for k in c.key]), frame_spans(frames, c), c.episode, c.frame)
-        .where(named(c.frame) + history <= F.col("last_frame"))
+        .where(named(c.frame) + history <= F.col("__last_frame"))
         .select(
             named(c.episode).alias("episode_id"),
             named(c.frame).alias("start_frame"),
@@ -117,9 +117,9 @@ def total_windows(frames: DataFrame, history: int, c: Columns = COLUMNS) -> Data
 def endpoint_frames(frames: DataFrame, history: int, c: Columns = COLUMNS) -> DataFrame:
     """Frames that are the last history position of some window."""
     _check_history(history)
-    inside = (named(c.frame) >= F.col("first_frame") + history - 1) & (named(c.frame) < F.col("last_frame"))
+    inside = (named(c.frame) >= F.col("__first_frame") + history - 1) & (named(c.frame) < F.col("__last_frame"))
     joined = join_episodes(frames, frame_spans(frames, c), c.episode, c.frame)
-    return joined.where(inside).drop("first_frame", "last_frame")
+    return joined.where(inside).select(*[named(n) for n in frames.columns])
 
 
 def endpoint(values: Column, valid: Column) -> Column:
@@ -145,11 +145,11 @@ def window_numbers(
         {"before": running_sum(F.col("windows"), exclusive=True)},
     ).where(F.col("windows") > 0)
     joined = join_episodes(frames.select(*[named(k) for k in c.key]), offsets, c.episode, c.frame)
-    return joined.where(named(c.frame) + history <= F.col("last_frame")).select(
+    return joined.where(named(c.frame) + history <= F.col("__last_frame")).select(
         named(c.episode).alias("episode_id"),
         named(c.frame).alias("start_frame"),
         sample_id(named(c.episode), named(c.frame)).alias("sample_id"),
-        (F.col("before") + named(c.frame) - F.col("first_frame") + 1).alias("rank"),
+        (F.col("__before") + named(c.frame) - F.col("__first_frame") + 1).alias("rank"),
     )
 
 

@@ -20,9 +20,10 @@ def with_episode_tasks(frames: DataFrame, pairs: DataFrame, c: Columns = COLUMNS
     mapping = single_task(task_lists(pairs))
     require_none(mapping.where(F.col("task").isNull()), "episodes without exactly one instruction")
     require_none(coverage(mapping, frames, c.episode), "instructions and episodes differ", ["episode_index"])
-    texts = mapping.select(F.col("episode_index").alias(c.episode), F.col("task").alias(c.task_text))
+    texts = mapping.select(F.col("episode_index").alias(c.episode), "task")
     spans = frame_spans(frames, c).join(texts, c.episode)
-    return join_episodes(frames, spans, c.episode, c.frame).drop("first_frame", "last_frame")
+    joined = join_episodes(frames, spans, c.episode, c.frame)
+    return joined.select(*[named(n) for n in frames.columns], F.col("__task").alias(c.task_text))
 
 
 def to_indexed_tasks(frames: DataFrame, task: str | None = None, column: str | None = None, c: Columns = COLUMNS) -> tuple[DataFrame, DataFrame, DataFrame]:

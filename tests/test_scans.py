@@ -39,6 +39,7 @@ def test_all_kinds_match_a_loop(spark, seed, block):
             "last": scans.latest(F.col("v")),
             "prev": scans.previous(F.col("fr")),
             "next": scans.following(F.col("fr")),
+            "top": scans.overall_max(F.col("v")),
         },
     )
     have = {(r.k, r.fr): r for r in out.collect()}
@@ -46,13 +47,14 @@ def test_all_kinds_match_a_loop(spark, seed, block):
     for key in {k for k, _, _ in data}:
         ordered = sorted(((fr, v) for k, fr, v in data if k == key), key=lambda x: x[0])
         total, seen, low, last, prev = 0, 0, None, None, None
+        top = max((v for _, v in ordered if v is not None), default=None)
         for i, (fr, v) in enumerate(ordered):
             row = have[(key, fr)]
             assert row.before == total and row.prev == prev
             if v is not None:
                 total, seen, last = total + v, seen + 1, v
                 low = v if low is None else min(low, v)
-            assert (row.total, row.seen, row.low, row.last) == (total, seen, low, last)
+            assert (row.total, row.seen, row.low, row.last, row.top) == (total, seen, low, last, top)
             assert row.next == (ordered[i + 1][0] if i + 1 < len(ordered) else None)
             prev = fr
 
