@@ -49,12 +49,23 @@ def to_indexed_tasks(frames: DataFrame, task: str | None = None, column: str | N
     return indexed, tasks, episodes
 
 
-def write_indexed_tasks(frames: DataFrame, root: str, fps: float, task: str | None = None, column: str | None = None, c: Columns = COLUMNS) -> None:
-    """The first step's dataset: one directory per episode and JSON lines."""
+def write_indexed_tasks(
+    frames: DataFrame,
+    root: str,
+    fps: float,
+    task: str | None = None,
+    column: str | None = None,
+    frame_files: bool = True,
+    c: Columns = COLUMNS,
+) -> None:
+    """The first step's dataset: JSON lines and, unless only the metadata is
+    wanted, one directory per episode."""
     indexed, tasks, episodes = to_indexed_tasks(frames, task, column, c)
+    tasks, episodes = stored(tasks, "tasks"), stored(episodes, "episodes")
     writers.write_task_lines(tasks, root)
     writers.write_episode_lines(episodes, root)
-    writers.write_episode_files(indexed, root, c=c)
+    if frame_files:
+        writers.write_episode_files(indexed, root, c=c)
     features = statistics.feature_map(statistics.inferred_features(indexed))
     info = writers.dataset_info(
         episodes, tasks, features, fps, "v2.0",

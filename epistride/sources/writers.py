@@ -137,7 +137,12 @@ def write_info(info: DataFrame, root: str) -> None:
 
 
 def write_episode_files(frames: DataFrame, root: str, chunk_size: int = 1000, block_rows: int = 1_000_000, c: Columns = COLUMNS) -> None:
-    """One directory per episode, long episodes in several files."""
+    """One directory per episode, long episodes in several files.
+
+    The number of tasks is fixed: many small files cost more than their bytes
+    say, so the writers must not be merged by size.
+    """
+    tasks = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunked = frames.withColumns(
         {
             "episode_chunk": chunk_of(named(c.episode), chunk_size),
@@ -145,7 +150,7 @@ def write_episode_files(frames: DataFrame, root: str, chunk_size: int = 1000, bl
         }
     )
     (
-        chunked.repartition("episode_chunk", named(c.episode), "__piece")
+        chunked.repartition(tasks, "episode_chunk", named(c.episode), "__piece")
         .sortWithinPartitions("episode_chunk", *[named(k) for k in c.key])
         .drop("__piece")
         .write.mode("errorifexists")

@@ -175,12 +175,12 @@ def next_state_mse(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("D8", """
 SELECT user_id % 5 AS task_index,
-       round(sum(CASE WHEN event_type <> 'error' AND value < 400 THEN (ln(value) - sqrt(event_id + 1)) ** 2 ELSE 0 END), 2) + 0.0 AS squared_sum,
+       round(sum(CASE WHEN event_type <> 'error' AND value < 400 THEN (ln(value + 1) - sqrt(event_id + 1)) ** 2 ELSE 0 END), 2) + 0.0 AS squared_sum,
        count(*) FILTER (event_type <> 'error' AND value < 400) AS counted FROM events GROUP BY 1""")
 def masked_squared_error(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "events").select(
         (F.col("user_id") % 5).alias("task_index"),
-        F.when(F.col("value") < 400, F.ln("value")).otherwise(F.lit(float("nan"))).alias("prediction"),
+        F.when(F.col("value") < 400, F.ln(F.col("value") + 1)).otherwise(F.lit(float("nan"))).alias("prediction"),
         F.sqrt(F.col("event_id") + 1).alias("target"),
         (F.col("event_type") != "error").alias("mask"),
     )
@@ -190,7 +190,7 @@ def masked_squared_error(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("D11", """
 WITH s AS (
-  SELECT sum((ln(value) - 3) ** 2) AS a, count(*) AS an,
+  SELECT sum((ln(value + 1) - 3) ** 2) AS a, count(*) AS an,
          sum(CASE WHEN event_type = 'view' THEN (sqrt(value) - 9) ** 2 END) AS b, count(*) FILTER (event_type = 'view') AS bn FROM events)
 SELECT round(a / an, 6) AS value_loss, round(b / bn, 6) AS next_state_loss, 0.0::DOUBLE AS next_state_vector_loss,
        round(1.0 * (a / an) + 0.5 * (b / bn), 6) AS loss FROM s""")
@@ -199,7 +199,7 @@ def weighted_loss(spark: SparkSession, folder: str) -> DataFrame:
     view = F.col("event_type") == "view"
     nothing = F.lit(0).cast("long")
     parts = table(spark, folder, "events").groupBy("user_id").agg(
-        F.sum(F.pow(F.ln("value") - 3, F.lit(2.0))).alias("value_sum"),
+        F.sum(F.pow(F.ln(F.col("value") + 1) - 3, F.lit(2.0))).alias("value_sum"),
         F.count(F.lit(1)).alias("value_count"),
         F.sum(F.when(view, F.pow(F.sqrt("value") - 9, F.lit(2.0)))).alias("next_state_sum"),
         F.count_if(view).alias("next_state_count"),

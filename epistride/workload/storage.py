@@ -278,9 +278,9 @@ def legacy_episode_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _write_legacy(spark: SparkSession, folder: str) -> str:
+def _write_legacy(spark: SparkSession, folder: str, frame_files: bool = False) -> str:
     root = scratch_path(spark, "legacy")
-    migrations.write_indexed_tasks(_ordered_turns(spark, folder), root, 10.0, column="role")
+    migrations.write_indexed_tasks(_ordered_turns(spark, folder), root, 10.0, column="role", frame_files=frame_files)
     return root
 
 
@@ -300,7 +300,7 @@ SELECT conv_id AS episode_index, turn AS frame_index, task_index, CAST(conv_id /
 FROM conversations JOIN ids USING (role)""")
 def legacy_directory_scan(spark: SparkSession, folder: str) -> DataFrame:
     """The first step's per-episode directories, read back."""
-    root = _write_legacy(spark, folder)
+    root = _write_legacy(spark, folder, frame_files=True)
     return spark.read.parquet(f"{root}/data").select(
         F.col("episode_index").cast("long").alias("episode_index"), "frame_index", "task_index", "episode_chunk", "n_chars"
     )
@@ -439,7 +439,7 @@ def curve_artifact_problems(spark: SparkSession, folder: str) -> DataFrame:
 @query("K9 H6", """
 SELECT conv_id AS episode_id, count(*) AS count,
        round(avg((sqrt(length(text)) - ln(length(text) + 2)) ** 2), 6) AS value_mse,
-       round(CASE WHEN count(*) > 1 THEN covar_pop(sqrt(length(text)), ln(length(text) + 2)) / sqrt(var_pop(sqrt(length(text))) * var_pop(ln(length(text) + 2))) END, 6) AS value_pearson
+       round(CASE WHEN count(*) > 1 AND var_pop(sqrt(length(text))) > 0 THEN covar_pop(sqrt(length(text)), ln(length(text) + 2)) / sqrt(var_pop(sqrt(length(text))) * var_pop(ln(length(text) + 2))) END, 6) AS value_pearson
 FROM conversations GROUP BY 1""")
 def curve_metrics_file(spark: SparkSession, folder: str) -> DataFrame:
     target = scratch_path(spark, "curves")

@@ -105,8 +105,8 @@ def _labelled_vectors(spark: SparkSession, folder: str) -> DataFrame:
 WITH {MOMENTS_SQL},
 fitted AS (SELECT position, CAST(mean AS FLOAT) AS mean, CAST(greatest(std, 1e-6) AS FLOAT) AS std FROM moments),
 all_cells AS (SELECT vec_id, unnest(action) AS x, CAST(generate_subscripts(action, 1) - 1 AS INTEGER) AS position FROM frames)
-SELECT vec_id, round(sum(CAST((x - mean) / std AS DOUBLE)), 3) + 0.0 AS total,
-       round(max(CAST((x - mean) / std AS DOUBLE)), 4) + 0.0 AS highest
+SELECT vec_id, round(sum(CAST((x - mean) / std AS DOUBLE)), 1) + 0.0 AS total,
+       round(max(CAST((x - mean) / std AS DOUBLE)), 3) + 0.0 AS highest
 FROM all_cells JOIN fitted USING (position) GROUP BY 1""")
 def standardised_vectors(spark: SparkSession, folder: str) -> DataFrame:
     frames = _labelled_vectors(spark, folder)
@@ -114,7 +114,7 @@ def standardised_vectors(spark: SparkSession, folder: str) -> DataFrame:
     scaled = normalise.apply_normalisation(frames, stats)
     total = F.aggregate("action", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return scaled.select(
-        "vec_id", F.round(total, 3).alias("total"), F.round(F.array_max("action").cast("double"), 4).alias("highest")
+        "vec_id", F.round(total, 1).alias("total"), F.round(F.array_max("action").cast("double"), 3).alias("highest")
     )
 
 
