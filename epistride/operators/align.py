@@ -156,20 +156,31 @@ def sources_from_template(points: DataFrame, path: Column, offset: int, fps: flo
     )
 
 
-def sources_from_map(points: DataFrame, video_map: DataFrame, offset: int = 0, fps: float | None = None, history: int | None = None) -> DataFrame:
-    """Entries of a video map, defaults filled in; see ``read_video_map``."""
+def sources_from_map(points: DataFrame, video_map: DataFrame, offset: int = 0, fps: float | None = None, probed: DataFrame | None = None, history: int | None = None) -> DataFrame:
+    """Entries of a video map, defaults filled in; see ``read_video_map``.
+
+    ``probed`` may give (episode_id, frame_count, fps) of the files.  Its
+    count does not apply to an entry that starts inside its file.
+    """
     joined = curve_spans(points).join(video_map, "episode_id")
+    if probed is None:
+        known = joined.withColumns({"__frames": F.lit(None).cast("long"), "__rate": F.lit(None).cast("double")})
+    else:
+        found = probed.select("episode_id", F.col("frame_count").alias("__frames"), F.col("fps").alias("__rate"))
+        known = joined.join(found, "episode_id", "left")
     start = F.coalesce(F.col("frame_offset"), F.lit(int(offset)))
+    from_start = F.coalesce(F.col("start_seconds"), F.lit(0.0)) <= 0
+    count = F.coalesce(F.col("frame_count"), F.when(from_start, F.col("__frames")))
     return _source(
-        joined,
+        known,
         start,
-        F.coalesce(F.col("frame_count"), inferred_count(F.col("last_curve_frame"), start)),
+        F.coalesce(count, inferred_count(F.col("last_curve_frame"), start)),
         F.coalesce(F.col("history_size"), _history(history)),
         path=F.col("path"),
         camera_key=F.col("camera_key"),
-        fps=first_positive(F.lit(fps).cast("double"), F.col("fps")),
+        fps=first_positive(F.lit(fps).cast("double"), F.col("fps"), F.col("__rate")),
         start_seconds=F.coalesce(F.col("start_seconds"), F.lit(0.0)),
-        frame_count_inferred=F.col("frame_count").isNull(),
+        frame_count_inferred=count.isNull(),
         basis=F.lit("video map"),
     )
 

@@ -70,12 +70,15 @@ def curve_spans(points: DataFrame) -> DataFrame:
     )
 
 
-def curve_summary(points: DataFrame) -> DataFrame:
-    """One row: episodes and points."""
+def curve_summary(points: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row: episodes and points of a report over the first ``limit``
+    episodes, and how many episodes there are in all."""
     per_episode = points.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_episode.agg(
+    shown = per_episode if limit is None else per_episode.orderBy("episode_id").limit(limit)
+    everything = per_episode.agg(F.count(F.lit(1)).alias("episodes"))
+    return shown.agg(
         F.count(F.lit(1)).alias("num_episodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("num_points")
-    )
+    ).withColumns({"total_num_episodes": everything.scalar(), "max_episodes": F.lit(limit).cast("long")})
 
 
 def limit_curves(points: DataFrame, episodes: int) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,27 @@ def relative_paths(files: DataFrame, parent: str) -> DataFrame:
     )
 
 
+# Files that mark a dataset directory.
+ROOT_MARKERS = ("meta/info.json", "meta/episodes.jsonl", "meta/tasks.parquet", "meta_data/")
+
+
+def resolve_roots(files: DataFrame, nested: str) -> DataFrame:
+    """Descend into ``nested`` where that directory is the dataset.
+
+    A root may be the dataset itself or a parent that holds it under
+    ``nested``; the nested one wins when it carries a marker.
+    """
+    prefix = nested.strip("/") + "/"
+    inner = F.when(F.col("path").startswith(prefix), F.substring(F.col("path"), len(prefix) + 1, 1 << 20))
+    marked = reduce(or_, [F.coalesce(inner.startswith(m), F.lit(False)) for m in ROOT_MARKERS])
+    descend = files.groupBy("root").agg(F.bool_or(marked).alias("descend"))
+    return (
+        files.join(descend, "root")
+        .select("root", F.when(F.col("descend"), inner).otherwise(F.col("path")).alias("path"))
+        .where(F.col("path").isNotNull())
+    )
+
+
 def classify_roots(files: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     """Schema generation of every root from its file listing.
 
@@ -38,7 +62,7 @@ def classify_roots(files: DataFrame, declared: DataFrame | None = None) -> DataF
         "task_lines": path == "meta/tasks.jsonl",
         "episode_stats": path == "meta/episodes_stats.jsonl",
         "old_info": path == "meta_data/info.json",
-        "old_content": (path == "meta_data/stats.safetensors") | path.like("data/%") | path.rlike(r"^videos[^/]*/"),
+        "old_content": (path == "meta_data/stats.safetensors") | path.like("data/%") | path.startswith("videos"),
         "old_meta": path.like("meta_data/%"),
         "train": path.like("train/%") | (path == "train"),
         "meta": path.like("meta/%"),

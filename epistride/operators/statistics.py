@@ -157,7 +157,7 @@ def _type_name(kind: T.DataType) -> str:
 
 
 def inferred_features(frames: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
-    """(feature, dtype, shape, fixed, smallest, largest) from types and sizes.
+    """(feature, dtype, shape, fixed, depth, smallest, largest) from types and sizes.
 
     Scalars have shape [1]; media columns have none.  ``smallest`` and
     ``largest`` are the sizes of the first dimension.
@@ -190,20 +190,23 @@ def inferred_features(frames: DataFrame, features: Sequence[str] | None = None)
         described.append(
             F.struct(
                 F.lit(name).alias("feature"), F.lit(dtype).alias("dtype"), shape.alias("shape"),
-                fixed.alias("fixed"), ends[0].alias("smallest"), ends[1].alias("largest"),
+                fixed.alias("fixed"), F.lit(depth).alias("depth"), ends[0].alias("smallest"), ends[1].alias("largest"),
             )
         )
     measured = frames.agg(F.count(F.lit(1)).alias("rows"), *aggregates)
     return measured.select(F.inline(F.array(*described)))
 
 
-def feature_map(inferred: DataFrame) -> DataFrame:
-    """One row: the features as the map that the info file holds."""
-    motors = F.when(
-        F.col("motor"), F.transform(F.sequence(F.lit(0).cast("long"), F.get("shape", 0) - 1), lambda i: F.format_string("motor_%d", i))
+def feature_map(inferred: DataFrame, motors: bool = False) -> DataFrame:
+    """One row: the features as the map that the info file holds.
+
+    With ``motors`` the elements of vectors get generic names.
+    """
+    named_motors = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.get("shape", 0) - 1), lambda i: F.format_string("motor_%d", i)
     )
-    rows = inferred.withColumn("motor", (F.size("shape") >= 1) & F.col("dtype").startswith("float") & (F.get("shape", 0) > 1))
-    entry = F.struct("dtype", "shape", motors.alias("names"))
-    return rows.agg(
+    vector = F.lit(motors) & (F.col("depth") == 1) & (F.get("shape", 0) > 0)
+    entry = F.struct("dtype", "shape", F.when(vector, named_motors).alias("names"))
+    return inferred.agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("feature", entry.alias("entry"))))).alias("features")
     )

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epistride.columns import COLUMNS, Columns, named
-from epistride.functions.scalars import clean_text
+from epistride.functions.scalars import clean_text, strict_long_token
 from epistride.operators.shards import first_seen_ids
 
 
 def with_task_text(frames: DataFrame, tasks: DataFrame, c: Columns = COLUMNS) -> DataFrame:
     """Frames with the instruction of their task id; null when unknown."""
+    if c.task_text in frames.columns:
+        raise ValueError(f"frames have a column {c.task_text!r} already")
     texts = tasks.select(F.col("task_index").cast("long").alias(c.task), F.col("task").alias(c.task_text))
     return frames.join(texts, c.task, "left")
 
@@ -41,7 +43,7 @@ def task_lists(pairs: DataFrame) -> DataFrame:
     tasks = F.when(F.ltrim(value).startswith("["), F.from_json(value, "array<string>")).otherwise(F.array(value))
     usable = (F.size(tasks) > 0) & F.forall(tasks, lambda t: F.coalesce(F.length(F.trim(t)) > 0, F.lit(False)))
     return pairs.select(
-        F.trim("key").cast("long").alias("episode_index"), F.when(usable, tasks).alias("tasks")
+        strict_long_token(F.col("key")).alias("episode_index"), F.when(usable, tasks).alias("tasks")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epistride.columns import COLUMNS, Columns, named
+from epistride.functions.scalars import clean_task
 from epistride.operators import integrity, labels, returns, statistics
 from epistride.operators.tasks import index_tasks
 from epistride.sources import readers, writers
@@ -57,7 +58,10 @@ def add_returns(
     if c.task not in frames.columns:
         if c.task_text not in frames.columns:
             raise KeyError("frames need a task id or an instruction")
-        frames, _ = index_tasks(frames.withColumn(c.task_text, F.trim(named(c.task_text))), c.task_text, c)
+        cleaned = frames.withColumn(c.task_text, clean_task(frames, c.task_text))
+        empty = cleaned.where(named(c.task_text).isNull()).select(named(c.episode))
+        integrity.require_none(empty, "empty instructions", [c.episode])
+        frames, _ = index_tasks(cleaned, c.task_text, c)
     check_frames(frames, step or c.frame, c)
     label, origin, how = episode_labels(spark, frames, success_key, reduction, label_path, c)
     integrity.require_none(labels.label_problems(frames, label, c), "success labels", [c.episode, "problem"])

@@ -33,16 +33,19 @@ def evaluate(
     split: DataFrame | None = None,
     split_name: str = "all",
     max_curve_episodes: int | None = None,
+    upcoming: tuple[str, ...] = (),
     c: Columns = COLUMNS,
 ) -> Evaluation:
     """Score all windows of a split once and derive every artifact from that.
 
-    ``schema`` must give episode_id, sample_id, frame_indices and value.  The
+    ``schema`` must give episode_id, sample_id, frame_indices and value, and
+    may give next_state and next_state_target, one vector per position.  The
     scores are stored, since the model is the expensive part.
     """
     chosen = frames if split is None else select_split(frames, split, split_name, c)
     integrity.require_none(integrity.uneven_episodes(chosen, c), "episodes are not consecutive", [c.episode])
-    made = windows.split_window(windows.history_windows(chosen, history, list(fields), c), history, list(fields))
+    wanted = list(dict.fromkeys([*fields, *upcoming]))
+    made = windows.split_window(windows.history_windows(chosen, history, wanted, c), history, list(fields), list(upcoming))
     scored = stored(scoring.score_windows(made, scorer, schema, list(fields)), "scores")
     total = windows.total_windows(chosen, history, c)
     complete = scoring.completeness(scored, total)
@@ -63,13 +66,21 @@ def evaluate(
     for name in token.columns:
         summary = summary.withColumn(f"token_value_{name}", token.select(name).scalar())
 
+    if {"next_state", "next_state_target"} <= set(scored.columns):
+        states = scored.select(F.posexplode(F.arrays_zip("next_state", "next_state_target")).alias("position", "cell"))
+        states = states.select("position", "cell.*")
+        error = lambda df: metrics.vector_mse(df, "next_state", "next_state_target").select("mse").scalar()
+        summary = summary.withColumns(
+            {"next_state_mse": error(states.where(F.col("position") == history - 1)), "token_next_state_mse": error(states)}
+        )
+
     checked = align.preflight(points, align.sources_from_frames(chosen, fps, history, c=c))
     report = align.alignment_report(checked)
     result = Evaluation(points, summary, metrics.curve_metrics(points), report)
     if folder is not None:
         shown = curves.limit_curves(points, max_curve_episodes) if max_curve_episodes else points
         writers.write_curves(shown, folder)
-        writers.write_document(curves.curve_summary(shown), f"{folder}/episode_curves_summary.json")
+        writers.write_document(curves.curve_summary(points, max_curve_episodes), f"{folder}/episode_curves_summary.json")
         writers.write_document(writers.evaluation_summary(summary, total, split_name), f"{folder}/summary.json")
         writers.write_alignment(report, f"{folder}/alignment")
     return result

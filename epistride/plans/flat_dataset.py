@@ -62,7 +62,12 @@ def write_flat_dataset(
     writers.write_tasks(tasks, output)
     features = statistics.feature_map(statistics.inferred_features(made))
     writers.write_info(writers.dataset_info(lengths, tasks, features, fps), output)
-    return verify_flat_dataset(spark, output, made, episodes, c)
+    report = verify_flat_dataset(spark, output, made, episodes, c)
+    ranges = returns.value_ranges(readers.read_frames(spark, output, made.schema), c)
+    outcome = episodes.select("length", (F.col("ep_success") == 1).alias("success"))
+    manifest = writers.conversion_manifest(outcome, ranges, sharded, task.strip(), fps, normalisation)
+    writers.write_document(manifest, f"{output}/meta/conversion_manifest.json")
+    return report
 
 
 def verify_flat_dataset(spark: SparkSession, output: str, expected: DataFrame, episodes: DataFrame, c: Columns = COLUMNS) -> DataFrame:

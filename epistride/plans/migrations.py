@@ -66,7 +66,9 @@ def write_indexed_tasks(
     writers.write_episode_lines(episodes, root)
     if frame_files:
         writers.write_episode_files(indexed, root, c=c)
-    features = statistics.feature_map(statistics.inferred_features(indexed))
+    shapes = statistics.inferred_features(indexed)
+    require_none(shapes.where(~F.col("fixed")), "features without a fixed shape", ["feature"])
+    features = statistics.feature_map(shapes, motors=True)
     info = writers.dataset_info(
         episodes, tasks, features, fps, "v2.0",
         data_path="data/episode_chunk={episode_chunk}/episode_index={episode_index}",

@@ -203,10 +203,15 @@ def curve_entry_problems(entries: DataFrame) -> DataFrame:
 def read_curves(spark: SparkSession, path: str, pretty: bool = True) -> DataFrame:
     """(episode_id, frame_index, value) of a valid curve artifact."""
     entries = read_curve_entries(spark, path, pretty)
+    if entries.isEmpty():
+        raise ValueError(f"{path} holds no curves")
     require_none(curve_entry_problems(entries), "curve artifact", ["episode_id", "problem"])
-    return entries.select(
+    points = entries.select(
         strict_long(F.col("episode_id")).alias("episode_id"), F.inline(F.arrays_zip("frame_indices", "values"))
     ).select("episode_id", strict_long(F.col("frame_indices")).alias("frame_index"), F.col("values").alias("value"))
+    # Pages of one episode must not overlap.
+    require_none(duplicate_keys(points, ["episode_id", "frame_index"]), "repeated curve points", ["episode_id", "frame_index"])
+    return points
 
 
 _VIDEO = (
@@ -215,10 +220,11 @@ _VIDEO = (
 )
 
 
-def read_video_map(spark: SparkSession, path: str, pretty: bool = True) -> DataFrame:
+def read_video_map(spark: SparkSession, path: str, pretty: bool = True, base: str | None = None) -> DataFrame:
     """One row per episode of an object of episode -> path or description.
 
-    ``pretty`` reads one object per file, otherwise one per line.
+    ``pretty`` reads one object per file, otherwise one per line.  Relative
+    paths are placed below ``base``, normally the map's own folder.
     """
     text = _documents(spark, path, pretty)
     pairs = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "entry"))
@@ -226,7 +232,11 @@ def read_video_map(spark: SparkSession, path: str, pretty: bool = True) -> DataF
     entry = F.when(F.ltrim("entry").startswith("{"), described).otherwise(
         F.from_json(F.to_json(F.struct(F.col("entry").alias("path"))), _VIDEO)
     )
-    return pairs.select(strict_long_token(F.col("key")).alias("episode_id"), entry.alias("v")).select("episode_id", "v.*")
+    rows = pairs.select(strict_long_token(F.col("key")).alias("episode_id"), entry.alias("v")).select("episode_id", "v.*")
+    if base is None:
+        return rows
+    relative = (F.length("path") > 0) & ~F.col("path").startswith("/")
+    return rows.withColumn("path", F.when(relative, F.concat(F.lit(base.rstrip("/") + "/"), "path")).otherwise(F.col("path")))
 
 
 def video_map_problems(video_map: DataFrame) -> DataFrame:

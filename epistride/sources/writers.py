@@ -208,6 +208,34 @@ def return_definition(
     )
 
 
+def conversion_manifest(
+    episodes: DataFrame, ranges: DataFrame, data_shards: DataFrame, task: str, fps: float, normalisation: str
+) -> DataFrame:
+    """One row describing a conversion: counts, return ranges and the writer.
+
+    ``episodes`` has length and success, ``ranges`` is ``returns.value_ranges``.
+    """
+    one = lambda name: ranges.select(F.col(name).cast("double")).scalar()
+    pair = lambda low, high: F.struct(one(low).alias("low"), one(high).alias("high"))
+    count = data_shards.agg(F.countDistinct("shard").alias("n"))
+    return episodes.agg(
+        F.count(F.lit(1)).alias("episodes"),
+        F.sum("length").cast("long").alias("frames"),
+        F.count_if("success").alias("successful_episodes"),
+        F.count_if(~F.col("success")).alias("failed_episodes"),
+        F.max("length").alias("longest_episode"),
+    ).select(
+        F.lit(1).alias("schema_version"),
+        F.lit(task).alias("task"),
+        "*",
+        F.lit(normalisation).alias("normalisation"),
+        pair("raw_min", "raw_max").alias("raw_range"),
+        pair("normalised_min", "normalised_max").alias("normalised_range"),
+        F.lit(float(fps)).alias("fps"),
+        count.scalar().alias("data_shards"),
+    )
+
+
 def split_pages(split: DataFrame, seed: int, fraction: float, page_ids: int = BLOCK_ROWS) -> DataFrame:
     """The split manifest, one row per range of episode ids.
 

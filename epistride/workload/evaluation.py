@@ -290,9 +290,12 @@ def ordered_curve_points(spark: SparkSession, folder: str) -> DataFrame:
     return _gappy_points(spark, folder).select("episode_id", "frame_index").orderBy("episode_id", "frame_index")
 
 
-@query("K10", f"WITH {POINTS_SQL} SELECT count(DISTINCT episode_id) AS num_episodes, count(*) AS num_points FROM points")
+@query("K10 G2", f"""WITH {POINTS_SQL}
+SELECT count(DISTINCT episode_id) AS num_episodes, count(*) AS num_points,
+       (SELECT count(DISTINCT episode_id) FROM points) AS total_num_episodes, CAST(12 AS BIGINT) AS max_episodes
+FROM points WHERE episode_id IN (SELECT DISTINCT episode_id FROM points ORDER BY 1 LIMIT 12)""")
 def curve_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return curves.curve_summary(_gappy_points(spark, folder))
+    return curves.curve_summary(_gappy_points(spark, folder), 12)
 
 
 @query("D13", """

@@ -6,6 +6,8 @@ it to the shared folder, and read it back.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -482,8 +484,8 @@ def video_map_sources(spark: SparkSession, folder: str) -> DataFrame:
     ).select("value").write.text(path)
     video_map = readers.read_video_map(spark, path, pretty=False)
     integrity.require_none(readers.video_map_problems(video_map), "video map", ["episode_id"])
-    # The rate of a map without one comes from the caller's probe, here 24.
-    made = align.sources_from_map(points, video_map.withColumn("fps", F.coalesce("fps", F.lit(24.0))), offset=2, history=3)
+    probed = points.select("episode_id", F.lit(None).cast("long").alias("frame_count"), F.lit(24.0).alias("fps")).distinct()
+    made = align.sources_from_map(points, video_map, offset=2, probed=probed, history=3)
     return made.select("episode_id", "path", "first_source_frame", "frame_count", "frame_count_inferred", "fps", "expected_first_curve_frame")
 
 
@@ -559,24 +561,35 @@ def metrics_log(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("epoch int, value_mse double").json(path).withColumn("value_mse", F.round("value_mse", 6))
 
 
-@query("K12 K14 H6 H10", f"""
-WITH {EVENT_EPISODES}
-SELECT 'all' AS split, CAST(sum(greatest(0, length - 3)) AS BIGINT) AS num_windows, CAST(sum(greatest(0, length - 3)) AS BIGINT) AS value_count,
+@query("K12 K14 D12 H6 H10", f"""
+WITH {EVENT_EPISODES},
+steps AS (SELECT lead(observed, 2) OVER w AS a, lead(observed, 3) OVER w AS b
+          FROM frames WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index)),
+errors AS (SELECT avg((sqrt(a) - sqrt(b)) ** 2) AS e FROM steps WHERE b IS NOT NULL)
+SELECT 'all' AS split, (SELECT round(e, 6) FROM errors) AS next_state_mse, CAST(sum(greatest(0, length - 3)) AS BIGINT) AS num_windows, CAST(sum(greatest(0, length - 3)) AS BIGINT) AS value_count,
        CAST(sum(greatest(0, length - 3)) * 3 AS BIGINT) AS token_value_count, count(*) AS num_episodes, count(*) AS verified_episodes FROM episodes""")
 def evaluation_artifacts(spark: SparkSession, folder: str) -> DataFrame:
     """Full evaluation written to files, summary and manifest read back."""
     target = scratch_path(spark, "evaluation")
     frames = event_table(spark, folder)
     with_target = stored(returns.with_returns(frames, event_labels(frames)), "returns")
-    evaluation.evaluate(with_target, closed_form_scorer, SCORED, 3, ("observed",), 25.0, target)
+    schema = SCORED.replace("next_state array<double>", "next_state array<array<double>>, next_state_target array<array<double>>")
+    evaluation.evaluate(with_target, _scorer_with_states, schema, 3, ("observed",), 25.0, target, upcoming=("observed",))
     manifest = spark.read.json(f"{target}/alignment/manifest.json").where(F.col("created_at").isNotNull())
     one = lambda name: manifest.select(name).scalar()
     return spark.read.json(f"{target}/summary.json").select(
-        "split", "num_windows", "value_count", "token_value_count",
+        "split", "num_windows", "value_count", "token_value_count", F.round("next_state_mse", 6).alias("next_state_mse"),
         one("num_episodes").alias("num_episodes"), one("verified_episodes").alias("verified_episodes"),
     )
 
 
+def _scorer_with_states(batch: pd.DataFrame) -> pd.DataFrame:
+    """The closed form, with the last root as next state of one dimension."""
+    scored = closed_form_scorer(batch)
+    roots = lambda rows: [[[x] for x in np.sqrt(row)] for row in rows]
+    return scored.assign(next_state=roots(batch["observed"]), next_state_target=roots(batch["next_observed"]))
+
+
 @query("K13", "SELECT count(*) AS refused FROM (SELECT 1 UNION ALL SELECT 1) WHERE (SELECT count(*) FROM labels) > 0")
 def refused_overwrites(spark: SparkSession, folder: str) -> DataFrame:
     """A second write to the same target and a nested target both fail."""
@@ -601,6 +614,26 @@ SELECT count(*) AS episode_rows, CAST(sum(length) AS BIGINT) AS expected_frames,
        CAST(1 AS BIGINT) AS task_rows, true AS consistent FROM placed""")
 def flat_dataset_job(spark: SparkSession, folder: str) -> DataFrame:
     """Flat rows to a sharded dataset, with all its checks."""
+    return _write_flat(spark, folder, scratch_path(spark, "flat"))
+
+
+@query("K7 D15 D16", """
+WITH sized AS (SELECT conv_id, count(*) AS length FROM conversations GROUP BY 1)
+SELECT 'answer the user' AS task, count(*) AS episodes, CAST(sum(length) AS BIGINT) AS frames,
+       count(*) FILTER (conv_id % 2 = 1) AS successful_episodes, max(length) AS longest_episode,
+       CAST(min(CASE WHEN conv_id % 2 = 1 THEN 1 - length ELSE 1 - length - (SELECT max(length) FROM sized) END) AS DOUBLE) AS raw_low,
+       CAST(max(CASE WHEN conv_id % 2 = 1 THEN 0 ELSE -(SELECT max(length) FROM sized) END) AS DOUBLE) AS raw_high FROM sized""")
+def conversion_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest that the same job leaves behind."""
+    root = scratch_path(spark, "flat")
+    _write_flat(spark, folder, root)
+    return spark.read.json(f"{root}/meta/conversion_manifest.json").select(
+        "task", "episodes", "frames", "successful_episodes", "longest_episode",
+        F.col("raw_range.low").alias("raw_low"), F.col("raw_range.high").alias("raw_high"),
+    )
+
+
+def _write_flat(spark: SparkSession, folder: str, root: str) -> DataFrame:
     episodes = stored(_flat_layout(spark, folder), "layout")
     rows = _flat_rows(spark, folder, episodes).withColumn(
         "action", F.array(F.sqrt("n_chars").cast("float"), F.col("n_chars").cast("float"))
@@ -609,7 +642,7 @@ def flat_dataset_job(spark: SparkSession, folder: str) -> DataFrame:
         "episode_index", "length", F.col("offset").alias("ep_offset"), (F.col("episode_index") % 2).alias("ep_success")
     )
     return flat_dataset.write_flat_dataset(
-        spark, stored(rows, "rows"), listed, "answer the user", scratch_path(spark, "flat"), 10.0, "cam", 200, 400
+        spark, stored(rows, "rows"), listed, "answer the user", root, 10.0, "cam", 200, 400
     )
 
 
