@@ -87,14 +87,15 @@ def canonical_return(df: DataFrame, name: str) -> Column:
 
 
 def clip(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    # greatest and least skip nulls, so a null must be kept out of them.
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def affine(value: Column, low: Column, high: Column, to_low: float = -1.0, to_high: float = 1.0) -> Column:
     """Map [low, high] to [to_low, to_high]; a collapsed range gives zero."""
     spread = high - low
     scaled = F.lit(to_low) + F.lit(to_high - to_low) * (value - low) / spread
-    return F.when(spread < 1e-8, F.lit(0.0)).otherwise(scaled)
+    return F.when(value.isNull(), F.lit(None).cast("double")).when(spread < 1e-8, F.lit(0.0)).otherwise(scaled)
 
 
 def is_close(left: Column, right: Column, tolerance: float) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epistride.columns import COLUMNS, Columns, named
+from epistride.functions.scalars import all_finite, is_finite
 from epistride.operators import align, curves, integrity, metrics, scoring, windows
 from epistride.operators.splits import select_split
 from epistride.session import stored
@@ -56,6 +57,8 @@ def evaluate(
     )
     key = ["episode_id", "frame_index"]
     tokens = scoring.scored_positions(scored).join(targets, key)
+    unusable = tokens.where(~(is_finite(F.col("value")) & is_finite(F.col("return"))))
+    integrity.require_none(unusable.select(*key), "values that are not finite", key)
     points = stored(tokens.where(F.col("position") == history - 1).select(*key, "value", "return"), "points")
     integrity.require_none(curves.point_problems(points), "curve points", [*key, "problem"])
 
@@ -69,6 +72,8 @@ def evaluate(
     if {"next_state", "next_state_target"} <= set(scored.columns):
         states = scored.select(F.posexplode(F.arrays_zip("next_state", "next_state_target")).alias("position", "cell"))
         states = states.select("position", "cell.*")
+        broken = states.where(~(all_finite(F.col("next_state")) & all_finite(F.col("next_state_target"))))
+        integrity.require_none(broken.select("position"), "next states that are not finite")
         error = lambda df: metrics.vector_mse(df, "next_state", "next_state_target").select("mse").scalar()
         summary = summary.withColumns(
             {"next_state_mse": error(states.where(F.col("position") == history - 1)), "token_next_state_mse": error(states)}
