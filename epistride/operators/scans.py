@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epistride.columns import named
+from epistride.session import stored
 
 BLOCK_ROWS = 65_536
 
@@ -105,9 +106,13 @@ def _carried(spec: Running, total: Column, across) -> Column:
     return carried
 
 
-def _merged(spec: Running, local: Column, carried: Column) -> Column:
+def _merged(spec: Running, local: Column, carried: Column | None) -> Column:
     if spec.kind == "sum":
-        return F.coalesce(local, F.lit(0)) + F.coalesce(carried, F.lit(0))
+        local = F.coalesce(local, F.lit(0))
+    if carried is None:
+        return local
+    if spec.kind == "sum":
+        return local + F.coalesce(carried, F.lit(0))
     if spec.kind == "min":
         return F.least(local, carried)
     if spec.kind == "overall_max":
@@ -127,7 +132,8 @@ def blocked_scan(
 
     ``block`` must never decrease along ``order``.  ``spanning`` marks the rows
     of keys that reach over more than one block; the summary then skips all
-    others.  With ``latest`` or ``following`` over numbers, give one numeric
+    others.  Where all keys fit into block 0, which one narrow pass tells, the
+    window alone is enough.  With ``latest`` or ``following`` over numbers, give one numeric
     order column: the summary is then hashed in the scan stage, not sorted.
     """
     keys = list(keys)
@@ -136,6 +142,12 @@ def blocked_scan(
     inside = Window.partitionBy(*[named(k) for k in keys], _BLOCK)
     local = rows.withColumns({f"__local_{name}": _local(spec, inside, order) for name, spec in outputs.items()})
 
+    if spanning is None and keys and rows.where(F.col(_BLOCK) != 0).isEmpty():
+        return local.select(
+            *[named(name) for name in df.columns],
+            *[_merged(spec, F.col(f"__local_{name}"), None).alias(name) for name, spec in outputs.items()],
+        )
+
     summary = (rows if spanning is None else rows.where(spanning)).groupBy(
         *[named(k) for k in keys], _BLOCK
     ).agg(*[_block_total(spec, ordering).alias(f"__total_{name}") for name, spec in outputs.items()])
@@ -186,8 +198,10 @@ def number_rows(
 
     Keys above ``hot_rows`` rows are cut into equal ranges of ``order``.  At
     most rows / hot_rows keys can be that large, which bounds the broadcast.
+    Without any such key a plain window does.
     """
     keys = list(keys)
+    one = F.lit(1).cast("long")
     size = F.count(F.lit(1))
     hot = (
         df.groupBy(*keys)
@@ -202,6 +216,10 @@ def number_rows(
             ).alias("__width"),
         )
     )
+    if hot.isEmpty():
+        inside = Window.partitionBy(*[named(k) for k in keys]).orderBy(*[named(n) for n in (order, *tie)])
+        return df.withColumn(name, (F.row_number().over(inside) - 1).cast("long"))
+    hot = stored(hot, "hot-keys")
     placed = df.join(F.broadcast(hot), keys, "left")
     block = F.coalesce(F.floor((F.col(order) - F.col("__low")) / F.col("__width")), F.lit(0)).cast("long")
     counted = blocked_scan(
@@ -209,7 +227,7 @@ def number_rows(
         keys,
         block,
         [order, *tie],
-        {name: running_sum(F.lit(1).cast("long"))},
+        {name: running_sum(one)},
         spanning=F.col("__low").isNotNull(),
     )
     return counted.withColumn(name, F.col(name) - 1).drop("__low", "__width")
