@@ -537,14 +537,14 @@ def return_definition(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("C10", f"""
 WITH {EVENT_RETURNS}
-SELECT episode_index, frame_index, CASE WHEN event_id % 11 = 0 THEN 'lost row' ELSE 'return' END AS problem FROM returns
-WHERE event_id % 11 = 0 OR event_id % 13 = 5""")
+SELECT episode_index, frame_index, CASE event_type WHEN 'error' THEN 'lost row' ELSE 'return' END AS problem FROM returns
+WHERE event_type IN ('error', 'view')""")
 def augmentation_differences(spark: SparkSession, folder: str) -> DataFrame:
-    """A damaged copy: some rows lost, some returns shifted."""
-    frames = event_table(spark, folder)
+    """A damaged copy: errors are lost, returns of views are shifted."""
+    frames = event_table(spark, folder, "event_type")
     made = stored(returns.with_returns(frames, event_labels(frames)), "returns")
-    shifted = F.when(F.col("event_id") % 13 == 5, F.col("return") + 0.25).otherwise(F.col("return"))
-    damaged = made.where(F.col("event_id") % 11 != 0).withColumn("return", shifted.cast("float"))
+    shifted = F.when(F.col("event_type") == "view", F.col("return") + 0.25).otherwise(F.col("return"))
+    damaged = made.where(F.col("event_type") != "error").withColumn("return", shifted.cast("float"))
     return returns.verify_augmented(frames, damaged, made)
 
 
@@ -646,13 +646,13 @@ def _write_flat(spark: SparkSession, folder: str, root: str) -> DataFrame:
     )
 
 
-@query("J9", "SELECT event_id AS \"index\", event_id % 10 <> 0 AS found, event_id % 10 <> 0 AS dimension_ok, event_id % 10 NOT IN (0, 5) AS return_ok FROM events WHERE event_type = 'signup'")
+@query("J9", "SELECT event_id AS \"index\", value >= 50 AS found, value >= 50 AS dimension_ok, value BETWEEN 50 AND 200 AS return_ok FROM events WHERE event_type = 'signup'")
 def spot_check_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Candidate rows of which some are lost and some are wrong."""
+    """Candidate rows of which small values are lost and large ones are wrong."""
     events = table(spark, folder, "events")
     expected = events.select(F.col("event_id").alias("index"), F.lit(64).alias("dimension"), F.col("value").alias("return"))
-    wrong = F.when(F.col("index") % 10 == 5, F.col("return") + 1).otherwise(F.col("return"))
-    written = expected.where(F.col("index") % 10 != 0).withColumn("return", wrong)
+    wrong = F.when(F.col("return") > 200, F.col("return") + 1).otherwise(F.col("return"))
+    written = expected.where(F.col("return") >= 50).withColumn("return", wrong)
     candidates = events.where(F.col("event_type") == "signup").select(F.col("event_id").alias("index"))
     return layout.spot_check(candidates, written, expected)
 

@@ -57,12 +57,13 @@ def split_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("I2", """
 WITH asked AS (SELECT doc_id AS id FROM labels WHERE quality = 1 OR toxic = 1),
-     there AS (SELECT doc_id AS id FROM documents WHERE doc_id % 3 <> 0)
+     there AS (SELECT doc_id AS id FROM documents WHERE n_chars > 400)
 SELECT id AS episode_index, 'unknown' AS problem FROM (SELECT id FROM asked EXCEPT SELECT id FROM there)
 UNION ALL
 SELECT id AS episode_index, 'missing' AS problem FROM (SELECT id FROM there EXCEPT SELECT id FROM asked)""")
 def split_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    frames = table(spark, folder, "documents").where(F.col("doc_id") % 3 != 0).select(F.col("doc_id").alias("episode_index"))
+    longer = table(spark, folder, "documents").where(F.col("n_chars") > 400)
+    frames = longer.select(F.col("doc_id").alias("episode_index"))
     return splits.split_coverage(_two_sided(spark, folder), frames)
 
 
