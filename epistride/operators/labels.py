@@ -89,8 +89,8 @@ def label_problems(frames: DataFrame, labels: DataFrame, c: Columns = COLUMNS) -
 
 
 def with_labels(frames: DataFrame, labels: DataFrame, c: Columns = COLUMNS) -> DataFrame:
-    """Frames with their episode's label as a 0/1 byte."""
-    spans = frame_spans(frames, c).join(labels.select(named(c.episode), "success"), c.episode)
+    """Frames with their episode's label as a 0/1 byte, null without one."""
+    spans = frame_spans(frames, c).join(labels.select(named(c.episode), "success"), c.episode, "left")
     return join_episodes(frames, spans, c.episode, c.frame).select(
         *[named(n) for n in frames.columns], F.col("__success").cast("byte").alias(c.success)
     )
@@ -99,7 +99,7 @@ def with_labels(frames: DataFrame, labels: DataFrame, c: Columns = COLUMNS) -> D
 def disagreeing_labels(frames: DataFrame, labels: DataFrame, existing: str, c: Columns = COLUMNS) -> DataFrame:
     """Frames whose stored label differs from the derived one."""
     stored = frames.select(named(c.episode), named(c.frame), strict_bool(named(existing)).alias("stored"))
-    spans = frame_spans(frames, c).join(labels.select(named(c.episode), "success"), c.episode)
+    spans = frame_spans(frames, c).join(labels.select(named(c.episode), "success"), c.episode, "left")
     joined = join_episodes(stored, spans, c.episode, c.frame)
     return joined.where(~F.col("stored").eqNullSafe(F.col("__success"))).select(
         *[named(k) for k in c.key], "stored", F.col("__success").alias("success")

@@ -37,8 +37,9 @@ def episode_terms(
 ) -> DataFrame:
     """Per episode: length, frame range, scaled task length and last reward.
 
-    The episode table is stored: it is small next to the frames and read for
-    the task lengths, the fitted range and the join.
+    An episode without a usable label keeps its row with a null reward.  The
+    episode table is stored: it is small next to the frames and read for the
+    task lengths, the fitted range and the join.
     """
     _check_arguments(failure_penalty, step_scale)
     episodes = stored(
@@ -58,8 +59,8 @@ def episode_terms(
         "__salt", F.explode(F.sequence(F.lit(0), F.lit(TASK_SALTS - 1)))
     )
     return (
-        salted.join(copies, [c.task, "__salt"])
-        .join(labels.select(named(c.episode), "success"), c.episode)
+        salted.join(copies, [c.task, "__salt"], "left")
+        .join(labels.select(named(c.episode), "success"), c.episode, "left")
         .withColumn("task_length", scaled)
         .withColumn("last_reward", F.when(F.col("success"), F.lit(0.0)).when(~F.col("success"), -penalty))
         .select(

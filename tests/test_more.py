@@ -45,6 +45,14 @@ def test_a_null_label_gives_no_return(spark):
     assert column(made, "return", 0) == [None, None]
 
 
+def test_unlabelled_frames_are_kept(spark):
+    frames, label = frames_of(spark, {0: 2, 1: 2}), labels_of(spark, {0: True})
+    for mode in returns.NORMALISATIONS:
+        assert column(returns.with_returns(frames, label, mode), "return", 1) == [None, None]
+    assert column(labels.with_labels(frames, label), "episode_success", 1) == [None, None]
+    assert labels.disagreeing_labels(frames.withColumn("s", F.lit(1)), label, "s").count() == 2
+
+
 def test_row_groups_are_bounded(spark, tmp_path):
     frames = spark.range(150_000).select(
         F.lit(0).cast("long").alias("episode_index"), F.col("id").alias("frame_index"), F.rand(1).alias("x")
