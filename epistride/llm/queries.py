@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epistride.llm import decontaminate, fingerprints, labelled, mixing, packing, quality, simhash, toxicity, warc
+from epistride.llm import decontaminate, fingerprints, labelled, mixing, packing, quality, repeats, simhash, surrogates, toxicity, warc
 from epistride.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +145,20 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 def op10_packed_rows(spark: SparkSession, folder: str) -> DataFrame:
     """All texts as token ids, packed into rows of 4,096."""
     return packing.pack(table(spark, folder, "documents"))
+
+
+#: A deployment passes its own secret.
+SURROGATE_KEY = "epistride-surrogates"
+
+
+@query
+def op1_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts with personal data replaced by surrogates."""
+    return surrogates.with_surrogates(table(spark, folder, "documents"), SURROGATE_KEY).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op9_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts without the bytes that lie in repeated strings of 200 bytes."""
+    kept = repeats.without_repeats(table(spark, folder, "documents"), keep_bytes=False)
+    return kept.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
