@@ -21,22 +21,23 @@ from epistride.session import stored
 #: Candidates are drawn so many times at most; the space of candidates grows with the number of the draw.
 ROUNDS = 24
 
-# Patterns of entities. A word's start is looked at once, so long texts without gaps stay cheap.
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9_%+][A-Za-z0-9._%+\-]*+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+# Patterns of entities. All begin where no ASCII letter or digit stands before; a cheap look at the first
+# character keeps the search quick elsewhere.
+EMAIL = r"(?=[A-Za-z0-9_%+])(?<![._%+\-])[A-Za-z0-9_%+][A-Za-z0-9._%+\-]*+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-IPV4 = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
+IPV4 = rf"(?=[0-9])(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
 _SECRET_NAME = r"(?:[Pp]assword|PASSWORD|[Pp]asswd|[Pp]wd|[Ss]ecret|[Tt]oken|TOKEN|[Aa]pi[_\-]?[Kk]ey|API_KEY)"
-_SECRET_HEAD = rf"(?<![A-Za-z0-9]){_SECRET_NAME}[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?"
+_SECRET_HEAD = rf"{_SECRET_NAME}[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?"
 SECRET = (
-    rf"{_SECRET_HEAD}[A-Za-z0-9_+/\-]{{8,512}}"
-    r"|(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-    r"|(?<![A-Za-z0-9])(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-][A-Za-z0-9_\-]{16,255}"
-    r"|(?<![A-Za-z0-9])(?=[a-f]*[0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])"
+    rf"(?=[PpSsTtAa]){_SECRET_HEAD}[A-Za-z0-9_+/\-]{{8,512}}"
+    r"|A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
+    r"|(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-][A-Za-z0-9_\-]{16,255}"
+    r"|(?=[a-f]{0,128}[0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])"
 )
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
-CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3})(?![0-9])"
-PHONE = r"(?<![0-9+])\+[0-9]{1,3}(?:[ .\-]?\([0-9]{1,4}\))?(?:[ .\-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"
+IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+SSN = r"(?=[0-9])(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
+CARD = r"(?=[0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3})(?![0-9])"
+PHONE = r"\+[0-9]{1,3}(?:[ .\-]?\([0-9]{1,4}\))?(?:[ .\-]?[0-9]{2,4}){2,5}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"
 # Titles by the gender they tell.
 TITLES = {
     "m": ["Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr", "господин", "Господин", "κύριος", "Κύριος"],
@@ -45,10 +46,14 @@ TITLES = {
 }
 _NAME = r"\p{Lu}[\p{Ll}\p{Lu}'’\-]{1,30}"
 _PERSON_TITLE = "(?:" + "|".join(t for titles in TITLES.values() for t in titles) + ")"
-PERSON = rf"(?<![\p{{L}}\p{{N}}]){_PERSON_TITLE}\.? {_NAME}(?: {_NAME}){{0,2}}"
+_INITIALS = "".join(sorted({t[0] for titles in TITLES.values() for t in titles}))
+PERSON = rf"(?=[{_INITIALS}])(?<!\p{{L}}){_PERSON_TITLE}\.? {_NAME}(?: {_NAME}){{0,2}}"
 #: In order of precedence.
 KINDS = {"email": EMAIL, "ipv4": IPV4, "secret": SECRET, "iban": IBAN, "ssn": SSN, "card": CARD, "phone": PHONE, "person": PERSON}
-ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+ANY = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
+#: What a text must hold for any pattern to match: a digit, an at sign, a title, or the name or mark of a secret.
+HINT = rf"[0-9@]|(?=[{_INITIALS}]){_PERSON_TITLE}\.? \p{{Lu}}|(?=[PpSsTtAaskpgx])(?:{_SECRET_HEAD}[A-Za-z_+/\-]|AKIA|ASIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-])"
+
 
 # Letters that names are made of, by script.
 SOUNDS = {
@@ -184,9 +189,8 @@ def _name(part: Column, stream: Column, syllables: int) -> Column:
     return F.when(script == "cyrillic", made("cyrillic")).when(script == "greek", made("greek")).otherwise(made("latin"))
 
 
-def candidate(key: str, part: Column, norm: Column, draw: int) -> Column:
-    """The ``draw``-th candidate surrogate of a normal form."""
-    stream = _stream(key, part, norm, draw)
+def candidate(part: Column, norm: Column, stream: Column, draw: int) -> Column:
+    """The ``draw``-th candidate surrogate of a normal form, from its ``_stream``."""
     alike = _alike(norm, stream)
     # The last label of an address's domain stays.
     address = F.concat(_alike(F.regexp_extract(norm, r"^(.*)\.[^.]*$", 1), stream), F.regexp_extract(norm, r"(\.[^.]*)$", 1))
@@ -222,7 +226,9 @@ def distinct_surrogates(entities: DataFrame, key: str, rounds: int = ROUNDS) ->
     real = entities.select("part", F.col("norm").alias("candidate"))
     pending, taken = entities, None
     for draw in range(rounds):
-        drawn = pending.withColumn("candidate", candidate(key, F.col("part"), F.col("norm"), draw))
+        # The digest is a column of its own, else each character would ask for it anew.
+        drawn = pending.withColumn("stream", _stream(key, F.col("part"), F.col("norm"), draw))
+        drawn = drawn.withColumn("candidate", candidate(F.col("part"), F.col("norm"), F.col("stream"), draw))
         won = drawn.groupBy("part", "candidate").agg(F.min("norm").alias("norm")).join(real, ["part", "candidate"], "left_anti")
         if taken is not None:
             won = won.join(taken.select("part", F.col("surrogate").alias("candidate")), ["part", "candidate"], "left_anti")
@@ -256,8 +262,8 @@ def _spaced(raw: Column, letters: Column) -> Column:
 
 def replacements(raws: DataFrame, key: str) -> DataFrame:
     """(raw, kind, replacement) for distinct entity texts ``raw``, each in its own format and case."""
-    kind = kind_of(F.col("raw"))
-    parts = raws.select("raw", kind.alias("kind"), F.posexplode(_parts(kind, F.col("raw"))).alias("place", "p"))
+    kinds = raws.select("raw", kind_of(F.col("raw")).alias("kind"))
+    parts = kinds.select("raw", "kind", F.posexplode(_parts(F.col("kind"), F.col("raw"))).alias("place", "p"))
     parts = stored(parts.select("raw", "kind", "place", "p.part", "p.norm"), "entity-parts")
     chosen = distinct_surrogates(parts.select("part", "norm").distinct(), key)
     found = spread_lookup(parts, chosen, ["part", "norm"], ["raw"])
@@ -289,7 +295,7 @@ def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     id and text each come back. The key decides all surrogates; keep it secret.
     """
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    has = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
+    has = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(ANY), F.lit(False))
     marked = plain.filter(has).withColumn("row", F.md5(F.concat_ws("|", F.col("id").cast("string"), "text").cast("binary")))
     found = marked.select("row", F.posexplode(F.regexp_extract_all("text", F.lit(ANY), 0)).alias("place", "raw")).distinct()
     found = stored(found, "entities")
