@@ -205,22 +205,23 @@ def mixed_documents(
 
     Rows that repeat an id all follow the one of their plans that takes most.
     """
-    best = plan.groupBy("id").agg(F.max(F.struct("taken", "passes", "ranges")).alias("_p")).filter("_p.taken > 0")
-    best = best.select(F.col("id").alias("_id"), F.col("_p.passes").alias("_passes"), F.col("_p.ranges").alias("_ranges"))
-    joined = docs.join(best, docs[id_col].eqNullSafe(best["_id"])).drop("_id")
+    best = plan.groupBy("id").agg(F.max(F.struct("taken", "passes", "ranges")).alias("p")).filter("p.taken > 0")
+    best = best.select(F.col("id").alias("plan_id"), "p.passes", "p.ranges")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("row_id"))
+    joined = rows.join(best, rows.row_id.eqNullSafe(best.plan_id)).select("row", "passes", "ranges")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = names.index(text_col)
         for batch in batches:
-            passes, ranges = batch.column("_passes").to_pylist(), batch.column("_ranges").to_pylist()
-            rows = [i for i, n in enumerate(passes) for _ in range(n)]
+            rows = pa.RecordBatch.from_struct_array(batch.column("row"))
+            passes, ranges = batch.column("passes").to_pylist(), batch.column("ranges").to_pylist()
+            whole = [i for i, n in enumerate(passes) for _ in range(n)]
             cut = [i for i, r in enumerate(ranges) if r]
-            whole = batch.select(names).take(pa.array(rows, pa.int64()))
-            if rows:
-                yield whole
+            if whole:
+                yield rows.take(pa.array(whole, pa.int64()))
             if cut:
-                part = batch.select(names).take(pa.array(cut, pa.int64()))
+                part = rows.take(pa.array(cut, pa.int64()))
                 texts = [_cut(t, ranges[i]) for i, t in zip(cut, part.column(place).to_pylist())]
                 columns = list(part.columns)
                 columns[place] = pa.array(texts, part.schema.field(place).type)

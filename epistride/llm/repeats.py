@@ -264,7 +264,7 @@ class _Contexts:
     """Contexts of one batch: bytes around anchors, and hashes of the strings in them."""
 
     def __init__(self, batch: pa.Table | pa.RecordBatch) -> None:
-        column = lambda c: batch.column(c).to_numpy()
+        column = lambda c: np.asarray(batch.column(c))
         self.key, self.first, self.asker = column("key"), column("first"), ~column("repeated").astype(bool)
         place = column("place")
         self.start, self.more, self.before = place >> 16, place >> 8 & 255, place & 255
