@@ -156,7 +156,13 @@ _SCHEMA = pa.schema(
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records from pieces of files, in order: a piece that ends before its record does is joined with the next."""
+    """Records from pieces of files, in order.
+
+    A piece that ends before its record does holds the separator in its
+    payload and is joined with the next. A piece may also hold several
+    records: the line reader misses a separator now and then where its buffer
+    ends inside one. So only Content-Length says where a record ends.
+    """
     mark = _BETWEEN.encode()
     path, head, block, wanted, open_record = None, b"", bytearray(), 0, False
     out: list[dict] = []
@@ -166,22 +172,27 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, piece in zip(batch.column("file").to_pylist(), batch.column("piece").to_pylist()):
             if file != path:
                 path, open_record = file, False
-            if open_record:  # the record's own block holds the separator's bytes
+            if open_record:
                 block += mark
                 block += piece
-            else:
-                head, found, rest = piece.partition(b"\r\n\r\n")
-                if not found:
-                    continue
-                block, wanted = bytearray(rest), _number(_fields(head).get("content-length")) or 0
-            open_record = len(block) < wanted
-            if open_record:
-                continue
-            out.append(_parsed(head, bytes(block[:wanted])))
-            size += wanted
-            if size > 4 << 20:
-                yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
-                out, size = [], 0
+                piece = b""
+            while True:
+                if not open_record:
+                    head, found, rest = piece.partition(b"\r\n\r\n")
+                    if not found:
+                        break
+                    block, wanted = bytearray(rest), _number(_fields(head).get("content-length")) or 0
+                open_record = len(block) < wanted
+                if open_record:
+                    break
+                out.append(_parsed(head, bytes(block[:wanted])))
+                size += wanted
+                if size > 4 << 20:
+                    yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+                    out, size = [], 0
+                if not block.startswith(mark, wanted):
+                    break
+                piece = bytes(block[wanted + len(mark) :])
     if out:
         yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
 

@@ -87,3 +87,15 @@ def test_no_pages(spark, tmp_path):
     path = str(tmp_path / "warc")
     warc.write_archive(pages(spark, [(1, "u", "x")]).limit(0), path)
     assert warc.captures(warc.read_archive(spark, path)).count() == 0
+
+
+def test_pieces_that_hold_several_records():
+    import pyarrow as pa
+
+    records = [record(b"metadata", b"<%d>" % i, b"<a>", body) for i, body in enumerate([b"x", b"", b"a\r\n\r\nWARC/1.0 b", b"c\r\n", b"d"])]
+    pieces = b"".join(records).split(warc._BETWEEN.encode())
+    joined = [warc._BETWEEN.encode().join(pieces[a:b]) for a, b in ((0, 2), (2, 3), (3, 6), (6, 9))]
+    for parts in (pieces, [p for p in joined if p]):
+        batch = pa.RecordBatch.from_arrays([pa.array(["f"] * len(parts)), pa.array(parts, pa.binary())], names=["file", "piece"])
+        out = pa.Table.from_batches(list(warc._records(iter([batch]))))
+        assert out.column("payload").to_pylist() == [b"x", b"", b"a\r\n\r\nWARC/1.0 b", b"c\r\n", b"d"]
