@@ -9,11 +9,13 @@ fits it, found in a segment tree over the possible rooms.
 from __future__ import annotations
 
 import base64
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, functions as F
 
 from epistride.llm.arrow import prepared, record_batch, slices
@@ -22,36 +24,45 @@ ROW_TOKENS = 4096
 PAD = 0
 #: A task packs about so many tokens together.
 SHARD_TOKENS = 4_000_000
-#: Distinct text pieces whose ids a task remembers.
-REMEMBERED = 400_000
+#: Longer texts are encoded in parts of about so many characters.
+PART_CHARS = 1 << 20
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-# Fixed value: the split pattern of the vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: the split pattern of the vocabulary, with runs that are never given back.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: The first id after the vocabulary's last; closes each document.
 END_ID = 50256
+_SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
-class Tokens(dict):
-    """Ids of a text piece as uint16 bytes; pieces seen before are remembered."""
+class Tokens:
+    """Ids of texts as uint16 bytes (little endian).
+
+    No piece of the split pattern goes on over a single space, so a long text
+    is cut before one and worked on in parts.
+    """
 
     def __init__(self, vocabulary: bytes) -> None:
         import tiktoken
 
         lines = (line.split() for line in vocabulary.splitlines() if line)
         ranks = {base64.b64decode(word): int(rank) for word, rank in lines}
-        self.encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.split = regex.compile(PATTERN).findall
+        self._encode = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encoding.encode_ordinary(piece), "<u2").tobytes()
-        if len(piece) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def _part(self, text: str) -> bytes:
+        ids = array("H", self._encode(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.split(text)))
+        out, start = [], 0
+        while len(text) - start > PART_CHARS:
+            found = _SINGLE_SPACE.search(text, start + PART_CHARS)
+            if not found:
+                break
+            out.append(self._part(text[start : found.start()]))
+            start = found.start()
+        return b"".join([*out, self._part(text[start:])])
 
 
 def token_pieces(

@@ -8,11 +8,14 @@ from hypothesis import given, settings, strategies as st
 from epistride.llm import packing, queries
 
 
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 @pytest.fixture(scope="module")
 def encoding():
     lines = (line.split() for line in open(packing.VOCABULARY, "rb").read().splitlines() if line)
     ranks = {base64.b64decode(a): int(b) for a, b in lines}
-    return tiktoken.Encoding("test", pat_str=packing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("test", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def documents_of(rows):
@@ -87,8 +90,8 @@ def test_repeated_rows_stay(spark, table):
     assert sum(r.n_tokens for r in rows) == 4 and rows[0].doc_ids == [1, 1]
 
 
-def test_forgetting(encoding, monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED", 3)
+def test_long_text_in_parts(encoding, monkeypatch):
+    monkeypatch.setattr(packing, "PART_CHARS", 5)
     tokens = packing.Tokens(open(packing.VOCABULARY, "rb").read())
-    text = "alpha beta gamma delta alpha beta epsilon"
+    text = "alpha's  beta \n gamma 12 34, delta\t é  \n\n epsilon we'll   end  "
     assert np.frombuffer(tokens.ids(text), "<u2").tolist() == encoding.encode_ordinary(text)
