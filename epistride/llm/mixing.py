@@ -157,6 +157,8 @@ def mix_plan(
         .withColumn("use", F.least("length", F.col("rest") - before))
         .filter("use > 0")
         .select("src", "shard", "block", "use")
+        # Spark takes the blocks' number from the sources' and would broadcast them.
+        .hint("merge")
     )
 
     row = Window.partitionBy("src", "shard").orderBy("place", "id", "size")
