@@ -33,14 +33,19 @@ def strict_bool_token(token: Column) -> Column:
 
 
 def strict_long(value: Column) -> Column:
-    """A number that is finite and exactly an integer."""
-    number = value.cast("double")
-    return F.when(is_finite(number) & (number == F.rint(number)), number.cast("long"))
+    """A number that is finite and exactly an integer; integers pass unchanged."""
+    whole = value.try_cast("long")
+    return F.when(value == whole, whole)
 
 
 def strict_long_token(token: Column) -> Column:
     """Integer keys written as text."""
-    return F.when(F.trim(token).rlike(r"^[+-]?\d{1,18}$"), F.trim(token)).cast("long")
+    return F.when(F.trim(token).rlike(r"^[+-]?\d+$"), F.trim(token)).try_cast("long")
+
+
+def strict_long_number(token: Column) -> Column:
+    """The integer that a JSON number's text stands for, however it is written."""
+    return strict_long(token.try_cast("decimal(38,12)"))
 
 
 def is_finite(value: Column) -> Column:

@@ -20,12 +20,13 @@ NEWEST = GENERATIONS[-1]
 def normalise_version(value: Column) -> Column:
     """Generation named by a version text; null when it names none."""
     text = F.lower(clean_text(value))
-    shape = r"^v?(\d+)(?:\.(\d+))?(?:\.\d+)?$"
-    digits = lambda group: F.regexp_replace(F.regexp_extract(text, shape, group), r"^0+(?=\d)", "")
-    minor = F.when(digits(2) == "", "0").otherwise(digits(2))
-    named = F.concat_ws(".", digits(1), minor)
+    # One optional letter in front, then one to three numbers between dots.
+    numbers = F.split(F.when(text.startswith("v"), F.substr(text, F.lit(2))).otherwise(text), r"\.")
+    usable = (F.size(numbers) <= 3) & F.forall(numbers, lambda n: n.rlike("^[0-9]+$"))
+    plain = F.transform(numbers, lambda n: n.try_cast("int").cast("string"))
+    named = F.concat_ws(".", F.get(plain, F.lit(0)), F.coalesce(F.get(plain, F.lit(1)), F.lit("0")))
     table = F.create_map(*[F.lit(part) for pair in GENERATION_OF.items() for part in pair])
-    return F.when(text.rlike(shape), F.try_element_at(table, named))
+    return F.when(usable, F.try_element_at(table, named))
 
 
 def migration_steps(spark: SparkSession) -> DataFrame:

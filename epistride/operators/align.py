@@ -204,6 +204,7 @@ def sources_from_episodes(episodes: DataFrame, camera: str, fps: float, offset:
 def duration_problems(episodes: DataFrame, camera: str, fps: float) -> DataFrame:
     """Episodes whose video range disagrees with length / fps."""
     start, end = named(f"videos/{camera}/from_timestamp"), named(f"videos/{camera}/to_timestamp")
+    # One and a half frames, but a millisecond at least.
     tolerance = max(1.5 / fps, 1e-3)
     duration, expected = end - start, F.col("length") / F.lit(float(fps))
     problem = (
@@ -247,12 +248,23 @@ def preflight(points: DataFrame, sources: DataFrame, block_rows: int = BLOCK_ROW
     )
 
 
+def rejected(checked: DataFrame, strict: bool = True) -> DataFrame:
+    """(episode_id, problem) of episodes that must not be rendered.
+
+    Without ``strict`` only the hard problems count.
+    """
+    found = F.concat("hard", "soft") if strict else F.col("hard")
+    return checked.select("episode_id", F.explode(found).alias("problem"))
+
+
 def alignment_report(checked: DataFrame, speed: float = 1.0, output_fps: float | None = None) -> DataFrame:
     """One record per episode that passed the hard checks."""
     if not math.isfinite(speed) or speed <= 0:
         raise ValueError("speed must be finite and positive")
     if output_fps is not None and speed != 1.0:
         raise ValueError("give either speed or output_fps")
+    if output_fps is not None and (not math.isfinite(output_fps) or output_fps <= 0):
+        raise ValueError("output_fps must be finite and positive")
     fps = positive_or_null(F.col("fps"))
     out = F.lit(float(output_fps)) if output_fps is not None else fps * F.lit(float(speed))
     first, last = F.col("first_curve_frame"), F.col("last_curve_frame")

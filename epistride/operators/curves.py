@@ -38,8 +38,9 @@ def assemble_curves(
 ) -> DataFrame:
     """Curves as parallel arrays sorted by frame, one row per episode page.
 
-    A page covers ``page_frames`` frame numbers, so arrays stay bounded; an
-    episode shorter than that is one row with page 0.
+    The form is the same at every size: a row is one page, which covers
+    ``page_frames`` frame numbers and carries its number, so arrays stay
+    bounded.  Readers take (episode, page) as the key.
     """
     entry = F.struct("frame_index", *[named(v) for v in values])
     paged = points.groupBy(
@@ -177,17 +178,22 @@ def value_domain(
     data = points.groupBy(*[named(b) for b in by]).agg(
         F.min("value").cast("double").alias("data_low"), F.max("value").cast("double").alias("data_high")
     )
-    # Span floor as a share of the magnitude and absolute, padding share.
-    share, floor, pad = 0.08, 0.08, 0.14
-    magnitude = F.greatest(F.abs("data_low"), F.abs("data_high"), F.lit(1.0))
-    span = F.greatest(F.col("data_high") - F.col("data_low"), magnitude * share, F.lit(floor))
-    lower = F.lit(float(low)) if low is not None else F.col("data_low") - span * pad
-    upper = F.lit(float(high)) if high is not None else F.col("data_high") + span * pad
-    ordered = lower < upper
+    # Least span as a share of the largest value and as a number, padding on either side as a share.
+    span_share, span_least, padding = 0.08, 0.08, 0.14
+    wide = F.col("data_high") - F.col("data_low")
+    flat = span_share * F.greatest(F.lit(1.0), F.abs("data_low"), F.abs("data_high"))
+    made = data.withColumn("span", F.greatest(wide, flat, F.lit(span_least)))
+    free = {"lower": F.col("data_low") - F.col("span") * padding, "upper": F.col("data_high") + F.col("span") * padding}
+    # A requested end holds; the free one keeps at least one span away from an end that lies beyond it.
     if low is not None:
-        upper = F.when(ordered, upper).otherwise(lower + span)
-    elif high is not None:
-        lower = F.when(ordered, lower).otherwise(upper - span)
+        free["lower"] = F.lit(float(low))
+    if high is not None:
+        free["upper"] = F.lit(float(high))
+    crossed = free["lower"] >= free["upper"]
+    moved = ("upper", free["lower"] + F.col("span")) if low is not None else ("lower", free["upper"] - F.col("span"))
+    if (low is None) != (high is None):
+        free[moved[0]] = F.when(crossed, moved[1]).otherwise(free[moved[0]])
+    data, lower, upper = made, free["lower"], free["upper"]
     return data.where(F.col("data_low").isNotNull()).select(
         *[named(b) for b in by], lower.alias("lower"), upper.alias("upper")
     )

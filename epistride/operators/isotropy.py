@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 
 from epistride.columns import named
 
+# Fixed value: the last point at which characteristic functions are compared.
 LAST_KNOT = 3.0
 
+# A task holds so many angles at a time.
+ANGLES = 1_000_000
+
 
 def knot_table(knots: int = 17) -> list[tuple[int, float, float, float]]:
     """(knot, point, target, weight): trapezoid weights times the target."""
@@ -69,13 +73,20 @@ def characteristic_sums(
                 matrix = np.stack(rows["__vector"].to_numpy()).astype(np.float64)
                 if matrix.shape[1] != projections.shape[0]:
                     raise ValueError("vector and projection dimensions differ")
-                angles = (matrix @ projections)[:, :, None] * points
+                cosines, sines = np.zeros((size, len(points))), np.zeros((size, len(points)))
+                rows_at_once = max(1, ANGLES // size)
+                for first in range(0, len(matrix), rows_at_once):
+                    projected = matrix[first : first + rows_at_once] @ projections
+                    for k, point in enumerate(points):
+                        angles = projected * point
+                        cosines[:, k] += np.cos(angles).sum(axis=0)
+                        sines[:, k] += np.sin(angles).sum(axis=0)
                 out = pd.DataFrame(
                     {
                         "direction": np.repeat(np.arange(size), len(points)),
                         "knot": np.tile(np.arange(len(points)), size),
-                        "cos_sum": np.cos(angles).sum(axis=0).ravel(),
-                        "sin_sum": np.sin(angles).sum(axis=0).ravel(),
+                        "cos_sum": cosines.ravel(),
+                        "sin_sum": sines.ravel(),
                         "n": len(rows),
                     }
                 )

@@ -38,7 +38,7 @@ def resolve_roots(files: DataFrame, nested: str) -> DataFrame:
     ``nested``; the nested one wins when it carries a marker.
     """
     prefix = nested.strip("/") + "/"
-    inner = F.when(F.col("path").startswith(prefix), F.substring(F.col("path"), len(prefix) + 1, 1 << 20))
+    inner = F.when(F.col("path").startswith(prefix), F.substr(F.col("path"), F.lit(len(prefix) + 1)))
     marked = reduce(or_, [F.coalesce(inner.startswith(m), F.lit(False)) for m in ROOT_MARKERS])
     descend = files.groupBy("root").agg(F.bool_or(marked).alias("descend"))
     return (

@@ -15,13 +15,11 @@ from pyspark.sql import functions as F
 
 from epistride.columns import COLUMNS, Columns, named
 from epistride.functions.scalars import affine, clip
-from epistride.operators.scans import join_episodes
+from epistride.operators.scans import BLOCK_ROWS, blocked_scan, join_episodes, position_block, running_count, spread_join
 from epistride.session import stored
 
 NORMALISATIONS = ("task_max", "global_minmax", "none")
 
-TASK_SALTS = 32
-
 
 def task_max_length(episodes: DataFrame, task: str = "task_index") -> DataFrame:
     """Longest episode of every task."""
@@ -34,8 +32,9 @@ def episode_terms(
     failure_penalty: float | None = None,
     step_scale: float = 1.0,
     c: Columns = COLUMNS,
+    step: str | None = None,
 ) -> DataFrame:
-    """Per episode: length, frame range, scaled task length and last reward.
+    """Per episode: length, frame and step range, scaled task length and last reward.
 
     An episode without a usable label keeps its row with a null reward.  The
     episode table is stored: it is small next to the frames and read for the
@@ -47,24 +46,23 @@ def episode_terms(
             F.count(F.lit(1)).alias("length"),
             F.min(named(c.frame)).alias("first_frame"),
             F.max(named(c.frame)).alias("last_frame"),
+            F.min(named(step or c.frame)).alias("first_step"),
+            F.max(named(step or c.frame)).alias("last_step"),
             F.min(named(c.task)).alias(c.task),
         ),
         "episodes",
     )
     scaled = F.col("task_max_length").cast("double") * F.lit(float(step_scale))
     penalty = F.lit(float(failure_penalty)) if failure_penalty is not None else F.col("task_length")
-    # One task may own a third of the episodes: its row is joined in copies.
-    salted = episodes.withColumn("__salt", F.pmod(F.hash(named(c.episode)), F.lit(TASK_SALTS)))
-    copies = task_max_length(episodes, c.task).withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), F.lit(TASK_SALTS - 1)))
-    )
+    longest = task_max_length(episodes, c.task)
     return (
-        salted.join(copies, [c.task, "__salt"], "left")
+        spread_join(episodes, longest, [c.task], [c.episode], "left")
         .join(labels.select(named(c.episode), "success"), c.episode, "left")
         .withColumn("task_length", scaled)
         .withColumn("last_reward", F.when(F.col("success"), F.lit(0.0)).when(~F.col("success"), -penalty))
         .select(
-            named(c.episode), "length", "first_frame", "last_frame", "success", "task_max_length", "task_length", "last_reward"
+            named(c.episode), "length", "first_frame", "last_frame", "first_step", "last_step", "success", "task_max_length",
+            "task_length", "last_reward",
         )
     )
 
@@ -86,17 +84,59 @@ def with_returns(
     step_scale: float = 1.0,
     c: Columns = COLUMNS,
     keep: tuple[str, ...] | None = None,
+    step: str | None = None,
+    terms: DataFrame | None = None,
 ) -> DataFrame:
-    """Add raw and normalised return and the episode's label to every frame."""
+    """Add raw and normalised return and the episode's label to every frame.
+
+    The distance from the end is counted in ``step``, by default the frame
+    number.  Steps must be consecutive; the returns of an episode whose steps
+    span more or less than its rows are null.  ``terms`` is ``episode_terms``
+    with the same arguments, where it is known already.
+    """
+    _check_normalisation(normalisation)
+    if terms is None:
+        terms = episode_terms(frames, labels, failure_penalty, step_scale, c, step)
+    even = F.col("__last_step") - F.col("__first_step") + 1 == F.col("__length")
+    remaining = F.col("__last_step") - named(step or c.frame)
+    raw = F.when(even, F.col("__last_reward") - F.lit(float(step_scale)) * remaining)
+    joined = join_episodes(frames, terms, c.episode, c.frame).withColumn("__raw", raw)
+    return _finished(joined, keep or tuple(frames.columns), normalisation, terms, step_scale, c)
+
+
+def returns_by_rank(
+    frames: DataFrame,
+    terms: DataFrame,
+    normalisation: str = "task_max",
+    step_scale: float = 1.0,
+    c: Columns = COLUMNS,
+    step: str | None = None,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(key, returns, label): the same by another way, for verification.
+
+    Rewards are summed from the end of the episode: the last row earns the
+    last reward, and every row before it costs one step more.  Only the order
+    of the steps counts, not their numbers.
+    """
+    _check_normalisation(normalisation)
+    backward = frames.select(*[named(k) for k in c.key], (-named(step or c.frame).cast("long")).alias("__back"))
+    counted = blocked_scan(
+        backward, [c.episode], position_block(F.col("__back"), block_rows), ["__back"], {"__place": running_count(F.col("__back"))}
+    )
+    joined = join_episodes(counted, terms, c.episode, c.frame)
+    raw = F.col("__last_reward") - F.lit(float(step_scale)) * (F.col("__place") - 1)
+    return _finished(joined.withColumn("__raw", raw), tuple(c.key), normalisation, terms, step_scale, c)
+
+
+def _check_normalisation(normalisation: str) -> None:
     if normalisation not in NORMALISATIONS:
         raise ValueError(f"normalisation must be one of {NORMALISATIONS}")
-    terms = episode_terms(frames, labels, failure_penalty, step_scale, c)
-    remaining = F.col("__length") - 1 - (named(c.frame) - F.col("__first_frame"))
-    raw = F.col("__last_reward") - F.lit(float(step_scale)) * remaining
-    kept = [named(name) for name in (keep or frames.columns)]
-    joined = join_episodes(frames, terms, c.episode, c.frame).withColumn("__raw", raw)
+
+
+def _finished(joined: DataFrame, kept: tuple[str, ...], normalisation: str, terms: DataFrame, step_scale: float, c: Columns) -> DataFrame:
     return joined.select(
-        *kept,
+        *[named(name) for name in kept],
         _normalised(normalisation, terms, step_scale).cast("float").alias(c.ret),
         F.col("__raw").cast("float").alias(c.ret_raw),
         F.col("__success").cast("byte").alias(c.success),
@@ -107,8 +147,9 @@ def _normalised(normalisation: str, terms: DataFrame, step_scale: float) -> Colu
     if normalisation == "task_max":
         return clip(F.col("__raw") / F.col("__task_length"), -1.0, 0.0)
     if normalisation == "global_minmax":
-        limits = raw_range(terms, step_scale)
-        return affine(F.col("__raw"), limits.select("low").scalar(), limits.select("high").scalar())
+        # Both ends in one scalar, asked for once.
+        limits = raw_range(terms, step_scale).select(F.struct("low", "high")).scalar()
+        return affine(F.col("__raw"), limits.getField("low"), limits.getField("high"))
     return F.col("__raw")
 
 
@@ -122,22 +163,19 @@ def value_ranges(frames: DataFrame, c: Columns = COLUMNS) -> DataFrame:
     )
 
 
-def verify_augmented(source: DataFrame, augmented: DataFrame, expected: DataFrame, c: Columns = COLUMNS, tolerance: float = 1e-6) -> DataFrame:
+def verify_augmented(augmented: DataFrame, expected: DataFrame, c: Columns = COLUMNS, tolerance: float = 1e-6) -> DataFrame:
     """Rows that augmentation lost, invented or got wrong.
 
-    ``source`` gives the keys, ``expected`` the returns and label they must
-    have, ``augmented`` what was written.
+    ``expected`` has every key of the source with the returns and label it
+    must have, best from ``returns_by_rank``; ``augmented`` is what was written.
     """
-    want = source.select(*[named(k) for k in c.key]).join(
-        expected.select(
-            *[named(k) for k in c.key],
-            named(c.ret).alias("want_return"),
-            named(c.ret_raw).alias("want_raw"),
-            named(c.success).cast("int").alias("want_success"),
-        ),
-        c.key,
-        "left",
-    ).withColumn("in_source", F.lit(True))
+    want = expected.select(
+        *[named(k) for k in c.key],
+        named(c.ret).alias("want_return"),
+        named(c.ret_raw).alias("want_raw"),
+        named(c.success).cast("int").alias("want_success"),
+        F.lit(True).alias("in_source"),
+    )
     have = augmented.select(
         *[named(k) for k in c.key],
         named(c.ret).alias("have_return"),
@@ -145,7 +183,13 @@ def verify_augmented(source: DataFrame, augmented: DataFrame, expected: DataFram
         named(c.success).cast("int").alias("have_success"),
         F.lit(True).alias("in_output"),
     )
-    off = lambda a, b: F.coalesce(F.abs(F.col(a).cast("double") - F.col(b).cast("double")) > tolerance, F.lit(True))
+
+
+    def off(a: str, b: str) -> Column:
+        apart = F.abs(F.col(a).cast("double") - F.col(b).cast("double")) > tolerance
+        # An unusable label leaves both sides without a return.
+        return F.coalesce(apart, ~(F.col(a).isNull() & F.col(b).isNull()))
+
     return (
         want.join(have, c.key, "full")
         .withColumn(

@@ -13,16 +13,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epistride.columns import named
-from epistride.session import stored
 
 BLOCK_ROWS = 65_536
 
+# An episode's row is copied at most this often for the join with its frames.
+EPISODE_BLOCKS = 4096
+
 _BLOCK = "__block"
 
 
@@ -73,6 +75,38 @@ def position_block(position: Column, rows: int = BLOCK_ROWS) -> Column:
     return F.floor(position / F.lit(rows)).cast("long")
 
 
+def even_edges(df: DataFrame, position: Column, ranges: int | None = None) -> tuple[int, list[int]]:
+    """(rows, edges): places that cut the rows into parts of about equal count.
+
+    As many parts as shuffle partitions unless ``ranges`` says otherwise; only
+    the edges come to the driver.  Equal positions stay together.
+    """
+    parts = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)] or [F.lit(0.5)])
+    found = F.percentile_approx(position.cast("long"), shares, F.lit(20 * parts))
+    row = df.agg(F.count(F.lit(1)).alias("n"), found.alias("edges")).first()
+    return row.n, sorted({e for e in row.edges or [] if e is not None})
+
+
+def edge_block(position: Column, edges: Sequence[int]) -> Column:
+    """How many edges are at most ``position``, by halving steps."""
+    if not edges:
+        return F.lit(0).cast("long")
+    listed = F.array(*[F.lit(e).cast("long") for e in edges])
+
+    def step(found: Column, width: Column) -> Column:
+        reached = (found + width <= len(edges)) & (F.get(listed, found + width - 1) <= position)
+        return F.when(reached, found + width).otherwise(found)
+
+    widths = F.array(*[F.lit(1 << i) for i in reversed(range(len(edges).bit_length()))])
+    return F.aggregate(widths, F.lit(0), step).cast("long")
+
+
+def even_blocks(df: DataFrame, position: Column, ranges: int | None = None) -> Column:
+    """Block numbers along ``position``, however far apart the positions lie."""
+    return edge_block(position, even_edges(df, position, ranges)[1])
+
+
 def _local(spec: Running, inside, order) -> Column:
     if spec.kind == "overall_max":
         return F.max(spec.value).over(inside)
@@ -106,13 +140,9 @@ def _carried(spec: Running, total: Column, across) -> Column:
     return carried
 
 
-def _merged(spec: Running, local: Column, carried: Column | None) -> Column:
+def _merged(spec: Running, local: Column, carried: Column) -> Column:
     if spec.kind == "sum":
-        local = F.coalesce(local, F.lit(0))
-    if carried is None:
-        return local
-    if spec.kind == "sum":
-        return local + F.coalesce(carried, F.lit(0))
+        return F.coalesce(local, F.lit(0)) + F.coalesce(carried, F.lit(0))
     if spec.kind == "min":
         return F.least(local, carried)
     if spec.kind == "overall_max":
@@ -132,8 +162,7 @@ def blocked_scan(
 
     ``block`` must never decrease along ``order``.  ``spanning`` marks the rows
     of keys that reach over more than one block; the summary then skips all
-    others.  Where all keys fit into block 0, which one narrow pass tells, the
-    window alone is enough.  With ``latest`` or ``following`` over numbers, give one numeric
+    others.  With ``latest`` or ``following`` over numbers, give one numeric
     order column: the summary is then hashed in the scan stage, not sorted.
     """
     keys = list(keys)
@@ -142,12 +171,6 @@ def blocked_scan(
     inside = Window.partitionBy(*[named(k) for k in keys], _BLOCK)
     local = rows.withColumns({f"__local_{name}": _local(spec, inside, order) for name, spec in outputs.items()})
 
-    if spanning is None and keys and rows.where(F.col(_BLOCK) != 0).isEmpty():
-        return local.select(
-            *[named(name) for name in df.columns],
-            *[_merged(spec, F.col(f"__local_{name}"), None).alias(name) for name, spec in outputs.items()],
-        )
-
     summary = (rows if spanning is None else rows.where(spanning)).groupBy(
         *[named(k) for k in keys], _BLOCK
     ).agg(*[_block_total(spec, ordering).alias(f"__total_{name}") for name, spec in outputs.items()])
@@ -192,45 +215,54 @@ def number_rows(
     order: str,
     tie: Sequence[str],
     name: str,
-    hot_rows: int = 1_000_000,
+    ranges: int | None = None,
 ) -> DataFrame:
     """0-based position within ``keys`` along an integer ``order`` column.
 
-    Keys above ``hot_rows`` rows are cut into equal ranges of ``order``.  At
-    most rows / hot_rows keys can be that large, which bounds the broadcast.
-    Without any such key a plain window does.
+    The table is cut along ``order`` into ``ranges`` parts of equal count, by
+    default as many as there are shuffle partitions.  A key with more rows
+    than such a part is numbered part by part, so no task gets more than about
+    one part of it, however its rows cluster.  At most ``ranges`` keys can be
+    that large, which bounds the broadcast.
     """
     keys = list(keys)
-    one = F.lit(1).cast("long")
-    size = F.count(F.lit(1))
-    hot = (
-        df.groupBy(*keys)
-        .agg(size.alias("__n"), F.min(order).alias("__low"), F.max(order).alias("__high"))
-        .where(F.col("__n") > hot_rows)
-        .select(
-            *keys,
-            "__low",
-            F.greatest(
-                F.lit(1).cast("double"),
-                (F.col("__high") - F.col("__low") + 1) / F.ceil(F.col("__n") / F.lit(hot_rows)),
-            ).alias("__width"),
-        )
-    )
-    if hot.isEmpty():
-        inside = Window.partitionBy(*[named(k) for k in keys]).orderBy(*[named(n) for n in (order, *tie)])
-        return df.withColumn(name, (F.row_number().over(inside) - 1).cast("long"))
-    hot = stored(hot, "hot-keys")
+    rows, edges = even_edges(df, F.col(order), ranges)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    hot = counts.where(F.col("__n") > rows // (len(edges) + 1)).select(*keys, F.lit(True).alias("__hot"))
     placed = df.join(F.broadcast(hot), keys, "left")
-    block = F.coalesce(F.floor((F.col(order) - F.col("__low")) / F.col("__width")), F.lit(0)).cast("long")
+    block = F.when(F.col("__hot"), edge_block(F.col(order), edges)).otherwise(F.lit(0).cast("long"))
     counted = blocked_scan(
         placed,
         keys,
         block,
         [order, *tie],
-        {name: running_sum(one)},
-        spanning=F.col("__low").isNotNull(),
+        {name: running_sum(F.lit(1).cast("long"))},
+        spanning=F.col("__hot"),
     )
-    return counted.withColumn(name, F.col(name) - 1).drop("__low", "__width")
+    return counted.withColumn(name, F.col(name) - 1).drop("__hot")
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows with a table of one row per key, however many rows a key has.
+
+    Rows are salted by ``spread``; only the (key, salt) pairs that occur, which
+    combine map-side, fetch the key's row.  There are as many salts as shuffle
+    partitions.  Keys are compared null-safe.
+    """
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*[named(n) for n in spread]), F.lit(salts)))
+    same = lambda a, b, names: reduce(and_, [F.col(f"{a}.{_ticked(n)}").eqNullSafe(F.col(f"{b}.{_ticked(n)}")) for n in names])
+    pairs = salted.select(*[named(k) for k in keys], "__salt").distinct().alias("p")
+    found = pairs.join(table.alias("t"), same("p", "t", keys)).select(
+        *[F.col(f"p.{_ticked(k)}") for k in keys], "p.__salt", *[F.col(f"t.{_ticked(n)}") for n in table.columns if n not in keys]
+    )
+    added = [] if how in ("left_semi", "left_anti") else [F.col(f"f.{_ticked(n)}") for n in table.columns if n not in keys]
+    joined = salted.alias("r").join(found.alias("f"), same("r", "f", [*keys, "__salt"]), how)
+    return joined.select(*[F.col(f"r.{_ticked(n)}") for n in rows.columns], *added)
+
+
+def _ticked(name: str) -> str:
+    return f"`{name}`"
 
 
 def join_episodes(
@@ -247,17 +279,21 @@ def join_episodes(
     An equi-join on the episode alone sends a hot episode to one task, and
     Spark cannot split it when the episode side is an aggregate on that key.
     So the episode side gets one row per block of its frame range and the join
-    is on (episode, block); that adds only rows / block_rows rows.  ``first``
-    and ``last`` must span all frames of the episode in ``frames``.
+    is on (episode, block); that adds only rows / block_rows rows.  Block numbers
+    wrap around at ``EPISODE_BLOCKS``, which bounds the copies where frame numbers
+    lie far apart.  ``first`` and ``last`` must span all frames of the episode in
+    ``frames``.
 
     Columns of the episode side come out with ``__`` before their name, so
     they never clash with frame columns.
     """
-    blocks = F.sequence(position_block(named(first), block_rows), position_block(named(last), block_rows))
+    wrapped = lambda block: F.pmod(block, F.lit(EPISODE_BLOCKS))
+    low, high = position_block(named(first), block_rows), position_block(named(last), block_rows)
+    blocks = F.sequence(low, F.least(high, low + (EPISODE_BLOCKS - 1)))
     spread = episodes.select(
         named(episode),
         *[named(n).alias(f"__{n}") for n in episodes.columns if n != episode],
-        F.explode(blocks).alias(_BLOCK),
+        F.explode(F.transform(blocks, wrapped)).alias(_BLOCK),
     )
-    placed = frames.withColumn(_BLOCK, position_block(named(frame), block_rows))
+    placed = frames.withColumn(_BLOCK, wrapped(position_block(named(frame), block_rows)))
     return placed.join(spread, [episode, _BLOCK]).drop(_BLOCK)

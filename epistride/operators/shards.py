@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from epistride.columns import named
 from epistride.functions.scalars import chunk_of, file_of, strict_bool, strict_long
-from epistride.operators.scans import BLOCK_ROWS, blocked_scan, latest, position_block, running_sum
+from epistride.operators.scans import BLOCK_ROWS, blocked_scan, even_blocks, latest, position_block, running_sum
 from epistride.session import stored
 
 KEY = "episode_index"
@@ -21,18 +21,21 @@ BLOCK_SHARDS = 16
 LEVEL_BLOCKS = 64
 
 
-def episode_offsets(episodes: DataFrame, block_episodes: int = BLOCK_ROWS) -> DataFrame:
-    """Add ``offset``, the frames before the episode in id order."""
+def episode_offsets(episodes: DataFrame, blocks: int | None = None) -> DataFrame:
+    """Add ``offset``, the frames before the episode in id order.
+
+    Ids need not be dense: ``blocks`` of equally many episodes are summed apart.
+    """
     return blocked_scan(
         episodes,
         [],
-        position_block(F.col(KEY), block_episodes),
+        even_blocks(episodes, F.col(KEY), blocks),
         [KEY],
         {"offset": running_sum(F.col("length"), exclusive=True)},
     )
 
 
-def layout_problems(episodes: DataFrame, total_frames: DataFrame, block_episodes: int = BLOCK_ROWS) -> DataFrame:
+def layout_problems(episodes: DataFrame, total_frames: DataFrame, blocks: int | None = None) -> DataFrame:
     """Violations of a flat layout: (episode or null, problem).
 
     ``episodes`` has ``length``, ``ep_offset`` and ``ep_success``;
@@ -42,7 +45,7 @@ def layout_problems(episodes: DataFrame, total_frames: DataFrame, block_episodes
         episodes.withColumns(
             {"length": strict_long(F.col("length")), "ep_offset": strict_long(F.col("ep_offset"))}
         ),
-        block_episodes,
+        blocks,
     )
     tests = {
         "length": F.coalesce(F.col("length") <= 0, F.lit(True)),
@@ -120,7 +123,7 @@ def locate_rows(rows: DataFrame, episodes: DataFrame, index: str = "index", bloc
     )
 
 
-def episode_shards(episodes: DataFrame, max_frames: int, block_episodes: int = BLOCK_ROWS, level_blocks: int = LEVEL_BLOCKS) -> DataFrame:
+def episode_shards(episodes: DataFrame, max_frames: int, blocks: int | None = None, level_blocks: int = LEVEL_BLOCKS) -> DataFrame:
     """Episodes with ``offset`` and ``shard``, packed greedily in id order.
 
     A shard takes episodes until the next one would exceed ``max_frames``; an
@@ -134,7 +137,7 @@ def episode_shards(episodes: DataFrame, max_frames: int, block_episodes: int = B
     if max_frames < 1:
         raise ValueError("max_frames must be positive")
     # Every step below reads the offsets, and the way up and down the links.
-    placed = stored(episode_offsets(episodes, block_episodes), "offsets")
+    placed = stored(episode_offsets(episodes, blocks), "offsets")
     total = placed.agg(F.sum("length")).collect()[0][0] or 0
     width = BLOCK_SHARDS * max_frames
     links = stored(_next_shard(placed, max_frames, width, total), "links")
@@ -150,7 +153,7 @@ def episode_shards(episodes: DataFrame, max_frames: int, block_episodes: int = B
     starts = marks.withColumnRenamed("at", "offset").withColumn("__starts", F.lit(1).cast("long"))
     flagged = placed.join(starts, "offset", "left").withColumn("__starts", F.coalesce("__starts", F.lit(0).cast("long")))
     numbered = blocked_scan(
-        flagged, [], position_block(F.col(KEY), block_episodes), [KEY], {"shard": running_sum(F.col("__starts"))}
+        flagged, [], even_blocks(placed, F.col(KEY), blocks), [KEY], {"shard": running_sum(F.col("__starts"))}
     )
     return numbered.withColumn("shard", F.col("shard") - 1).select(*[named(n) for n in episodes.columns], "offset", "shard")
 
@@ -191,11 +194,16 @@ def _shorten(links: DataFrame, width: int, max_frames: int) -> DataFrame:
         at, to = block["at"].to_numpy(), block["to"].to_numpy().copy()
         forced = block["forced"].to_numpy(dtype=bool).copy()
         begin = at[0] // width * width
-        place = np.searchsorted(at, to)
-        inside = place < len(at)
-        for i in range(len(at) - 1, -1, -1):
-            if inside[i]:
-                to[i], forced[i] = to[place[i]], forced[place[i]]
+        # Links lead on to later places: doubling the step follows all chains at once.
+        place = np.append(np.searchsorted(at, to), len(at))
+        place[:-1][place[:-1] < np.arange(len(at)) + 1] = len(at)
+        while True:
+            onward = place[:-1] < len(at)
+            if not onward.any():
+                break
+            next_place = place[place[:-1]]
+            to[onward], forced[onward] = to[place[:-1][onward]], forced[place[:-1][onward]]
+            place[:-1] = np.where(onward, next_place, len(at))
         # Entered from the block before, or after an episode that fills a shard.
         enterable = (at - begin < max_frames) | block["entered"].to_numpy(dtype=bool)
         return pd.DataFrame({"at": at[enterable], "to": to[enterable], "forced": forced[enterable]})
@@ -214,12 +222,18 @@ def _walk(links: DataFrame, entries: DataFrame, width: int) -> DataFrame:
         entered = block.loc[block["entry"], "at"]
         if entered.empty:
             return pd.DataFrame({"at": pd.Series([], dtype="int64")})
-        hop = dict(zip(block["at"], block["to"]))
-        here, seen = int(entered.min()), []
-        while here in hop:
-            seen.append(here)
-            here = int(hop[here])
-        return pd.DataFrame({"at": seen})
+        block = block.sort_values("at", ignore_index=True)
+        at, to = block["at"].to_numpy(), block["to"].to_numpy()
+        end = len(at)
+        place = np.minimum(np.searchsorted(at, to), end - 1)
+        # From each place on to the next; beyond the block to ``end``, which stays there.
+        jump = np.append(np.where((at[place] == to) & (to > at), place, end), end)
+        seen = np.zeros(end + 1, dtype=bool)
+        seen[np.searchsorted(at, int(entered.min()))] = True
+        while (jump < end).any():
+            seen[jump[seen]] = True
+            jump = jump[jump]
+        return pd.DataFrame({"at": at[seen[:-1]]})
 
     marked = links.join(entries.withColumn("entry", F.lit(True)), "at", "left").withColumn(
         "entry", F.coalesce("entry", F.lit(False))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from epistride.columns import COLUMNS, Columns, named
 from epistride.operators.integrity import coverage, distinct_episodes
-from epistride.operators.scans import hash_rank
+from epistride.operators.scans import hash_rank, spread_join
 from epistride.session import stored
 
 
@@ -39,13 +39,13 @@ def seeded_split(frames: DataFrame, fraction: float, seed: int, c: Columns = COL
 def select_split(frames: DataFrame, split: DataFrame, name: str, c: Columns = COLUMNS) -> DataFrame:
     """Frames of one split, or of ``all``.
 
-    A plain semi-join: a split read from a table or a manifest is shuffled for
-    the join, so Spark splits a hot episode's partition at run time.
+    A hot episode's frames are spread over all tasks, also where the split is
+    derived in the same plan.
     """
     if name == "all":
         return frames
     wanted = split.where(F.col("split") == name).select(named(c.episode))
-    return frames.join(wanted, c.episode, "left_semi")
+    return spread_join(frames, wanted, [c.episode], [n for n in c.key if n in frames.columns], "left_semi")
 
 
 def split_overlap(split: DataFrame, c: Columns = COLUMNS) -> DataFrame:

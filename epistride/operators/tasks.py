@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from epistride.columns import COLUMNS, Columns, named
 from epistride.functions.scalars import clean_text, strict_long_token
+from epistride.operators.scans import spread_join
 from epistride.operators.shards import first_seen_ids
 
 
@@ -15,7 +16,12 @@ def with_task_text(frames: DataFrame, tasks: DataFrame, c: Columns = COLUMNS) ->
     if c.task_text in frames.columns:
         raise ValueError(f"frames have a column {c.task_text!r} already")
     texts = tasks.select(F.col("task_index").cast("long").alias(c.task), F.col("task").alias(c.task_text))
-    return frames.join(texts, c.task, "left")
+    return spread_join(frames, texts, [c.task], _row_names(frames, c), "left")
+
+
+def _row_names(frames: DataFrame, c: Columns) -> list[str]:
+    """What tells the frames of a task apart: the episode and frame, or what the table has."""
+    return [n for n in (*c.key, c.index) if n in frames.columns] or frames.columns
 
 
 def task_problems(frames: DataFrame, tasks: DataFrame, c: Columns = COLUMNS) -> DataFrame:
@@ -55,8 +61,9 @@ def single_task(lists: DataFrame) -> DataFrame:
 def index_tasks(frames: DataFrame, text: str, c: Columns = COLUMNS) -> tuple[DataFrame, DataFrame]:
     """Replace the text column by ``task_index``; also the task table.
 
-    Ids follow the first appearance of each text in table order.
+    Ids follow the first appearance of each text in table order.  No row is
+    lost; frames without a text are an error of the caller's to check first.
     """
     tasks = first_seen_ids(frames, text, c.index).select(named(text).alias("task"), "task_index")
     ids = tasks.select(F.col("task").alias(text), F.col("task_index").alias(c.task))
-    return frames.join(ids, text).drop(text), tasks
+    return spread_join(frames, ids, [text], _row_names(frames, c), "left").drop(text), tasks

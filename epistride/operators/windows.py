@@ -20,6 +20,7 @@ from epistride.operators.integrity import episode_summary, frame_spans
 from epistride.operators.scans import (
     BLOCK_ROWS,
     blocked_scan,
+    even_blocks,
     hash_rank,
     join_episodes,
     position_block,
@@ -129,7 +130,7 @@ def endpoint(values: Column, valid: Column) -> Column:
 
 
 def window_numbers(
-    frames: DataFrame, history: int, c: Columns = COLUMNS, block_episodes: int = BLOCK_ROWS
+    frames: DataFrame, history: int, c: Columns = COLUMNS, blocks: int | None = None
 ) -> DataFrame:
     """Windows with their 1-based dataset number, episodes and frames ascending.
 
@@ -140,7 +141,7 @@ def window_numbers(
     offsets = blocked_scan(
         counted,
         [],
-        position_block(named(c.episode), block_episodes),
+        even_blocks(counted, named(c.episode), blocks),
         [c.episode],
         {"before": running_sum(F.col("windows"), exclusive=True)},
     ).where(F.col("windows") > 0)

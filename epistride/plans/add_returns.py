@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from epistride.columns import COLUMNS, Columns, named
 from epistride.functions.scalars import clean_task
+from epistride.functions.versions import NEWEST
 from epistride.operators import integrity, labels, returns, statistics
-from epistride.operators.tasks import index_tasks
-from epistride.sources import readers, writers
+from epistride.operators.tasks import index_tasks, task_problems
+from epistride.plans.migrations import to_sharded
+from epistride.session import stored
+from epistride.sources import publish, readers, writers
 
 
 def episode_labels(spark: SparkSession, frames: DataFrame, success_key: str | None, reduction: str, label_path: str | None, c: Columns) -> tuple[DataFrame, str, str]:
@@ -25,21 +28,42 @@ def episode_labels(spark: SparkSession, frames: DataFrame, success_key: str | No
     return from_file.select(F.col("episode_index").alias(c.episode), "success"), label_path, "file"
 
 
+def frame_problems(frames: DataFrame, step: str, c: Columns = COLUMNS) -> DataFrame:
+    """Episodes that are not consecutive or not of one task: (episode, problem).
+
+    One pass: rows, distinct steps, and the range of steps and tasks.
+    """
+    per_step = frames.groupBy(named(c.episode), named(step)).agg(
+        F.count(F.lit(1)).alias("copies"), F.min(named(c.task)).alias("low_task"), F.max(named(c.task)).alias("high_task")
+    )
+    per_episode = per_step.groupBy(named(c.episode)).agg(
+        F.sum("copies").alias("rows"),
+        F.count(F.lit(1)).alias("steps"),
+        (F.max(named(step)) - F.min(named(step)) + 1).alias("span"),
+        F.min("low_task").alias("low_task"),
+        F.max("high_task").alias("high_task"),
+    )
+    problem = F.when(F.col("low_task") != F.col("high_task"), "several tasks").when(
+        (F.col("rows") != F.col("steps")) | (F.col("span") != F.col("steps")), "steps are not consecutive"
+    )
+    return per_episode.select(named(c.episode), problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
 def check_frames(frames: DataFrame, step: str, c: Columns = COLUMNS) -> None:
     """Raise unless episodes are contiguous, consecutive and of one task."""
-    integrity.require_none(integrity.multi_task_episodes(frames, c), "episodes with several tasks", [c.episode])
+    integrity.require_none(frame_problems(frames, step, c), "episodes", [c.episode, "problem"])
     if c.index in frames.columns:
         integrity.require_none(integrity.scattered_episodes(frames, c), "episodes that are not contiguous", [c.episode])
         integrity.require_none(integrity.broken_steps(frames, step, c), "steps that are not consecutive", [c.episode, step])
-    else:
-        integrity.require_none(integrity.uneven_episodes(frames, c), "steps that are not consecutive", [c.episode])
 
 
 def add_returns(
     spark: SparkSession,
     frames: DataFrame,
     output: str,
+    fps: float,
     source: str | None = None,
+    tasks: DataFrame | None = None,
     success_key: str | None = None,
     reduction: str = "any",
     label_path: str | None = None,
@@ -48,10 +72,18 @@ def add_returns(
     step_scale: float = 1.0,
     step: str | None = None,
     recompute_statistics: bool = True,
+    max_frames: int = writers.DATA_FRAMES,
     c: Columns = COLUMNS,
 ) -> DataFrame:
-    """Write ``output`` with returns and label, verify it, and return it."""
-    writers.check_output(source, output)
+    """A new dataset with returns and labels, complete and verified.
+
+    It holds data, episodes, tasks, info with the new features, statistics,
+    the return definition and a manifest.  Nothing appears under ``output``
+    unless the written rows agree with returns derived in another way.
+    ``tasks`` is (task_index, task); without it frames must carry the
+    instruction, or ``source`` a task table.
+    """
+    publish.check_output(spark, source, output)
     taken = sorted({c.ret, c.ret_raw} & set(frames.columns))
     if taken:
         raise ValueError(f"columns exist already: {taken}")
@@ -61,7 +93,12 @@ def add_returns(
         cleaned = frames.withColumn(c.task_text, clean_task(frames, c.task_text))
         empty = cleaned.where(named(c.task_text).isNull()).select(named(c.episode))
         integrity.require_none(empty, "empty instructions", [c.episode])
-        frames, _ = index_tasks(cleaned, c.task_text, c)
+        frames, tasks = index_tasks(cleaned, c.task_text, c)
+    elif tasks is None:
+        if source is None:
+            raise KeyError("frames with task ids need a task table")
+        tasks = readers.read_tasks(spark, f"{source}/meta/tasks.parquet")
+    integrity.require_none(task_problems(frames, tasks, c), "tasks", ["task_index", "problem"])
     check_frames(frames, step or c.frame, c)
     label, origin, how = episode_labels(spark, frames, success_key, reduction, label_path, c)
     integrity.require_none(labels.label_problems(frames, label, c), "success labels", [c.episode, "problem"])
@@ -69,20 +106,33 @@ def add_returns(
         integrity.require_none(
             labels.disagreeing_labels(frames, label, c.success, c), "stored label differs", [c.episode, c.frame]
         )
+    version = None
+    if source is not None and publish.exists(spark, f"{source}/meta/info.json"):
+        version = readers.read_info(spark, source).first()["codebase_version"]
     kept = tuple(n for n in frames.columns if n != c.success)
-    made = returns.with_returns(frames, label, normalisation, failure_penalty, step_scale, c, kept)
-    made.write.mode("errorifexists").parquet(f"{output}/data")
-    written = readers.read_frames(spark, output, made.schema)
-    integrity.require_none(returns.verify_augmented(frames, written, made, c), "written rows differ", c.key)
-    if recompute_statistics:
-        writers.json_safe(statistics.feature_statistics(written)).coalesce(1).write.json(f"{output}/meta/stats.json")
-    terms = returns.episode_terms(frames, label, failure_penalty, step_scale, c)
-    limits = returns.raw_range(terms, step_scale)
-    definition = writers.return_definition(terms, normalisation, failure_penalty, step_scale, limits, origin, how)
-    writers.write_document(definition, f"{output}/meta/return_definition.json")
-    frames.join(label, c.episode, "left_semi").select(named(c.task), named(c.episode)).groupBy(
-        named(c.task), named(c.episode)
-    ).agg(F.count(F.lit(1)).alias("length")).groupBy(named(c.task)).agg(
-        F.max("length").alias("task_max_length")
-    ).write.json(f"{output}/meta/task_max_length.json")
-    return written
+    terms = stored(returns.episode_terms(frames, label, failure_penalty, step_scale, c, step), "terms")
+    made = returns.with_returns(frames, label, normalisation, failure_penalty, step_scale, c, kept, step, terms)
+    tasks = stored(tasks.select("task_index", "task"), "tasks")
+    told = frames.select(named(c.episode), named(c.task)).distinct().join(
+        tasks.withColumnRenamed("task_index", c.task), c.task
+    )
+    episodes = terms.join(told, c.episode).select(named(c.episode).alias("episode_index"), "length", F.array("task").alias("tasks"))
+    episodes = stored(episodes, "episodes")
+    steps = ["add returns"] if version in (None, NEWEST) else [f"{version} to {NEWEST}", "add returns"]
+
+    def write(root: str) -> None:
+        to_sharded(made, episodes, tasks, root, fps, max_frames, c=c)
+        written = readers.read_frames(spark, root, made.schema)
+        expected = returns.returns_by_rank(frames, terms, normalisation, step_scale, c, step)
+        integrity.require_none(returns.verify_augmented(written, expected, c), "written rows differ", [*c.key, "problem"])
+        if recompute_statistics:
+            writers.write_statistics(statistics.feature_statistics(written), root)
+        lengths = terms.join(told, c.episode).groupBy(named(c.task)).agg(F.max("length").alias("task_max_length"))
+        definition = writers.return_definition(
+            terms, lengths, normalisation, failure_penalty, step_scale, returns.raw_range(terms, step_scale), origin, how, source, version, steps
+        )
+        writers.write_document(definition, f"{root}/meta/return_definition.json")
+        writers.write_document(writers.migration_manifest(spark, source, version, steps), f"{root}/meta/conversion_manifest.json")
+
+    publish.published(spark, output, write)
+    return readers.read_frames(spark, output, made.schema)

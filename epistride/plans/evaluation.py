@@ -35,13 +35,16 @@ def evaluate(
     split_name: str = "all",
     max_curve_episodes: int | None = None,
     upcoming: tuple[str, ...] = (),
+    strict: bool = True,
     c: Columns = COLUMNS,
 ) -> Evaluation:
     """Score all windows of a split once and derive every artifact from that.
 
     ``schema`` must give episode_id, sample_id, frame_indices and value, and
     may give next_state and next_state_target, one vector per position.  The
-    scores are stored, since the model is the expensive part.
+    scores are stored, since the model is the expensive part.  With ``strict``
+    a gap in a curve, or a curve that does not begin and end where it should,
+    is an error like a missing source.
     """
     chosen = frames if split is None else select_split(frames, split, split_name, c)
     integrity.require_none(integrity.uneven_episodes(chosen, c), "episodes are not consecutive", [c.episode])
@@ -80,6 +83,7 @@ def evaluate(
         )
 
     checked = align.preflight(points, align.sources_from_frames(chosen, fps, history, c=c))
+    integrity.require_none(align.rejected(checked, strict), "curves cannot be aligned", ["episode_id", "problem"])
     report = align.alignment_report(checked)
     result = Evaluation(points, summary, metrics.curve_metrics(points), report)
     if folder is not None:

@@ -9,7 +9,7 @@ from epistride.columns import COLUMNS, Columns, named
 from epistride.functions.scalars import all_finite
 from epistride.operators import integrity, layout, returns, shards, statistics
 from epistride.session import stored
-from epistride.sources import readers, writers
+from epistride.sources import publish, readers, writers
 
 
 def flat_frames(rows: DataFrame, episodes: DataFrame, fps: float, c: Columns = COLUMNS) -> DataFrame:
@@ -44,6 +44,7 @@ def write_flat_dataset(
     """Write shards and metadata, re-read them, and return one report row."""
     if not task.strip():
         raise ValueError("the task text is empty")
+    publish.check_output(spark, None, output)
     vectors = [n for n in (c.action, c.state) if n in rows.columns]
     for name in vectors:
         integrity.require_none(rows.where(~all_finite(named(name))).select(named(c.index)), f"{name} is not finite", [c.index])
@@ -52,22 +53,30 @@ def write_flat_dataset(
     made = returns.with_returns(frames, label, normalisation, failure_penalty, step_scale, c)
     lengths = episodes.select("episode_index", "length")
     sharded = stored(shards.episode_shards(lengths, max_data_frames), "shards")
-    writers.write_frames(made, sharded, output, max_data_frames, compression, c)
-    video = None
-    if camera is not None and max_video_frames not in (None, max_data_frames):
-        video = shards.episode_shards(lengths, max_video_frames)
-    told = lengths.select("episode_index", F.array(F.lit(task.strip())).alias("tasks"))
-    writers.write_episodes(shards.episode_table(told, sharded, video, fps, camera), output)
     tasks = spark.createDataFrame([(0, task.strip())], "task_index long, task string")
-    writers.write_tasks(tasks, output)
-    features = statistics.feature_map(statistics.inferred_features(made))
-    writers.write_info(writers.dataset_info(lengths, tasks, features, fps), output)
-    report = verify_flat_dataset(spark, output, made, episodes, c)
-    ranges = returns.value_ranges(readers.read_frames(spark, output, made.schema), c)
-    outcome = episodes.select("length", (F.col("ep_success") == 1).alias("success"))
-    manifest = writers.conversion_manifest(outcome, ranges, sharded, task.strip(), fps, normalisation)
-    writers.write_document(manifest, f"{output}/meta/conversion_manifest.json")
-    return report
+
+    def write(root: str) -> None:
+        writers.write_frames(made, sharded, root, max_data_frames, compression, c)
+        video = None
+        if camera is not None and max_video_frames not in (None, max_data_frames):
+            video = shards.episode_shards(lengths, max_video_frames)
+        told = lengths.select("episode_index", F.array(F.lit(task.strip())).alias("tasks"))
+        writers.write_episodes(shards.episode_table(told, sharded, video, fps, camera), root)
+        writers.write_tasks(tasks, root)
+        features = statistics.feature_map(statistics.inferred_features(made))
+        writers.write_info(writers.dataset_info(lengths, tasks, features, fps), root)
+        verify_flat_dataset(spark, root, made, episodes, c)
+        ranges = returns.value_ranges(readers.read_frames(spark, root, made.schema), c)
+        outcome = episodes.select("length", (F.col("ep_success") == 1).alias("success"))
+        manifest = writers.conversion_manifest(outcome, ranges, sharded, task.strip(), fps, normalisation)
+        writers.write_document(manifest, f"{root}/meta/conversion_manifest.json")
+
+    publish.published(spark, output, write)
+    return layout.structure_check(
+        readers.read_frames(spark, output, made.schema),
+        readers.read_episodes(spark, output),
+        readers.read_tasks(spark, f"{output}/meta/tasks.parquet"),
+    )
 
 
 def verify_flat_dataset(spark: SparkSession, output: str, expected: DataFrame, episodes: DataFrame, c: Columns = COLUMNS) -> DataFrame:

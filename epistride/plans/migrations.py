@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epistride.columns import COLUMNS, Columns, named
+from epistride.functions.scalars import clean_text
 from epistride.operators import statistics
 from epistride.operators.integrity import coverage, frame_spans, require_none, zero_based
 from epistride.operators.scans import join_episodes
 from epistride.operators.shards import episode_shards, episode_table
 from epistride.operators.tasks import index_tasks, single_task, task_lists
 from epistride.session import stored
-from epistride.sources import writers
+from epistride.sources import publish, readers, writers
+
+STATISTICS = "feature string, position int, min double, max double, mean double, std double, count long"
 
 
 def with_episode_tasks(frames: DataFrame, pairs: DataFrame, c: Columns = COLUMNS) -> DataFrame:
@@ -37,6 +40,8 @@ def to_indexed_tasks(frames: DataFrame, task: str | None = None, column: str | N
     require_none(base.where(~F.col("zero_based")), "episode ids must be 0..n-1", ["episodes"])
     text = column or c.task_text
     source = frames if column else frames.withColumn(text, F.lit(task))
+    empty = source.where(clean_text(named(text)).isNull()).select(named(c.episode))
+    require_none(empty, "frames without an instruction", [c.episode])
     indexed, tasks = index_tasks(source, text, c)
     # Instructions of an episode in order of their first frame.
     firsts = source.groupBy(named(c.episode), named(text)).agg(
@@ -55,17 +60,16 @@ def write_indexed_tasks(
     fps: float,
     task: str | None = None,
     column: str | None = None,
-    frame_files: bool = True,
     c: Columns = COLUMNS,
 ) -> None:
-    """The first step's dataset: JSON lines and, unless only the metadata is
-    wanted, one directory per episode."""
+    """The first step's dataset (v2.0): frame directories, JSON lines, statistics and info."""
     indexed, tasks, episodes = to_indexed_tasks(frames, task, column, c)
     tasks, episodes = stored(tasks, "tasks"), stored(episodes, "episodes")
     writers.write_task_lines(tasks, root)
     writers.write_episode_lines(episodes, root)
-    if frame_files:
-        writers.write_episode_files(indexed, root, c=c)
+    writers.write_episode_files(indexed, root, c=c)
+    features = statistics.numeric_features(indexed)
+    writers.write_statistics(statistics.feature_statistics(indexed, [f for f in features if f != c.episode]), root)
     shapes = statistics.inferred_features(indexed)
     require_none(shapes.where(~F.col("fixed")), "features without a fixed shape", ["feature"])
     features = statistics.feature_map(shapes, motors=True)
@@ -86,6 +90,44 @@ def to_episode_statistics(frames: DataFrame, whole: DataFrame, tolerance: float
     return parts
 
 
+def write_episode_statistics(spark: SparkSession, source: str, output: str, tolerance: float = 1e-6, c: Columns = COLUMNS) -> None:
+    """The second step: a v2.1 dataset from a v2.0 one.
+
+    Per-episode statistics take the place of those of the whole, with which
+    they must agree.
+    """
+    frames = readers.read_episode_files(spark, source)
+    whole = spark.read.schema(STATISTICS).json(f"{source}/meta/stats.json")
+    info = readers.read_info(spark, source)
+
+    def write(root: str) -> None:
+        writers.write_episode_files(frames, root, c=c)
+        parts = to_episode_statistics(frames, whole, tolerance, c)
+        writers.write_episode_statistics_lines(statistics.as_episode_lines(parts, c), root)
+        writers.write_episode_lines(readers.read_episode_lines(spark, source), root)
+        writers.write_task_lines(readers.read_task_lines(spark, source), root)
+        writers.write_info(info.withColumn("codebase_version", F.lit("v2.1")), root)
+
+    publish.check_output(spark, source, output)
+    publish.published(spark, output, write)
+
+
+def write_sharded(spark: SparkSession, source: str, output: str, max_frames: int = writers.DATA_FRAMES, c: Columns = COLUMNS) -> None:
+    """The third step: a v3.0 dataset from a v2.1 one, with the statistics merged."""
+    frames = readers.read_episode_files(spark, source)
+    episodes = stored(readers.read_episode_lines(spark, source).select("episode_index", "length", "tasks"), "episodes")
+    tasks = readers.read_task_lines(spark, source)
+    fps = readers.read_info(spark, source).first()["fps"]
+    parts = statistics.from_episode_lines(readers.read_episode_statistics_lines(spark, source))
+
+    def write(root: str) -> None:
+        to_sharded(frames, episodes, tasks, root, fps, max_frames, c=c)
+        writers.write_statistics(statistics.merge_statistics(parts), root)
+
+    publish.check_output(spark, source, output)
+    publish.published(spark, output, write)
+
+
 def to_sharded(frames: DataFrame, episodes: DataFrame, tasks: DataFrame, root: str, fps: float, max_frames: int = writers.DATA_FRAMES, compression: str = "snappy", c: Columns = COLUMNS) -> None:
     """Third step: few episode-aligned shards plus an episode table."""
     sharded = stored(episode_shards(episodes.select("episode_index", "length"), max_frames), "shards")

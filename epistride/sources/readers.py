@@ -22,18 +22,22 @@ from epistride.functions.scalars import (
     is_finite,
     scalar_cell,
     strict_bool_token,
-    strict_long,
+    strict_long_number,
     strict_long_token,
 )
 from epistride.operators.integrity import duplicate_keys, require_none
 
 
 def read_frames(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
-    """All frame files below ``root/data``, whatever their directory names."""
-    reader = spark.read.option("recursiveFileLookup", True)
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.parquet(f"{root}/data")
+    """All frame files below ``root/data``.
+
+    Directories named ``key=value`` come as columns, so a filter on them reads
+    no other directory.  With ``schema`` only its columns are returned.
+    """
+    frames = spark.read.parquet(f"{root}/data")
+    if schema is None:
+        return frames
+    return frames.select(*[named(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def read_column(frames: DataFrame, name: str, scalar: bool = False) -> DataFrame:
@@ -97,6 +101,12 @@ def read_episode_statistics_lines(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(EPISODE_STATS_LINES).json(f"{root}/meta/episodes_stats.jsonl")
 
 
+def read_episode_files(spark: SparkSession, root: str) -> DataFrame:
+    """Frames of a legacy dataset; the episode stands in the directory's name."""
+    frames = spark.read.parquet(f"{root}/data")
+    return frames.withColumn("episode_index", F.col("episode_index").cast("long")).drop("episode_chunk")
+
+
 # Metadata files that each legacy generation must have.
 REQUIRED_FILES = {
     "v2.0": ("meta/info.json", "meta/episodes.jsonl", "meta/tasks.jsonl", "meta/stats.json"),
@@ -116,21 +126,43 @@ def missing_files(files: DataFrame, generation: str) -> DataFrame:
 
 
 def read_success_labels(spark: SparkSession, path: str) -> DataFrame:
-    """(episode_index, success, entry) from an object of episode -> flag.
+    """(episode_index, success, entry) from files that are objects of episode -> flag.
 
-    The object may hold millions of flat entries, so it is read as text cut at
+    An object may hold millions of flat entries, so it is read as text cut at
     commas: Spark splits such a file over tasks.  A null ``episode_index`` or
-    ``success`` marks an entry that breaks the format.
+    ``success`` marks an entry that breaks the format, and a file that is not
+    exactly one object gives a row of its own.
     """
     pieces = spark.read.option("lineSep", ",").text(path)
-    shape = r"(?s)^\s*\{?\s*\"([^\"]*)\"\s*:\s*(.*?)\s*\}?\s*$"
-    entries = pieces.where(~F.col("value").rlike(r"^\s*(\{\s*\})?\s*$"))
-    matched = F.col("value").rlike(shape)
-    return entries.select(
-        F.when(matched, strict_long_token(F.regexp_extract("value", shape, 1))).alias("episode_index"),
-        F.when(matched, strict_bool_token(F.regexp_extract("value", shape, 2))).alias("success"),
-        F.trim("value").alias("entry"),
+    value, opening, closing = F.col("value"), r"^\s*\{", r"\}\s*$"
+    pieces = pieces.select(
+        "value",
+        F.col("_metadata.file_name").alias("file"),
+        # Pieces of a file in order: splits by their start, pieces of a split as they are read.
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("at"),
+        value.rlike(opening).alias("opens"),
+        value.rlike(closing).alias("closes"),
+    )
+    braces = lambda name: F.count_if(name) != 1
+    broken = braces("opens") | braces("closes") | ~F.min_by("opens", "at") | ~F.max_by("closes", "at")
+    files = pieces.groupBy("file").agg(broken.alias("broken")).where("broken")
+    shape = r"(?s)^\s*\"([^\"]*)\"\s*:\s*(.*?)\s*$"
+    bare = F.regexp_replace(F.regexp_replace(value, opening, ""), closing, "")
+    entries = pieces.select("value", bare.alias("bare"), (F.col("opens") & F.col("closes")).alias("alone"))
+    # Only an empty object may have an empty entry.
+    entries = entries.where(~(F.col("alone") & F.col("bare").rlike(r"^\s*$")))
+    matched = F.col("bare").rlike(shape)
+    found = entries.select(
+        F.when(matched, strict_long_token(F.regexp_extract("bare", shape, 1))).alias("episode_index"),
+        F.when(matched, strict_bool_token(F.regexp_extract("bare", shape, 2))).alias("success"),
+        F.regexp_replace("bare", r"^\s+|\s+$", "").alias("entry"),
+    )
+    faults = files.select(
+        F.lit(None).cast("long").alias("episode_index"),
+        F.lit(None).cast("boolean").alias("success"),
+        F.concat(F.lit("not one object: "), "file").alias("entry"),
     )
+    return found.unionByName(faults)
 
 
 def label_file_problems(labels: DataFrame) -> DataFrame:
@@ -159,9 +191,10 @@ def read_split(spark: SparkSession, path: str, pretty: bool = False) -> DataFram
 
 _CURVE = T.StructType(
     [
-        T.StructField("episode_id", T.DoubleType()),
+        # Numbers as they are written: a double would change large ids.
+        T.StructField("episode_id", T.StringType()),
         T.StructField("page", T.LongType()),
-        T.StructField("frame_indices", T.ArrayType(T.DoubleType())),
+        T.StructField("frame_indices", T.ArrayType(T.StringType())),
         T.StructField("values", T.ArrayType(T.DoubleType())),
     ]
 )
@@ -181,15 +214,15 @@ def read_curve_entries(spark: SparkSession, path: str, pretty: bool = True) -> D
 def curve_entry_problems(entries: DataFrame) -> DataFrame:
     """Entries that cannot be aligned: (episode_id, problem)."""
     frames, values = F.col("frame_indices"), F.col("values")
-    whole = lambda x: strict_long(x).isNotNull()
+    whole = lambda x: strict_long_number(x).isNotNull()
     problem = (
         F.when(F.col("episode_id").isNull() | frames.isNull() | values.isNull(), "missing field")
-        .when(strict_long(F.col("episode_id")).isNull(), "episode id")
+        .when(strict_long_number(F.col("episode_id")).isNull(), "episode id")
         .when(F.size(frames) != F.size(values), "sizes differ")
         .when(F.size(frames) == 0, "no points")
         .when(~F.forall(frames, whole), "frame index")
         .when(~all_finite(values), "value")
-        .when(F.size(F.array_distinct(frames)) != F.size(frames), "duplicate frame")
+        .when(F.size(F.array_distinct(F.transform(frames, strict_long_number))) != F.size(frames), "duplicate frame")
     )
     broken = entries.select("episode_id", problem.alias("problem")).where(F.col("problem").isNotNull())
     twice = (
@@ -207,8 +240,8 @@ def read_curves(spark: SparkSession, path: str, pretty: bool = True) -> DataFram
         raise ValueError(f"{path} holds no curves")
     require_none(curve_entry_problems(entries), "curve artifact", ["episode_id", "problem"])
     points = entries.select(
-        strict_long(F.col("episode_id")).alias("episode_id"), F.inline(F.arrays_zip("frame_indices", "values"))
-    ).select("episode_id", strict_long(F.col("frame_indices")).alias("frame_index"), F.col("values").alias("value"))
+        strict_long_number(F.col("episode_id")).alias("episode_id"), F.inline(F.arrays_zip("frame_indices", "values"))
+    ).select("episode_id", strict_long_number(F.col("frame_indices")).alias("frame_index"), F.col("values").alias("value"))
     # Pages of one episode must not overlap.
     require_none(duplicate_keys(points, ["episode_id", "frame_index"]), "repeated curve points", ["episode_id", "frame_index"])
     return points

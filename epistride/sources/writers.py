@@ -8,37 +8,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epistride.columns import COLUMNS, Columns, named
 from epistride.functions.scalars import chunk_of, file_of, json_safe
 from epistride.functions.versions import NEWEST
 from epistride.operators.curves import assemble_curves
+from epistride.operators.integrity import frame_spans
 from epistride.operators.metrics import curve_metrics
-from epistride.operators.scans import BLOCK_ROWS, position_block
+from epistride.operators.scans import BLOCK_ROWS, join_episodes, position_block
 
 ROW_GROUP_ROWS = 65_536
 DATA_FRAMES = 250_000
 
 
-def check_output(source: str | None, output: str) -> None:
-    """Refuse an output that is, or lies inside, its own source."""
-    if source is None:
-        return
-    src, out = source.rstrip("/"), output.rstrip("/")
-    if out == src or out.startswith(src + "/"):
-        raise ValueError("the output must lie outside the source")
-
-
 def write_document(one_row: DataFrame, path: str) -> None:
     """A small result as one JSON object; non-finite numbers become null."""
-    json_safe(one_row).coalesce(1).write.mode("errorifexists").option("ignoreNullFields", False).json(path)
+    json_safe(one_row).repartition(1).write.mode("errorifexists").option("ignoreNullFields", False).json(path)
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    """Append one JSON object per row, for instance per epoch."""
-    json_safe(rows).coalesce(1).write.mode("append").option("ignoreNullFields", False).json(path)
+    """Append one JSON object per row, for instance per epoch.
+
+    The rows are gathered by a shuffle, so the work that made them keeps its tasks.
+    """
+    json_safe(rows).repartition(1).write.mode("append").option("ignoreNullFields", False).json(path)
 
 
 def write_frames(
@@ -51,25 +46,25 @@ def write_frames(
 ) -> None:
     """Episode-aligned data shards under ``root/data/chunk=/file=``.
 
-    ``sharded`` comes from ``episode_shards``.  A shard is one file, except an
-    episode above the limit: its shard is cut into files of ``max_frames``
-    rows, so no task writes more than that.
+    ``sharded`` comes from ``episode_shards``.  A shard is one directory, named
+    by the chunk and file numbers of the episode table; its files hold at most
+    ``max_frames`` rows, so no task writes more than that.
     """
     begins = sharded.groupBy("shard").agg(F.min("offset").alias("__begin"))
     address = sharded.join(begins, "shard").select(
-        named(c.episode), "shard", (F.col("offset") - F.col("__begin")).alias("__before")
+        named(c.episode), "shard", (F.col("offset") - F.col("__begin")).alias("before")
     )
-    placed = frames.join(address, c.episode).withColumns(
-        {
-            "chunk": chunk_of(F.col("shard")),
-            "file": file_of(F.col("shard")),
-            "__piece": F.floor((F.col("__before") + named(c.frame)) / F.lit(max_frames)),
-        }
+    address = frame_spans(frames, c).join(address, c.episode)
+    placed = join_episodes(frames, address, c.episode, c.frame).select(
+        *[named(n) for n in frames.columns],
+        chunk_of(F.col("__shard")).alias("chunk"),
+        file_of(F.col("__shard")).alias("file"),
+        F.floor((F.col("__before") + named(c.frame) - F.col("__first_frame")) / F.lit(max_frames)).alias("__piece"),
     )
     (
         placed.repartition("chunk", "file", "__piece")
         .sortWithinPartitions("chunk", "file", *[named(k) for k in c.key])
-        .drop("shard", "__before", "__piece")
+        .drop("__piece")
         .write.mode("errorifexists")
         .option("compression", compression)
         .option("parquet.block.row.count.limit", ROW_GROUP_ROWS)
@@ -99,6 +94,11 @@ def write_episode_statistics_lines(lines: DataFrame, root: str) -> None:
     lines.write.mode("errorifexists").json(f"{root}/meta/episodes_stats.jsonl")
 
 
+def write_statistics(stats: DataFrame, root: str) -> None:
+    """Statistics of the whole dataset, one object per dimension."""
+    json_safe(stats).repartition(1).write.mode("errorifexists").option("ignoreNullFields", False).json(f"{root}/meta/stats.json")
+
+
 def dataset_info(
     episodes: DataFrame,
     tasks: DataFrame,
@@ -159,29 +159,32 @@ def write_episode_files(frames: DataFrame, root: str, chunk_size: int = 1000, bl
     )
 
 
-def add_features(frames: DataFrame, added: dict[str, Column]) -> DataFrame:
-    """New columns; existing names are refused instead of replaced."""
-    taken = sorted(set(added) & set(frames.columns))
-    if taken:
-        raise ValueError(f"columns exist already: {taken}")
-    return frames.withColumns(added)
-
-
 def return_definition(
     terms: DataFrame,
+    task_lengths: DataFrame,
     normalisation: str,
     failure_penalty: float | None,
     step_scale: float,
     limits: DataFrame,
     success_source: str,
     reduction: str,
+    source: str | None = None,
+    source_version: str | None = None,
+    steps: Sequence[str] = (),
 ) -> DataFrame:
     """One row describing how the returns were made.
 
-    ``terms`` is ``returns.episode_terms`` and ``limits`` its ``raw_range``.
+    ``terms`` is ``returns.episode_terms``, ``limits`` its ``raw_range``,
+    ``task_lengths`` one row (task, longest episode) per task.  The field
+    names are those of the file format.
     """
     fitted = limits if normalisation == "global_minmax" else limits.where(F.lit(False))
-    one = lambda df, name: df.select(F.col(name).cast("double")).scalar()
+    ends = fitted.select(F.struct(*[F.col(n).cast("double").alias(n) for n in ("low", "high")])).scalar()
+    penalty = F.lit("task_max_episode_length" if failure_penalty is None else str(float(failure_penalty)))
+    entries = F.collect_list(F.struct(F.col("task_index").cast("string").alias("k"), F.col("task_max_length").alias("v")))
+    lengths = task_lengths.select(F.col(task_lengths.columns[0]).alias("task_index"), "task_max_length").agg(
+        F.map_from_entries(F.sort_array(entries)).alias("m")
+    )
     return terms.agg(
         F.count(F.lit(1)).alias("episodes"),
         F.sum("length").cast("long").alias("frames"),
@@ -190,16 +193,23 @@ def return_definition(
         F.max("length").alias("longest_episode"),
     ).select(
         F.lit(2).alias("schema_version"),
-        F.lit(normalisation).alias("normalisation"),
-        F.lit(-float(step_scale)).alias("nonterminal_reward"),
-        F.lit(0.0).alias("success_terminal_reward"),
-        F.lit(failure_penalty).cast("double").alias("failure_penalty"),
-        F.lit(1.0).alias("discount"),
-        F.lit(float(step_scale)).alias("step_scale"),
-        one(fitted, "low").alias("global_min"),
-        one(fitted, "high").alias("global_max"),
+        F.struct(F.lit(source).cast("string").alias("root"), F.lit(source_version).cast("string").alias("detected_version")).alias("source"),
+        F.lit(NEWEST).alias("canonical_training_format"),
+        F.array(*[F.lit(s) for s in steps]).cast("array<string>").alias("conversion_steps"),
+        F.struct(
+            F.lit(-float(step_scale)).alias("nonterminal_reward"),
+            F.lit(0.0).alias("success_terminal_reward"),
+            F.lit("-failure_penalty").alias("failure_terminal_reward"),
+            penalty.alias("failure_penalty"),
+            F.lit(1.0).alias("discount"),
+            F.lit(normalisation).alias("normalization"),
+            F.lit(float(step_scale)).alias("step_scale"),
+            ends.getField("low").alias("global_min"),
+            ends.getField("high").alias("global_max"),
+        ).alias("definition"),
         F.lit(success_source).alias("success_source"),
         F.lit(reduction).alias("success_reduction"),
+        lengths.scalar().alias("task_max_episode_length"),
         "episodes",
         "frames",
         "longest_episode",
@@ -208,6 +218,14 @@ def return_definition(
     )
 
 
+def migration_manifest(spark: SparkSession, source: str | None, source_version: str | None, steps: Sequence[str]) -> DataFrame:
+    """One row: where a dataset came from and which steps it went through."""
+    schema = (
+        "schema_version int, source_version string, target_version string, source_root string, source_was_modified boolean, steps array<string>"
+    )
+    return spark.createDataFrame([(1, source_version, NEWEST, source, False, list(steps))], schema)
+
+
 def conversion_manifest(
     episodes: DataFrame, ranges: DataFrame, data_shards: DataFrame, task: str, fps: float, normalisation: str
 ) -> DataFrame:
@@ -215,8 +233,9 @@ def conversion_manifest(
 
     ``episodes`` has length and success, ``ranges`` is ``returns.value_ranges``.
     """
-    one = lambda name: ranges.select(F.col(name).cast("double")).scalar()
-    pair = lambda low, high: F.struct(one(low).alias("low"), one(high).alias("high"))
+    # All four ends in one scalar, so the frames are scanned once.
+    ends = ranges.select(F.struct(*[F.col(n).cast("double").alias(n) for n in ranges.columns])).scalar()
+    pair = lambda low, high: F.struct(ends.getField(low).alias("low"), ends.getField(high).alias("high"))
     count = data_shards.agg(F.countDistinct("shard").alias("n"))
     return episodes.agg(
         F.count(F.lit(1)).alias("episodes"),
@@ -237,9 +256,9 @@ def conversion_manifest(
 
 
 def split_pages(split: DataFrame, seed: int, fraction: float, page_ids: int = BLOCK_ROWS) -> DataFrame:
-    """The split manifest, one row per range of episode ids.
+    """The split manifest: one row per page, a range of ``page_ids`` episode ids.
 
-    Ids below ``page_ids`` give a single row.
+    The form is the same at every size; pages carry their number.
     """
     page = position_block(F.col("episode_index"), page_ids)
     side = lambda name: F.sort_array(
@@ -249,6 +268,7 @@ def split_pages(split: DataFrame, seed: int, fraction: float, page_ids: int = BL
         F.lit(1).alias("schema_version"),
         F.lit(seed).cast("long").alias("seed"),
         F.lit(float(fraction)).alias("val_fraction"),
+        "page",
         "train",
         "val",
     )
@@ -259,13 +279,15 @@ def write_split(split: DataFrame, path: str, seed: int, fraction: float, page_id
 
 
 def write_labels(labels: DataFrame, path: str, page_ids: int = BLOCK_ROWS) -> None:
-    """Success labels as JSON objects, one per range of episode ids."""
+    """Success labels as JSON files, each one object of episode -> flag.
+
+    A file holds one page, a range of ``page_ids`` episode ids.
+    """
     entry = F.struct(F.col("episode_index").cast("string").alias("key"), F.col("success").alias("value"))
     pages = labels.groupBy(position_block(F.col("episode_index"), page_ids).alias("page")).agg(
         F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry)))).alias("value")
     )
-    # The reader cuts at commas, so pages are joined by one.
-    pages.select("value").write.mode("errorifexists").option("lineSep", ",").text(path)
+    pages.select("value").write.mode("errorifexists").option("maxRecordsPerFile", 1).text(path)
 
 
 def write_curves(points: DataFrame, folder: str, page_frames: int = BLOCK_ROWS) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epistride.functions.scalars import clean_text, strict_bool, strict_long
+from epistride.functions.scalars import clean_text, strict_bool, strict_long, strict_long_token
 from epistride.operators import integrity, labels, returns
 from epistride.operators.scans import number_rows
 from epistride.operators.shards import first_seen_ids
@@ -84,6 +84,7 @@ def contiguous_runs(spark: SparkSession, folder: str) -> DataFrame:
 def _indexed_conversations(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations with a table-order row number within the episode."""
     frames = conversation_frames(spark, folder).select("episode_index", "frame_index")
+    frames = frames.where((F.col("episode_index") + F.col("frame_index")) % 5 != 2)
     return number_rows(frames, ["episode_index"], "frame_index", ["frame_index"], "index")
 
 
@@ -98,15 +99,17 @@ def broken_steps(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderkey").alias("index"),
         F.col("o_orderkey").alias("frame_index"),
     )
-    return integrity.broken_steps(orders)
+    return integrity.broken_steps(orders, block_rows=1000)
 
 
 @query("E6", """
 SELECT episode_index, count(*) AS gaps FROM (
-  SELECT conv_id AS episode_index, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS d FROM conversations)
+  SELECT conv_id AS episode_index, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS d FROM conversations
+  WHERE (conv_id + turn) % 5 <> 2)
 WHERE d <> 1 GROUP BY 1""")
 def broken_conversation_steps(spark: SparkSession, folder: str) -> DataFrame:
-    broken = integrity.broken_steps(_indexed_conversations(spark, folder))
+    """Conversations that lost every fifth turn."""
+    broken = integrity.broken_steps(_indexed_conversations(spark, folder), block_rows=4)
     return broken.groupBy("episode_index").agg(F.count(F.lit(1)).alias("gaps"))
 
 
@@ -233,6 +236,20 @@ def strict_integer_violations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("B2", """
+SELECT doc_id, CAST(9007199254740993 + doc_id AS BIGINT) AS number, CAST(1234567890123456789 + doc_id AS BIGINT) AS token,
+       CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id // 2 AS BIGINT) END AS half FROM documents""")
+def exact_integers(spark: SparkSession, folder: str) -> DataFrame:
+    """Integers beyond the precision of a double, as numbers and as text."""
+    rows = table(spark, folder, "documents").select("doc_id")
+    return rows.select(
+        "doc_id",
+        strict_long(F.lit(9007199254740993) + F.col("doc_id")).alias("number"),
+        strict_long_token((F.lit(1234567890123456789) + F.col("doc_id")).cast("string")).alias("token"),
+        strict_long(F.col("doc_id") / 2).alias("half"),
+    )
+
+
 @query("D3", f"""
 WITH {EVENT_EPISODES}
 SELECT task_index, max(length) AS task_max_length FROM episodes GROUP BY 1""")
@@ -267,6 +284,28 @@ def return_to_go(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded_returns(event_returns(spark, folder))
 
 
+@query("E2 B11 C1", f"""
+WITH {EVENT_RETURNS}
+SELECT episode_index, frame_index * 2 AS frame_index, round(CAST(CAST(ret AS FLOAT) AS DOUBLE), 5) + 0.0 AS "return",
+       CAST(raw AS DOUBLE) AS return_raw, CASE WHEN success THEN 1 ELSE 0 END AS episode_success FROM returns""")
+def return_to_go_by_step(spark: SparkSession, folder: str) -> DataFrame:
+    """Frame numbers go up by two; a column of their own counts the steps."""
+    frames = event_table(spark, folder).withColumn("step", F.col("frame_index") + 7)
+    frames = frames.withColumn("frame_index", F.col("frame_index") * 2)
+    return _rounded_returns(returns.with_returns(frames, event_labels(frames), step="step"))
+
+
+@query("E2 C10", f"""
+WITH {EVENT_RETURNS}
+SELECT episode_index, frame_index, round(CAST(CAST(ret AS FLOAT) AS DOUBLE), 5) + 0.0 AS "return",
+       CAST(raw AS DOUBLE) AS return_raw, CASE WHEN success THEN 1 ELSE 0 END AS episode_success FROM returns""")
+def returns_by_rank(spark: SparkSession, folder: str) -> DataFrame:
+    """The verification's own way to the returns, over several blocks an episode."""
+    frames = event_table(spark, folder)
+    terms = returns.episode_terms(frames, event_labels(frames))
+    return _rounded_returns(returns.returns_by_rank(frames, terms, block_rows=16))
+
+
 @query("E2 B11 D4", f"""
 WITH {EVENT_RETURNS}, limits AS (SELECT min(raw) AS lo, max(raw) AS hi FROM returns)
 SELECT episode_index, frame_index,

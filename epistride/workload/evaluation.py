@@ -25,6 +25,9 @@ from epistride.workload.tables import (
 
 HISTORY = 3
 
+# Several blocks for each of the tables' episodes.
+BLOCK = 16
+
 
 def _targets(spark: SparkSession, folder: str) -> DataFrame:
     frames = event_table(spark, folder)
@@ -340,7 +343,7 @@ WITH {POINTS_SQL},
 paired AS (SELECT episode_id, frame_index AS left_frame, lead(frame_index) OVER (PARTITION BY episode_id ORDER BY frame_index) AS right_frame FROM points)
 SELECT * FROM paired WHERE right_frame <> left_frame + 1""")
 def curve_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    return curves.curve_gaps(_gappy_points(spark, folder))
+    return curves.curve_gaps(_gappy_points(spark, folder), BLOCK)
 
 
 @query("E8", f"""
@@ -349,7 +352,7 @@ islands AS (SELECT *, frame_index - row_number() OVER (PARTITION BY episode_id O
 SELECT episode_id, min(frame_index) AS first_frame, max(frame_index) AS last_frame, count(*) AS point_count
 FROM islands GROUP BY episode_id, run""")
 def curve_segments(spark: SparkSession, folder: str) -> DataFrame:
-    return curves.curve_segments(_gappy_points(spark, folder))
+    return curves.curve_segments(_gappy_points(spark, folder), BLOCK)
 
 
 @query("E16", f"""
@@ -358,7 +361,7 @@ ranked AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY epis
            FROM points WINDOW w AS (PARTITION BY episode_id ORDER BY frame_index))
 SELECT episode_id, frame_index, {r6('value')} AS value FROM ranked WHERE rn = n // 2 + 1""")
 def preview_points(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(curves.preview_points(_gappy_points(spark, folder)).select("episode_id", "frame_index", "value"))
+    return _rounded(curves.preview_points(_gappy_points(spark, folder), BLOCK).select("episode_id", "frame_index", "value"))
 
 
 def _domain_sql(group: str) -> str:
@@ -399,7 +402,7 @@ SELECT episode_id, frame_index, visible_points, latest_frame, exact, status,
        {r6("CASE WHEN status IN ('estimated', 'terminal_hold') THEN value END")} AS shown_value FROM states""")
 def frame_states(spark: SparkSession, folder: str) -> DataFrame:
     frames = event_table(spark, folder, "event_type")
-    return _rounded(align.frame_states(frames, _points_of(frames)))
+    return _rounded(align.frame_states(frames, _points_of(frames), block_rows=BLOCK))
 
 
 @query("C8", f"""
@@ -431,13 +434,26 @@ SELECT episode_id, fc AS first_curve_frame, lc AS last_curve_frame, gaps,
                  CASE WHEN fc <> {HISTORY} - 1 THEN 'unexpected first frame' END) AS soft, '' AS hard FROM checked""")
 def alignment_preflight(spark: SparkSession, folder: str) -> DataFrame:
     frames = event_table(spark, folder, "event_type")
-    checked = align.preflight(_points_of(frames), align.sources_from_frames(frames, FPS, HISTORY))
+    checked = align.preflight(_points_of(frames), align.sources_from_frames(frames, FPS, HISTORY), BLOCK)
     return checked.select(
         "episode_id", "first_curve_frame", "last_curve_frame", "gaps",
         F.array_join("soft", ";").alias("soft"), F.array_join("hard", ";").alias("hard"),
     )
 
 
+@query("J1", f"""
+WITH {CHECKED_SQL},
+found AS (
+  SELECT episode_id, unnest([CASE WHEN gaps > 0 THEN 'frame gaps' END, CASE WHEN lc <> last_frame - 1 THEN 'unexpected last frame' END,
+                             CASE WHEN fc <> {HISTORY} - 1 THEN 'unexpected first frame' END]) AS problem FROM checked)
+SELECT episode_id, problem FROM found WHERE problem IS NOT NULL""")
+def rejected_alignments(spark: SparkSession, folder: str) -> DataFrame:
+    """Episodes that the strict mode refuses."""
+    frames = event_table(spark, folder, "event_type")
+    checked = align.preflight(_points_of(frames), align.sources_from_frames(frames, FPS, HISTORY), BLOCK)
+    return align.rejected(checked, strict=True)
+
+
 @query("J2 E15", f"""
 WITH {CHECKED_SQL}
 SELECT episode_id, {FPS}::DOUBLE AS source_fps, {FPS * 2}::DOUBLE AS output_fps, {r6(f'length / {FPS}')} AS source_duration_seconds,
@@ -446,7 +462,7 @@ SELECT episode_id, {FPS}::DOUBLE AS source_fps, {FPS * 2}::DOUBLE AS output_fps,
        gaps = 0 AND lc = last_frame - 1 AND fc = {HISTORY} - 1 AS mapping_verified FROM checked""")
 def alignment_report(spark: SparkSession, folder: str) -> DataFrame:
     frames = event_table(spark, folder, "event_type")
-    checked = align.preflight(_points_of(frames), align.sources_from_frames(frames, FPS, HISTORY))
+    checked = align.preflight(_points_of(frames), align.sources_from_frames(frames, FPS, HISTORY), BLOCK)
     return _rounded(
         align.alignment_report(checked, speed=2.0).select(
             "episode_id", "source_fps", "output_fps", "source_duration_seconds", "output_duration_seconds",

@@ -17,7 +17,7 @@ from epistride.operators import align, integrity, layout, returns, shards, split
 from epistride.plans import add_returns as returns_plan
 from epistride.plans import evaluation, flat_dataset, migrations, training
 from epistride.session import scratch_path, stored
-from epistride.sources import readers, writers
+from epistride.sources import publish, readers, writers
 from epistride.workload.evaluation import SCORED, closed_form_scorer
 from epistride.workload.registry import query
 from epistride.workload.tables import (
@@ -200,14 +200,17 @@ def frame_table_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return readers.read_frames(spark, root).select("episode_index", "frame_index", "task_index", "event_id")
 
 
-@query("K1 E10", f"""
-WITH RECURSIVE {EVENT_EPISODES},
+EVENT_SHARDS_SQL = f"""{EVENT_EPISODES},
 numbered AS (SELECT episode_index, length, row_number() OVER (ORDER BY episode_index) AS n FROM episodes),
 packed AS (
-  SELECT n, length AS used, 0 AS shard FROM numbered WHERE n = 1
+  SELECT n, length AS used, 0::BIGINT AS shard FROM numbered WHERE n = 1
   UNION ALL
   SELECT x.n, CASE WHEN p.used + x.length > 1000 THEN x.length ELSE p.used + x.length END,
-         p.shard + CASE WHEN p.used + x.length > 1000 THEN 1 ELSE 0 END FROM packed p JOIN numbered x ON x.n = p.n + 1)
+         p.shard + CASE WHEN p.used + x.length > 1000 THEN 1 ELSE 0 END FROM packed p JOIN numbered x ON x.n = p.n + 1)"""
+
+
+@query("K1 E10", f"""
+WITH RECURSIVE {EVENT_SHARDS_SQL}
 SELECT CAST(shard // 1000 AS INTEGER) AS chunk, CAST(shard % 1000 AS INTEGER) AS file, CAST(sum(length) AS BIGINT) AS row_count,
        CAST(1 AS BIGINT) AS files FROM packed JOIN numbered USING (n) GROUP BY 1, 2""")
 def shard_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -225,14 +228,16 @@ def column_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("A3 K2", f"""
-WITH {EVENT_EPISODES}
-SELECT episode_index, concat('task ', episode_index % 5) AS task, length,
+WITH RECURSIVE {EVENT_SHARDS_SQL}
+SELECT episode_index, concat('task ', episode_index % 5) AS task, length, shard // 1000 AS chunk, shard % 1000 AS file,
        coalesce(sum(length) OVER (ORDER BY episode_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS dataset_from_index,
-       (sum(length) OVER (ORDER BY episode_index))::BIGINT AS dataset_to_index FROM episodes""")
+       (sum(length) OVER (ORDER BY episode_index))::BIGINT AS dataset_to_index
+FROM (SELECT n.*, p.shard FROM packed p JOIN numbered n USING (n))""")
 def episode_table_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     root = _write_dataset(spark, folder)
     return readers.read_episodes(spark, root).select(
-        "episode_index", F.get("tasks", 0).alias("task"), "length", "dataset_from_index", "dataset_to_index"
+        "episode_index", F.get("tasks", 0).alias("task"), "length", F.col("data/chunk_index").alias("chunk"),
+        F.col("data/file_index").alias("file"), "dataset_from_index", "dataset_to_index",
     )
 
 
@@ -280,12 +285,64 @@ def legacy_episode_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _write_legacy(spark: SparkSession, folder: str, frame_files: bool = False) -> str:
+def _write_legacy(spark: SparkSession, folder: str) -> str:
     root = scratch_path(spark, "legacy")
-    migrations.write_indexed_tasks(_ordered_turns(spark, folder), root, 10.0, column="role", frame_files=frame_files)
+    migrations.write_indexed_tasks(_ordered_turns(spark, folder), root, 10.0, column="role")
     return root
 
 
+def _migrated(spark: SparkSession, folder: str) -> str:
+    """All three steps, each from the directory that the one before wrote."""
+    root = _write_legacy(spark, folder)
+    migrations.write_episode_statistics(spark, root, f"{root}-v21")
+    migrations.write_sharded(spark, f"{root}-v21", f"{root}-v30", max_frames=200)
+    return f"{root}-v30"
+
+
+@query("L1 L2 L3 K1", """
+WITH firsts AS (SELECT role, min(conv_id * 1000000 + turn) AS f FROM conversations GROUP BY 1),
+ids AS (SELECT role, row_number() OVER (ORDER BY f) - 1 AS task_index FROM firsts),
+sized AS (SELECT conv_id, count(*) AS length FROM conversations GROUP BY 1),
+placed AS (SELECT *, coalesce(sum(length) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM sized)
+SELECT conv_id AS episode_index, turn AS frame_index, o + turn AS "index", task_index, length(text) AS n_chars
+FROM conversations JOIN ids USING (role) JOIN placed USING (conv_id)""")
+def migrated_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """Frames after the whole chain of schema generations."""
+    return readers.read_frames(spark, _migrated(spark, folder)).select("episode_index", "frame_index", "index", "task_index", "n_chars")
+
+
+@query("L2 L3 D19 D17", f"""
+SELECT 'n_chars' AS feature, 0 AS position, min(length(text))::DOUBLE AS min, max(length(text))::DOUBLE AS max,
+       {r6('avg(length(text))')} AS mean, {r6('stddev_pop(length(text))')} AS std, count(*) AS count FROM conversations
+UNION ALL SELECT 'frame_index', 0, min(turn), max(turn), {r6('avg(turn)')}, {r6('stddev_pop(turn)')}, count(*) FROM conversations""")
+def migrated_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics that the last step merged from those of the episodes."""
+    stats = spark.read.schema(migrations.STATISTICS).json(f"{_migrated(spark, folder)}/meta/stats.json")
+    return stats.where(F.col("feature").isin("n_chars", "frame_index")).withColumns({n: F.round(n, 6) for n in ("mean", "std")})
+
+
+@query("L3 K2 K3 K4 B13", """
+WITH sized AS (SELECT conv_id, count(*) AS length FROM conversations GROUP BY 1)
+SELECT conv_id AS episode_index, length, (SELECT count(DISTINCT role) FROM conversations) AS tasks, 'v3.0' AS version, true AS addressed FROM sized""")
+def migrated_episodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Episode rows after the chain; the address of each must hold its frames."""
+    root = _migrated(spark, folder)
+    frames = readers.read_frames(spark, root).groupBy("episode_index").agg(
+        F.min("chunk").alias("chunk"), F.max("chunk").alias("last_chunk"), F.min("file").alias("file"), F.max("file").alias("last_file"),
+        F.count(F.lit(1)).alias("rows"),
+    )
+    info = readers.read_info(spark, root)
+    tasks = readers.read_tasks(spark, f"{root}/meta/tasks.parquet").agg(F.count(F.lit(1)).alias("n"))
+    joined = readers.read_episodes(spark, root).join(frames, "episode_index")
+    there = (
+        (F.col("chunk") == F.col("data/chunk_index")) & (F.col("last_chunk") == F.col("chunk"))
+        & (F.col("file") == F.col("data/file_index")) & (F.col("last_file") == F.col("file")) & (F.col("rows") == F.col("length"))
+    )
+    return joined.select(
+        "episode_index", "length", tasks.scalar().alias("tasks"), info.select("codebase_version").scalar().alias("version"), there.alias("addressed")
+    )
+
+
 def _ordered_turns(spark: SparkSession, folder: str) -> DataFrame:
     """Conversation turns with their global row number."""
     turns = conversation_frames(spark, folder).select("episode_index", "frame_index", "role", "n_chars")
@@ -302,38 +359,44 @@ SELECT conv_id AS episode_index, turn AS frame_index, task_index, CAST(conv_id /
 FROM conversations JOIN ids USING (role)""")
 def legacy_directory_scan(spark: SparkSession, folder: str) -> DataFrame:
     """The first step's per-episode directories, read back."""
-    root = _write_legacy(spark, folder, frame_files=True)
+    root = _write_legacy(spark, folder)
     return spark.read.parquet(f"{root}/data").select(
         F.col("episode_index").cast("long").alias("episode_index"), "frame_index", "task_index", "episode_chunk", "n_chars"
     )
 
 
 @query("A12 K4 D23", """
-SELECT 'task_index' AS feature, 'int64' AS dtype, CAST(count(DISTINCT conv_id) AS BIGINT) AS total_episodes, count(*) AS total_frames,
-       count(DISTINCT role) AS total_tasks, '0:' || count(DISTINCT conv_id) AS train, 10.0::DOUBLE AS fps FROM conversations
-UNION ALL SELECT 'n_chars', 'int64', count(DISTINCT conv_id), count(*), count(DISTINCT role), '0:' || count(DISTINCT conv_id), 10.0::DOUBLE FROM conversations""")
+SELECT feature, 'int64' AS dtype, CAST(count(DISTINCT conv_id) AS BIGINT) AS total_episodes, count(*) AS total_frames,
+       count(DISTINCT role) AS total_tasks, '0:' || count(DISTINCT conv_id) AS train, 10.0::DOUBLE AS fps
+FROM conversations, unnest(['episode_index', 'frame_index', 'index', 'n_chars', 'task_index']) t(feature) GROUP BY feature""")
 def info_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     info = readers.read_info(spark, _write_legacy(spark, folder))
-    listed = info.select("*", F.explode(F.map_filter("features", lambda k, v: k.isin("task_index", "n_chars"))).alias("feature", "f"))
+    listed = info.select("*", F.explode("features").alias("feature", "f"))
     return listed.select(
         "feature", "f.dtype", "total_episodes", "total_frames", "total_tasks", F.element_at("splits", "train").alias("train"), "fps"
     )
 
 
-@query("A13 A12", "SELECT 10.0::DOUBLE AS fps, count(*) AS total_frames FROM conversations")
+@query("A13 A12", """
+SELECT conv_id AS episode_index, CASE WHEN conv_id % 3 = 0 THEN 2.5 * count(*) ELSE 50.0 + conv_id % 3 END::DOUBLE AS fps
+FROM conversations GROUP BY 1""")
 def resolved_fps(spark: SparkSession, folder: str) -> DataFrame:
-    """An unusable override gives way to the stated rate."""
-    info = readers.read_info(spark, _write_legacy(spark, folder))
-    fps = readers.resolved_fps(info, None, -1.0, float("nan"))
-    return info.select("total_frames").withColumn("fps", fps.scalar())
+    """One description per conversation: unusable rates give way to the next in line."""
+    stated = conversation_episodes(spark, folder).withColumn("fps", F.col("length") * 2.5)
+    kind = F.col("episode_index") % 3
+    override = F.when(kind == 0, F.lit(float("nan"))).otherwise(50.0 + kind)
+    return stated.select("episode_index", S.first_positive(F.lit(-1.0), override, F.col("fps")).alias("fps"))
 
 
-@query("A5", "SELECT 'a' AS root, 'meta/stats.json' AS path FROM (SELECT count(*) AS n FROM conversations) WHERE n > 0")
+@query("A5", """
+SELECT concat('root-', doc_id) AS root, ['meta/info.json', 'meta/episodes.jsonl', 'meta/tasks.jsonl', 'meta/stats.json'][k + 1] AS path
+FROM (SELECT doc_id, n_chars % 6 AS k FROM documents) WHERE k < 4""")
 def missing_metadata_files(spark: SparkSession, folder: str) -> DataFrame:
-    root = _write_legacy(spark, folder)
-    files = layout.list_files(spark, root).select(
-        F.lit("a").alias("root"), F.regexp_extract("path", r"/legacy-[0-9a-f]+/(.*)$", 1).alias("path")
-    )
+    """One root per document; the length of the text says which file it lacks."""
+    listed = F.array(*[F.lit(p) for p in readers.REQUIRED_FILES["v2.0"]], F.lit("data/part-0.parquet"))
+    there = F.filter(listed, lambda p: ~p.eqNullSafe(F.get(F.slice(listed, 1, 4), (F.col("n_chars") % 6).cast("int"))))
+    root = F.concat(F.lit("root-"), F.col("doc_id").cast("string"))
+    files = table(spark, folder, "documents").select(root.alias("root"), F.explode(there).alias("path"))
     return readers.missing_files(files, "v2.0")
 
 
@@ -360,9 +423,10 @@ def label_file_problems(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "labels")
     bad = F.when(F.col("success"), "1.5").otherwise('"true"')
     good = F.when(F.col("success"), "1").otherwise("false")
-    _document_labels(spark, folder).select(
-        F.concat(F.lit('"'), F.col("episode_index").cast("string"), F.lit('": '), F.when(F.col("episode_index") % 4 == 0, bad).otherwise(good)).alias("value")
-    ).write.option("lineSep", ",").text(path)
+    entry = F.concat(F.lit('"'), F.col("episode_index").cast("string"), F.lit('": '), F.when(F.col("episode_index") % 4 == 0, bad).otherwise(good))
+    pages = _document_labels(spark, folder).groupBy(F.floor(F.col("episode_index") / 500)).agg(F.collect_list(entry).alias("entries"))
+    whole = F.concat(F.lit("{ "), F.array_join("entries", ",\n"), F.lit("\n}"))
+    pages.select(whole.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return readers.label_file_problems(readers.read_success_labels(spark, path)).select("entry")
 
 
@@ -420,10 +484,10 @@ def wrapped_curve_artifact(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("A10 B2 B3 D13", """
 WITH kinds AS (SELECT DISTINCT conv_id, conv_id % 6 AS k FROM conversations)
-SELECT CAST(conv_id AS DOUBLE) AS episode_id,
+SELECT CAST(conv_id AS VARCHAR) AS episode_id,
        CASE k WHEN 1 THEN 'frame index' WHEN 2 THEN 'duplicate frame' WHEN 3 THEN 'missing field' WHEN 4 THEN 'sizes differ' END AS problem
 FROM kinds WHERE k BETWEEN 1 AND 4
-UNION ALL SELECT CAST(conv_id AS DOUBLE), 'duplicate episode' FROM kinds WHERE k = 5""")
+UNION ALL SELECT CAST(conv_id AS VARCHAR), 'duplicate episode' FROM kinds WHERE k = 5""")
 def curve_artifact_problems(spark: SparkSession, folder: str) -> DataFrame:
     """A damaged artifact: one kind of damage per residue of the episode."""
     kind = F.col("conv_id") % 6
@@ -441,23 +505,25 @@ def curve_artifact_problems(spark: SparkSession, folder: str) -> DataFrame:
 @query("K9 H6", """
 SELECT conv_id AS episode_id, count(*) AS count,
        round(avg((sqrt(length(text)) - ln(length(text) + 2)) ** 2), 6) AS value_mse,
+       round(avg(abs(sqrt(length(text)) - ln(length(text) + 2))), 6) AS value_mae,
+       round(sqrt(avg((sqrt(length(text)) - ln(length(text) + 2)) ** 2)), 6) AS value_rmse,
        round(CASE WHEN count(*) > 1 AND var_pop(sqrt(length(text))) > 0 THEN covar_pop(sqrt(length(text)), ln(length(text) + 2)) / sqrt(var_pop(sqrt(length(text))) * var_pop(ln(length(text) + 2))) END, 6) AS value_pearson
 FROM conversations GROUP BY 1""")
 def curve_metrics_file(spark: SparkSession, folder: str) -> DataFrame:
     target = scratch_path(spark, "curves")
     writers.write_curves(_turn_points(spark, folder), target)
-    schema = "episode_id long, count long, value_mse double, value_pearson double"
+    schema = "episode_id long, count long, value_mse double, value_mae double, value_rmse double, value_pearson double"
     rows = spark.read.schema(schema).json(f"{target}/episode_metrics.json")
-    return rows.withColumns({n: F.round(n, 6) for n in ("value_mse", "value_pearson")})
+    return rows.withColumns({n: F.round(n, 6) for n in ("value_mse", "value_mae", "value_rmse", "value_pearson")})
 
 
-@query("K9 G1", POINTS_SQL)
+@query("K9 G1", POINTS_SQL.replace(" AS value FROM", ' AS value, round(ln(length(text) + 2), 6) AS "return" FROM'))
 def curve_csv_file(spark: SparkSession, folder: str) -> DataFrame:
     target = scratch_path(spark, "curves")
     writers.write_curves(_turn_points(spark, folder), target)
     schema = "episode_id long, frame_index long, value double, `return` double"
     rows = spark.read.schema(schema).option("header", True).csv(f"{target}/episode_curves.csv")
-    return rows.select("episode_id", "frame_index", F.round("value", 6).alias("value"))
+    return rows.select("episode_id", "frame_index", F.round("value", 6).alias("value"), F.round("return", 6).alias("return"))
 
 
 @query("A11 C12 J4 H8", """
@@ -489,8 +555,16 @@ def video_map_sources(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("episode_id", "path", "first_source_frame", "frame_count", "frame_count_inferred", "fps", "expected_first_curve_frame")
 
 
-@query("C12 A3 J3 B15", """
-SELECT doc_id AS episode_id, n_chars AS frame_count, 'videos/cam/chunk-000/file-' AS prefix, n_chars - 1 AS last_source_frame FROM documents""")
+VIDEO_SHARDS_SQL = SHARDS_SQL.replace(str(CAP), str(CAP * 2))
+
+
+@query("C12 A3 J3 B15", f"""
+{VIDEO_SHARDS_SQL},
+begins AS (SELECT shard, min("offset") AS begins FROM sharded GROUP BY 1)
+SELECT episode_index AS episode_id, length AS frame_count, length - 1 AS last_source_frame,
+       concat('videos/cam/chunk-', lpad(CAST(shard // 1000 AS VARCHAR), 3, '0'), '/file-', lpad(CAST(shard % 1000 AS VARCHAR), 3, '0'), '.mp4') AS path,
+       {r6('("offset" - begins) / 25.0')} AS start_seconds
+FROM sharded JOIN begins USING (shard)""")
 def episode_table_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Video ranges of shared shards, checked against their lengths."""
     episodes = document_episodes(spark, folder).select("episode_index", "length", F.array("task").alias("tasks"))
@@ -499,7 +573,7 @@ def episode_table_sources(spark: SparkSession, folder: str) -> DataFrame:
     made = stored(shards.episode_table(episodes, data, video, 25.0, "cam"), "episodes")
     integrity.require_none(align.duration_problems(made, "cam", 25.0), "durations", ["episode_index"])
     rows = align.sources_from_episodes(made, "cam", 25.0, history=3)
-    return rows.select("episode_id", "frame_count", F.substring("path", 1, 26).alias("prefix"), "last_source_frame")
+    return rows.select("episode_id", "frame_count", "path", F.round("start_seconds", 6).alias("start_seconds"), "last_source_frame")
 
 
 @query("K6 C10 J9 D17", f"""
@@ -516,22 +590,61 @@ def augmented_dataset(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _augment(spark: SparkSession, folder: str, output: str, normalisation: str = "task_max") -> DataFrame:
+    frames = event_table(spark, folder)
+    tasks = frames.select("task_index").distinct().withColumn("task", F.concat(F.lit("task "), F.col("task_index").cast("string")))
     return returns_plan.add_returns(
-        spark, event_table(spark, folder), output, success_key="next.success", reduction="last", normalisation=normalisation
+        spark, frames, output, 25.0, tasks=tasks, success_key="next.success", reduction="last", normalisation=normalisation, max_frames=1000
     )
 
 
+@query("K6 K2 K3", f"""
+WITH {EVENT_EPISODES}
+SELECT episode_index, length, concat('task ', task_index) AS task, task_index,
+       coalesce(sum(length) OVER (ORDER BY episode_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS dataset_from_index FROM episodes""")
+def augmented_episodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Episode and task tables of an augmented dataset."""
+    output = scratch_path(spark, "augmented")
+    _augment(spark, folder, output)
+    tasks = readers.read_tasks(spark, f"{output}/meta/tasks.parquet")
+    episodes = readers.read_episodes(spark, output).withColumn("task", F.get("tasks", 0))
+    return episodes.join(tasks, "task").select("episode_index", "length", "task", "task_index", "dataset_from_index")
+
+
+@query("K6 K4 D23", """
+SELECT feature, dtype, (SELECT count(DISTINCT user_id) FROM events) AS total_episodes, (SELECT count(*) FROM events) AS total_frames,
+       (SELECT count(DISTINCT user_id % 5) FROM events) AS total_tasks, 25.0::DOUBLE AS fps
+FROM (VALUES ('episode_index', 'int64'), ('frame_index', 'int64'), ('task_index', 'int64'), ('event_id', 'int64'), ('observed', 'float64'),
+             ('next.success', 'int32'), ('return', 'float32'), ('return_raw', 'float32'), ('episode_success', 'int8')) t(feature, dtype)""")
+def augmented_info(spark: SparkSession, folder: str) -> DataFrame:
+    """The description of an augmented dataset names the new features."""
+    output = scratch_path(spark, "augmented")
+    _augment(spark, folder, output)
+    info = readers.read_info(spark, output)
+    listed = info.select("*", F.explode("features").alias("feature", "f"))
+    return listed.select("feature", "f.dtype", "total_episodes", "total_frames", "total_tasks", "fps")
+
+
 @query("K7 D4 D15", f"""
 WITH {EVENT_RETURNS}
 SELECT 'global_minmax' AS normalisation, CAST(min(raw) AS DOUBLE) AS global_min, CAST(max(raw) AS DOUBLE) AS global_max,
        count(DISTINCT episode_index) AS episodes, count(*) AS frames, max(length) AS longest_episode,
        count(DISTINCT CASE WHEN success THEN episode_index END) AS num_success_episodes,
-       count(DISTINCT CASE WHEN NOT success THEN episode_index END) AS num_failure_episodes, 'next.success' AS success_source FROM returns""")
+       count(DISTINCT CASE WHEN NOT success THEN episode_index END) AS num_failure_episodes, 'next.success' AS success_source,
+       'task_max_episode_length' AS failure_penalty, 'add returns' AS steps,
+       (SELECT string_agg(t || ':' || l, ',' ORDER BY t) FROM (SELECT task_index AS t, max(lmax) AS l FROM returns GROUP BY 1)) AS longest FROM returns""")
 def return_definition(spark: SparkSession, folder: str) -> DataFrame:
     output = scratch_path(spark, "augmented")
     _augment(spark, folder, output, "global_minmax")
-    return spark.read.json(f"{output}/meta/return_definition.json").select(
-        "normalisation", "global_min", "global_max", "episodes", "frames", "longest_episode", "num_success_episodes", "num_failure_episodes", "success_source"
+    schema = (
+        "definition struct<normalization string, global_min double, global_max double, failure_penalty string>, episodes long, frames long, "
+        "longest_episode long, num_success_episodes long, num_failure_episodes long, success_source string, conversion_steps array<string>, "
+        "task_max_episode_length map<string,long>"
+    )
+    longest = F.array_sort(F.transform(F.map_entries("task_max_episode_length"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))))
+    return spark.read.schema(schema).json(f"{output}/meta/return_definition.json").select(
+        F.col("definition.normalization").alias("normalisation"), "definition.global_min", "definition.global_max", "episodes", "frames",
+        "longest_episode", "num_success_episodes", "num_failure_episodes", "success_source", "definition.failure_penalty",
+        F.array_join("conversion_steps", ",").alias("steps"), F.array_join(longest, ",").alias("longest"),
     )
 
 
@@ -542,10 +655,11 @@ WHERE event_type IN ('error', 'view')""")
 def augmentation_differences(spark: SparkSession, folder: str) -> DataFrame:
     """A damaged copy: errors are lost, returns of views are shifted."""
     frames = event_table(spark, folder, "event_type")
-    made = stored(returns.with_returns(frames, event_labels(frames)), "returns")
+    terms = stored(returns.episode_terms(frames, event_labels(frames)), "terms")
+    made = returns.with_returns(frames, event_labels(frames), terms=terms)
     shifted = F.when(F.col("event_type") == "view", F.col("return") + 0.25).otherwise(F.col("return"))
     damaged = made.where(F.col("event_type") != "error").withColumn("return", shifted.cast("float"))
-    return returns.verify_augmented(frames, damaged, made)
+    return returns.verify_augmented(damaged, returns.returns_by_rank(frames, terms))
 
 
 @query("K11 E14", """
@@ -590,22 +704,36 @@ def _scorer_with_states(batch: pd.DataFrame) -> pd.DataFrame:
     return scored.assign(next_state=roots(batch["observed"]), next_state_target=roots(batch["next_observed"]))
 
 
-@query("K13", "SELECT count(*) AS refused FROM (SELECT 1 UNION ALL SELECT 1) WHERE (SELECT count(*) FROM labels) > 0")
+@query("K13", """
+SELECT lang, count(*) AS kept, 3 AS refused FROM documents GROUP BY 1""")
 def refused_overwrites(spark: SparkSession, folder: str) -> DataFrame:
-    """A second write to the same target and a nested target both fail."""
-    path = scratch_path(spark, "split")
-    split = splits.seeded_split(document_episodes(spark, folder), 0.25, 9)
-    writers.write_split(split, path, 9, 0.25)
-    refused = 0
-    try:
-        writers.write_split(split, path, 9, 0.25)
-    except Exception as error:
-        refused += "PATH_ALREADY_EXISTS" in str(error)
-    try:
-        writers.check_output(path, f"{path}/inside")
-    except ValueError:
-        refused += 1
-    return readers.read_split(spark, path).agg(F.max(F.lit(refused)).cast("long").alias("refused"))
+    """One output per language: a second, a nested and a failing write leave it as it was."""
+    base = scratch_path(spark, "outputs")
+    documents = table(spark, folder, "documents").select("doc_id", "lang")
+    languages = sorted(r.lang for r in documents.select("lang").distinct().collect())
+    refused = []
+    for lang in languages:
+        rows, output = documents.where(F.col("lang") == lang), f"{base}/{lang}"
+
+        def fail(root: str, rows: DataFrame = rows) -> None:
+            rows.limit(1).write.parquet(root)
+            raise integrity.IntegrityError("a check at the end")
+
+        publish.published(spark, output, lambda root, rows=rows: rows.write.parquet(root))
+        attempts = (
+            lambda output=output, rows=rows: publish.published(spark, output, lambda root: rows.limit(1).write.parquet(root)),
+            lambda output=output: publish.check_output(spark, output, f"{output}/inside"),
+            lambda output=output, fail=fail: publish.published(spark, f"{output}-checked", fail),
+        )
+        count = 0
+        for attempt in attempts:
+            try:
+                attempt()
+            except (FileExistsError, ValueError):
+                count += 1
+        refused.append((lang, count if not publish.exists(spark, f"{output}-checked") else -1))
+    kept = spark.read.parquet(*[f"{base}/{lang}" for lang in languages]).groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
+    return kept.join(spark.createDataFrame(refused, "lang string, refused int"), "lang")
 
 
 @query("A14 J8 J9 K1 K2 K3 K4 G4", f"""
@@ -622,7 +750,10 @@ WITH sized AS (SELECT conv_id, count(*) AS length FROM conversations GROUP BY 1)
 SELECT 'answer the user' AS task, count(*) AS episodes, CAST(sum(length) AS BIGINT) AS frames,
        count(*) FILTER (conv_id % 2 = 1) AS successful_episodes, max(length) AS longest_episode,
        CAST(min(CASE WHEN conv_id % 2 = 1 THEN 1 - length ELSE 1 - length - (SELECT max(length) FROM sized) END) AS DOUBLE) AS raw_low,
-       CAST(max(CASE WHEN conv_id % 2 = 1 THEN 0 ELSE -(SELECT max(length) FROM sized) END) AS DOUBLE) AS raw_high FROM sized""")
+       CAST(max(CASE WHEN conv_id % 2 = 1 THEN 0 ELSE -(SELECT max(length) FROM sized) END) AS DOUBLE) AS raw_high,
+       round(min(greatest(-1.0, (CASE WHEN conv_id % 2 = 1 THEN 1 - length ELSE 1 - length - (SELECT max(length) FROM sized) END)::DOUBLE / (SELECT max(length) FROM sized))), 5) AS low,
+       round(max(CASE WHEN conv_id % 2 = 1 THEN 0.0 ELSE -1.0 END), 5)::DOUBLE AS high, 10.0::DOUBLE AS fps,
+       count(*) FILTER (conv_id % 2 = 0) AS failed_episodes FROM sized""")
 def conversion_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """The manifest that the same job leaves behind."""
     root = scratch_path(spark, "flat")
@@ -630,6 +761,7 @@ def conversion_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.json(f"{root}/meta/conversion_manifest.json").select(
         "task", "episodes", "frames", "successful_episodes", "longest_episode",
         F.col("raw_range.low").alias("raw_low"), F.col("raw_range.high").alias("raw_high"),
+        F.round("normalised_range.low", 5).alias("low"), F.round("normalised_range.high", 5).alias("high"), "fps", "failed_episodes",
     )
 
 
@@ -675,7 +807,7 @@ def training_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("L2 D18 D19 A5", """
 SELECT conv_id AS episode_index, 'n_chars' AS feature, 0 AS position, min(length(text))::DOUBLE AS min, max(length(text))::DOUBLE AS max,
-       round(avg(length(text)) + 1e-8, 6) AS mean, count(*) AS count FROM conversations GROUP BY 1""")
+       round(avg(length(text)) + 1e-8, 6) AS mean, round(stddev_pop(length(text)) + 1e-8, 6) AS std, count(*) AS count FROM conversations GROUP BY 1""")
 def episode_statistics_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Second migration step, through its nested file."""
     frames = conversation_frames(spark, folder).select("episode_index", "frame_index", "n_chars")
@@ -683,7 +815,7 @@ def episode_statistics_lines(spark: SparkSession, folder: str) -> DataFrame:
     root = scratch_path(spark, "stats")
     writers.write_episode_statistics_lines(statistics.as_episode_lines(parts), root)
     flat = statistics.from_episode_lines(readers.read_episode_statistics_lines(spark, root))
-    return flat.select("episode_index", "feature", "position", "min", "max", F.round(F.col("mean") + 1e-8, 6).alias("mean"), "count")
+    return flat.select("episode_index", "feature", "position", "min", "max", F.round(F.col("mean") + 1e-8, 6).alias("mean"), F.round(F.col("std") + 1e-8, 6).alias("std"), "count")
 
 
 KINDS = 9

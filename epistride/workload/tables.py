@@ -25,7 +25,7 @@ def wall_micros(name: str) -> Column:
     return minutes * 60_000_000 + seconds.cast("long")
 
 
-def event_frames(spark: SparkSession, folder: str, *extra: str, hot_rows: int = 1_000_000) -> DataFrame:
+def event_frames(spark: SparkSession, folder: str, *extra: str, ranges: int = 256) -> DataFrame:
     """Events as frames: a user is an episode, time gives the frame number.
 
     ``purchase`` is the per-frame success flag and ``observed`` the value.
@@ -39,7 +39,7 @@ def event_frames(spark: SparkSession, folder: str, *extra: str, hot_rows: int =
         F.col("value").alias("observed"),
         *extra,
     )
-    return number_rows(events, ["episode_index"], "at", ["event_id"], "frame_index", hot_rows).drop("at")
+    return number_rows(events, ["episode_index"], "at", ["event_id"], "frame_index", ranges).drop("at")
 
 
 def event_table(spark: SparkSession, folder: str, *extra: str) -> DataFrame:

@@ -5,13 +5,18 @@ from pyspark.sql import functions as F
 
 from epistride.functions.versions import migration_steps, normalise_version
 from epistride.operators import integrity, layout, pixels, tasks
-from epistride.plans.add_returns import add_returns
+from epistride.plans.add_returns import add_returns as write_returns
 from epistride.plans.migrations import to_indexed_tasks, with_episode_tasks
 from epistride.plans.training import prepare_training
 from epistride.sources import readers
 from tests.test_returns import frames_of
 
 
+def add_returns(spark, frames, output, **options):
+    tasks = spark.createDataFrame([(i, f"task {i}") for i in range(5)], "task_index long, task string")
+    return write_returns(spark, frames, output, 10.0, tasks=tasks, **options)
+
+
 def labelled(spark):
     frames = frames_of(spark, {0: 3, 1: 2})
     return frames.withColumn("next.success", ((F.col("episode_index") == 0) & (F.col("frame_index") == 2)).cast("int"))
@@ -25,11 +30,44 @@ def test_add_returns_writes_and_verifies(spark, tmp_path):
     assert [r.episode_success for r in got] == [1, 1, 1, 0, 0]
     definition = spark.read.json(f"{out}/meta/return_definition.json").collect()[0]
     assert (definition.num_success_episodes, definition.success_source, definition.success_reduction) == (1, "next.success", "any")
-    assert {r.task_index: r.task_max_length for r in spark.read.json(f"{out}/meta/task_max_length.json").collect()} == {0: 3}
-    with pytest.raises(Exception):
+    assert definition.task_max_episode_length.asDict() == {"0": 3} and definition.definition.normalization == "task_max"
+    manifest = spark.read.json(f"{out}/meta/conversion_manifest.json").collect()[0]
+    assert (manifest.target_version, manifest.steps, manifest.source_was_modified) == ("v3.0", ["add returns"], False)
+    # The output is a dataset like any other.
+    assert readers.read_episodes(spark, out).count() == 2
+    assert sorted(tuple(r) for r in readers.read_tasks(spark, f"{out}/meta/tasks.parquet").collect())[0] == (0, "task 0")
+    info = readers.read_info(spark, out).collect()[0]
+    assert {"return", "return_raw", "episode_success"} <= set(info.features) and (info.total_frames, info.fps) == (5, 10.0)
+    with pytest.raises(FileExistsError):
         add_returns(spark, labelled(spark), out)
 
 
+def test_an_existing_root_is_refused(spark, tmp_path):
+    (tmp_path / "out" / "meta").mkdir(parents=True)
+    (tmp_path / "out" / "meta" / "info.json").write_text("{}")
+    with pytest.raises(FileExistsError):
+        add_returns(spark, labelled(spark), str(tmp_path / "out"))
+    assert not (tmp_path / "out" / "data").exists()
+
+
+def test_nothing_appears_when_the_last_check_fails(spark, tmp_path, monkeypatch):
+    from epistride.operators import returns
+
+    monkeypatch.setattr(returns, "verify_augmented", lambda written, expected, c: expected.select(*c.key, F.lit("return").alias("problem")))
+    with pytest.raises(integrity.IntegrityError, match="written rows differ"):
+        add_returns(spark, labelled(spark), str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+
+
+def test_a_step_column_of_its_own(spark, tmp_path):
+    frames = labelled(spark).withColumn("step", F.col("frame_index") + 5).withColumn("frame_index", F.col("frame_index") * 2)
+    frames = frames.withColumn("next.success", F.col("step") % 2)
+    made = add_returns(spark, frames.where("episode_index = 0"), str(tmp_path / "out"), step="step")
+    assert [r["return_raw"] for r in made.orderBy("frame_index").collect()] == [-2.0, -1.0, 0.0]
+    with pytest.raises(integrity.IntegrityError, match="not consecutive"):
+        add_returns(spark, frames, str(tmp_path / "gap"))
+
+
 def test_success_column_wins_over_the_label_file(spark, tmp_path):
     path = tmp_path / "labels.json"
     path.write_text(json.dumps({"0": False, "1": True}))

@@ -3,6 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from epistride.workload import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -18,9 +19,10 @@ def test_entry(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, oracle, name):
-    assert compare(queries()[name](spark, FOLDER), oracle, oracle_sql()[name]) is None
+    assert compare(QUERIES[name](spark, FOLDER), oracle, ORACLES[name]) is None

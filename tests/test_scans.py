@@ -59,12 +59,12 @@ def test_all_kinds_match_a_loop(spark, seed, block):
             prev = fr
 
 
-@pytest.mark.parametrize("hot_limit", [3, 50, 1_000_000])
-def test_number_rows_splits_hot_keys(spark, hot_limit):
+@pytest.mark.parametrize("ranges", [1, 8, 300])
+def test_number_rows_splits_hot_keys(spark, ranges):
     rnd = random.Random(3)
     data = [(1 if rnd.random() < 0.6 else rnd.randint(2, 30), rnd.randint(0, 500) ** 2, i) for i in range(1500)]
     df = spark.createDataFrame(data, "k long, at long, id long")
-    out = scans.number_rows(df, ["k"], "at", ["id"], "n", hot_rows=hot_limit)
+    out = scans.number_rows(df, ["k"], "at", ["id"], "n", ranges=ranges)
     assert sorted(out.columns) == ["at", "id", "k", "n"]
     want, sizes = {}, {}
     for k, _, i in sorted(data):
@@ -74,14 +74,33 @@ def test_number_rows_splits_hot_keys(spark, hot_limit):
 
 
 def test_hot_keys_are_spread(spark):
-    data = [(1, i, i) for i in range(1000)] + [(k, 0, k) for k in range(2, 30)]
+    # Times of the hot key cluster: equal widths would leave nearly all rows in one range.
+    data = [(1, i if i < 990 else i**3, i) for i in range(1000)] + [(k, 0, k) for k in range(2, 30)]
     df = spark.createDataFrame(data, "k long, at long, id long")
-    plan = scans.number_rows(df, ["k"], "at", ["id"], "n", hot_rows=100)
+    blocks = df.withColumn("b", scans.even_blocks(df, F.col("at"), 10)).where("k = 1").groupBy("b").count().collect()
+    assert len(blocks) >= 9 and max(r["count"] for r in blocks) < 150
+    plan = scans.number_rows(df, ["k"], "at", ["id"], "n", ranges=10)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "__block" in text
     assert plan.where("k = 1").agg(F.max("n")).collect()[0][0] == 999
 
 
+def test_sparse_ids_fill_few_blocks(spark):
+    ids = [i * 10**15 + i % 7 for i in range(500)]
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    sizes = df.groupBy(scans.even_blocks(df, F.col("id"), 8).alias("b")).count().collect()
+    assert len(sizes) <= 9 and max(r["count"] for r in sizes) < 130
+
+
+@pytest.mark.parametrize("gap", [1, 10**15])
+def test_join_episodes_over_distant_frames(spark, gap):
+    frames = [(e, f * gap) for e in (1, 2) for f in range(5)]
+    df = spark.createDataFrame(frames, "e long, f long")
+    spans = df.groupBy("e").agg(F.min("f").alias("first_frame"), F.max("f").alias("last_frame"))
+    out = scans.join_episodes(df, spans, "e", "f", block_rows=2)
+    assert sorted(tuple(r) for r in out.select("e", "f", "__first_frame").collect()) == [(e, f, 0) for e, f in frames]
+
+
 def test_global_rank_over_blocks(spark):
     ids = random.Random(4).sample(range(10_000), 400)
     df = spark.createDataFrame([(i,) for i in ids], "id long")

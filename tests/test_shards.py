@@ -24,7 +24,7 @@ def episodes_of(spark, lengths):
 def test_greedy_shards(spark, seed, cap, levels):
     rnd = random.Random(seed)
     lengths = [rnd.choice([1, 2, 3, 5, cap, cap + 4, 9 * cap]) if rnd.random() < 0.3 else rnd.randint(1, 6) for _ in range(400)]
-    made = shards.episode_shards(episodes_of(spark, lengths), cap, block_episodes=64, level_blocks=levels)
+    made = shards.episode_shards(episodes_of(spark, lengths), cap, blocks=7, level_blocks=levels)
     got = [r.shard for r in made.orderBy("episode_index").collect()]
     assert got == greedy(lengths, cap)
     ranges = shards.shard_ranges(made).orderBy("shard").collect()

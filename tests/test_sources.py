@@ -27,7 +27,7 @@ def test_bad_label_files(spark, tmp_path):
     got = readers.label_file_problems(readers.read_success_labels(spark, str(path)))
     assert sorted(r.entry for r in got.collect()) == sorted(['"x": true', '"2": 2', '"3": "true"', '"4": null', "0"])
     path.write_text("[true, false]")
-    assert readers.label_file_problems(readers.read_success_labels(spark, str(path))).count() == 2
+    assert readers.label_file_problems(readers.read_success_labels(spark, str(path))).count() == 3
 
 
 def test_pretty_split_manifest(spark, tmp_path, rows):
@@ -112,7 +112,7 @@ def test_shards_are_single_files_with_bounded_row_groups(spark, tmp_path):
     # The oversize episode is cut so that no task writes more than the cap.
     assert sum(by_shard["file=1"]) == 25 and max(by_shard["file=1"]) <= 8
     back = readers.read_frames(spark, str(tmp_path / "out"))
-    assert back.count() == 34 and back.columns == frames.columns
+    assert back.count() == 34 and back.columns == [*frames.columns, "chunk", "file"]
     with pytest.raises(Exception, match="ALREADY_EXISTS"):
         writers.write_frames(frames, sharded, str(tmp_path / "out"), 8)
 
@@ -130,8 +130,43 @@ def test_documents_hold_no_non_finite_numbers(spark, tmp_path):
     assert json.loads(text) == {"a": None, "b": [1.0, None]}
 
 
-def test_added_columns_must_be_new(spark):
-    df = spark.range(1)
-    assert writers.add_features(df, {"x": F.lit(1)}).columns == ["id", "x"]
-    with pytest.raises(ValueError):
-        writers.add_features(df, {"id": F.lit(1)})
+def test_label_files_are_json(spark, tmp_path):
+    labels = spark.createDataFrame([(i, i % 3 == 0) for i in range(25)], "episode_index long, success boolean")
+    writers.write_labels(labels, str(tmp_path / "labels"), page_ids=10)
+    files = list((tmp_path / "labels").glob("part-*.txt"))
+    found = {}
+    for f in files:
+        found |= json.loads(f.read_text())
+    assert len(files) == 3 and found == {str(i): i % 3 == 0 for i in range(25)}
+    back = readers.read_success_labels(spark, str(tmp_path / "labels"))
+    assert readers.label_file_problems(back).count() == 0
+    assert {r.episode_index: r.success for r in back.collect()} == {i: i % 3 == 0 for i in range(25)}
+
+
+@pytest.mark.parametrize(
+    "text, entries",
+    [
+        ('{"0": true, "1": false}', []),
+        ('{\n  "0": true,\n  "1": 0\n}\n', []),
+        ("{}", []),
+        (" { }\n", []),
+        ('{"0": true, "1": false', ["not one object: f.json"]),
+        ('"0": true, "1": false}', ["not one object: f.json"]),
+        ('{"0": true}{"1": false}', ['"0": true}{"1": false']),
+        ('{"0": true}, {"1": false}', ["not one object: f.json"]),
+        ('{"0": true,}', [""]),
+        ('{"0": true}, "1": false', ["not one object: f.json"]),
+        ("[true, false]", ["not one object: f.json"]),
+        ('{"0": "true"}', ['"0": "true"']),
+    ],
+)
+def test_malformed_label_files(spark, tmp_path, text, entries):
+    (tmp_path / "f.json").write_text(text)
+    problems = [r.entry for r in readers.label_file_problems(readers.read_success_labels(spark, str(tmp_path / "f.json"))).collect()]
+    assert set(entries) <= set(problems) and bool(problems) == bool(entries)
+
+
+def test_large_ids_in_curves(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"curves": [{"episode_id": 9007199254740993, "frame_indices": [0, 1.0, 2e0], "values": [1, 2, 3]}]}')
+    got = readers.read_curves(spark, str(tmp_path / "c.json")).orderBy("frame_index").collect()
+    assert [tuple(r) for r in got] == [(9007199254740993, 0, 1.0), (9007199254740993, 1, 2.0), (9007199254740993, 2, 3.0)]

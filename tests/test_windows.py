@@ -42,7 +42,7 @@ def test_window_problems(spark):
 
 def test_batches_and_epochs(spark):
     frames = frames_of(spark, {e: 5 + e for e in range(6)})
-    numbered = windows.window_numbers(frames, 2, block_episodes=2)
+    numbered = windows.window_numbers(frames, 2, blocks=3)
     assert sorted(r["rank"] for r in numbered.collect()) == list(range(1, numbered.count() + 1))
     total = numbered.count()
     assert windows.batches(numbered, 4, True).count() == total // 4 * 4
