@@ -40,10 +40,13 @@ def history_windows(
     fields: Sequence[str],
     c: Columns = COLUMNS,
     block_rows: int = BLOCK_ROWS,
+    over_gaps: bool = False,
 ) -> DataFrame:
     """One row per window with ``steps``, an array of ``history + 1`` structs.
 
-    Frames must be consecutive within an episode (see ``uneven_episodes``).
+    Frames should be consecutive within an episode (see ``uneven_episodes``).
+    A window that would reach over a gap is left out; ``over_gaps`` keeps it,
+    for ``window_problems`` to report.
     """
     _check_history(history)
     if block_rows < history:
@@ -61,9 +64,11 @@ def history_windows(
     )
     step = F.struct(named(c.frame).alias("frame"), *[named(f).alias(f) for f in fields])
     steps = F.collect_list(step).over(ahead)
+    unbroken = F.element_at("steps", -1).getField("frame") - F.col("start_frame") == history
     return (
         spread.select(named(c.episode), named(c.frame).alias("start_frame"), "__block", steps.alias("steps"))
         .where((F.size("steps") == history + 1) & (position_block(F.col("start_frame"), block_rows) == F.col("__block")))
+        .where(F.lit(over_gaps) | unbroken)
         .select(
             named(c.episode).alias("episode_id"),
             sample_id(named(c.episode), F.col("start_frame")).alias("sample_id"),

@@ -321,7 +321,7 @@ SELECT concat(conv_id, ':', turn) AS sample_id, 'task changes' AS problem FROM (
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 WHERE c IS NOT NULL AND (a <> role OR b <> role OR c <> role)""")
 def window_problems(spark: SparkSession, folder: str) -> DataFrame:
-    made = windows.history_windows(conversation_frames(spark, folder), HISTORY, ["role"])
+    made = windows.history_windows(conversation_frames(spark, folder), HISTORY, ["role"], over_gaps=True)
     return windows.window_problems(made, task="role")
 
 

@@ -35,7 +35,8 @@ def test_endpoint_follows_the_mask(spark):
 def test_window_problems(spark):
     rows = [(0, 0, 0, 1.0), (0, 1, 0, float("nan")), (0, 3, 1, 1.0)]
     df = spark.createDataFrame(rows, "episode_index long, frame_index long, task_index long, x double")
-    made = windows.history_windows(df, 2, ["task_index", "x"])
+    assert windows.history_windows(df, 2, ["task_index", "x"]).count() == 0
+    made = windows.history_windows(df, 2, ["task_index", "x"], over_gaps=True)
     found = windows.window_problems(made, "task_index", ["x"]).collect()
     assert sorted(r.problem for r in found) == ["frames not consecutive", "task changes", "x not finite"]
 
