@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 #: A task works on so many bytes of text at a time; one longer text makes a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def prepared(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -18,12 +18,17 @@ def prepared(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in order, in batches of about ``limit`` bytes of ``column``."""
+def slices(
+    batches: Iterator[pa.RecordBatch], column: str | int = "text", limit: int = SLICE_BYTES, inside: str | None = None
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in order, in batches of about ``limit`` bytes of ``column``, or of its field ``inside``."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        texts = batch.column(column)
+        if inside is not None:
+            texts = texts.field(inside)
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         block = (np.cumsum(size) - size) // limit
         edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for start, end in zip(edges, edges[1:]):

@@ -187,7 +187,7 @@ def clean_documents(
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             windows = Windows(held.value, window)
-            for batch in batches:
+            for batch in slices(batches, place):
                 clean = [not windows.scan(normal_words((t or "").encode()))[0] for t in batch.column(place).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

@@ -104,7 +104,7 @@ def kept_below(docs: DataFrame, score: Callable[[list[bytes]], np.ndarray], thre
     place = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, place):
             texts = [(t or "").encode() for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(np.asarray(score(texts)) < threshold))
 

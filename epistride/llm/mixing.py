@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from epistride.llm.arrow import slices
 from epistride.llm.keyed import spread_lookup
 from epistride.session import stored
 
@@ -215,7 +216,7 @@ def mixed_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = names.index(text_col)
-        for batch in batches:
+        for batch in slices(batches, "row", inside=text_col):
             rows = pa.RecordBatch.from_struct_array(batch.column("row"))
             passes, ranges = batch.column("passes").to_pylist(), batch.column("ranges").to_pylist()
             whole = [i for i, n in enumerate(passes) for _ in range(n)]

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Long texts are worked on in parts of about so many bytes, cut between tokens.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
