@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from epistride.llm.arrow import prepared, slices
 
 #: A classifier is fitted on at most so many rows of either label.
-ROWS_PER_LABEL = 6_000
+ROWS_PER_LABEL = 4_000
 
 
 def folded(doc_id: Column, folds: int) -> Column:

@@ -77,8 +77,12 @@ def fit(data: Sample, epochs: int = EPOCHS, alpha: float = 0.5, beta: float = 1.
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     if len(np.unique(data.labels)) < 2:
         return Regression(bias, np.zeros(1 << BITS, np.float32))
-    counted = [np.unique(f[1:], return_counts=True) for f in data.features]
-    sparse = [(i, SCALE * c / max(1, int(f[0]))) for (i, c), f in zip(counted, data.features)]
+
+    def sparse_row(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        feature, count = np.unique(found[1:], return_counts=True)
+        return feature, (SCALE * count / max(1, int(found[0]))).astype(np.float32)
+
+    sparse = [sparse_row(f) for f in data.features]
     rng = np.random.default_rng(seed)
     bias_n = 0.0
 
@@ -87,7 +91,7 @@ def fit(data: Sample, epochs: int = EPOCHS, alpha: float = 0.5, beta: float = 1.
 
     for _ in range(epochs):
         for row in rng.permutation(len(data)):
-            i, x = sparse[row]
+            i, x = sparse[row][0], sparse[row][1].astype(np.float64)
             zi, ni = z[i], n[i]
             w = leader(zi, ni)
             error = float(data.weights[row]) * (float(sigmoid(np.array(bias + w @ x))) - float(data.labels[row]))

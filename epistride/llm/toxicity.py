@@ -22,8 +22,10 @@ BITS = 20
 STEMS = (None, 4, 5, 6)
 #: Terms that the machine may use: those that tell most about the label in the sample.
 TERMS = 4096
+#: Twice the logarithm of the likelihood ratio that a term must reach; chance gives some sixty in a million.
+EVIDENCE = 16.0
 FACTORS = 8
-EPOCHS = 12
+EPOCHS = 24
 THRESHOLD = 0.7
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -73,25 +75,33 @@ class Machine:
         return sigmoid(z)
 
 
-def telling_terms(data: Sample, most: int = TERMS) -> np.ndarray:
-    """The hashed terms whose presence is most unevenly spread over the labels, by log odds and frequency."""
-    counts = [
-        np.bincount(np.concatenate([f for f, y in zip(data.features, data.labels) if y == label] or [np.zeros(0, np.uint32)]), minlength=1 << BITS)
-        for label in (0, 1)
-    ]
+def telling_terms(data: Sample, most: int = TERMS, evidence: float = EVIDENCE) -> np.ndarray:
+    """The hashed terms that tell most about the label, by the likelihood ratio of their presence.
+
+    Terms below ``evidence`` are spread over the labels as chance may spread them.
+    """
+    counts = [np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)]
+    for found, label in zip(data.features, data.labels):
+        counts[int(label)][found] += 1  # a text's terms are distinct
     n = [max(1, int((data.labels == label).sum())) for label in (0, 1)]
-    shares = [(c + 0.5) / (size + 1) for c, size in zip(counts, n)]
     total = counts[0] + counts[1]
-    gain = np.abs(np.log(shares[1]) - np.log(shares[0])) * np.sqrt(total) * (total >= 4)
-    order = np.argsort(-gain, kind="stable")[:most]
-    return order[gain[order] > 0]
-
-
-def fit(data: Sample, most: int = TERMS, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 5) -> Machine:
+    ratio = np.zeros(1 << BITS)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for seen, size in zip(counts, n):
+            for part, whole in ((seen, total), (size - seen, sum(n) - total)):
+                ratio += np.where(part > 0, 2 * part * np.log(part / (whole * (size / sum(n)))), 0)
+    order = np.argsort(-ratio, kind="stable")[:most]
+    return order[ratio[order] >= evidence]
+
+
+def fit(
+    data: Sample, most: int = TERMS, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 5, evidence: float = EVIDENCE,
+    rate: float = 0.01, decay: tuple[float, float] = (1e-4, 1e-2),
+) -> Machine:
     """A machine for the sample; without both labels it gives their share to every text."""
     share = (float((data.labels * data.weights).sum()) + 1) / (float(data.weights.sum()) + 2)
     place = np.full(1 << BITS, -1, np.int32)
-    terms = telling_terms(data, most) if len(np.unique(data.labels)) == 2 else np.zeros(0, np.int64)
+    terms = telling_terms(data, most, evidence) if len(np.unique(data.labels)) == 2 else np.zeros(0, np.int64)
     place[terms] = np.arange(len(terms))
     rng = np.random.default_rng(seed)
     state = [np.zeros(1), np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), factors))]
@@ -108,14 +118,14 @@ def fit(data: Sample, most: int = TERMS, factors: int = FACTORS, epochs: int = E
             error = (sigmoid(z) - data.labels[rows]) * data.weights[rows] / len(rows)
             slopes = [
                 np.array([error.sum()]),
-                x.T @ error + 1e-5 * state[1],
-                x.T @ (error[:, None] * inner) - (x.T @ error)[:, None] * state[2] + 1e-4 * state[2],
+                x.T @ error + decay[0] * state[1],
+                x.T @ (error[:, None] * inner) - (x.T @ error)[:, None] * state[2] + decay[1] * state[2],
             ]
             step += 1
             for s, g, m, v in zip(state, slopes, first, second):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
-                s -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                s -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Machine(place, float(state[0][0]), state[1], state[2])
 
 

@@ -52,7 +52,8 @@ def test_interactions_are_learnt():
         features.append(np.unique(np.r_[np.flatnonzero(has), noise]).astype(np.uint32))
         labels.append(float(has[0] ^ has[1]))  # neither term alone tells the label
     data = Sample(features, np.array(labels, np.float32), np.ones(1200, np.float32))
-    model = toxicity.fit(data, epochs=60)
+    # Neither term is telling by itself, so all may be used.
+    model = toxicity.fit(data, epochs=60, evidence=0.0)
     place = model.place
 
     def z(terms):
@@ -62,6 +63,7 @@ def test_interactions_are_learnt():
 
     assert z([0]) > z([0, 1]) and z([1]) > z([0, 1])
     assert (place >= 0).sum() <= toxicity.TERMS
+    assert (toxicity.fit(data).place >= 0).sum() == 0
 
 
 def test_machine_scores_as_the_formula():
