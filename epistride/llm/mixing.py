@@ -25,7 +25,7 @@ from epistride.session import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 64
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 200_000
 _WORD = re.compile(WORD.encode())
 
 
