@@ -22,8 +22,8 @@ from epistride.llm.arrow import prepared, record_batch, slices
 
 ROW_TOKENS = 4096
 PAD = 0
-#: A task packs about so many tokens together.
-SHARD_TOKENS = 4_000_000
+#: A task packs the tokens of about so many bytes of text together.
+SHARD_BYTES = 10_000_000
 #: Longer texts are encoded in parts of about so many characters.
 PART_CHARS = 1 << 20
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -149,7 +149,7 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 PACKED = "shard int, row int, ids binary, n_tokens int, cu_seqlens array<int>, positions binary, doc_ids array<bigint>, pieces array<int>"
 
 
-def packed_rows(pieces: DataFrame, row_tokens: int = ROW_TOKENS) -> DataFrame:
+def packed_rows(pieces: DataFrame, shards: int, row_tokens: int = ROW_TOKENS) -> DataFrame:
     """One row per row of the packed matrix.
 
     ids holds ``row_tokens`` uint16 ids (padded with ``PAD``), cu_seqlens the
@@ -158,9 +158,7 @@ def packed_rows(pieces: DataFrame, row_tokens: int = ROW_TOKENS) -> DataFrame:
     doc_ids and pieces the segments' origin. Pieces are dealt to shards by a
     hash, of a document's pieces each for itself; a task packs one shard.
     """
-    total = pieces.agg(F.sum("n")).first()[0] or 0
-    shards = int(-(-total // SHARD_TOKENS)) or 1
-    dealt = pieces.select("id", "piece", "n", "ids", F.xxhash64("id", "piece").alias("place")).repartition(shards, "place")
+    dealt = pieces.select("id", "piece", "n", "ids", F.xxhash64("id", "piece", "ids").alias("place")).repartition(shards, "place")
     dealt = dealt.sortWithinPartitions(F.desc("n"), "place", "id", "piece").withColumn("shard", F.spark_partition_id())
     schema = pa.schema(
         [("shard", pa.int32()), ("row", pa.int32()), ("ids", pa.binary()), ("n_tokens", pa.int32()), ("cu_seqlens", pa.list_(pa.int32())),
@@ -190,10 +188,13 @@ def packed_rows(pieces: DataFrame, row_tokens: int = ROW_TOKENS) -> DataFrame:
 
 
 def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Packed rows of all texts; see ``packed_rows``. Nothing for an empty table."""
-    from epistride.session import stored
+    """Packed rows of all texts; see ``packed_rows``. Nothing for an empty table.
 
-    return packed_rows(stored(token_pieces(docs, row_tokens, id_col, text_col, vocabulary), "token-pieces"), row_tokens)
+    The number of shards follows the bytes of text, so a task's share is bounded.
+    """
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")) + 1)).first()[0] or 0
+    shards = int(-(-total // SHARD_BYTES)) or 1
+    return packed_rows(token_pieces(docs, row_tokens, id_col, text_col, vocabulary), shards, row_tokens)
 
 
 def unpack(packed: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def test_unpack(spark, folder):
     docs = queries.table(spark, folder, "documents")
     pieces = packing.token_pieces(docs, 64)
     rows = lambda df: sorted((r.id, r.piece, r.n, bytes(r.ids)) for r in df.collect())
-    assert rows(packing.unpack(packing.packed_rows(pieces, 64))) == rows(pieces)
+    assert rows(packing.unpack(packing.packed_rows(pieces, 3, 64))) == rows(pieces)
 
 
 def plain_best_fit(sizes, capacity):
