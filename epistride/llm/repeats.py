@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from epistride.llm.arrow import record_batch
+from epistride.llm.arrow import record_batch, slices
 from epistride.llm.terms import _power, mixed
 from epistride.session import stored
 
@@ -38,9 +38,11 @@ _PLACE_BITS = 20
 _BUFFER = 1 << _PLACE_BITS
 _LOW = np.uint64(_BUFFER - 1)
 #: More contexts of one first symbol are compared over a shuffle by string instead of in one task.
-CROWDED = 4_000
+CROWDED = 1_000
 #: Rows that a task merges.
 ROWS_PER_TASK = 400_000
+#: Compressed bytes that a task opens at a time.
+_PACKED_BYTES = 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 #: Removed strings in a compact form: first start, number of starts less one, anchor's place behind the first start.
@@ -117,7 +119,7 @@ def _buffers(keys: list[int], texts: list[bytes]) -> Iterator[tuple[bytes, list[
 
 def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A shard's anchors in the order of their symbols."""
-    for batch in batches:
+    for batch in slices(batches):
         for buffer, keys, ends, offsets in _buffers(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
             found = _anchors(buffer, ends)
             if found is None:
@@ -334,7 +336,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 1)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             sizes = pa.array([len(t) for t in texts], pa.int64())
             data = pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())
@@ -351,7 +353,7 @@ def _unpacked(batch: pa.RecordBatch) -> Iterator[bytes]:
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("key", pa.int64()), ("place", pa.int64()), ("first", pa.int64()), ("repeated", pa.bool_()), ("crowded", pa.bool_()), ("context", pa.binary())])
-    for batch in batches:
+    for batch in slices(batches, "data", _PACKED_BYTES):
         out: list[tuple] = []
         for key, text, wanted in zip(batch.column("key").to_pylist(), _unpacked(batch), batch.column("wanted").to_pylist()):
             for w in wanted:
@@ -396,22 +398,22 @@ def repeated_ranges(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
 
 
 
-def _without(text: bytes, ranges: list[dict[str, int]]) -> tuple[bytes, int, int]:
-    """What stays of the text, the number of bytes removed, the number of maximal removed runs."""
-    kept, at, removed, spans = [], 0, 0, 0
-    reach = -1
-    for r in sorted(ranges, key=lambda r: r["start"]):
-        if r["start"] > reach:
-            spans += 1
-            kept.append(text[max(at, 0) : r["start"]])
-            reach = r["end"]
-            removed += r["end"] - r["start"]
-        elif r["end"] > reach:
-            removed += r["end"] - reach
-            reach = r["end"]
-        at = reach
-    kept.append(text[at:])
-    return b"".join(kept), removed, spans
+def _joined_ranges(ranges: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the maximal runs that each row's ranges cover, in order."""
+    listed = ranges.fill_null([]) if ranges.null_count else ranges
+    row = np.repeat(np.arange(len(listed)), np.diff(listed.offsets.to_numpy()))
+    flat = listed.flatten()
+    start, end = (np.asarray(flat.field(name)) for name in ("start", "end"))
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    if not len(row):
+        return row, start, end
+    # Rows one behind the other on one line: what has been reached so far then never leads into the next row.
+    shift = row * (int(end.max()) + 2)
+    reach = np.maximum.accumulate(end + shift)
+    head = np.r_[True, (start + shift)[1:] > reach[:-1]]
+    last = np.r_[np.flatnonzero(head)[1:], len(row)] - 1
+    return row[head], start[head], reach[last] - shift[last]
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED, keep_bytes: bool = True) -> DataFrame:
@@ -430,16 +432,25 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = plain.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [_without(text, ranges or []) for text, ranges in zip(_unpacked(batch), batch.column("ranges").to_pylist())]
+        for batch in slices(batches, "data", _PACKED_BYTES):
+            row, start, end = _joined_ranges(batch.column("ranges"))
+            count = batch.num_rows
+            removed = np.bincount(row, end - start, count).astype(np.int64)
+            at = np.searchsorted(row, np.arange(count + 1))
+            kept = []
+            for text, a, b in zip(_unpacked(batch), at, at[1:]):
+                if a < b:
+                    edges = [0, *np.stack([start[a:b], end[a:b]], axis=1).ravel().tolist(), len(text)]
+                    text = b"".join([text[x:y] for x, y in zip(edges[::2], edges[1::2])])
+                kept.append(text)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
                     batch.column("n"),
-                    pa.array([d[1] for d in done], pa.int64()),
-                    pa.array([d[2] for d in done], pa.int64()),
-                    pa.array([d[0] if keep_bytes else None for d in done], pa.binary()),
-                    pa.array([hashlib.sha256(d[0]).hexdigest() for d in done], pa.string()),
+                    pa.array(removed),
+                    pa.array(np.diff(at).astype(np.int64)),
+                    pa.array(kept, pa.binary()) if keep_bytes else pa.nulls(count, pa.binary()),
+                    pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
                 ],
                 names=["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
             )
