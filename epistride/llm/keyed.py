@@ -16,6 +16,12 @@ def salt_of(*row_id: Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*row_id), F.lit(salts)).cast("int")
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A digest of a row's id and text; null ids have one of their own, a null text counts as empty."""
+    named = F.coalesce(F.sha2(F.col(id_col).cast("string"), 256), F.lit(""))
+    return F.sha2(F.concat(named, F.lit("|"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256)
+
+
 def spread_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], row_id: Sequence[str], how: str = "inner") -> DataFrame:
     """Join ``rows`` with ``table`` (one row per key) without bringing a key's rows together.
 

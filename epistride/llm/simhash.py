@@ -12,7 +12,7 @@ compared bit by bit.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from epistride.llm.arrow import prepared, record_batch, slices
-from epistride.llm.keyed import components, spread_lookup
+from epistride.llm.keyed import components, row_key, spread_lookup
 from epistride.session import stored
 
 SHINGLE = 4
@@ -280,14 +280,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: Callable[[DataFrame, str, str], DataFrame] = near_duplicates
+) -> DataFrame:
     """One row of each component, that of the least id, with all its columns.
 
-    Of rows that repeat this id one stays. Where all ids of a component are
-    null, one row of null id stays for all such components.
+    ``near`` gives (id, component_id) of every row. Rows count as what their id
+    and text are: other rows that repeat an id, or have none, stay unless they
+    belong to the same component. Null ids come last, equal ids by a digest.
     """
-    near = near_duplicates(docs, id_col, text_col)
-    kept = stored(near.filter(F.col("component_id").eqNullSafe(F.col("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    single = docs.join(kept.filter("n = 1"), docs[id_col].eqNullSafe(kept["id"]), "left_semi")
-    repeated = docs.join(kept.filter("n > 1"), docs[id_col].eqNullSafe(kept["id"]), "left_semi")
-    return single.union(repeated.dropDuplicates([id_col]))
+    key = row_key(id_col, text_col)
+    named = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key"))
+    found = near(docs.select(named.alias("id"), F.col(text_col).alias("text")), "id", "text")
+    kept = found.filter(F.col("component_id") == F.col("id")).groupBy(F.col("id.key").alias("_kept")).agg(F.count(F.lit(1)).alias("_n"))
+    kept = stored(kept, "kept")
+    keyed = docs.withColumn("_row_key", key)
+    single = keyed.join(kept.filter("_n = 1"), F.col("_row_key") == F.col("_kept"), "left_semi")
+    repeated = keyed.join(kept.filter("_n > 1"), F.col("_row_key") == F.col("_kept"), "left_semi")
+    return single.union(repeated.dropDuplicates(["_row_key"])).drop("_row_key")

@@ -176,3 +176,12 @@ def test_long_text_in_pieces(monkeypatch):
 def test_spark_hash_is_the_same(spark):
     row = spark.createDataFrame([("the quick brown fox",)], "s string").select(F.xxhash64("s").alias("h")).first()
     assert row.h & (2**64 - 1) == xxhash.xxh64_intdigest(b"the quick brown fox", 42)
+
+
+def test_rows_that_share_an_id_or_have_none(spark, table):
+    a, b, c = ("first text about the harbour", "second one on mountain paths", "third of bread and its baker")
+    kept = lambda rows: sorted((str(r.doc_id), r.text) for r in simhash.keep_one(table(rows)).collect())
+    assert kept([(None, a, "s"), (None, b, "s"), (None, b, "s")]) == [("None", a), ("None", b)]
+    assert kept([(1, a, "s"), (1, b, "s"), (2, c, "s")]) == [("1", a), ("1", b), ("2", c)]
+    # Id 2 comes from a component of its own and from that of id 1.
+    assert kept([(1, a, "s"), (2, a, "s"), (2, b, "s")]) == [("1", a), ("2", b)]
