@@ -38,8 +38,8 @@ GOLAY_GENERATOR = 0b110001110101
 GOLAY_LENGTH = 23
 
 
-def _word_pieces(data: bytes) -> Iterator[list[bytes]]:
-    """The text's words, in runs that overlap by ``SHINGLE - 1`` words."""
+def _word_pieces(data: bytes, width: int) -> Iterator[list[bytes]]:
+    """The text's words, in runs that overlap by ``width - 1`` words."""
     kept: list[bytes] = []
     start = 0
     while start < len(data):
@@ -49,31 +49,37 @@ def _word_pieces(data: bytes) -> Iterator[list[bytes]]:
             end = found.end() if found else end
         words = kept + data[start:end].split()
         start = end
-        if len(words) >= SHINGLE or start == len(data):
+        if len(words) >= width or start == len(data):
             yield words
-            kept = words[1 - SHINGLE :]
+            kept = words[len(words) - width + 1 :]
         else:
             kept = words
 
 
-def fingerprint(data: bytes) -> int:
-    """The SimHash of a text's word shingles; 0 where it has no word."""
-    digest, ones, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0
-    for words in _word_pieces(data.lower()):
-        if not words or (len(words) < SHINGLE and total):
+def shingle_hashes(data: bytes, width: int) -> Iterator[np.ndarray]:
+    """The hashes (uint64) of the text's word shingles, a run at a time; fewer words than ``width`` are one shingle."""
+    digest, total = xxhash.xxh64_intdigest, 0
+    for words in _word_pieces(data, width):
+        if not words or (len(words) < width and total):
             continue
         joined = b" ".join(words)
         at = [0, *accumulate(len(w) + 1 for w in words)]
-        if len(words) < SHINGLE:
+        if len(words) < width:
             hashes = [digest(joined, SEED)]
         else:
-            hashes = [digest(joined[a : b - 1], SEED) for a, b in zip(at, at[SHINGLE:])]
-        bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int64)
+            hashes = [digest(joined[a : b - 1], SEED) for a, b in zip(at, at[width:])]
         total += len(hashes)
-    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big") if total else 0
+        yield np.array(hashes, np.uint64)
 
 
+def fingerprint(data: bytes) -> int:
+    """The SimHash of a text's word shingles; 0 where it has no word."""
+    ones, total = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(data.lower(), SHINGLE):
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones += bits.sum(axis=0, dtype=np.int64)
+        total += len(hashes)
+    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big") if total else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
