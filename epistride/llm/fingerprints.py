@@ -1,12 +1,13 @@
 """Homomorphic multiset fingerprints of a text's paragraphs.
 
 Each paragraph (a line that is not blank) is hashed to a wide vector; a text's
-fingerprint is the sum of its paragraphs' vectors modulo 2^16 in every lane.
+fingerprint is the sum of its paragraphs' vectors, lane by lane.
 The order of paragraphs plays no part, and a paragraph is inserted or deleted
 by one addition or subtraction. The vector has two parts: lanes expanded from
-the paragraph's digest, in which unequal multisets differ everywhere, and
-lanes in which each three-word shingle of the paragraph adds 1 or -1 in one
-place. The second part's inner products estimate how much two texts share.
+the paragraph's digest, modulo 2^16, in which unequal multisets differ
+everywhere, and lanes modulo 2^32 in which each three-word shingle of the
+paragraph adds 1 or -1 in one place. The second part's inner products estimate
+how much two texts share; a count below 2^31 never wraps.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from epistride.llm.terms import PART_BYTES, WORDS, Tokens, mixed
 
 EXACT_LANES = 512
 SKETCH_LANES = 512
-LANES = EXACT_LANES + SKETCH_LANES
+#: In units of 16 bits; a sketch lane takes two, the lower half first.
+LANES = EXACT_LANES + 2 * SKETCH_LANES
 SHINGLE = 3
 
 
@@ -75,20 +77,34 @@ def _sketches(units: list[tuple[int, bytes]], rows: int) -> np.ndarray:
     return out.reshape(rows, SKETCH_LANES).astype(np.int64)
 
 
+def _exact(vector: np.ndarray) -> np.ndarray:
+    return vector[..., :EXACT_LANES]
+
+
+def _counts(vector: np.ndarray) -> np.ndarray:
+    """The sketch lanes as uint32."""
+    return np.ascontiguousarray(vector[..., EXACT_LANES:].astype("<u2")).view("<u4")
+
+
+def _vector(exact: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([exact, np.ascontiguousarray(counts.astype("<u4")).view("<u2")], axis=-1)
+
+
 def vectors(texts: Sequence[bytes]) -> np.ndarray:
-    """The fingerprint vector (uint16) of each text; no paragraph gives zeros."""
-    out = np.zeros((len(texts), LANES), np.uint16)
+    """The fingerprint vector (uint16 units) of each text; no paragraph gives zeros."""
+    exact = np.zeros((len(texts), EXACT_LANES), np.uint16)
+    counts = np.zeros((len(texts), SKETCH_LANES), np.uint32)
     units: list[tuple[int, bytes]] = []
     size = 0
 
     def add() -> None:
         rows = sorted({r for r, _ in units})
         number = {r: i for i, r in enumerate(rows)}
-        out[rows, EXACT_LANES:] += _sketches([(number[r], p) for r, p in units], len(rows)).astype(np.uint16)
+        counts[rows] += _sketches([(number[r], p) for r, p in units], len(rows)).astype(np.uint32)
 
     for row, text in enumerate(texts):
         for paragraph in paragraphs(text):
-            out[row, :EXACT_LANES] += np.frombuffer(hashlib.shake_128(paragraph).digest(2 * EXACT_LANES), "<u2")
+            exact[row] += np.frombuffer(hashlib.shake_128(paragraph).digest(2 * EXACT_LANES), "<u2")
             for part in _word_parts(paragraph):
                 if units and size + len(part) > PART_BYTES:
                     add()
@@ -97,26 +113,29 @@ def vectors(texts: Sequence[bytes]) -> np.ndarray:
                 size += len(part) + 1
     if units:
         add()
-    return out
+    return _vector(exact, counts)
 
 
 def inserted(vector: np.ndarray, paragraph: bytes) -> np.ndarray:
-    return vector + vectors([paragraph])[0]
+    new = vectors([paragraph])[0]
+    return _vector(_exact(vector) + _exact(new), _counts(vector) + _counts(new))
 
 
 def deleted(vector: np.ndarray, paragraph: bytes) -> np.ndarray:
-    return vector - vectors([paragraph])[0]
+    old = vectors([paragraph])[0]
+    return _vector(_exact(vector) - _exact(old), _counts(vector) - _counts(old))
 
 
 def digest(vector: np.ndarray) -> str:
-    """A short name of a fingerprint; equal multisets of paragraphs have equal names."""
-    return hashlib.sha256(vector.astype("<u2").tobytes()).hexdigest()
+    """A short name of a fingerprint, over the lower 16 bits of its lanes; equal multisets of paragraphs have equal names."""
+    low = np.concatenate([_exact(vector), _counts(vector).astype(np.uint16)])
+    return hashlib.sha256(low.astype("<u2").tobytes()).hexdigest()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated share of common shingles (2 * common / (of a + of b)), row by row; 1 for equal vectors."""
-    x = a[:, EXACT_LANES:].astype(np.int16).astype(np.float64)
-    y = b[:, EXACT_LANES:].astype(np.int16).astype(np.float64)
+    x = _counts(a).view("<i4").astype(np.float64)
+    y = _counts(b).view("<i4").astype(np.float64)
     both = (x * x).sum(1) + (y * y).sum(1)
     shared = np.clip(2 * (x * y).sum(1) / np.maximum(both, 1), 0, 1)
     return np.where((a == b).all(1), 1.0, shared)

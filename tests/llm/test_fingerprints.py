@@ -95,3 +95,16 @@ def test_vectors_of_rows(spark, table):
     assert (got[1].paragraphs, got[2].paragraphs) == (2, 0)
     assert bytes(got[1].vector) == fingerprints.vectors([b"a b\nc"])[0].astype("<u2").tobytes()
     assert not any(got[2].vector)
+
+
+@pytest.mark.parametrize("n", [33_000, 40_000, 60_000, 70_000])
+def test_a_word_repeated_often_keeps_its_likeness(n):
+    rng = np.random.default_rng(1)
+    whole, half = "word " * n, "word " * (n // 2)
+    part = half + " ".join(f"v{i}" for i in rng.integers(0, 10**6, n // 2))
+    v = fingerprints.vectors([whole.encode(), part.encode()])
+    # One lane holds n in one and n / 2 in the other: 2 * n * n/2 / (n * n + n/2 * n/2).
+    assert float(fingerprints.likeness(v[:1], v[1:])[0]) == pytest.approx(0.8, abs=0.01)
+    twice = fingerprints.inserted(v[0], whole.encode())
+    assert (twice == fingerprints.vectors([(whole + "\n" + whole).encode()])[0]).all()
+    assert (fingerprints.deleted(twice, whole.encode()) == v[0]).all()
