@@ -1,11 +1,13 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-Each source gets a target in words. Documents are dealt to shards by a seeded
-hash, so that a shard holds a bounded number of words. In each shard the
-sources' claims (their targets' share by the words they have there) compete
-for blocks of equal size: block after block goes to the highest quotient
-claim / (2 * blocks + 1). A source's quota is taken from its own sequence of
-documents: whole passes first, then blocks in seeded order.
+Each source gets a target in words. The targets compete for blocks of equal
+size: block after block goes to the highest quotient target / (2 * blocks + 1).
+Documents are dealt to shards by a seeded hash, so that a shard holds a bounded
+number of words. A source's quota, fixed in this way over all shards, is dealt
+to them by differences of its rounded cumulative claims, so that the shards'
+words add up to it at any number of shards. In a shard they are taken from the
+source's own sequence of documents: whole passes first, then blocks in seeded
+order.
 """
 
 from __future__ import annotations
@@ -89,11 +91,10 @@ def sainte_lague(claims: np.ndarray, blocks: int) -> np.ndarray:
         quotas[high] += 1
 
 
-def _shard_quotas(rows: pd.DataFrame) -> pd.DataFrame:
+def _source_quotas(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("src", kind="stable")
-    claims = rows["claim"].to_numpy()
-    blocks = int(np.floor(claims.sum() / BLOCK_WORDS + 0.5))
-    return rows[["src", "shard", "words"]].assign(quota=sainte_lague(claims, blocks))
+    claims = rows["target"].to_numpy(float)
+    return rows[["src", "source_size", "target"]].assign(quota=sainte_lague(claims, int(np.floor(claims.sum() / BLOCK_WORDS + 0.5))))
 
 
 def mix_plan(
@@ -134,15 +135,18 @@ def mix_plan(
     shards = int(-(-total // SHARD_WORDS)) or 1
     dealt = sizes.withColumn("place", F.xxhash64(F.lit(seed), "id")).withColumn("shard", F.pmod(F.col("place"), F.lit(shards)))
 
+    # Each source's words are fixed once; a shard gets what the words up to its end claim beyond those before it.
+    given = "src string, source_size long, target double, quota long"
+    given = targets.withColumn("all", F.lit("")).groupBy("all").applyInPandas(_source_quotas, given)
+    whole = F.least(F.col("quota") * BLOCK_WORDS, (F.col("source_size") * float(most)).cast("long")).alias("whole")
     held = dealt.groupBy("src", "shard").agg(F.sum("size").alias("words"))
-    claims = held.join(targets, "src").select(
-        "src", "shard", "words", F.when(F.col("source_size") > 0, F.col("target") * F.col("words") / F.col("source_size")).otherwise(0.0).alias("claim")
-    )
-    quotas = claims.groupBy("shard").applyInPandas(_shard_quotas, "src string, shard long, words long, quota long")
-    wanted = F.least(F.col("quota") * BLOCK_WORDS, (F.col("words") * float(most)).cast("long"))
+    claims = spread_lookup(held, given.select("src", "source_size", whole), ["src"], ["shard"])
+    upto = F.sum("words").over(Window.partitionBy("src").orderBy("shard"))
+    claims = claims.filter("words > 0").withColumn("upto", upto)
+    due = lambda at: F.expr(f"cast(whole as decimal(18,0)) * cast({at} as decimal(18,0)) div source_size")
     quotas = (
-        quotas.withColumn("wanted", wanted)
-        .withColumn("passes", F.when(F.col("words") > 0, F.expr("wanted div words")).otherwise(0))
+        claims.withColumn("wanted", due("upto") - due("(upto - words)"))
+        .withColumn("passes", F.expr("wanted div words"))
         .select("src", "shard", "words", "passes", (F.col("wanted") - F.col("passes") * F.col("words")).alias("rest"))
     )
     quotas = stored(quotas, "quotas")
@@ -174,7 +178,8 @@ def mix_plan(
     empty = dealt.filter("size = 0").select("src", "shard", "id", "size", F.lit(0).cast("long").alias("first"))
     taken = taken.unionByName(empty.withColumn("ranges", F.array().cast("array<struct<start:bigint,end:bigint>>")))
 
-    passes = quotas.join(targets, "src").select("src", "shard", "passes", "source_size", "target")
+    passes = held.select("src", "shard").join(quotas, ["src", "shard"], "left").join(targets, "src")
+    passes = passes.select("src", "shard", F.coalesce("passes", F.lit(0)).cast("long").alias("passes"), "source_size", "target")
     words = F.aggregate("ranges", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"])
     return spread_lookup(taken, passes, ["src", "shard"], ["id"]).select(
         "id",

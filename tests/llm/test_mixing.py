@@ -111,3 +111,19 @@ def test_empty(spark, table):
 def test_cut():
     text = "a  b\tc d\ne"
     assert mixing._cut(text, [{"start": 0, "end": 2}, {"start": 2, "end": 3}, {"start": 4, "end": 5}]) == "a  b\tc\ne"
+
+
+@pytest.mark.parametrize("shard_words", [300, 3000, 10**9])
+def test_rare_and_short_sources_meet_their_targets(spark, table, monkeypatch, shard_words):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", shard_words)
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(i, words(200), "big") for i in range(150)]
+    rows += [(1000 + i, words(15), "short") for i in range(60)] + [(2000 + i, words(40), "rare") for i in range(12)]
+    weights = spark.createDataFrame([("big", 30.0), ("short", 2.0), ("rare", 0.36)], "source string, weight double")
+    taken, target = Counter(), {}
+    for r in mixing.mix_plan(table(rows), weights, 0.8).collect():
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= mixing.BLOCK_WORDS, (s, taken[s], t)
