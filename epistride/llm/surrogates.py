@@ -28,11 +28,15 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"(?=[0-9])(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
 _SECRET_NAME = r"(?:[Pp]assword|PASSWORD|[Pp]asswd|[Pp]wd|[Ss]ecret|[Tt]oken|TOKEN|[Aa]pi[_\-]?[Kk]ey|API_KEY)"
 _SECRET_HEAD = rf"{_SECRET_NAME}[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?"
+# A secret's value runs to its end, however long; points only within it, and signs of equality behind it. All loops are
+# possessive, which Java runs without recursion. An address that stands as a value is found as an address.
+_SECRET_CHAR = r"[A-Za-z0-9_+/~\-]"
+_SECRET_VALUE = rf"(?!{EMAIL})(?!{IPV4}(?!{_SECRET_CHAR}))(?:{_SECRET_CHAR}|\.++(?={_SECRET_CHAR})){{8,}}+=*+"
 SECRET = (
-    rf"(?=[PpSsTtAa]){_SECRET_HEAD}[A-Za-z0-9_+/\-]{{8,512}}"
+    rf"(?=[PpSsTtAa]){_SECRET_HEAD}{_SECRET_VALUE}"
     r"|A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-    r"|(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-][A-Za-z0-9_\-]{16,255}"
-    r"|(?=[a-f]{0,128}[0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])"
+    r"|(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-][A-Za-z0-9_\-]{16,}+"
+    r"|(?=[a-f]*+[0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])"
 )
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SSN = r"(?=[0-9])(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
@@ -52,7 +56,7 @@ PERSON = rf"(?=[{_INITIALS}])(?<!\p{{L}}){_PERSON_TITLE}\.? {_NAME}(?: {_NAME}){
 KINDS = {"email": EMAIL, "ipv4": IPV4, "secret": SECRET, "iban": IBAN, "ssn": SSN, "card": CARD, "phone": PHONE, "person": PERSON}
 ANY = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
 #: What a text must hold for any pattern to match: a digit, an at sign, a title, or the name or mark of a secret.
-HINT = rf"[0-9@]|(?=[{_INITIALS}]){_PERSON_TITLE}\.? \p{{Lu}}|(?=[PpSsTtAaskpgx])(?:{_SECRET_HEAD}[A-Za-z_+/\-]|AKIA|ASIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-])"
+HINT = rf"[0-9@]|(?=[{_INITIALS}]){_PERSON_TITLE}\.? \p{{Lu}}|(?=[PpSsTtAaskpgx])(?:{_SECRET_HEAD}[A-Za-z_+/~.\-]|AKIA|ASIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-])"
 
 
 # Letters that names are made of, by script.
@@ -77,8 +81,7 @@ def kind_of(raw: Column) -> Column:
 
 
 def _chars(text: Column) -> Column:
-    length = F.length(text)
-    return F.when(length > 0, F.transform(F.sequence(F.lit(1), length), lambda i: text.substr(i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
 
 
 def _digits(text: Column) -> Column:

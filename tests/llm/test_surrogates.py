@@ -112,3 +112,34 @@ def test_query_replaces_all_and_nothing_else(spark, folder, texts):
 def test_no_python_in_the_plan(spark, table):
     plan = surrogates.with_surrogates(table([(1, "a@b.com", "s")]), "k")._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_secrets_to_their_end(spark):
+    letters = lambda n, of: "".join(of[(i * 7 + i // 5) % len(of)] for i in range(n))
+    plain, hexadecimal = "GHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz23456789", "0123456789abcdef"
+    jwt = f"{letters(36, plain)}.{letters(20_000, plain)}.{letters(43, plain)}"
+    values = {
+        1: ("password=", letters(800, plain), " end"),
+        2: ("", "sk_" + letters(700, plain), ", end"),
+        3: ("", "ghp_" + letters(256, plain), " end"),
+        4: ("bare ", letters(129, hexadecimal), " end"),
+        5: ("bare ", letters(4096, hexadecimal), "."),
+        6: ("token = ", jwt, ". End"),
+        7: ("secret: '", letters(40, plain) + "~x==", "' end"),
+        8: ("api_key=", "A1.b2.c3.d4", " end"),
+        9: ("token=", letters(100_000, plain), " end"),
+    }
+    got = run(spark, [(i, "".join(v), "x", "x") for i, v in values.items()])
+    for i, (before, value, after) in values.items():
+        text = got[i].text
+        assert got[i].n_entities == 1 and got[i].entities[0].kind == "secret"
+        assert text.startswith(before) and text.endswith(after) and len(text) == len(before + value + after)
+        new = text[len(before) : len(text) - len(after)]
+        old = {value[k : k + 8] for k in range(len(value) - 7)}
+        assert not any(new[k : k + 8] in old for k in range(len(new) - 7)), i
+        assert [c for c in new if not c.isalnum()] == [c for c in value if not c.isalnum()]
+
+
+def test_addresses_as_values_of_secrets(spark):
+    got = run(spark, [(1, "password=first.last@mail.example.com or token: 10.20.30.40", "x", "x")])
+    assert [e.kind for e in got[1].entities] == ["email", "ipv4"]
