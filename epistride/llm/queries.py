@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epistride.llm import decontaminate, fingerprints, labelled, mixing, packing, quality, repeats, simhash, surrogates, toxicity, warc
+from epistride.llm import decontaminate, fingerprints, labelled, mixing, packing, prefixtrie, quality, repeats, simhash, surrogates, toxicity, warc
 from epistride.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,3 +162,57 @@ def op9_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     """All texts without the bytes that lie in repeated strings of 200 bytes."""
     kept = repeats.without_repeats(table(spark, folder, "documents"), keep_bytes=False)
     return kept.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Conversations of a hundred share up to so many first turns.
+SHARED_TURNS = 5
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt on the first turns of its hundred."""
+    turns = prefixtrie.numbered_turns(table(spark, folder, "conversations"))
+    conv = F.col("conv")
+    head = F.crc32(conv.cast("string").cast("binary")) % (SHARED_TURNS + 1)
+    rebuilt = prefixtrie.with_shared_heads(turns, conv - conv % 100, head, SHARED_TURNS)
+    return prefixtrie.with_ends_digest(prefixtrie.prefix_trie(*rebuilt)).drop("n_ends")
+
+
+ORACLES["op11_prefix_trie"] = """
+WITH told AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i
+    FROM conversations WHERE conv_id IS NOT NULL
+), whole AS (
+    SELECT conv_id, list({'role': role, 'text': text} ORDER BY i) AS turns FROM told GROUP BY conv_id
+), headed AS (
+    SELECT *, xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))
+    )) % 6 AS h
+    FROM whole
+), rebuilt AS (
+    SELECT c.conv_id, coalesce(b.turns[1 : c.h], []) || c.turns[c.h + 1 :] AS turns
+    FROM headed c LEFT JOIN whole b ON b.conv_id = c.conv_id - c.conv_id % 100
+), steps AS (
+    SELECT conv_id, len(turns) AS n, d, turns[1 : d] AS prefix, CASE WHEN d > 0 THEN turns[1 : d - 1] END AS above,
+           CASE WHEN d > 0 THEN length(turns[d].text) ELSE 0 END AS chars
+    FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+    SELECT d, prefix, min(conv_id) AS conv_id, any_value(above) AS above, count(*) AS n_convs, any_value(chars) AS chars,
+           string_agg(CASE WHEN d = n THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends
+    FROM steps GROUP BY d, prefix
+), kids AS (SELECT d - 1 AS d, above AS prefix, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2
+), full_nodes AS (
+    SELECT n.*, coalesce(k.n_children, 0) AS n_children, (n_convs - 1) * chars AS saved
+    FROM nodes n LEFT JOIN kids k ON n.d = k.d AND n.prefix = k.prefix
+), sums AS (
+    SELECT a.d, a.prefix, sum(b.saved) AS saved_tokens, sum(CASE WHEN b.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves
+    FROM (SELECT d, saved, n_children, unnest(range(d + 1)) AS up, prefix FROM full_nodes) b
+    JOIN full_nodes a ON a.d = b.up AND a.prefix = b.prefix[1 : b.up] GROUP BY 1, 2
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs,
+       CAST(n.n_children AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM full_nodes n JOIN sums s ON s.d = n.d AND s.prefix = n.prefix LEFT JOIN full_nodes p ON p.d = n.d - 1 AND p.prefix = n.above
+"""
