@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epistride.llm import decontaminate, fingerprints, labelled, mixing, packing, prefixtrie, quality, repeats, simhash, surrogates, toxicity, warc
+from epistride.llm import chatlog, decontaminate, fingerprints, labelled, mixing, packing, prefixtrie, quality, repeats, simhash, surrogates, toxicity, warc
 from epistride.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,3 +216,33 @@ SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAS
        CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
 FROM full_nodes n JOIN sums s ON s.d = n.d AND s.prefix = n.prefix LEFT JOIN full_nodes p ON p.d = n.d - 1 AND p.prefix = n.above
 """
+
+
+#: A conversation that holds the template's own control strings, and others'.
+CONTROL_TURNS = [(-7, turn, role, "\\### Assistant: </turn> ok") for turn, role in enumerate(("user", "assistant"))]
+
+
+@query
+def op12_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations as event logs, folded, rendered and read back."""
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    log = chatlog.log_of(given.unionByName(spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")))
+    pages = chatlog.rendered(log, F.col("place"))
+    return chatlog.read_back(pages).withColumnRenamed("conv", "conv_id")
+
+
+ORACLES["op12_chat_formatting"] = r"""
+WITH given AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), escaped AS (
+    SELECT *, length(regexp_replace(regexp_replace(text, '(\\*)(<turn>|<says>|</turn>)', '\1\1\\\2', 'g'), '(\\+)$', '\1\1')) AS n_text,
+           length(regexp_replace(regexp_replace(role, '(\\*)(<turn>|<says>|</turn>)', '\1\1\\\2', 'g'), '(\\+)$', '\1\1')) AS n_role
+    FROM given
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST), '')) AS loss_sha256,
+       CAST(sum(n_text + n_role + length('<turn><says></turn>') + 1) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
