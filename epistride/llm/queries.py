@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epistride.llm import chatlog, decontaminate, fingerprints, labelled, mixing, packing, prefixtrie, quality, repeats, simhash, surrogates, toxicity, warc
+from epistride.llm import chatlog, decontaminate, fingerprints, labelled, lexical, mixing, packing, prefixtrie, quality, repeats, simhash, surrogates, toxicity, warc
 from epistride.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -246,3 +246,37 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(n_text + n_role + length('<turn><says></turn>') + 1) AS BIGINT) AS formatted_chars
 FROM escaped GROUP BY conv_id
 """
+
+
+@query
+def op13_document_tree_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical.top_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op13_document_tree_search"] = r"""
+WITH doc AS (
+    SELECT row_number() OVER () AS row, doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents
+), item AS (
+    SELECT row_number() OVER () AS asked, item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), question AS (SELECT asked, item_id, term, count(*) AS times FROM item GROUP BY ALL
+), sizes AS (SELECT row, count(*) AS n FROM doc GROUP BY row
+), totals AS (SELECT count(*) AS docs, sum(n) AS terms FROM sizes
+), entries AS (
+    SELECT row, doc_id, term, count(*) AS tf FROM doc WHERE term IN (SELECT term FROM question) GROUP BY ALL
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2.0 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+    FROM (SELECT term, count(*) AS df FROM entries GROUP BY term), totals
+), norms AS (SELECT row, 75 + CAST((25 * n * docs) // terms AS BIGINT) AS m FROM sizes, totals
+), scores AS (
+    SELECT asked, item_id, row, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+    FROM question JOIN entries USING (term) JOIN weights USING (term) JOIN norms USING (row) GROUP BY ALL
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
