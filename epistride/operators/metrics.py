@@ -1,4 +1,4 @@
-"""Regression metrics as plain sums, so every one is pre-aggregated map-side."""
+"""Regression metrics from mergeable states, so every one is pre-aggregated map-side."""
 
 from __future__ import annotations
 
@@ -9,56 +9,86 @@ from pyspark.sql import functions as F
 
 from epistride.columns import named
 from epistride.functions.scalars import is_finite, squared_distance
+from epistride.operators.scans import spread_join
 
 
-def regression_metrics(
+#: State of the regression metrics of a part: its errors, means and centred second moments.
+STATE = ["count", "squared", "absolute", "mean_p", "mean_t", "m2_p", "m2_t", "c_pt"]
+
+
+def metric_state(
     df: DataFrame, prediction: Column, target: Column, by: Sequence[str] = (), mask: Column | None = None
 ) -> DataFrame:
-    """count, mse, rmse, mae and Pearson from raw moments.
+    """The state of every group, mergeable with that of other parts.
 
-    Pearson is null when either side does not vary.  Zero rows give count 0
-    and nulls.
+    Variances and covariance are kept as central moments, which Spark merges
+    pairwise from task to task, so values far from zero lose no digits.
     """
     rows = df.select(
         *[named(b) for b in by], prediction.cast("double").alias("p"), target.cast("double").alias("t"),
         (mask if mask is not None else F.lit(True)).alias("keep"),
     ).where("keep")
-    p, t = F.col("p"), F.col("t")
-    sums = rows.groupBy(*[named(b) for b in by]).agg(
-        F.count(F.lit(1)).alias("count"),
+    p, t, n = F.col("p"), F.col("t"), F.count(F.lit(1))
+    return rows.groupBy(*[named(b) for b in by]).agg(
+        n.alias("count"),
         F.sum((p - t) * (p - t)).alias("squared"),
         F.sum(F.abs(p - t)).alias("absolute"),
-        F.sum(p).alias("sp"),
-        F.sum(t).alias("st"),
-        F.sum(p * p).alias("spp"),
-        F.sum(t * t).alias("stt"),
-        F.sum(p * t).alias("spt"),
+        F.avg(p).alias("mean_p"),
+        F.avg(t).alias("mean_t"),
+        (F.var_pop(p) * n).alias("m2_p"),
+        (F.var_pop(t) * n).alias("m2_t"),
+        (F.covar_pop(p, t) * n).alias("c_pt"),
     )
-    return metrics_from_sums(sums, by)
 
 
-def metrics_from_sums(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Metrics from the eight additive sums, merged or not."""
+def merge_states(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One state per group from states of parts, for instance those of several evaluation jobs.
+
+    The parts' moments are moved to the merged means and added up.
+    """
+    keys = [named(b) for b in by]
+    filled = parts.where(F.col("count") > 0)
     n = F.col("count").cast("double")
-    spread = lambda squares, total: F.greatest(n * F.col(squares) - F.col(total) * F.col(total), F.lit(0.0))
-    below = F.sqrt(spread("stt", "st") * spread("spp", "sp"))
-    above = n * F.col("spt") - F.col("st") * F.col("sp")
-    some = F.col("count") > 0
+    mean = lambda name: F.sum(n * F.col(name)) / F.sum(n)
+    centre = filled.groupBy(*keys, F.lit(0).alias("__one")).agg(mean("mean_p").alias("__p"), mean("mean_t").alias("__t"))
+    placed = spread_join(filled.withColumn("__one", F.lit(0)), centre, [*by, "__one"], [*by, *STATE])
+    p, t = F.col("mean_p") - F.col("__p"), F.col("mean_t") - F.col("__t")
+    return placed.groupBy(*keys).agg(
+        F.coalesce(F.sum("count"), F.lit(0)).alias("count"),
+        F.sum("squared").alias("squared"),
+        F.sum("absolute").alias("absolute"),
+        F.max("__p").alias("mean_p"),
+        F.max("__t").alias("mean_t"),
+        F.sum(F.col("m2_p") + n * p * p).alias("m2_p"),
+        F.sum(F.col("m2_t") + n * t * t).alias("m2_t"),
+        F.sum(F.col("c_pt") + n * p * t).alias("c_pt"),
+    )
+
+
+def metrics_of(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """count, mse, rmse, mae and Pearson from states, merged or not.
+
+    Pearson is null when either side does not vary.  Zero rows give count 0
+    and nulls.
+    """
+    n, some = F.col("count").cast("double"), F.col("count") > 0
     mse = F.when(some, F.col("squared") / n)
-    return sums.select(
+    vary = (F.col("m2_p") > 0) & (F.col("m2_t") > 0)
+    return states.select(
         *[named(b) for b in by],
         F.col("count"),
         mse.alias("mse"),
         F.sqrt(mse).alias("rmse"),
         F.when(some, F.col("absolute") / n).alias("mae"),
-        F.when(below > 0, above / below).alias("pearson"),
+        F.when(vary, F.col("c_pt") / (F.sqrt("m2_p") * F.sqrt("m2_t"))).alias("pearson"),
     )
 
 
-def merge_sums(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Add up partial sums, for instance those of several evaluation jobs."""
-    names = ["count", "squared", "absolute", "sp", "st", "spp", "stt", "spt"]
-    return parts.groupBy(*[named(b) for b in by]).agg(*[F.sum(n).alias(n) for n in names])
+def regression_metrics(
+    df: DataFrame, prediction: Column, target: Column, by: Sequence[str] = (), mask: Column | None = None
+) -> DataFrame:
+    """count, mse, rmse, mae and Pearson of the rows that ``mask`` keeps."""
+    return metrics_of(metric_state(df, prediction, target, by, mask), by)
 
 
 def curve_metrics(points: DataFrame, prediction: str = "value", target: str = "return", by: Sequence[str] = ("episode_id",)) -> DataFrame:

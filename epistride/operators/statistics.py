@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epistride.columns import COLUMNS, Columns, named
+from epistride.operators.scans import spread_join
 
 STAT_KEY = ["feature", "position"]
 
+# Deviations of equal values come out at about so much of their size.
+_ROUNDING = 1e-14
+
 
 def numeric_features(frames: DataFrame) -> list[str]:
     """Numeric columns and arrays of numbers."""
@@ -67,34 +71,48 @@ def episode_statistics(frames: DataFrame, features: Sequence[str] | None = None,
 
 
 def merge_statistics(parts: DataFrame) -> DataFrame:
-    """Statistics of the whole from the statistics of its parts."""
+    """Statistics of the whole from the statistics of its parts.
+
+    The squares around each part's mean and those of the means around the
+    merged mean are added up, so no digits are lost however far the values
+    lie from zero.  Parts without values give nothing.
+    """
     n = F.col("count").cast("double")
-    merged = parts.groupBy(*STAT_KEY).agg(
+    filled = parts.where(F.col("count") > 0)
+    centre = filled.groupBy(*STAT_KEY).agg((F.sum(n * F.col("mean")) / F.sum(n)).alias("__centre"))
+    away = F.col("mean") - F.col("__centre")
+    centred = spread_join(filled, centre, STAT_KEY, filled.columns)
+    merged = centred.groupBy(*STAT_KEY).agg(
         F.min("min").alias("min"),
         F.max("max").alias("max"),
+        F.max("__centre").alias("mean"),
+        F.sqrt(F.sum(n * (F.col("std") * F.col("std") + away * away)) / F.sum(n)).alias("std"),
         F.sum("count").alias("count"),
-        F.sum(n * F.col("mean")).alias("__first"),
-        F.sum(n * (F.col("std") * F.col("std") + F.col("mean") * F.col("mean"))).alias("__second"),
     )
-    total = F.when(F.col("count") > 0, F.col("count").cast("double"))
-    mean = F.col("__first") / total
-    variance = F.greatest(F.col("__second") / total - mean * mean, F.lit(0.0))
-    return merged.select(*STAT_KEY, "min", "max", mean.alias("mean"), F.sqrt(variance).alias("std"), "count")
+    nothing = parts.groupBy(*STAT_KEY).agg(F.sum("count").alias("count")).where("count = 0")
+    none = [F.lit(None).cast("double").alias(name) for name in ("min", "max", "mean", "std")]
+    return merged.unionByName(nothing.select(*STAT_KEY, *none, "count"))
 
 
 def rollup_differences(parts: DataFrame, whole: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """Dimensions whose merged parts do not give the whole.
 
-    Tolerance is relative to the size of the values.
+    Extremes and means may differ by ``tolerance`` times the size of the
+    values, a deviation by ``tolerance`` times the deviation; a deviation that
+    is only rounding of large values counts as none.
     """
-    merged = merge_statistics(parts).select(
-        *STAT_KEY, *[F.col(n).alias(f"merged_{n}") for n in ("min", "max", "mean", "std", "count")]
-    )
+    names = ("min", "max", "mean", "std")
+    merged = merge_statistics(parts).select(*STAT_KEY, *[F.col(n).alias(f"merged_{n}") for n in (*names, "count")])
     joined = merged.join(whole, STAT_KEY, "full")
-    scale = F.greatest(F.lit(1.0), F.abs("min"), F.abs("max"))
-    off = lambda n: F.coalesce(F.abs(F.col(n) - F.col(f"merged_{n}")) > scale * tolerance, F.lit(True))
+    size = F.greatest(F.abs("min"), F.abs("max"))
+    scale = F.greatest(F.lit(1.0), size)
+    rounding = size * F.lit(_ROUNDING)
+    allowed = dict.fromkeys(("min", "max", "mean"), scale * tolerance)
+    allowed["std"] = F.greatest(F.greatest("std", "merged_std") * tolerance, rounding)
+    # Nothing on both sides agrees, on one side it does not.
+    off = lambda n: ~F.coalesce(F.abs(F.col(n) - F.col(f"merged_{n}")) <= allowed[n], F.col(n).isNull() & F.col(f"merged_{n}").isNull())
     wrong = ~F.col("count").eqNullSafe(F.col("merged_count"))
-    for name in ("min", "max", "mean", "std"):
+    for name in names:
         wrong = wrong | off(name)
     return joined.where(wrong)
 

@@ -212,19 +212,32 @@ def weighted_loss(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(metrics.weighted_loss(parts, {"value": 1.0, "next_state": 0.5, "next_state_vector": 0.1}))
 
 
+def _merged_by_type(spark: SparkSession, folder: str, offset: float) -> DataFrame:
+    """Metrics per event type, from the states of seven parts each."""
+    rows = table(spark, folder, "events").select(
+        "event_type", (F.col("event_id") % 7).alias("part"),
+        (F.sqrt("value") + offset).alias("p"), (F.ln(F.col("event_id") + 2) + offset).alias("t"),
+    )
+    parts = metrics.metric_state(rows, F.col("p"), F.col("t"), ["event_type", "part"])
+    return _rounded(metrics.metrics_of(metrics.merge_states(parts, ["event_type"]), ["event_type"]))
+
+
 @query("D6 U3", f"""
 SELECT event_type, {_metric_columns('', 'sqrt(value)', 'ln(event_id + 2)')} FROM events GROUP BY 1""")
 def merged_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Metrics of parts merged by adding their sums."""
-    rows = table(spark, folder, "events").select(
-        "event_type", (F.col("event_id") % 7).alias("part"), F.sqrt("value").alias("p"), F.ln(F.col("event_id") + 2).alias("t")
-    )
-    p, t = F.col("p"), F.col("t")
-    sums = rows.groupBy("event_type", "part").agg(
-        F.count(F.lit(1)).alias("count"), F.sum((p - t) * (p - t)).alias("squared"), F.sum(F.abs(p - t)).alias("absolute"),
-        F.sum(p).alias("sp"), F.sum(t).alias("st"), F.sum(p * p).alias("spp"), F.sum(t * t).alias("stt"), F.sum(p * t).alias("spt"),
-    )
-    return _rounded(metrics.metrics_from_sums(metrics.merge_sums(sums, ["event_type"]), ["event_type"]))
+    """Metrics of parts merged by their central moments."""
+    return _merged_by_type(spark, folder, 0.0)
+
+
+FAR = 1e8
+
+
+@query("D6 U3", f"""
+WITH far AS (SELECT event_type, sqrt(value) + {FAR} AS p, ln(event_id + 2) + {FAR} AS t FROM events)
+SELECT event_type, {_metric_columns('', 'p', 't')} FROM far GROUP BY 1""")
+def merged_metrics_far_from_zero(spark: SparkSession, folder: str) -> DataFrame:
+    """The same far from zero, where raw moments would lose the correlation."""
+    return _merged_by_type(spark, folder, FAR)
 
 
 @query("E14 K11", """

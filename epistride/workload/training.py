@@ -20,6 +20,7 @@ from epistride.workload.tables import (
     split_sql,
     table,
     vector_frames,
+    wall_micros,
 )
 
 FRACTION, SEED = 0.1, 42
@@ -186,6 +187,40 @@ def rollup_differences(spark: SparkSession, folder: str) -> DataFrame:
     return statistics.rollup_differences(statistics.episode_statistics(frames), whole).select("feature", "position")
 
 
+# Times of day to the second, as seconds since 1970 and, moved by 1e9, farther from zero.
+TIMES_SQL = """
+times AS (
+  SELECT user_id AS episode_index, floor(epoch(ts)) AS seconds, floor(epoch(ts)) % 1000 + 1e9 AS far FROM events),
+cells AS (
+  SELECT episode_index, 'seconds' AS feature, 0 AS position, seconds AS x FROM times
+  UNION ALL SELECT episode_index, 'far', 0, far FROM times)"""
+
+
+def _time_frames(spark: SparkSession, folder: str) -> DataFrame:
+    seconds = F.floor(wall_micros("ts") / 1_000_000)
+    return table(spark, folder, "events").select(
+        F.col("user_id").alias("episode_index"), seconds.cast("double").alias("seconds"), (seconds % 1000 + 1e9).alias("far")
+    )
+
+
+@query("D19 L2", f"""WITH {TIMES_SQL}
+SELECT feature, position, min(x) AS min, max(x) AS max, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std, count(*) AS count
+FROM cells GROUP BY ALL""")
+def merged_time_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Per-episode statistics of times, rolled up: the values are far larger than their spread."""
+    merged = statistics.merge_statistics(statistics.episode_statistics(_time_frames(spark, folder)))
+    return merged.withColumns({n: F.round(n, 4) for n in ("mean", "std")})
+
+
+@query("D19", f"WITH {TIMES_SQL} SELECT DISTINCT feature, position FROM cells WHERE feature = 'far'")
+def damaged_time_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of times of which one deviation is wrong by a thousandth."""
+    frames = _time_frames(spark, folder)
+    whole = statistics.feature_statistics(frames, ["seconds", "far"])
+    whole = whole.withColumn("std", F.col("std") * F.when(F.col("feature") == "far", 1.001).otherwise(1.0))
+    return statistics.rollup_differences(statistics.episode_statistics(frames), whole).select("feature", "position")
+
+
 @query("D22", """
 WITH lists AS (SELECT string_split(text, ' ') AS words FROM documents)
 SELECT 'words' AS feature, min(len(words)) AS smallest, max(len(words)) AS largest FROM lists HAVING min(len(words)) <> max(len(words))""")

@@ -96,3 +96,51 @@ def test_isotropy_against_numpy(spark):
         total.append((error @ (weight * target)) * 30)
     got = isotropy.isotropy(df, "v", projections, by=["g"]).collect()[0][0]
     assert got == pytest.approx(np.mean(total))
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e9])
+def test_statistics_far_from_zero_merge_without_loss(spark, offset):
+    rng = np.random.default_rng(4)
+    values = np.round(rng.normal(0, 300, 500), 3) + offset
+    rows = [(i % 7, float(v), offset) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "episode_index long, v double, same double")
+    parts, whole = statistics.episode_statistics(df), statistics.feature_statistics(df, ["v", "same"])
+    merged = {r.feature: r for r in statistics.merge_statistics(parts).collect()}
+    assert merged["v"].std == pytest.approx(np.std(values), rel=1e-9)
+    assert merged["same"].std == pytest.approx(0, abs=offset * 1e-14)
+    assert statistics.rollup_differences(parts, whole).count() == 0
+    for factor in (1.001, 0.999):
+        damaged = whole.withColumn("std", F.when(F.col("feature") == "v", F.col("std") * factor).otherwise(F.col("std")))
+        assert [r.feature for r in statistics.rollup_differences(parts, damaged).collect()] == ["v"]
+
+
+def test_parts_without_values(spark):
+    df = spark.createDataFrame([(1, 1.0, None), (1, 3.0, None), (2, None, None)], "episode_index long, a double, b double")
+    parts, whole = statistics.episode_statistics(df), statistics.feature_statistics(df, ["a", "b"])
+    assert statistics.rollup_differences(parts, whole).count() == 0
+    lost = whole.where(F.col("feature") == "a")
+    assert [r.feature for r in statistics.rollup_differences(parts, lost).collect()] == ["b"]
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e8])
+def test_states_merge_to_the_whole(spark, offset):
+    rng = np.random.default_rng(6)
+    p = rng.normal(size=400) + offset
+    t = 0.3 * (p - offset) + rng.normal(size=400) + offset
+    rows = [(i % 2, i % 5 if i < 390 else 9, float(a), float(b)) for i, (a, b) in enumerate(zip(p, t))]
+    df = spark.createDataFrame(rows, "g int, part int, p double, t double")
+    merged = metrics.merge_states(metrics.metric_state(df, F.col("p"), F.col("t"), ["g", "part"]), ["g"])
+    for r in metrics.metrics_of(merged, ["g"]).collect():
+        assert r.pearson == pytest.approx(np.corrcoef(p[r.g::2], t[r.g::2])[0, 1], rel=1e-6)
+        assert r["count"] == 200
+    everything = metrics.metrics_of(metrics.merge_states(metrics.metric_state(df, F.col("p"), F.col("t"), ["part"]))).collect()[0]
+    assert everything.pearson == pytest.approx(np.corrcoef(p, t)[0, 1], rel=1e-6)
+
+
+def test_no_state_and_no_variation(spark):
+    df = spark.createDataFrame([(0.1, 1.0), (0.1, 2.0), (0.1, 4.0)], "p double, t double")
+    assert metrics.regression_metrics(df, F.col("p"), F.col("t")).collect()[0].pearson is None
+    empty = metrics.metric_state(df.where("p > 1"), F.col("p"), F.col("t"))
+    assert metrics.metrics_of(empty).collect()[0]["count"] == 0
+    merged = metrics.metrics_of(metrics.merge_states(empty)).collect()
+    assert [r["count"] for r in merged] == [0]
