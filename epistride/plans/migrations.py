@@ -128,11 +128,20 @@ def write_sharded(spark: SparkSession, source: str, output: str, max_frames: int
     publish.published(spark, output, write)
 
 
-def to_sharded(frames: DataFrame, episodes: DataFrame, tasks: DataFrame, root: str, fps: float, max_frames: int = writers.DATA_FRAMES, compression: str = "snappy", c: Columns = COLUMNS) -> None:
-    """Third step: few episode-aligned shards plus an episode table."""
+def to_sharded(
+    frames: DataFrame, episodes: DataFrame, tasks: DataFrame, root: str, fps: float, max_frames: int = writers.DATA_FRAMES,
+    compression: str = "snappy", c: Columns = COLUMNS, padded: bool = False,
+) -> None:
+    """Third step: few episode-aligned shards plus an episode table.
+
+    ``padded`` writes one file a shard under padded names, as other tools of
+    the format expect it.
+    """
     sharded = stored(episode_shards(episodes.select("episode_index", "length"), max_frames), "shards")
-    writers.write_frames(frames, sharded, root, max_frames, compression, c)
+    write = writers.write_frame_files if padded else writers.write_frames
+    write(frames, sharded, root, max_frames, compression, c)
     writers.write_episodes(episode_table(episodes, sharded), root)
     writers.write_tasks(tasks, root)
     features = statistics.feature_map(statistics.inferred_features(frames))
-    writers.write_info(writers.dataset_info(episodes, tasks, features, fps), root)
+    path = {"data_path": writers.FILE_PATH} if padded else {}
+    writers.write_info(writers.dataset_info(episodes, tasks, features, fps, **path), root)

@@ -41,3 +41,27 @@ def published(spark: SparkSession, output: str, write: Callable[[str], None]) ->
     target, _ = _path(spark, output)
     if system.exists(target) or not system.rename(source, target):
         raise FileExistsError(f"{output} appeared meanwhile; the dataset is in {staged}")
+
+
+def named_parts(spark: SparkSession, folder: str, name: Callable[[dict[str, int], int], str]) -> None:
+    """Give the part files of a table partitioned by numbers names of their own.
+
+    ``name`` maps a file's partition numbers and its place among the files of
+    its partition to a path beside ``folder``, which goes away.  Only names
+    change; the files are listed and renamed one by one.
+    """
+    made, system = _path(spark, folder)
+    parts: dict[tuple, list] = {}
+    found = system.listFiles(made, True)
+    while found.hasNext():
+        path = found.next().getPath()
+        if path.getName().endswith(".parquet"):
+            keys = tuple(step.split("=") for step in path.toString().split("/") if "=" in step)
+            parts.setdefault(tuple((k, int(v)) for k, v in keys), []).append(path)
+    for keys, paths in parts.items():
+        for place, path in enumerate(sorted(paths, key=lambda p: p.getName())):
+            target, _ = _path(spark, f"{made.getParent().toString()}/{name(dict(keys), place)}")
+            system.mkdirs(target.getParent())
+            if not system.rename(path, target):
+                raise FileExistsError(f"{target.toString()} exists already")
+    system.delete(made, True)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from string import Formatter
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,15 +33,68 @@ from epistride.operators.integrity import duplicate_keys, require_none
 
 
 def read_frames(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
-    """All frame files below ``root/data``.
+    """All frame files below ``root/data``, in either layout.
 
-    Directories named ``key=value`` come as columns, so a filter on them reads
-    no other directory.  With ``schema`` only its columns are returned.
+    Files are ``chunk-000/file-000.parquet``, or lie in directories named
+    ``chunk=0/file=0``; the latter names come as columns, so a filter on them
+    reads no other directory.  With ``schema`` only its columns are returned
+    and no file is opened for planning; columns that the files lack are null.
     """
-    frames = spark.read.parquet(f"{root}/data")
-    if schema is None:
-        return frames
-    return frames.select(*[named(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    try:
+        frames = reader.parquet(f"{root}/data/chunk-*/*.parquet")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        frames = reader.parquet(f"{root}/data")
+    return frames if schema is None else frames.select(*[named(f.name) for f in schema])
+
+
+# What a path template may name, and the column of the episode table that fills it.
+ADDRESS = {"chunk_index": "data/chunk_index", "file_index": "data/file_index", "episode_chunk": "episode_chunk", "episode_index": "episode_index"}
+
+
+def data_files(episodes: DataFrame, data_path: str, chunk_size: int = 1000) -> list[str]:
+    """Paths, relative to the root, of the files that hold the given rows of the episode table.
+
+    ``data_path`` is the template of the dataset's description, such as
+    ``data/chunk-{chunk_index:03d}/file-{file_index:03d}.parquet``.  The list
+    is as long as there are files to open, as Spark's own list of them.
+    """
+    fields = sorted({field for _, field, _, _ in Formatter().parse(data_path) if field is not None})
+    unknown = [field for field in fields if field not in ADDRESS]
+    if unknown:
+        raise ValueError(f"unknown field in path template {data_path!r}: {unknown}")
+    rows = episodes.withColumn("episode_chunk", F.floor(F.col("episode_index") / chunk_size))
+    rows = rows.select(*[named(ADDRESS[field]).cast("long").alias(field) for field in fields]).distinct()
+    return sorted(data_path.format(**row.asDict()) for row in rows.toLocalIterator())
+
+
+def read_episode_frames(
+    spark: SparkSession,
+    root: str,
+    episodes: DataFrame,
+    schema: T.StructType | None = None,
+    data_path: str | None = None,
+    chunk_size: int = 1000,
+) -> DataFrame:
+    """Frames of the given rows of the episode table; only the files they lie in are opened.
+
+    The template comes from the dataset's description unless given.  A shard
+    may go on in files named after it (``file-000.part-001.parquet``).
+    """
+    if data_path is None:
+        described = read_info(spark, root, pretty=True).select("data_path", "chunks_size").first()
+        data_path, chunk_size = described.data_path, described.chunks_size or chunk_size
+    files = data_files(episodes, data_path, chunk_size)
+    if not files:
+        return read_frames(spark, root, schema).limit(0)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    whole = [f"{root}/" + re.sub(r"\.parquet$", "{.parquet,.part-*.parquet}", f) for f in files]
+    frames = reader.option("basePath", f"{root}/data").parquet(*whole)
+    if schema is not None:
+        frames = frames.select(*[named(f.name) for f in schema])
+    return frames.join(episodes.select("episode_index"), "episode_index", "left_semi")
 
 
 def read_column(frames: DataFrame, name: str, scalar: bool = False) -> DataFrame:

@@ -18,6 +18,7 @@ from epistride.operators.curves import assemble_curves
 from epistride.operators.integrity import frame_spans
 from epistride.operators.metrics import curve_metrics
 from epistride.operators.scans import BLOCK_ROWS, join_episodes, position_block
+from epistride.sources.publish import named_parts
 
 ROW_GROUP_ROWS = 65_536
 DATA_FRAMES = 250_000
@@ -36,20 +37,8 @@ def append_log(rows: DataFrame, path: str) -> None:
     json_safe(rows).repartition(1).write.mode("append").option("ignoreNullFields", False).json(path)
 
 
-def write_frames(
-    frames: DataFrame,
-    sharded: DataFrame,
-    root: str,
-    max_frames: int = DATA_FRAMES,
-    compression: str = "snappy",
-    c: Columns = COLUMNS,
-) -> None:
-    """Episode-aligned data shards under ``root/data/chunk=/file=``.
-
-    ``sharded`` comes from ``episode_shards``.  A shard is one directory, named
-    by the chunk and file numbers of the episode table; its files hold at most
-    ``max_frames`` rows, so no task writes more than that.
-    """
+def _in_shards(frames: DataFrame, sharded: DataFrame, max_frames: int, c: Columns) -> DataFrame:
+    """The frames with chunk, file and piece, dealt so that a task holds one piece of one shard."""
     begins = sharded.groupBy("shard").agg(F.min("offset").alias("__begin"))
     address = sharded.join(begins, "shard").select(
         named(c.episode), "shard", (F.col("offset") - F.col("__begin")).alias("before")
@@ -59,21 +48,71 @@ def write_frames(
         *[named(n) for n in frames.columns],
         chunk_of(F.col("__shard")).alias("chunk"),
         file_of(F.col("__shard")).alias("file"),
-        F.floor((F.col("__before") + named(c.frame) - F.col("__first_frame")) / F.lit(max_frames)).alias("__piece"),
+        F.floor((F.col("__before") + named(c.frame) - F.col("__first_frame")) / F.lit(max_frames)).alias("piece"),
     )
+    return placed.repartition("chunk", "file", "piece").sortWithinPartitions("chunk", "file", "piece", *[named(k) for k in c.key])
+
+
+def _write_parquet(rows: DataFrame, path: str, by: Sequence[str], max_frames: int, compression: str) -> None:
     (
-        placed.repartition("chunk", "file", "__piece")
-        .sortWithinPartitions("chunk", "file", *[named(k) for k in c.key])
-        .drop("__piece")
-        .write.mode("errorifexists")
+        rows.write.mode("errorifexists")
         .option("compression", compression)
         .option("parquet.block.row.count.limit", ROW_GROUP_ROWS)
         .option("maxRecordsPerFile", max_frames)
-        .partitionBy("chunk", "file")
-        .parquet(f"{root}/data")
+        .partitionBy(*by)
+        .parquet(path)
     )
 
 
+def write_frames(
+    frames: DataFrame,
+    sharded: DataFrame,
+    root: str,
+    max_frames: int = DATA_FRAMES,
+    compression: str = "snappy",
+    c: Columns = COLUMNS,
+) -> None:
+    """Episode-aligned data shards under ``root/data/chunk=/file=``.
+
+    ``sharded`` comes from ``episode_shards``.  A shard is one directory, named
+    by the chunk and file numbers of the episode table; its files hold at most
+    ``max_frames`` rows, so no task writes more than that.
+    """
+    placed = _in_shards(frames, sharded, max_frames, c).drop("piece")
+    _write_parquet(placed, f"{root}/data", ["chunk", "file"], max_frames, compression)
+
+
+# Fixed value: the template of data files that other tools of this format write and expect.
+FILE_PATH = "data/chunk-{chunk_index:03d}/file-{file_index:03d}.parquet"
+
+
+def write_frame_files(
+    frames: DataFrame,
+    sharded: DataFrame,
+    root: str,
+    max_frames: int = DATA_FRAMES,
+    compression: str = "snappy",
+    c: Columns = COLUMNS,
+) -> None:
+    """The same with one file a shard, ``root/data/chunk-000/file-000.parquet``.
+
+    Only a shard of one episode longer than ``max_frames`` goes on in files
+    that sort after its first, ``file-000.part-001.parquet``, so that no task
+    writes more than that.  Spark names its files itself, so they are written
+    beside ``data`` and renamed at the end.
+    """
+    placed = _in_shards(frames, sharded, max_frames, c)
+    _write_parquet(placed, f"{root}/data-parts", ["chunk", "file", "piece"], max_frames, compression)
+
+    def name(keys: dict[str, int], place: int) -> str:
+        if place:
+            raise ValueError("a piece of a shard has more than one file")
+        path = FILE_PATH.format(chunk_index=keys["chunk"], file_index=keys["file"])
+        return path if not keys["piece"] else path.replace(".parquet", f".part-{keys['piece']:03d}.parquet")
+
+    named_parts(frames.sparkSession, f"{root}/data-parts", name)
+
+
 def write_episodes(episodes: DataFrame, root: str) -> None:
     episodes.write.mode("errorifexists").parquet(f"{root}/meta/episodes")
 

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from epistride.functions import scalars as S
 from epistride.functions.versions import migration_chain, migration_steps, normalise_version
@@ -180,7 +181,7 @@ def candidate_rows(spark: SparkSession, folder: str) -> DataFrame:
 # Tables written and read back --------------------------------------------
 
 
-def _write_dataset(spark: SparkSession, folder: str, max_frames: int = 1000) -> str:
+def _write_dataset(spark: SparkSession, folder: str, max_frames: int = 1000, padded: bool = False) -> str:
     """Events as a sharded dataset; returns its root."""
     frames = event_table(spark, folder)
     root = scratch_path(spark, "dataset")
@@ -190,10 +191,35 @@ def _write_dataset(spark: SparkSession, folder: str, max_frames: int = 1000) ->
         integrity.episode_summary(frames).select("episode_index", "length", F.array(text).alias("tasks")), "episodes"
     )
     texts = rows.select("task_index").distinct().withColumn("task", F.concat(F.lit("task "), F.col("task_index").cast("string")))
-    migrations.to_sharded(rows, episodes, texts, root, 25.0, max_frames)
+    migrations.to_sharded(rows, episodes, texts, root, 25.0, max_frames, padded=padded)
     return root
 
 
+FRAME_SCHEMA = T.StructType(
+    [T.StructField(name, T.LongType()) for name in ("episode_index", "frame_index", "task_index", "event_id")]
+    + [T.StructField("observed", T.DoubleType())]
+)
+
+
+@query("A1 K1 L3", f"WITH {EVENT_FRAMES} SELECT episode_index, frame_index, task_index, event_id, {r6('observed')} AS observed FROM frames")
+def padded_frame_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A dataset of ``chunk-000/file-000.parquet`` files, read with the caller's schema."""
+    frames = readers.read_frames(spark, _write_dataset(spark, folder, padded=True), FRAME_SCHEMA)
+    return frames.withColumn("observed", F.round("observed", 6))
+
+
+@query("A1 A3 C3", f"""
+WITH {EVENT_FRAMES}, {split_sql('frames', 0.1, 11)}
+SELECT episode_index, frame_index, task_index, event_id FROM frames JOIN split USING (episode_index) WHERE split = 'val'""")
+def held_out_frame_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Frames of the held-out episodes, from the files that the episode table names for them."""
+    root = _write_dataset(spark, folder, padded=True)
+    episodes = readers.read_episodes(spark, root)
+    held = splits.seeded_split(episodes.select("episode_index"), 0.1, 11).where("split = 'val'")
+    chosen = episodes.join(held, "episode_index", "left_semi")
+    return readers.read_episode_frames(spark, root, chosen, FRAME_SCHEMA).drop("observed")
+
+
 @query("A1 K1 L3", f"WITH {EVENT_FRAMES} SELECT episode_index, frame_index, task_index, event_id FROM frames")
 def frame_table_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     root = _write_dataset(spark, folder)

@@ -2,11 +2,13 @@
 
 import json
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from epistride.operators import integrity, shards
+from epistride.plans import migrations
 from epistride.sources import readers, writers
 from tests.test_returns import frames_of
 
@@ -170,3 +172,54 @@ def test_large_ids_in_curves(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"curves": [{"episode_id": 9007199254740993, "frame_indices": [0, 1.0, 2e0], "values": [1, 2, 3]}]}')
     got = readers.read_curves(spark, str(tmp_path / "c.json")).orderBy("frame_index").collect()
     assert [tuple(r) for r in got] == [(9007199254740993, 0, 1.0), (9007199254740993, 1, 2.0), (9007199254740993, 2, 3.0)]
+
+
+def test_padded_files_are_read_back_and_only_needed_ones_opened(spark, tmp_path):
+    lengths = {0: 3, 1: 4, 2: 25, 3: 2, 4: 8}
+    frames = frames_of(spark, lengths)
+    episodes = spark.createDataFrame([(e, n, ["t"]) for e, n in lengths.items()], "episode_index long, length long, tasks array<string>")
+    tasks = spark.createDataFrame([(0, "t")], "task_index long, task string")
+    root = str(tmp_path / "out")
+    migrations.to_sharded(frames, episodes, tasks, root, 10.0, 8, padded=True)
+    names = sorted(f.relative_to(tmp_path / "out" / "data").as_posix() for f in (tmp_path / "out" / "data").rglob("*.parquet"))
+    chunk = "chunk-000/file-00"
+    assert names == [f"{chunk}0.parquet", f"{chunk}1.parquet", *[f"{chunk}1.part-00{i}.parquet" for i in (1, 2, 3)], f"{chunk}2.parquet", f"{chunk}3.parquet"]
+    assert not (tmp_path / "out" / "data-parts").exists()
+    wanted = sorted(map(tuple, frames.collect()))
+    assert sorted(map(tuple, readers.read_frames(spark, root).collect())) == wanted
+    assert sorted(map(tuple, readers.read_frames(spark, root, frames.schema).collect())) == wanted
+
+    table = readers.read_episodes(spark, root)
+    some = readers.read_episode_frames(spark, root, table.where("episode_index in (2, 3)"), frames.schema)
+    assert {f.rsplit("/", 1)[1] for f in some.inputFiles()} >= {"file-001.parquet", "file-002.parquet"}
+    assert not {f.rsplit("/", 1)[1] for f in some.inputFiles()} & {"file-000.parquet", "file-003.parquet"}
+    assert sorted((r.episode_index, r.frame_index) for r in some.collect()) == [(e, i) for e in (2, 3) for i in range(lengths[e])]
+    assert readers.read_episode_frames(spark, root, table.where("episode_index > 9")).count() == 0
+
+
+def test_directories_named_by_key_are_pruned_too(spark, tmp_path):
+    lengths = {0: 3, 1: 4, 2: 5}
+    frames = frames_of(spark, lengths)
+    episodes = spark.createDataFrame([(e, n, ["t"]) for e, n in lengths.items()], "episode_index long, length long, tasks array<string>")
+    root = str(tmp_path / "out")
+    migrations.to_sharded(frames, episodes, spark.createDataFrame([(0, "t")], "task_index long, task string"), root, 10.0, 5)
+    some = readers.read_episode_frames(spark, root, readers.read_episodes(spark, root).where("episode_index = 1"), frames.schema)
+    opened = [f for f in some.inputFiles() if "/data/" in f]
+    assert len(opened) == 1 and "file=1" in opened[0]
+    assert some.count() == 4
+    assert sorted(map(tuple, readers.read_frames(spark, root, frames.schema).collect())) == sorted(map(tuple, frames.collect()))
+
+
+def test_foreign_files_and_templates(spark, tmp_path):
+    folder = tmp_path / "data" / "chunk-000"
+    folder.mkdir(parents=True)
+    for e in (0, 1):
+        pq.write_table(pa.table({"episode_index": [e] * 3, "frame_index": [0, 1, 2]}), folder / f"episode_{e:06d}.parquet")
+    assert readers.read_frames(spark, str(tmp_path)).count() == 6
+    legacy = "data/chunk-{episode_chunk:03d}/episode_{episode_index:06d}.parquet"
+    chosen = spark.createDataFrame([(1,)], "episode_index long")
+    some = readers.read_episode_frames(spark, str(tmp_path), chosen, data_path=legacy)
+    assert [f.rsplit("/", 1)[1] for f in some.inputFiles()] == ["episode_000001.parquet"]
+    assert some.count() == 3
+    with pytest.raises(ValueError, match="unknown field"):
+        readers.data_files(chosen, "data/{episode_index.__class__}.parquet")
