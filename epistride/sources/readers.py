@@ -30,6 +30,9 @@ from epistride.functions.scalars import (
     strict_long_token,
 )
 from epistride.operators.integrity import duplicate_keys, require_none
+from epistride.operators.scans import spread_join
+from epistride.session import stored
+from epistride.sources.json_scan import document_problems, json_leaves
 
 
 def read_frames(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
@@ -113,9 +116,13 @@ def read_episodes(spark: SparkSession, root: str, strict: bool = True) -> DataFr
     return episodes
 
 
-def _documents(spark: SparkSession, path: str, pretty: bool) -> DataFrame:
-    """JSON texts: one per file when ``pretty``, otherwise one per line."""
-    return spark.read.text(path, wholetext=pretty)
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path)
+
+
+def _present(value: Column) -> Column:
+    """A leaf's text, without JSON's null."""
+    return F.when(F.col("is_string") | (value != "null"), value)
 
 
 def read_tasks(spark: SparkSession, path: str, form: str = "parquet", pretty: bool = True) -> DataFrame:
@@ -124,7 +131,8 @@ def read_tasks(spark: SparkSession, path: str, form: str = "parquet", pretty: bo
     ``parquet`` takes the text from a ``task`` column or, when the file was
     written from an indexed pandas frame, from its index column; ``lines`` is
     one object per line; ``object`` maps id to text, also in pages of one line
-    each (``pretty=False``); ``list`` is texts in id order.
+    each (``pretty=False``); ``list`` is texts in id order.  A document that
+    spans lines is read in many tasks.
     """
     if form == "parquet":
         table = spark.read.parquet(path)
@@ -134,15 +142,17 @@ def read_tasks(spark: SparkSession, path: str, form: str = "parquet", pretty: bo
         )
     if form == "lines":
         return spark.read.schema(TASK_LINES).json(path).select("task_index", clean_text(F.col("task")).alias("task"))
-    document = _documents(spark, path, pretty)
-    if form == "object":
-        pairs = document.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "text"))
-        index: Column = strict_long_token(F.col("key"))
-    elif form == "list":
-        pairs = document.select(F.posexplode(F.from_json("value", "array<string>")).alias("key", "text"))
-        index = F.col("key").cast("long")
-    else:
+    if form not in ("object", "list"):
         raise ValueError(f"unknown task form {form!r}")
+    index: Column = strict_long_token(F.col("key")) if form == "object" else F.col("key").cast("long")
+    if pretty:
+        members = json_leaves(spark, path, 1).where("not empty")
+        key = F.get("keys", 0) if form == "object" else F.get("places", 0)
+        pairs = members.select(key.alias("key"), _present(F.col("value")).alias("text"))
+    elif form == "object":
+        pairs = _lines(spark, path).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "text"))
+    else:
+        pairs = _lines(spark, path).select(F.posexplode(F.from_json("value", "array<string>")).alias("key", "text"))
     return pairs.select(index.alias("task_index"), clean_text(F.col("text")).alias("task"))
 
 
@@ -290,15 +300,101 @@ def curve_entry_problems(entries: DataFrame) -> DataFrame:
     return broken.unionByName(twice.select("episode_id", F.lit("duplicate episode").alias("problem")))
 
 
+def curve_cells(spark: SparkSession, path: str) -> DataFrame:
+    """(file, entry, field, place, value, is_string) of the curve entries in documents of any size.
+
+    A document is a list of entries, one entry, or an object that holds a list
+    under ``curves`` or else ``episode_curves``.  An array's members have
+    places from 0; an empty array has one row without a place, other fields
+    have place -1.
+    """
+    leaves = json_leaves(spark, path, 4)
+    first = F.get("keys", 0)
+    named_list = first.isin("curves", "episode_curves")
+    # Where both names occur the first one counts.
+    both = leaves.groupBy("file").agg(F.bool_or(first == "curves").alias("plain"))
+    leaves = spread_join(leaves, both, ["file"], ["places"]).where(~((first == "episode_curves") & F.col("plain")))
+    skipped = F.when(named_list, 2).when(first == "", 1).otherwise(0)
+    rows = leaves.withColumn("skipped", skipped).where(F.size("keys") > F.col("skipped"))
+    below = F.size("keys") - F.col("skipped")
+    place = F.when(below == 1, F.lit(-1)).when(~F.col("empty"), F.get("places", F.col("skipped") + 1))
+    entry = F.when(F.col("skipped") > 0, F.get("places", F.col("skipped") - 1)).otherwise(0)
+    return rows.where((below <= 2) & F.get("keys", F.col("skipped")).isin("episode_id", "page", "frame_indices", "values")).select(
+        "file", entry.cast("long").alias("entry"), F.get("keys", F.col("skipped")).alias("field"), place.cast("long").alias("place"),
+        _present(F.col("value")).alias("value"), "is_string",
+    )
+
+
+def curve_cell_problems(cells: DataFrame) -> DataFrame:
+    """Entries of ``curve_cells`` that cannot be aligned: (episode_id, problem), as ``curve_entry_problems`` names them."""
+    field, member = F.col("field"), F.col("place") >= 0
+    own = lambda name: F.max(F.when((field == name) & (F.col("place") == -1), F.col("value")))
+    some = lambda name: F.coalesce(F.bool_or(field == name), F.lit(False))
+    size = lambda name: F.count_if((field == name) & member)
+    frame = strict_long_number(F.col("value"))
+    told = cells.groupBy("file", "entry").agg(
+        own("episode_id").alias("episode_id"),
+        own("page").alias("page"),
+        (some("frame_indices") & some("values")).alias("complete"),
+        size("frame_indices").alias("frames"),
+        size("values").alias("numbers"),
+        F.count_if((field == "frame_indices") & member & frame.isNull()).alias("bad_frames"),
+        F.count_if((field == "values") & member & ~F.coalesce(_number(), F.lit(False))).alias("bad_values"),
+    )
+    frames = cells.where((field == "frame_indices") & member).select("file", "entry", frame.alias("frame"))
+    twice = duplicate_keys(frames, ["file", "entry", "frame"]).select("file", "entry").distinct().withColumn("twice", F.lit(True))
+    told = told.join(twice, ["file", "entry"], "left")
+    problem = (
+        F.when(F.col("episode_id").isNull() | ~F.col("complete"), "missing field")
+        .when(strict_long_number(F.col("episode_id")).isNull(), "episode id")
+        .when(F.col("frames") != F.col("numbers"), "sizes differ")
+        .when(F.col("frames") == 0, "no points")
+        .when(F.col("bad_frames") > 0, "frame index")
+        .when(F.col("bad_values") > 0, "value")
+        .when(F.col("twice"), "duplicate frame")
+    )
+    broken = told.select("episode_id", problem.alias("problem")).where(F.col("problem").isNotNull())
+    again = told.where("episode_id is not null").groupBy("episode_id", F.coalesce("page", F.lit("0")).alias("page")).agg(F.count(F.lit(1)).alias("copies"))
+    return broken.unionByName(again.where("copies > 1").select("episode_id", F.lit("duplicate episode").alias("problem")))
+
+
+def _number() -> Column:
+    """Is the cell a finite number, not a text?"""
+    return ~F.col("is_string") & is_finite(F.col("value").try_cast("double"))
+
+
+def _points_of_cells(cells: DataFrame) -> DataFrame:
+    member = lambda name, kept: cells.where((F.col("field") == name) & (F.col("place") >= 0)).select("file", "entry", "place", kept)
+    frames = member("frame_indices", strict_long_number(F.col("value")).alias("frame_index"))
+    values = member("values", F.col("value").try_cast("double").alias("value"))
+    ids = cells.where((F.col("field") == "episode_id") & (F.col("place") == -1))
+    ids = ids.select("file", "entry", strict_long_number(F.col("value")).alias("episode_id"))
+    points = frames.join(values, ["file", "entry", "place"])
+    # An entry may hold most of the points.
+    return spread_join(points, ids, ["file", "entry"], ["place"]).select("episode_id", "frame_index", "value")
+
+
 def read_curves(spark: SparkSession, path: str, pretty: bool = True) -> DataFrame:
-    """(episode_id, frame_index, value) of a valid curve artifact."""
-    entries = read_curve_entries(spark, path, pretty)
-    if entries.isEmpty():
-        raise ValueError(f"{path} holds no curves")
-    require_none(curve_entry_problems(entries), "curve artifact", ["episode_id", "problem"])
-    points = entries.select(
-        strict_long_number(F.col("episode_id")).alias("episode_id"), F.inline(F.arrays_zip("frame_indices", "values"))
-    ).select("episode_id", strict_long_number(F.col("frame_indices")).alias("frame_index"), F.col("values").alias("value"))
+    """(episode_id, frame_index, value) of a valid curve artifact.
+
+    ``pretty`` reads documents that may span lines, of any size, in many
+    tasks; without it every line is a document of its own.
+    """
+    if pretty:
+        require_none(document_problems(spark, path), "curve artifact", ["file", "problem"])
+        cells = stored(curve_cells(spark, path), "curve-cells")
+        if cells.isEmpty():
+            raise ValueError(f"{path} holds no curves")
+        require_none(curve_cell_problems(cells), "curve artifact", ["episode_id", "problem"])
+        points = _points_of_cells(cells)
+    else:
+        entries = read_curve_entries(spark, path, pretty)
+        if entries.isEmpty():
+            raise ValueError(f"{path} holds no curves")
+        require_none(curve_entry_problems(entries), "curve artifact", ["episode_id", "problem"])
+        points = entries.select(
+            strict_long_number(F.col("episode_id")).alias("episode_id"), F.inline(F.arrays_zip("frame_indices", "values"))
+        ).select("episode_id", strict_long_number(F.col("frame_indices")).alias("frame_index"), F.col("values").alias("value"))
     # Pages of one episode must not overlap.
     require_none(duplicate_keys(points, ["episode_id", "frame_index"]), "repeated curve points", ["episode_id", "frame_index"])
     return points
@@ -313,16 +409,24 @@ _VIDEO = (
 def read_video_map(spark: SparkSession, path: str, pretty: bool = True, base: str | None = None) -> DataFrame:
     """One row per episode of an object of episode -> path or description.
 
-    ``pretty`` reads one object per file, otherwise one per line.  Relative
-    paths are placed below ``base``, normally the map's own folder.
+    ``pretty`` reads one object per file, in many tasks, otherwise one per
+    line.  Relative paths are placed below ``base``, normally the map's own folder.
     """
-    text = _documents(spark, path, pretty)
-    pairs = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "entry"))
-    described = F.from_json("entry", _VIDEO)
-    entry = F.when(F.ltrim("entry").startswith("{"), described).otherwise(
-        F.from_json(F.to_json(F.struct(F.col("entry").alias("path"))), _VIDEO)
-    )
-    rows = pairs.select(strict_long_token(F.col("key")).alias("episode_id"), entry.alias("v")).select("episode_id", "v.*")
+    if pretty:
+        leaves = json_leaves(spark, path, 2).where(~F.col("empty") | (F.size("keys") == 2))
+        field = F.coalesce(F.get("keys", 1), F.lit("path"))
+        value = _present(F.col("value"))
+        columns = [f.split() for f in _VIDEO.split(", ")]
+        pick = lambda name, kind: F.max(F.when((field == name) & ~F.col("empty"), value)).try_cast(kind).alias(name)
+        rows = leaves.groupBy("file", F.get("places", 0).alias("__place"), F.get("keys", 0).alias("__key")).agg(*[pick(n, k) for n, k in columns])
+        rows = rows.select(strict_long_token(F.col("__key")).alias("episode_id"), *[n for n, _ in columns])
+    else:
+        pairs = _lines(spark, path).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "entry"))
+        described = F.from_json("entry", _VIDEO)
+        entry = F.when(F.ltrim("entry").startswith("{"), described).otherwise(
+            F.from_json(F.to_json(F.struct(F.col("entry").alias("path"))), _VIDEO)
+        )
+        rows = pairs.select(strict_long_token(F.col("key")).alias("episode_id"), entry.alias("v")).select("episode_id", "v.*")
     if base is None:
         return rows
     relative = (F.length("path") > 0) & ~F.col("path").startswith("/")

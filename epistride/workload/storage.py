@@ -508,6 +508,38 @@ def wrapped_curve_artifact(spark: SparkSession, folder: str) -> DataFrame:
     return readers.read_curves(spark, path, pretty=False).withColumn("value", F.round("value", 6))
 
 
+def _write_documents(members: DataFrame, path: str, ends: str) -> None:
+    """JSON documents that span lines, one a ``part``, of members (part, at, member)."""
+    first = members.groupBy("part").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    told = members.join(first, "part")
+    opening = F.when(F.col("at") == F.col("first"), ends[0]).otherwise(",")
+    closing = F.when(F.col("at") == F.col("last"), "\n" + ends[1]).otherwise("")
+    lines = told.select("part", "at", F.concat(opening, F.lit("\n  "), "member", closing).alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "at").drop("at").write.partitionBy("part").text(path)
+
+
+@query("A10 K9", POINTS_SQL)
+def curve_document_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Curve documents that span lines, each read in as many tasks as it has splits."""
+    entries = _turn_points(spark, folder).groupBy("episode_id").agg(
+        F.sort_array(F.collect_list(F.struct("frame_index", "value"))).alias("p")
+    ).select("episode_id", F.col("p.frame_index").alias("frame_indices"), F.col("p.value").alias("values"))
+    member = F.regexp_replace(F.to_json(F.struct("episode_id", "frame_indices", "values")), ",", ",\n    ")
+    path = scratch_path(spark, "documents")
+    _write_documents(entries.select(F.floor(F.col("episode_id") / 500).alias("part"), F.col("episode_id").alias("at"), member.alias("member")), path, "[]")
+    return readers.read_curves(spark, path).withColumn("value", F.round("value", 6))
+
+
+@query("A4", "SELECT item_id AS task_index, nullif(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '') AS task FROM benchmark")
+def task_document_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Task texts, with commas and quotes in them, as objects that span lines."""
+    rows = table(spark, folder, "benchmark").select("item_id", F.to_json(F.struct(F.col("text").alias("v"))).alias("v"))
+    member = F.concat(F.lit('"'), F.col("item_id").cast("string"), F.lit('": '), F.regexp_extract("v", r'(?s)^\{"v":(.*)\}$', 1))
+    path = scratch_path(spark, "documents")
+    _write_documents(rows.select(F.floor(F.col("item_id") / 64).alias("part"), F.col("item_id").alias("at"), member.alias("member")), path, "{}")
+    return readers.read_tasks(spark, path, "object")
+
+
 @query("A10 B2 B3 D13", """
 WITH kinds AS (SELECT DISTINCT conv_id, conv_id % 6 AS k FROM conversations)
 SELECT CAST(conv_id AS VARCHAR) AS episode_id,

@@ -223,3 +223,34 @@ def test_foreign_files_and_templates(spark, tmp_path):
     assert some.count() == 3
     with pytest.raises(ValueError, match="unknown field"):
         readers.data_files(chosen, "data/{episode_index.__class__}.parquet")
+
+
+def test_damaged_curve_documents_are_told_as_entries_are(spark, tmp_path):
+    entries = [
+        {"episode_id": 1, "frame_indices": [3, 4], "values": [0.5, -1e-3]},
+        {"episode_id": 2, "frame_indices": [3, 3], "values": [0.5, 1]},
+        {"episode_id": 3, "frame_indices": [3, 4.5], "values": [0.5, 1]},
+        {"episode_id": 4, "frame_indices": [3], "values": [0.5, 1]},
+        {"episode_id": 5, "frame_indices": [], "values": []},
+        {"episode_id": 6, "values": [1.0]},
+        {"episode_id": "x", "frame_indices": [1], "values": [1.0]},
+        {"episode_id": 8, "frame_indices": [1], "values": [None]},
+        {"episode_id": 9, "frame_indices": [1], "values": [1.0], "other": {"values": [1, 2]}},
+        {"episode_id": 9, "frame_indices": [2], "values": [2.0]},
+    ]
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    try:
+        path = tmp_path / "curves.json"
+        path.write_text(json.dumps({"curves": entries, "metrics": {"mse": 1, "values": [3]}, "episode_curves": entries}, indent=1))
+        want = sorted(map(tuple, readers.curve_entry_problems(readers.read_curve_entries(spark, str(path))).collect()), key=str)
+        cells = readers.stored(readers.curve_cells(spark, str(path)))
+        got = sorted(map(tuple, readers.curve_cell_problems(cells).collect()), key=str)
+        assert got == want and len(got) == 8
+        path.write_text(json.dumps(entries[0]))
+        assert sorted(map(tuple, readers.read_curves(spark, str(path)).collect())) == [(1, 3, 0.5), (1, 4, -0.001)]
+        path.write_text(json.dumps(entries)[:-4])
+        with pytest.raises(integrity.IntegrityError):
+            readers.read_curves(spark, str(path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
