@@ -66,6 +66,32 @@ def test_chains_and_large_groups(spark, table):
     assert sorted(r.doc_id for r in got.collect()) == want
 
 
+def test_common_passages_join_nothing_and_hide_nothing(spark, table):
+    """Texts that share most of their words with all others, a few of which are alike beyond that."""
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(150)]
+    rows = []
+    for doc in range(120):
+        own = [f"o{rng.integers(10**9)}" for _ in range(int(rng.integers(30, 60)))]
+        rows.append((doc, " ".join(passage + own), "s"))
+    for doc in range(120, 126):
+        rows.append((doc, " ".join(edited(rng, rows[doc - 120][1].split(), 2)), "s"))
+    want = plain_kept(rows)
+    assert len(want) >= 110
+    assert sorted(r.doc_id for r in simhash.keep_one(table(rows), near=nearcopies.near_copies).collect()) == want
+
+
+def test_prefixes_meet_for_every_alike_pair(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(1, 1 << 62, 60)
+    made = [np.unique(np.r_[rng.choice(base, 55, replace=False), rng.integers(1, 1 << 62, int(rng.integers(0, 9)))]) for _ in range(60)]
+    df = spark.createDataFrame([(i, i, m.astype(np.uint64).tobytes()) for i, m in enumerate(made)], "node long, root long, hashes binary")
+    pairs = nearcopies._crossing_pairs(nearcopies.rare_prefixes(df, 0.8), 0.8)
+    got = {(r.b, r.a) for r in pairs.collect()}
+    alike = {(i, j) for j in range(60) for i in range(j) if nearcopies.similarity(made[i], made[j]) >= 0.8}
+    assert alike and alike <= got
+
+
 def test_odd_rows(spark, table):
     text = "one two three four five six seven eight nine ten"
     docs = table([(1, None, "a"), (2, "", None), (3, " \n\t", "a"), (4, text, "a"), (4, text, "a"), (None, text.upper(), "b"), (5, "word " * 300_000, "b"), (6, "two words", "b"), (7, "Two  words", "b")])
