@@ -7,17 +7,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from epistride.llm.arrow import prepared, slices
+from epistride.session import stored
 
 #: A classifier is fitted on at most so many rows of either label.
 ROWS_PER_LABEL = 4_000
+#: And on at most so many bytes of features of either label.
+BYTES_PER_LABEL = 32 << 20
 
 
 def folded(doc_id: Column, folds: int) -> Column:
-    """crc32 of the id's text modulo ``folds``; null for a null id."""
-    return (F.crc32(doc_id.cast("string").cast("binary")) % folds).cast("int")
+    """crc32 of the id's text modulo ``folds``; a null id counts as the empty text."""
+    return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds).cast("int")
 
 
 @dataclass
@@ -40,13 +43,18 @@ def sample(
     id_col: str = "doc_id",
     text_col: str = "text",
     seed: int = 11,
+    reduced: Callable[[DataFrame], DataFrame] | None = None,
+    bytes_per_label: int = BYTES_PER_LABEL,
 ) -> Sample:
     """Features of at most ``rows_per_label`` texts of either label, drawn by a seeded hash of the id.
 
     ``allowed`` says which rows of ``labels`` may be learnt from. Labels other
-    than 0 and 1 and ids with both labels are left out. ``extract`` runs in the
-    tasks and gives one uint32 array for each text. Weights bring the labels
-    back to their shares among all allowed rows.
+    than 0 and 1 and ids with both labels are left out; of rows that repeat an
+    id one counts. ``extract`` runs in the tasks and gives one uint32 array for
+    each text, ``reduced`` may thin these out over all rows (id, label, found)
+    before they leave the tasks. Where the features take more than
+    ``bytes_per_label``, fewer texts are taken. Weights bring the labels back
+    to their shares among all allowed rows.
     """
     spark = docs.sparkSession
     known = labels.filter(allowed).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
@@ -69,7 +77,13 @@ def sample(
             found = [f.astype("<u4").tobytes() for f in extract(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(found, pa.binary())], names=["id", "label", "found"])
 
-    rows = texts.mapInArrow(run, f"id {kind}, label int, found binary").orderBy("id").collect()
+    rows = texts.mapInArrow(run, f"id {kind}, label int, found binary").groupBy("id", "label").agg(F.min("found").alias("found"))
+    rows = stored(rows, "sample")
+    rows = rows if reduced is None else reduced(rows)
+    # A window over the sample's few thousand rows.
+    upto = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), "id"), "id")
+    rows = rows.withColumn("upto", F.sum(F.octet_length("found")).over(upto)).filter(F.col("upto") <= bytes_per_label)
+    rows = rows.select("id", "label", "found").orderBy("id").collect()
     seen = {label: sum(r.label == label for r in rows) for label in counts}
     weight = {label: counts[label] / max(1, seen[label]) for label in counts}
     scale = sum(seen.values()) / max(1, sum(counts.values()))

@@ -52,6 +52,15 @@ def features(texts: list[bytes]) -> list[np.ndarray]:
     return [np.r_[np.uint32(n), plain[a:b]] for n, a, b in zip(tokens, edges, edges[1:])]
 
 
+def counted_features(texts: list[bytes]) -> list[np.ndarray]:
+    """The same with each feature once: the number of tokens, the features, and how often each occurs."""
+    out = []
+    for found in features(texts):
+        feature, count = np.unique(found[1:], return_counts=True)
+        out.append(np.concatenate([found[:1], feature, count.astype(np.uint32)]))
+    return out
+
+
 @dataclass
 class Regression:
     bias: float
@@ -67,7 +76,7 @@ class Regression:
 
 
 def fit(data: Sample, epochs: int = EPOCHS, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, seed: int = 3) -> Regression:
-    """Follow the regularised leader, coordinate by coordinate, text after text.
+    """Follow the regularised leader, coordinate by coordinate, text after text; features as ``counted_features`` gives them.
 
     With a single label or no rows the weights stay 0 and every text gets the
     smoothed share of label 1.
@@ -79,7 +88,7 @@ def fit(data: Sample, epochs: int = EPOCHS, alpha: float = 0.5, beta: float = 1.
         return Regression(bias, np.zeros(1 << BITS, np.float32))
 
     def sparse_row(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        feature, count = np.unique(found[1:], return_counts=True)
+        feature, count = np.split(found[1:], 2)
         return feature, (SCALE * count / max(1, int(found[0]))).astype(np.float32)
 
     sparse = [sparse_row(f) for f in data.features]
@@ -107,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, lab
           rows_per_label: int = labelled.ROWS_PER_LABEL) -> Regression:
     """Fit on at most ``rows_per_label`` texts of either label; the model has a fixed size."""
     allowed = F.lit(True) if allowed is None else allowed
-    return fit(labelled.sample(docs, labels, label_col, allowed, features, rows_per_label, id_col, text_col))
+    return fit(labelled.sample(docs, labels, label_col, allowed, counted_features, rows_per_label, id_col, text_col))
 
 
 def scores(docs: DataFrame, model: Regression, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

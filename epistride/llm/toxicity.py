@@ -7,9 +7,11 @@ that two terms together can weigh more (or less) than they do apart.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from epistride.llm import labelled
@@ -58,6 +60,15 @@ class Machine:
     linear: np.ndarray
     factors: np.ndarray
 
+    def __getstate__(self) -> dict:
+        used = np.flatnonzero(self.place >= 0)
+        return {**self.__dict__, "place": (len(self.place), used, self.place[used])}
+
+    def __setstate__(self, state: dict) -> None:
+        size, used, at = state["place"]
+        self.__dict__.update(state, place=np.full(size, -1, np.int32))
+        self.place[used] = at
+
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         found = []
         for row, term in _each_term(texts):
@@ -94,6 +105,41 @@ def telling_terms(data: Sample, most: int = TERMS, evidence: float = EVIDENCE) -
     return order[ratio[order] >= evidence]
 
 
+def with_telling_terms(rows: DataFrame, most: int = TERMS, evidence: float = EVIDENCE) -> DataFrame:
+    """The sample's rows (id, label, found) with no terms but those that ``telling_terms`` may choose.
+
+    The likelihood ratios are computed where the rows are; only the chosen
+    terms, twice as many as the machine uses, come to the driver.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(f, "<u4") for f in batch.column("found").to_pylist()]
+            label = np.repeat(batch.column("label").to_numpy(), [len(f) for f in found])
+            term, place = np.unique(np.concatenate([np.zeros(0, "<u4"), *found]), return_inverse=True)
+            seen = [np.bincount(place[label == one], minlength=len(term)) for one in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (term, *seen)], names=["term", "seen_0", "seen_1"])
+
+    sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    n = [max(1, sizes.get(label, 0)) for label in (0, 1)]
+    terms = rows.select("label", "found").mapInArrow(counted, "term long, seen_0 long, seen_1 long")
+    terms = terms.groupBy("term").agg(F.sum("seen_0").alias("seen_0"), F.sum("seen_1").alias("seen_1"))
+    total, ratio = F.col("seen_0") + F.col("seen_1"), F.lit(0.0)
+    for seen, size in ((F.col("seen_0"), n[0]), (F.col("seen_1"), n[1])):
+        for part, whole in ((seen, total), (size - seen, sum(n) - total)):
+            ratio = ratio + F.when(part > 0, 2 * part * F.ln(part / (whole * (size / sum(n))))).otherwise(0.0)
+    told = terms.withColumn("ratio", ratio).filter(F.col("ratio") >= evidence * (1 - 1e-9)).orderBy(F.desc("ratio"), "term").limit(2 * most)
+    chosen = np.sort(np.array([r.term for r in told.select("term").collect()], np.uint32))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(f, "<u4") for f in batch.column("found").to_pylist()]
+            found = pa.array([f[np.isin(f, chosen)].tobytes() for f in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), found], names=["id", "label", "found"])
+
+    return rows.mapInArrow(kept, rows.schema)
+
+
 def fit(
     data: Sample, most: int = TERMS, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 5, evidence: float = EVIDENCE,
     rate: float = 0.01, decay: tuple[float, float] = (1e-4, 1e-2),
@@ -133,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, lab
           rows_per_label: int = labelled.ROWS_PER_LABEL) -> Machine:
     """Fit on at most ``rows_per_label`` texts of either label; the model has a fixed size."""
     allowed = F.lit(True) if allowed is None else allowed
-    return fit(labelled.sample(docs, labels, label_col, allowed, distinct_terms, rows_per_label, id_col, text_col))
+    return fit(labelled.sample(docs, labels, label_col, allowed, distinct_terms, rows_per_label, id_col, text_col, reduced=with_telling_terms))
 
 
 def scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

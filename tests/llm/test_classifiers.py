@@ -116,6 +116,31 @@ def test_sample_is_bounded_and_weighed(spark, table):
     assert (data.weights * data.labels).sum() / data.weights.sum() == pytest.approx(0.8)
 
 
+def test_sample_is_bounded_in_bytes_and_repeated_ids_count_once(spark, table):
+    docs = table([(i % 100, "many words here " * (1 + i % 100), "s") for i in range(300)])
+    labels = spark.createDataFrame([(i, i % 2, i % 2, "x") for i in range(100)], LABELS)
+    every = labelled.sample(docs, labels, "toxic", F.lit(True), quality.counted_features)
+    assert len(every) == 100 and max(len(f) for f in every.features) == 1 + 2 * 6
+    few = labelled.sample(docs, labels, "toxic", F.lit(True), quality.features, bytes_per_label=2000)
+    assert 0 < len(few) < 100
+    assert all(sum(f.nbytes for f, l in zip(few.features, few.labels) if l == label) <= 2000 for label in (0, 1))
+    assert (few.weights * few.labels).sum() / few.weights.sum() == pytest.approx(0.5)
+
+
+def test_terms_chosen_in_the_tasks_are_those_of_the_whole_sample(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    whole = labelled.sample(docs, labels, "toxic", F.lit(True), toxicity.distinct_terms)
+    wanted, got = toxicity.fit(whole), toxicity.train(docs, labels)
+    assert (wanted.place == got.place).all() and len(got.linear) > 0
+    assert got.bias == wanted.bias and np.allclose(got.linear, wanted.linear) and np.allclose(got.factors, wanted.factors)
+
+
+def test_null_id_is_in_a_fold(spark, table):
+    got = labelled.scored(table([(None, "x", "a")]), lambda texts: np.zeros(len(texts))).select(labelled.folded(F.col("id"), 5) == 0)
+    assert got.collect()[0][0] is True
+
+
 def test_accepted_keeps_columns(spark, table):
     docs = table([(1, "fine", "a"), (2, None, "b")])
     machine = toxicity.Machine(np.full(1 << toxicity.BITS, -1, np.int32), -3.0, np.zeros(0), np.zeros((0, 2)))
