@@ -2,11 +2,11 @@
 
 Each source gets a target in words. The targets compete for blocks of equal
 size: block after block goes to the highest quotient target / (2 * blocks + 1).
-Documents are dealt to shards by a seeded hash, so that a shard holds a bounded
-number of words. A source's quota, fixed in this way over all shards, is dealt
-to them by differences of its rounded cumulative claims, so that the shards'
-words add up to it at any number of shards. In a shard they are taken from the
-source's own sequence of documents: whole passes first, then blocks in seeded
+A source's documents are dealt to shards of its own by a seeded hash, so that a
+shard holds a bounded number of words and documents. The source's quota is
+apportioned to its shards by the same rule, over groups of shards first where
+they are many, so that the shards' quotas add up to it. In a shard they are
+taken from its sequence of documents: whole passes first, then blocks in seeded
 order.
 """
 
@@ -22,12 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from epistride.llm.arrow import slices
-from epistride.llm.keyed import spread_lookup
+from epistride.llm.keyed import numbered_copies, spread_lookup
 from epistride.session import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 64
+#: A shard holds about so many words, and documents, at most.
 SHARD_WORDS = 200_000
+SHARD_ROWS = 1_000
+#: So many shards, or groups of them, share a quota in one task.
+GROUP_SHARDS = 1_000
 _WORD = re.compile(WORD.encode())
 
 
@@ -63,8 +67,9 @@ def capped_targets(sources: DataFrame, share: float, most: float) -> DataFrame:
     )
     served = F.min(F.when(F.col("fills") >= F.col("level"), F.struct("fills", "level"))).over(everything)["level"]
     level = F.coalesce(served, F.max("fills").over(everything))
+    kept = [c for c in sources.columns if c not in ("source_size", "weight")]
     return levels.withColumn("served", level).select(
-        "source", "source_size", F.least("room", F.col("served") * F.col("weight")).alias("target")
+        *kept, "source_size", F.least("room", F.col("served") * F.col("weight")).alias("target")
     )
 
 
@@ -94,7 +99,53 @@ def sainte_lague(claims: np.ndarray, blocks: int) -> np.ndarray:
 def _source_quotas(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("src", kind="stable")
     claims = rows["target"].to_numpy(float)
-    return rows[["src", "source_size", "target"]].assign(quota=sainte_lague(claims, int(np.floor(claims.sum() / BLOCK_WORDS + 0.5))))
+    return rows[["src", "source_size", "target", "shards"]].assign(quota=sainte_lague(claims, int(np.floor(claims.sum() / BLOCK_WORDS + 0.5))))
+
+
+def _with_keys(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``docs`` with two digests of id, source and text; rows equal in these are exchangeable."""
+    told = [F.col(id_col), F.col(source_col).cast("string"), F.col(text_col)]
+    # xxhash64 passes over nulls, so what is null is told beside it.
+    told += [F.concat(*[F.col(c).isNull().cast("string") for c in (id_col, source_col, text_col)])]
+    return docs.withColumns({"_key": F.xxhash64(*told), "_key2": F.xxhash64(F.lit(1), *told)})
+
+
+def _shared_quota(rows: pd.DataFrame) -> pd.DataFrame:
+    """``given`` words of a source dealt to its parts: blocks by highest quotients, none above ``room``.
+
+    What a part has no room for goes to those that have, in order.
+    """
+    rows = rows.sort_values("part", kind="stable")
+    given, room = int(rows["given"].iloc[0]), rows["room"].to_numpy(np.int64)
+    blocks = sainte_lague(rows["words"].to_numpy(float), int(np.floor(given / BLOCK_WORDS + 0.5)))
+    wanted = np.minimum(blocks * BLOCK_WORDS, room)
+    short = given - int(wanted.sum())
+    spare = room - wanted if short > 0 else wanted
+    step = np.minimum(spare, np.maximum(0, abs(short) - (np.cumsum(spare) - spare)))
+    wanted = wanted + np.sign(short) * step
+    return rows[["src", "part"]].assign(given=wanted)
+
+
+def shard_quotas(held: DataFrame, given: DataFrame, shards: int, most: float) -> DataFrame:
+    """(src, part, given): each source's words (src, given) dealt to its shards (src, shard, words).
+
+    Level by level, no more than ``GROUP_SHARDS`` parts share a quota at a time.
+    """
+    span = 1
+    while span < shards:
+        span *= GROUP_SHARDS
+    given = given.select("src", F.lit(0).cast("long").alias("part"), "given")
+    while True:
+        below = max(1, span // GROUP_SHARDS)
+        parts = held.groupBy("src", F.floor(F.col("shard") / below).cast("long").alias("part")).agg(
+            F.sum("words").alias("words"), F.sum(F.floor(F.col("words") * float(most)).cast("long")).alias("room")
+        )
+        above = given.select("src", F.col("part").alias("above"), "given")
+        dealt = parts.withColumn("above", F.floor(F.col("part") * below / span).cast("long")).join(above, ["src", "above"])
+        given = dealt.groupBy("src", "above").applyInPandas(_shared_quota, "src string, part long, given long")
+        if below == 1:
+            return given
+        span = below
 
 
 def mix_plan(
@@ -109,46 +160,45 @@ def mix_plan(
 ) -> DataFrame:
     """What the mix takes of every row of ``docs``.
 
-    Returns (id, source, size, source_size, target, passes, ranges, taken):
-    ``passes`` whole copies and once more the words in ``ranges`` [start, end).
-    ``weights`` are dealt to the sources in order, or a table (source, weight).
-    A null text has size 0 and gives nothing; null is a source like others.
-    Rows of equal id, source and size are exchangeable. The plan depends on
-    the rows, the seed and the parameters alone.
+    Returns (id, source, size, source_size, target, passes, ranges, taken) and
+    what names the row: ``passes`` whole copies and once more the words in
+    ``ranges`` [start, end). ``weights`` are dealt to the sources in order, or
+    a table (source, weight). A null text has size 0 and gives nothing; null
+    is a source like others. Rows of equal id, source and text are numbered
+    and exchangeable. The plan depends on the rows, the seed and the
+    parameters alone. The table of sources, a row each, is worked on in one
+    task.
     """
-    spark = docs.sparkSession
-    sizes = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")
+    keyed = _with_keys(docs.select(id_col, source_col, text_col), id_col, text_col, source_col)
+    sizes = keyed.select(
+        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), "_key", "_key2"
     )
     # A key that is never null.
     sizes = stored(sizes.withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "sizes")
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     if isinstance(weights, DataFrame):
         weighed = sources.join(weights.select(F.col("source").alias("_s"), "weight"), sources.source.eqNullSafe(F.col("_s"))).drop("_s")
     else:
         weighed = cyclic_weights(sources, weights)
-    targets = stored(
-        capped_targets(weighed, share, most).withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source"),
-        "targets",
-    )
-    total = targets.agg(F.sum("source_size")).first()[0] or 0
-    shards = int(-(-total // SHARD_WORDS)) or 1
-    dealt = sizes.withColumn("place", F.xxhash64(F.lit(seed), "id")).withColumn("shard", F.pmod(F.col("place"), F.lit(shards)))
-
-    # Each source's words are fixed once; a shard gets what the words up to its end claim beyond those before it.
-    given = "src string, source_size long, target double, quota long"
-    given = targets.withColumn("all", F.lit("")).groupBy("all").applyInPandas(_source_quotas, given)
-    whole = F.least(F.col("quota") * BLOCK_WORDS, (F.col("source_size") * float(most)).cast("long")).alias("whole")
-    held = dealt.groupBy("src", "shard").agg(F.sum("size").alias("words"))
-    claims = spread_lookup(held, given.select("src", "source_size", whole), ["src"], ["shard"])
-    upto = F.sum("words").over(Window.partitionBy("src").orderBy("shard"))
-    claims = claims.filter("words > 0").withColumn("upto", upto)
-    due = lambda at: F.expr(f"cast(whole as decimal(18,0)) * cast({at} as decimal(18,0)) div source_size")
-    quotas = (
-        claims.withColumn("wanted", due("upto") - due("(upto - words)"))
-        .withColumn("passes", F.expr("wanted div words"))
-        .select("src", "shard", "words", "passes", (F.col("wanted") - F.col("passes") * F.col("words")).alias("rest"))
-    )
+    shards = F.greatest(F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("rows") / SHARD_ROWS), F.lit(1)).cast("long")
+    targets = capped_targets(weighed.withColumn("shards", shards), share, most)
+    targets = targets.withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
+    given = "src string, source_size long, target double, shards long, quota long"
+    targets = stored(targets.withColumn("all", F.lit("")).groupBy("all").applyInPandas(_source_quotas, given), "targets")
+
+    dealt = numbered_copies(sizes, ["_key", "_key2"], "_nth")
+    dealt = dealt.withColumn("place", F.xxhash64(F.lit(seed), "_key", "_key2", "_nth"))
+    dealt = spread_lookup(dealt, targets.select("src", "shards"), ["src"], ["place"])
+    dealt = stored(dealt.withColumn("shard", F.pmod("place", "shards")).drop("shards"), "dealt")
+
+    # Each source's words are fixed once and then shared out to its shards.
+    held = stored(dealt.groupBy("src", "shard").agg(F.sum("size").alias("words")), "held")
+    whole = F.least(F.col("quota") * BLOCK_WORDS, F.floor(F.col("source_size") * float(most)).cast("long"))
+    most_shards = targets.agg(F.max("shards")).first()[0] or 1
+    quotas = shard_quotas(held.filter("words > 0"), targets.select("src", whole.alias("given")), most_shards, most)
+    quotas = quotas.withColumnRenamed("part", "shard").join(held, ["src", "shard"])
+    quotas = quotas.withColumn("passes", F.expr("given div words"))
+    quotas = quotas.select("src", "shard", "words", "passes", (F.col("given") - F.col("passes") * F.col("words")).alias("rest"))
     quotas = stored(quotas, "quotas")
 
     # Seeded order of the blocks; the last one that fits only in part gives its first words.
@@ -166,22 +216,24 @@ def mix_plan(
         .hint("merge")
     )
 
-    row = Window.partitionBy("src", "shard").orderBy("place", "id", "size")
+    row = Window.partitionBy("src", "shard").orderBy("place", "_key", "_key2", "_nth")
     offset = F.sum("size").over(row.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    filled = dealt.filter("size > 0").select("src", "shard", "id", "size", offset.alias("first"))
+    own = ["_key", "_key2", "_nth", "id", "size"]
+    filled = dealt.filter("size > 0").select("src", "shard", *own, offset.alias("first"))
     touched = F.explode(F.sequence(F.expr(f"first div {BLOCK_WORDS}"), F.expr(f"(first + size - 1) div {BLOCK_WORDS}")))
     start = F.greatest(F.col("first"), F.col("block") * BLOCK_WORDS) - F.col("first")
     end = F.least(F.col("first") + F.col("size"), F.col("block") * BLOCK_WORDS + F.col("use")) - F.col("first")
     pieces = filled.withColumn("block", touched).join(chosen, ["src", "shard", "block"], "left")
     pieces = pieces.withColumn("piece", F.when(F.col("use").isNotNull() & (end > start), F.struct(start.alias("start"), end.alias("end"))))
-    taken = pieces.groupBy("src", "shard", "id", "size", "first").agg(F.array_sort(F.collect_list("piece")).alias("ranges"))
-    empty = dealt.filter("size = 0").select("src", "shard", "id", "size", F.lit(0).cast("long").alias("first"))
+    taken = pieces.groupBy("src", "shard", *own, "first").agg(F.array_sort(F.collect_list("piece")).alias("ranges"))
+    empty = dealt.filter("size = 0").select("src", "shard", *own, F.lit(0).cast("long").alias("first"))
     taken = taken.unionByName(empty.withColumn("ranges", F.array().cast("array<struct<start:bigint,end:bigint>>")))
 
     passes = held.select("src", "shard").join(quotas, ["src", "shard"], "left").join(targets, "src")
     passes = passes.select("src", "shard", F.coalesce("passes", F.lit(0)).cast("long").alias("passes"), "source_size", "target")
     words = F.aggregate("ranges", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"])
-    return spread_lookup(taken, passes, ["src", "shard"], ["id"]).select(
+    return spread_lookup(taken, passes, ["src", "shard"], ["_key", "_nth"]).select(
+        *[c for c in own if c not in ("id", "size")],
         "id",
         F.when(F.col("src") != "", F.substring("src", 2, 1 << 30)).alias("source"),
         "size",
@@ -207,16 +259,22 @@ def _cut(text: str, ranges: list[dict[str, int]]) -> str:
 
 
 def mixed_documents(
-    docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars"
+    docs: DataFrame,
+    plan: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    chars_col: str | None = "n_chars",
 ) -> DataFrame:
     """The rows the plan takes, with the columns of ``docs``: whole copies, then the words taken once more.
 
-    Rows that repeat an id all follow the one of their plans that takes most.
+    Each row follows its own plan; rows equal in id, source and text may
+    exchange theirs.
     """
-    best = plan.groupBy("id").agg(F.max(F.struct("taken", "passes", "ranges")).alias("p")).filter("p.taken > 0")
-    best = best.select(F.col("id").alias("plan_id"), "p.passes", "p.ranges")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("row_id"))
-    joined = rows.join(best, rows.row_id.eqNullSafe(best.plan_id)).select("row", "passes", "ranges")
+    wanted = stored(plan.filter("taken > 0").select("_key", "_key2", "_nth", "passes", "ranges"), "mix-plan")
+    rows = _with_keys(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), id_col, text_col, source_col), id_col, text_col, source_col)
+    rows = numbered_copies(rows.select("row", "_key", "_key2"), ["_key", "_key2"], "_nth")
+    joined = rows.join(wanted, ["_key", "_key2", "_nth"]).select("row", "passes", "ranges")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -79,16 +79,64 @@ def test_shards_and_blocks(spark, table, monkeypatch):
         target[r.source] = r.target
         size[r.source] += r.size
     assert {s: pytest.approx(t) for s, t in plain_targets(size).items()} == target
-    shards = -(-sum(size.values()) // 500)
     for s, t in target.items():
-        assert abs(taken[s] - t) <= mixing.BLOCK_WORDS * shards / 2 + 1
+        assert abs(taken[s] - t) <= mixing.BLOCK_WORDS
     mixed = mixing.mixed_documents(docs, plan, chars_col=None)
     assert mixed.columns == docs.columns
     by_id = defaultdict(int)
     for r in mixed.collect():
         by_id[r.doc_id] += len(WORD.findall(r.text))
-    wanted = {r.id: r.taken for r in got if r.id != 7 and r.taken}
-    assert {k: v for k, v in by_id.items() if k != 7} == wanted
+    wanted = defaultdict(int)
+    for r in got:
+        wanted[r.id] += r.taken
+    assert by_id == {i: n for i, n in wanted.items() if n}
+
+
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_rows_that_repeat_an_id(spark, table, monkeypatch, doc_id):
+    """Unequal texts of one id each follow their own plan; equal rows share theirs."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 400)
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 20)
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(doc_id, words(f"u{k}x", 40 + k), "a") for k in range(60)] + [(doc_id, words("same", 30), "b")] * 70 + [(8, words("z", 500), None)]
+    docs = table(rows)
+    plan = mixing.mix_plan(docs, (3.0, 1.0, 2.0), 1.5)
+    got = plan.collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
+    taken, target = Counter(), {r.source: r.target for r in got}
+    for r in got:
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - t) <= mixing.BLOCK_WORDS for s, t in target.items())
+    out = Counter()
+    for r in mixing.mixed_documents(docs, plan, chars_col=None).collect():
+        out[r.source] += len(WORD.findall(r.text))
+    assert out == +taken
+
+
+def test_equal_rows_are_dealt_to_many_shards(spark, table, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 10)
+    rows = [(1, "one two three", "a")] * 400 + [(2, "four", "a")]
+    sharded = mixing.mix_plan(table(rows), (1.0,), 0.5)
+    assert sharded.select("_nth").filter("size = 3").distinct().count() == 400
+    assert abs(sharded.agg({"taken": "sum"}).first()[0] - 0.5 * 1201) <= mixing.BLOCK_WORDS
+
+
+def test_quotas_by_level_add_up(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", 4)
+    rng = np.random.default_rng(3)
+    rows = [(s, i, int(rng.integers(1, 900))) for s in "ab" for i in range(50 if s == "a" else 3)]
+    total = Counter()
+    for s, _, n in rows:
+        total[s] += n
+    given = spark.createDataFrame([("a", total["a"] // 3), ("b", 2 * total["b"])], "src string, given long")
+    found = mixing.shard_quotas(spark.createDataFrame(rows, "src string, shard long, words long"), given, 50, 2.0).collect()
+    held, out = {(s, i): n for s, i, n in rows}, Counter()
+    for r in found:
+        assert 0 <= r.given <= 2 * held[r.src, r.part]
+        out[r.src] += r.given
+        if r.src == "a":
+            assert abs(r.given - held["a", r.part] / 3) <= 3 * mixing.BLOCK_WORDS
+    assert out == {"a": total["a"] // 3, "b": 2 * total["b"]} and len(found) == len(rows)
 
 
 def test_weights_as_a_table(spark, table):
