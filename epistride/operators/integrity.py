@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epistride.columns import COLUMNS, Columns, named
+from epistride.operators.bitmaps import number_sets
 from epistride.operators.scans import blocked_scan, position_block, previous
 
 
@@ -102,22 +103,15 @@ def broken_steps(
 def uneven_episodes(frames: DataFrame, c: Columns = COLUMNS) -> DataFrame:
     """Episodes whose frames are not one gap-free, duplicate-free range.
 
-    Needs no table order: only counts, so it is the cheap gate before work
-    that relies on consecutive frames.
+    Needs no table order, and one group for every 64 frames: the cheap gate
+    before work that relies on consecutive frames.
     """
-    per_key = frames.groupBy(*[named(k) for k in c.key]).agg(F.count(F.lit(1)).alias("copies"))
-    return (
-        per_key.groupBy(named(c.episode))
-        .agg(
-            F.sum("copies").alias("length"),
-            F.count(F.lit(1)).alias("distinct_frames"),
-            F.min(named(c.frame)).alias("first_frame"),
-            F.max(named(c.frame)).alias("last_frame"),
-        )
-        .where(
-            (F.col("length") != F.col("distinct_frames"))
-            | (F.col("last_frame") - F.col("first_frame") + 1 != F.col("distinct_frames"))
-        )
+    counted = number_sets(frames, [c.episode], c.frame)
+    return counted.select(
+        named(c.episode), "length", F.col("distinct").alias("distinct_frames"), F.col("first").alias("first_frame"), F.col("last").alias("last_frame")
+    ).where(
+        (F.col("length") != F.col("distinct_frames"))
+        | (F.col("last_frame") - F.col("first_frame") + 1 != F.col("distinct_frames"))
     )
 
 
@@ -139,11 +133,9 @@ def multi_task_episodes(frames: DataFrame, c: Columns = COLUMNS) -> DataFrame:
 
 def zero_based(frames: DataFrame, c: Columns = COLUMNS) -> DataFrame:
     """One row: are the episode ids exactly 0..n-1?"""
-    ids = distinct_episodes(frames, c)
-    return ids.agg(
-        F.count(F.lit(1)).alias("episodes"),
-        F.min(named(c.episode)).alias("lowest"),
-        F.max(named(c.episode)).alias("highest"),
+    ids = number_sets(frames, [], c.episode)
+    return ids.select(
+        F.coalesce(F.col("distinct"), F.lit(0)).cast("long").alias("episodes"), F.col("first").alias("lowest"), F.col("last").alias("highest")
     ).withColumn(
         "zero_based",
         (F.col("episodes") > 0) & (F.col("lowest") == 0) & (F.col("highest") == F.col("episodes") - 1),

@@ -9,6 +9,7 @@ from epistride.columns import COLUMNS, Columns, named
 from epistride.functions.scalars import clean_task
 from epistride.functions.versions import NEWEST
 from epistride.operators import integrity, labels, returns, statistics
+from epistride.operators.bitmaps import bit_of, word_of
 from epistride.operators.tasks import index_tasks, task_problems
 from epistride.plans.migrations import to_sharded
 from epistride.session import stored
@@ -31,20 +32,23 @@ def episode_labels(spark: SparkSession, frames: DataFrame, success_key: str | No
 def frame_problems(frames: DataFrame, step: str, c: Columns = COLUMNS) -> DataFrame:
     """Episodes that are not consecutive or not of one task: (episode, problem).
 
-    One pass: rows, distinct steps, and the range of steps and tasks.
+    One pass, one group for every 64 steps: rows, different steps, and the
+    range of steps and tasks.
     """
-    per_step = frames.groupBy(named(c.episode), named(step)).agg(
-        F.count(F.lit(1)).alias("copies"), F.min(named(c.task)).alias("low_task"), F.max(named(c.task)).alias("high_task")
+    n = named(step)
+    per_word = frames.groupBy(named(c.episode), word_of(n).alias("word")).agg(
+        F.count(F.lit(1)).alias("rows"), F.bit_or(bit_of(n)).alias("bits"), F.min(n).alias("first"), F.max(n).alias("last"),
+        F.min(named(c.task)).alias("low_task"), F.max(named(c.task)).alias("high_task"),
     )
-    per_episode = per_step.groupBy(named(c.episode)).agg(
-        F.sum("copies").alias("rows"),
-        F.count(F.lit(1)).alias("steps"),
-        (F.max(named(step)) - F.min(named(step)) + 1).alias("span"),
+    per_episode = per_word.groupBy(named(c.episode)).agg(
+        F.sum("rows").alias("rows"),
+        F.sum(F.bit_count("bits")).alias("steps"),
+        (F.max("last") - F.min("first") + 1).alias("span"),
         F.min("low_task").alias("low_task"),
         F.max("high_task").alias("high_task"),
     )
     problem = F.when(F.col("low_task") != F.col("high_task"), "several tasks").when(
-        (F.col("rows") != F.col("steps")) | (F.col("span") != F.col("steps")), "steps are not consecutive"
+        (F.col("rows") != F.coalesce("steps", F.lit(0))) | (F.col("span") != F.col("steps")), "steps are not consecutive"
     )
     return per_episode.select(named(c.episode), problem.alias("problem")).where(F.col("problem").isNotNull())
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epistride.functions.scalars import clean_text, strict_bool, strict_long, strict_long_token
-from epistride.operators import integrity, labels, returns
+from epistride.operators import bitmaps, integrity, labels, returns
 from epistride.operators.scans import number_rows
 from epistride.operators.shards import first_seen_ids
 from epistride.workload.registry import query
@@ -113,6 +113,32 @@ def broken_conversation_steps(spark: SparkSession, folder: str) -> DataFrame:
     return broken.groupBy("episode_index").agg(F.count(F.lit(1)).alias("gaps"))
 
 
+@query("E6", """
+SELECT o_custkey AS episode_index, "after", o_orderkey AS "before" FROM (
+  SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS "after" FROM orders)
+WHERE o_orderkey - "after" > 1""")
+def step_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Gaps between the orders of a customer, from bit sets of their numbers."""
+    orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("episode_index"), F.col("o_orderkey").alias("frame_index"))
+    return bitmaps.step_gaps(orders)
+
+
+@query("D13", """
+SELECT l_orderkey AS episode_index, CAST(l_linenumber AS BIGINT) AS frame_index, count(*) AS row_count
+FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
+def repeated_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated line numbers of an order; only rows of suspect words are counted."""
+    return bitmaps.repeated_numbers(line_frames(spark, folder), ["episode_index"], "frame_index")
+
+
+@query("C4 J10", """
+SELECT c_custkey AS episode_index FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)""")
+def missing_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers without an order, by comparing bit sets."""
+    ids = lambda name, column: table(spark, folder, name).select(F.col(column).alias("episode_index"))
+    return bitmaps.missing_numbers(ids("customer", "c_custkey"), ids("orders", "o_custkey"), "episode_index")
+
+
 @query("E6 D13", """
 WITH keyed AS (
   SELECT l_orderkey AS episode_index, l_linenumber AS frame_index, count(*) AS copies FROM lineitem GROUP BY 1, 2)
