@@ -37,8 +37,10 @@ _STARTS = LENGTH - PIECE + 1
 _PLACE_BITS = 20
 _BUFFER = 1 << _PLACE_BITS
 _LOW = np.uint64(_BUFFER - 1)
-#: More contexts of one first symbol are compared over a shuffle by string instead of in one task.
-CROWDED = 1_000
+#: A task compares at most so many contexts of one symbol; larger blocks are refined by wider symbols first.
+CROWDED = 20_000
+#: Each refinement cuts the range of starts that share a symbol into so many.
+_CUTS = 4
 #: Rows that a task merges.
 ROWS_PER_TASK = 400_000
 #: Compressed bytes that a task opens at a time.
@@ -263,13 +265,17 @@ def _starts(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndar
 
 
 class _Contexts:
-    """Contexts of one batch: bytes around anchors, and hashes of the strings in them."""
+    """Contexts of one batch: bytes around anchors, and hashes of parts of them.
+
+    ``low`` and ``high`` bound how many bytes before its anchor a string may start.
+    """
 
     def __init__(self, batch: pa.Table | pa.RecordBatch) -> None:
         column = lambda c: np.asarray(batch.column(c))
         self.key, self.first, self.asker = column("key"), column("first"), ~column("repeated").astype(bool)
         place = column("place")
-        self.start, self.more, self.before = place >> 16, place >> 8 & 255, place & 255
+        self.start, self.before = place >> 16, place & 255
+        self.low, self.high = column("low").astype(np.int64), column("high").astype(np.int64)
         texts = batch.column("context").to_pylist()
         size = np.array([len(t) for t in texts], np.int64)
         self.end = np.cumsum(size)
@@ -277,24 +283,26 @@ class _Contexts:
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         self.sums = _prefix_sums(self.data)
 
-    def strings(self, row: np.ndarray, back: np.ndarray) -> np.ndarray:
-        """Hash of the string that starts ``back`` bytes before the row's anchor."""
-        at = self.begin[row] + self.before[row] - back
-        hashed = _span_hashes(self.sums, at, at + LENGTH) + back.astype(np.uint64) * _GOLD
+    def parts(self, row: np.ndarray, back: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+        """Hash of the bytes from ``back`` before the row's anchor to ``ahead`` behind its start."""
+        at = self.begin[row] + self.before[row]
+        hashed = _span_hashes(self.sums, at - back, at + ahead) + (back << 16 | ahead).astype(np.uint64) * _GOLD
         return mixed(hashed ^ mixed(self.first[row].view(np.uint64)))
 
 
 def _repeated_starts(batch: pa.Table) -> pa.RecordBatch:
-    """The asking rows' strings that another context has too; contexts come sorted by first symbol."""
+    """Runs of the asking rows' strings that another context has too; contexts come sorted by first symbol."""
     c = _Contexts(batch)
     words = _word_matrix(c.data, c.begin + c.before, c.end)
     longest = common_prefixes(c.first, words)
-    row, back = _starts(np.arange(len(c.key)), np.maximum(c.before - c.more, LENGTH - longest), c.before)
-    _, which, times = np.unique(c.strings(row, back), return_inverse=True, return_counts=True)
+    row, back = _starts(np.arange(len(c.key)), np.maximum(c.low, LENGTH - longest), c.high)
+    _, which, times = np.unique(c.parts(row, back, LENGTH - back), return_inverse=True, return_counts=True)
     hit = (times[which] > 1) & c.asker[row]
-    row, back = row[hit], back[hit]
-    start = c.start[row] + c.before[row] - back
-    return pa.RecordBatch.from_arrays([pa.array(c.key[row]), pa.array(start), pa.array(start + LENGTH)], names=["key", "start", "end"])
+    # Starts grow as ``back`` falls; neighbours of one row make a run.
+    row, start = row[hit][::-1], (c.start[row] + c.before[row] - back)[hit][::-1]
+    head = np.r_[True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)][: len(row)]
+    last = np.r_[np.flatnonzero(head)[1:], len(row)][: head.sum()] - 1
+    return pa.RecordBatch.from_arrays([pa.array(c.key[row[head]]), pa.array(start[head]), pa.array(start[last] + LENGTH)], names=["key", "start", "end"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,15 +327,56 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _repeated_starts(pa.Table.from_batches(held))
 
 
-def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every string of the contexts as a row that ``merge_shards`` takes; odd places mark the asking ones."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2_000):
-            c = _Contexts(batch.slice(at, 2_000))
-            row, back = _starts(np.arange(len(c.key)), c.before - c.more, c.before)
-            start = c.start[row] + c.before[row] - back
-            string = c.strings(row, back).view(np.int64)
-            yield record_batch(_KEYED, [c.key[row], start << 1 | c.asker[row], string, string])
+_CONTEXTS = "key long, place long, first long, repeated boolean, low int, high int, context binary"
+
+
+def _refined(contexts: DataFrame, width: int) -> DataFrame:
+    """The contexts once for each range of ``width`` starts, under the symbol that all strings of the range hold.
+
+    Strings that start ``low`` to ``high`` bytes before the anchor have the
+    bytes from ``low`` before it to ``LENGTH - high`` behind it in common: a
+    wider symbol, of ``LENGTH - width + 1`` bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "context"):
+            c = _Contexts(batch)
+            row, number = _starts(np.arange(len(c.key)), c.low // width, c.high // width)
+            low, high = number * width, np.minimum(number * width + width - 1, _STARTS - 1)
+            symbol = c.parts(row, low, LENGTH - high).view(np.int64)
+            taken = batch.take(pa.array(row))
+            columns = [taken.column("key"), taken.column("place"), pa.array(symbol), taken.column("repeated"),
+                       pa.array(np.maximum(low, c.low[row]).astype(np.int32)), pa.array(np.minimum(high, c.high[row]).astype(np.int32)), taken.column("context")]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "place", "first", "repeated", "low", "high", "context"])
+
+    return contexts.mapInArrow(run, _CONTEXTS)
+
+
+def repeated_in_contexts(contexts: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """(key, start, end) of the asking contexts' strings that another context of the same symbol has.
+
+    A block of contexts is compared in one task. A block above ``crowded`` is
+    refined by wider symbols first, which leaves contexts alone that share no
+    more than the narrow one, until a symbol is the string itself.
+    """
+    spark = contexts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width, out = _STARTS, None
+    while True:
+        sizes = stored(contexts.groupBy("first").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(1, crowded)), "crowded")
+        is_crowded = contexts.join(sizes, "first", "left")
+        near = is_crowded.filter("n is null").drop("n").repartition(parts, "first").sortWithinPartitions("first")
+        near = near.mapInArrow(_compared, "key long, start long, end long")
+        out = near if out is None else out.union(near)
+        if sizes.isEmpty():
+            return out
+        full = is_crowded.filter("n is not null").drop("n")
+        if width == 1:
+            # The symbol is the string, and more than one context has it.
+            start = F.expr("shiftright(place, 16) + (place & 255) - low")
+            return out.union(full.filter("not repeated").select("key", start.alias("start"), (start + LENGTH).alias("end")))
+        width = -(-width // _CUTS)
+        contexts = stored(_refined(full, width), "refined-contexts")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -352,13 +401,14 @@ def _unpacked(batch: pa.RecordBatch) -> Iterator[bytes]:
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("key", pa.int64()), ("place", pa.int64()), ("first", pa.int64()), ("repeated", pa.bool_()), ("crowded", pa.bool_()), ("context", pa.binary())])
+    kinds = [("key", pa.int64()), ("place", pa.int64()), ("first", pa.int64()), ("repeated", pa.bool_()), ("low", pa.int32()), ("high", pa.int32()), ("context", pa.binary())]
+    schema = pa.schema(kinds)
     for batch in slices(batches, "data", _PACKED_BYTES):
         out: list[tuple] = []
         for key, text, wanted in zip(batch.column("key").to_pylist(), _unpacked(batch), batch.column("wanted").to_pylist()):
             for w in wanted:
-                start = w["place"] >> 16
-                out.append((key, w["place"], w["first"], w["repeated"], w["crowded"], text[start : start + (w["place"] >> 8 & 255) + LENGTH]))
+                start, more, before = w["place"] >> 16, w["place"] >> 8 & 255, w["place"] & 255
+                out.append((key, w["place"], w["first"], w["repeated"], before - more, before, text[start : start + more + LENGTH]))
             if len(out) > 10_000:
                 yield record_batch(schema, list(zip(*out)))
                 out = []
@@ -372,30 +422,14 @@ def repeated_ranges(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     ``docs`` has key (one per distinct row), id and text (binary, not null).
     Ranges of a key may overlap.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = stored(docs.select("key", "text").mapInArrow(_shard_rows, "key long, place long, first long, rest long"), "shard-order")
     merged = stored(merge_shards(shards), "merged-order")
     start = F.expr("shiftright(place, 16)")
     whole = merged.filter("repeated").select("key", start.alias("start"), (start + F.expr("shiftright(place, 8) & 255") + LENGTH).alias("end"))
-
-    asked = merged.filter("asked")
-    sizes = stored(asked.groupBy("first").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded), "crowded")
-    asked = asked.join(sizes, "first", "left").withColumn("crowded", F.col("n").isNotNull())
-    wanted = asked.groupBy("key").agg(F.collect_list(F.struct("place", "first", "repeated", "crowded")).alias("wanted"))
+    wanted = merged.filter("asked").groupBy("key").agg(F.collect_list(F.struct("place", "first", "repeated")).alias("wanted"))
     fetched = _packed(docs).join(stored(wanted, "wanted"), "key")
-    contexts = fetched.select("key", "n", "data", "wanted").mapInArrow(
-        _cut_contexts, "key long, place long, first long, repeated boolean, crowded boolean, context binary"
-    )
-    contexts = stored(contexts, "contexts")
-    near = contexts.filter("not crowded").repartition(parts, "first").sortWithinPartitions("first")
-    near = near.mapInArrow(_compared, "key long, start long, end long")
-    strings = contexts.filter("crowded").mapInArrow(_string_rows, "key long, place long, first long, rest long")
-    again = merge_shards(stored(strings, "strings")).filter("repeated and place & 1 = 1")
-    begin = F.expr("shiftright(place, 1)")
-    return whole.union(near).union(again.select("key", begin.alias("start"), (begin + LENGTH).alias("end")))
-
-
+    contexts = stored(fetched.select("key", "n", "data", "wanted").mapInArrow(_cut_contexts, _CONTEXTS), "contexts")
+    return whole.union(repeated_in_contexts(contexts, crowded))
 
 
 def _joined_ranges(ranges: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

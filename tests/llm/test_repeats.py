@@ -38,7 +38,7 @@ def words(rng, n, of=5000):
     return " ".join(f"w{i}" for i in rng.integers(0, of, n))
 
 
-@pytest.mark.parametrize("crowded", [2, 4000])
+@pytest.mark.parametrize("crowded", [1, 2, 4000])
 def test_shared_passages(spark, table, crowded):
     rng = np.random.default_rng(0)
     passage, other = words(rng, 70), words(rng, 45)
@@ -48,6 +48,18 @@ def test_shared_passages(spark, table, crowded):
     check(spark, table, texts, crowded=crowded)
 
 
+def test_common_lines_beside_passages(spark, table):
+    """A line in all texts that is too short by itself, and passages around it that some texts share."""
+    rng = np.random.default_rng(4)
+    line = words(rng, 20)[:90]
+    passage = words(rng, 30)[:140]
+    texts = [words(rng, 15) + line + words(rng, 15) for _ in range(40)]
+    texts += [words(rng, 10) + passage[i % 7 :] + line + words(rng, 12) for i in range(12)]
+    texts += [words(rng, 10) + line + passage[: 110 + i % 7] + words(rng, 12) for i in range(12)]
+    for crowded in (3, 30, 20_000):
+        check(spark, table, texts, crowded=crowded)
+
+
 def test_string_beside_itself(spark, table):
     check(spark, table, ["q" * 200, "r" * 201, "st" * 101, "uvw" * 67])
 
