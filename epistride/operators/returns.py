@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from epistride.columns import COLUMNS, Columns, named
 from epistride.functions.scalars import affine, clip
+from epistride.operators.checksums import compared_rows
 from epistride.operators.scans import BLOCK_ROWS, blocked_scan, join_episodes, position_block, running_count, spread_join
 from epistride.session import stored
 
@@ -168,41 +169,33 @@ def verify_augmented(augmented: DataFrame, expected: DataFrame, c: Columns = COL
 
     ``expected`` has every key of the source with the returns and label it
     must have, best from ``returns_by_rank``; ``augmented`` is what was written.
+    Blocks of both sides are compared by checksum, and rows only in blocks
+    that differ.
     """
-    want = expected.select(
-        *[named(k) for k in c.key],
-        named(c.ret).alias("want_return"),
-        named(c.ret_raw).alias("want_raw"),
-        named(c.success).cast("int").alias("want_success"),
-        F.lit(True).alias("in_source"),
-    )
-    have = augmented.select(
-        *[named(k) for k in c.key],
-        named(c.ret).alias("have_return"),
-        named(c.ret_raw).alias("have_raw"),
-        named(c.success).cast("int").alias("have_success"),
-        F.lit(True).alias("in_output"),
+    want, have = (
+        df.select(
+            *[named(k) for k in c.key],
+            named(c.ret).alias("return"),
+            named(c.ret_raw).alias("raw"),
+            named(c.success).cast("int").alias("success"),
+        )
+        for df in (expected, augmented)
     )
 
-
-    def off(a: str, b: str) -> Column:
-        apart = F.abs(F.col(a).cast("double") - F.col(b).cast("double")) > tolerance
+    def off(name: str) -> Column:
+        apart = F.abs(named(f"have.{name}").cast("double") - named(f"want.{name}").cast("double")) > tolerance
         # An unusable label leaves both sides without a return.
-        return F.coalesce(apart, ~(F.col(a).isNull() & F.col(b).isNull()))
-
-    return (
-        want.join(have, c.key, "full")
-        .withColumn(
-            "problem",
-            F.when(F.col("in_output").isNull(), "lost row")
-            .when(F.col("in_source").isNull(), "new row")
-            .when(off("have_return", "want_return"), "return")
-            .when(off("have_raw", "want_raw"), "raw return")
-            .when(~F.col("have_success").eqNullSafe(F.col("want_success")), "success"),
-        )
-        .where(F.col("problem").isNotNull())
-        .select(*[named(k) for k in c.key], "problem")
+        return F.coalesce(apart, ~(named(f"have.{name}").isNull() & named(f"want.{name}").isNull()))
+
+    problem = (
+        F.when(F.col("in_have").isNull(), "lost row")
+        .when(F.col("in_want").isNull(), "new row")
+        .when(off("return"), "return")
+        .when(off("raw"), "raw return")
+        .when(~named("have.success").eqNullSafe(named("want.success")), "success")
     )
+    values = ["return", "raw", "success"]
+    return compared_rows(want, have, c.episode, c.frame, values).withColumn("problem", problem).where(F.col("problem").isNotNull()).select(*[named(k) for k in c.key], "problem")
 
 
 def _check_arguments(failure_penalty: float | None, step_scale: float) -> None:

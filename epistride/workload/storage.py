@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from epistride.functions import scalars as S
 from epistride.functions.versions import migration_chain, migration_steps, normalise_version
 from epistride.operators import align, integrity, layout, returns, shards, splits, statistics, tasks
+from epistride.operators.checksums import compared_rows
 from epistride.plans import add_returns as returns_plan
 from epistride.plans import evaluation, flat_dataset, migrations, training
 from epistride.session import scratch_path, stored
@@ -655,6 +656,21 @@ def _augment(spark: SparkSession, folder: str, output: str, normalisation: str =
     )
 
 
+@query("C10 J8 J9", """
+SELECT o_custkey AS episode_index, o_orderkey AS frame_index, o_orderkey % 997 <> 5 AS kept FROM orders
+WHERE o_orderkey % 997 = 5 OR o_orderkey % 991 = 3""")
+def changed_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that a damaged copy of the orders lost or changed, told by block checksums and then row by row."""
+    orders = table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("episode_index"), F.col("o_orderkey").alias("frame_index"), F.col("o_totalprice").cast("double").alias("price"),
+        F.col("o_orderstatus").alias("status"),
+    )
+    copy = orders.where("frame_index % 997 <> 5").withColumn("price", F.col("price") + F.when(F.col("frame_index") % 991 == 3, 0.01).otherwise(0.0))
+    told = compared_rows(orders, copy, "episode_index", "frame_index", ["price", "status"])
+    changed = F.col("in_have").isNull() | (F.col("`want.price`") != F.col("`have.price`"))
+    return told.where(changed).select("episode_index", "frame_index", F.col("in_have").isNotNull().alias("kept"))
+
+
 @query("K6 K2 K3", f"""
 WITH {EVENT_EPISODES}
 SELECT episode_index, length, concat('task ', task_index) AS task, task_index,
