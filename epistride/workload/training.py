@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epistride.operators import normalise, splits, statistics, windows
+from epistride.operators import normalise, permutation, splits, statistics, windows
 from epistride.operators.integrity import partly_missing, size_gates
 from epistride.operators.scans import hash_rank, ordered_rank, position_block
 from epistride.workload.registry import query
@@ -345,6 +345,42 @@ def epoch_order(spark: SparkSession, folder: str) -> DataFrame:
     return windows.drop_padding(shuffled, 8, windows.total_windows(frames, HISTORY))
 
 
+def _network_sql(x: str, source: str, seed: str, kept: str) -> str:
+    """A pass of the six-round network over ``x``, as nested selections; ``shape`` holds height and width."""
+    mixed = lambda value, n: f"('0x' || substr(md5(concat('{seed}:{n}:', {value})), 1, 15))::BIGINT"
+    sql = f"SELECT {kept}, height, width, {x} // width AS l, {x} % width AS r FROM {source}, shape"
+    for n in range(6):
+        l, r = (f"(l + {mixed('r', n)} % height) % height", "r") if n % 2 == 0 else ("l", f"(r + {mixed('l', n)} % width) % width")
+        sql = f"SELECT {kept}, height, width, {l} AS l, {r} AS r FROM ({sql})"
+    return f"SELECT {kept}, l * width + r AS x FROM ({sql})"
+
+
+SHUFFLED_SQL = f"""
+WITH RECURSIVE {NUMBERED_SQL},
+sized AS (SELECT count(*) AS n FROM starts),
+shape AS (
+  SELECT n, height, (n + height - 1) // height AS width
+  FROM (SELECT n, (SELECT min(h) FROM range(1, 100000) t(h) WHERE h * h >= n) AS height FROM sized)),
+walk AS (
+  {_network_sql('(rank - 1)', 'starts', f'{SEED}:3', 'rank, 0 AS step')}
+  UNION ALL
+  {_network_sql('x', '(SELECT walk.* FROM walk, sized WHERE x >= n)', f'{SEED}:3', 'rank, step + 1 AS step').replace('SELECT rank, step + 1 AS step', 'SELECT rank, step', 6)})"""
+
+
+@query("E18", f"{SHUFFLED_SQL} SELECT sample_id, x + 1 AS rank FROM starts JOIN walk USING (rank), sized WHERE x < n")
+def shuffled_epoch(spark: SparkSession, folder: str) -> DataFrame:
+    """An epoch's order by a keyed permutation of the window numbers: a projection, no sort."""
+    frames = event_table(spark, folder)
+    total = windows.total_windows(frames, HISTORY).first()[0]
+    return permutation.shuffled(windows.window_numbers(frames, HISTORY), total, SEED, 3).select("sample_id", "rank")
+
+
+@query("E18 E17", f"{SHUFFLED_SQL} SELECT sample_id, x + 1 AS rank FROM starts JOIN walk USING (rank), sized WHERE x < n AND x // 64 = 2")
+def epoch_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """The members of an epoch's third batch, found without building the order."""
+    return permutation.batch_members(spark, event_table(spark, folder), HISTORY, 2, 64, SEED, 3).select("sample_id", "rank")
+
+
 @query("D27", f"WITH {NUMBERED_SQL} SELECT count(*) AS windows, count(*) > 0 AS any_window, count(*) >= 100000 AS full_batch FROM starts")
 def window_size_gates(spark: SparkSession, folder: str) -> DataFrame:
     return size_gates(windows.total_windows(event_frames(spark, folder), HISTORY), 100_000)
