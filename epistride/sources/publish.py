@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -28,19 +29,40 @@ def check_output(spark: SparkSession, source: str | None, output: str) -> None:
         raise FileExistsError(f"{output} exists already")
 
 
+def claimed(spark: SparkSession, path: str) -> bool:
+    """Create an empty file unless it exists; of several writers at once one succeeds."""
+    made, system = _path(spark, path)
+    try:
+        system.create(made, False).close()
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getSimpleName():
+            return False
+        raise
+    return True
+
+
 def published(spark: SparkSession, output: str, write: Callable[[str], None]) -> None:
     """Let ``write`` fill a folder beside ``output``, then give it that name.
 
     When ``write`` fails, also in a check at its end, nothing appears under
-    ``output``; what was written stays in the folder beside it.
+    ``output``; what was written stays in the folder beside it.  The name is
+    given under a claim, a file that only one writer can create: a rename
+    onto a folder that another writer made meanwhile would nest inside it on
+    some file systems.  A claim left by a writer that died must be removed.
     """
     check_output(spark, None, output)
     staged = f"{output.rstrip('/')}.staged-{uuid.uuid4().hex[:12]}"
     write(staged)
+    claim = f"{output.rstrip('/')}.claim"
+    if not claimed(spark, claim):
+        raise FileExistsError(f"{claim} is held by another writer; the dataset is in {staged}")
     source, system = _path(spark, staged)
     target, _ = _path(spark, output)
-    if system.exists(target) or not system.rename(source, target):
-        raise FileExistsError(f"{output} appeared meanwhile; the dataset is in {staged}")
+    try:
+        if system.exists(target) or not system.rename(source, target):
+            raise FileExistsError(f"{output} appeared meanwhile; the dataset is in {staged}")
+    finally:
+        system.delete(_path(spark, claim)[0], False)
 
 
 def named_parts(spark: SparkSession, folder: str, name: Callable[[dict[str, int], int], str]) -> None:

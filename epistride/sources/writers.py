@@ -29,12 +29,20 @@ def write_document(one_row: DataFrame, path: str) -> None:
     json_safe(one_row).repartition(1).write.mode("errorifexists").option("ignoreNullFields", False).json(path)
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Append one JSON object per row, for instance per epoch.
+def append_log(rows: DataFrame, path: str, keys: Sequence[str] = ("epoch",)) -> None:
+    """Add rows to a log of JSON objects, one directory for each of the ``keys``' values.
 
-    The rows are gathered by a shuffle, so the work that made them keeps its tasks.
+    What is appended again, for instance by a retry, takes the place of what
+    stood under the same keys; other keys' entries stay as they are.
     """
-    json_safe(rows).repartition(1).write.mode("append").option("ignoreNullFields", False).json(path)
+    dealt = json_safe(rows).repartition(1, *[named(k) for k in keys])
+    (
+        dealt.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("ignoreNullFields", False)
+        .partitionBy(*keys)
+        .json(path)
+    )
 
 
 def _in_shards(frames: DataFrame, sharded: DataFrame, max_frames: int, c: Columns) -> DataFrame:

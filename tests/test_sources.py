@@ -254,3 +254,38 @@ def test_damaged_curve_documents_are_told_as_entries_are(spark, tmp_path):
             readers.read_curves(spark, str(path))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+
+
+def test_of_racing_writers_one_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from epistride.sources import publish
+
+    ready = Barrier(4)
+
+    def write(number):
+        def fill(root):
+            spark.range(number, number + 1).write.parquet(root)
+            ready.wait()  # all have written before any gives the name
+
+        try:
+            publish.published(spark, str(tmp_path / "out"), fill)
+        except FileExistsError:
+            return None
+        return number
+
+    with ThreadPoolExecutor(4) as pool:
+        won = [n for n in pool.map(write, range(4)) if n is not None]
+    assert len(won) == 1
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == won
+    assert not (tmp_path / "out.claim").exists() and not list((tmp_path / "out").glob("out.staged*"))
+
+
+def test_appends_that_are_repeated_stand_once(spark, tmp_path):
+    log = str(tmp_path / "log")
+    rows = spark.createDataFrame([(1, 1, 0.5), (1, 2, float("nan")), (2, 1, 0.25)], "run int, epoch int, mse double")
+    for part in ("run = 1 and epoch = 1", "run = 1 and epoch = 1", "run = 2", "epoch = 2"):
+        writers.append_log(rows.where(part), log, ["run", "epoch"])
+    got = spark.read.schema("run int, epoch int, mse double").json(log).collect()
+    assert sorted((r.run, r.epoch, r.mse) for r in got if r.mse) == [(1, 1, 0.5), (2, 1, 0.25)] and len(got) == 3
