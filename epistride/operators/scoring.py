@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,32 +21,39 @@ def uniform_batch(batch: pd.DataFrame, arrays: list[str]) -> None:
             raise ValueError(f"batch mixes lengths of {name!r}")
 
 
-def score_windows(windows: DataFrame, scorer: Scorer, schema: str, arrays: list[str] | None = None) -> DataFrame:
+def score_windows(
+    windows: DataFrame, scorer: Scorer, schema: str, arrays: list[str] | None = None, carried: Sequence[str] = ()
+) -> DataFrame:
     """Call ``scorer`` on Arrow batches of windows.
 
+    ``carried`` columns of the windows, such as their targets, stand beside
+    the scores of their row, so that no join has to bring them together again.
+
     A batch has at most ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows,
     so a task's memory does not grow with the data.
     """
     checked = list(arrays or [])
+    kept = [f"`{n}` {windows.schema[n].dataType.simpleString()}" for n in carried]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in parts:
             if len(batch):
                 uniform_batch(batch, checked)
-                yield scorer(batch)
+                scored = scorer(batch)
+                yield scored.assign(**{name: batch[name].to_numpy() for name in carried}) if carried else scored
 
-    return windows.mapInPandas(run, schema)
+    return windows.mapInPandas(run, ", ".join([schema, *kept]))
 
 
-def scored_positions(scored: DataFrame, value: str = "value") -> DataFrame:
-    """One row per window and history position."""
-    zipped = F.arrays_zip("frame_indices", value)
+def scored_positions(scored: DataFrame, value: str = "value", carried: Sequence[str] = ()) -> DataFrame:
+    """One row per window and history position, with the arrays ``value`` and ``carried`` taken apart."""
+    zipped = F.arrays_zip("frame_indices", value, *carried)
     return scored.select("episode_id", "sample_id", F.posexplode(zipped).alias("position", "cell")).select(
         "episode_id",
         "sample_id",
         "position",
         F.col("cell.frame_indices").alias("frame_index"),
-        F.col(f"cell.{value}").alias(value),
+        *[F.col("cell").getField(name).alias(name) for name in (value, *carried)],
     )
 
 

@@ -43,7 +43,9 @@ def prepare_training(
         integrity.require_none(splits.split_overlap(split, c), "episodes on both sides", [c.episode])
         integrity.require_none(splits.split_coverage(split, frames, c), "split and episodes differ", [c.episode, "problem"])
     statistics = stored(normalise.fit_normalisation(frames, split, vector, c=c), "normalisation")
-    dimension = frames.agg(F.max(F.size(f"`{vector}`"))).collect()[0][0]
+    # One row tells the size; the statistics, of all training rows, must have it too.
+    some = frames.where(F.col(f"`{vector}`").isNotNull()).select(F.size(f"`{vector}`")).first()
+    dimension = some[0] if some else 0
     integrity.require_none(normalise.statistics_problems(statistics, dimension), "normalisation", ["problem"])
     scaled = normalise.apply_normalisation(frames, statistics, vector, c)
 

@@ -105,19 +105,26 @@ def _rounded(df: DataFrame) -> DataFrame:
     )
 
 
+def _scored_with_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores with the targets of their frames, which travel in the windows."""
+    made = windows.history_windows(_targets(spark, folder), HISTORY, ["observed", "return"])
+    parts = windows.split_window(made, HISTORY, ["observed", "return"])
+    return scoring.score_windows(parts, closed_form_scorer, SCORED, ["observed"], carried=["return"])
+
+
 @query("D6 U3 E4 C9", f"""
 WITH {SCORED_SQL}
 SELECT {_metric_columns('', 'value', 'target')} FROM positions WHERE position = {HISTORY} - 1""")
 def endpoint_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    points = _curve_points(spark, folder)
+    last = F.size("frame_indices") - 1
+    points = _scored_with_targets(spark, folder).select(F.get("value", last).alias("value"), F.get("return", last).alias("return"))
     return _rounded(metrics.regression_metrics(points, F.col("value"), F.col("return")))
 
 
 @query("D6 U3 C9", f"WITH {SCORED_SQL} SELECT {_metric_columns('', 'value', 'target')} FROM positions")
 def token_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    targets = _target_keys(spark, folder)
-    joined = scoring.scored_positions(_scored(spark, folder)).join(targets, ["episode_id", "frame_index"])
-    return _rounded(metrics.regression_metrics(joined, F.col("value"), F.col("return")))
+    points = scoring.scored_positions(_scored_with_targets(spark, folder), carried=["return"])
+    return _rounded(metrics.regression_metrics(points, F.col("value"), F.col("return")))
 
 
 def _target_keys(spark: SparkSession, folder: str) -> DataFrame:

@@ -184,8 +184,13 @@ def candidate_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def _write_dataset(spark: SparkSession, folder: str, max_frames: int = 1000, padded: bool = False) -> str:
     """Events as a sharded dataset; returns its root."""
-    frames = event_table(spark, folder)
     root = scratch_path(spark, "dataset")
+    _fill_dataset(spark, folder, root, max_frames, padded)
+    return root
+
+
+def _fill_dataset(spark: SparkSession, folder: str, root: str, max_frames: int, padded: bool) -> None:
+    frames = event_table(spark, folder)
     rows = frames.select("episode_index", "frame_index", "task_index", "event_id", "observed")
     text = F.concat(F.lit("task "), (F.col("episode_index") % 5).cast("string"))
     episodes = stored(
@@ -193,7 +198,6 @@ def _write_dataset(spark: SparkSession, folder: str, max_frames: int = 1000, pad
     )
     texts = rows.select("task_index").distinct().withColumn("task", F.concat(F.lit("task "), F.col("task_index").cast("string")))
     migrations.to_sharded(rows, episodes, texts, root, 25.0, max_frames, padded=padded)
-    return root
 
 
 FRAME_SCHEMA = T.StructType(
@@ -415,6 +419,32 @@ def resolved_fps(spark: SparkSession, folder: str) -> DataFrame:
     return stated.select("episode_index", S.first_positive(F.lit(-1.0), override, F.col("fps")).alias("fps"))
 
 
+@query("A13 A12", """
+SELECT (SELECT count(DISTINCT user_id) FROM events) AS total_episodes, 25.0::DOUBLE AS stated, 12.5::DOUBLE AS overridden""")
+def described_fps(spark: SparkSession, folder: str) -> DataFrame:
+    """The rate of a written dataset's description, and an override's after unusable ones."""
+    info = readers.read_info(spark, _write_dataset(spark, folder))
+    stated, overridden = readers.resolved_fps(info, None, 0.0), readers.resolved_fps(info, float("nan"), -3.0, 12.5, 30.0)
+    return info.select("total_episodes", stated.scalar().alias("stated"), overridden.scalar().alias("overridden"))
+
+
+@query("J6", """
+SELECT root, 'v3.0' AS version, 'files' AS basis, (SELECT count(*) FROM events) AS total_frames
+FROM (VALUES ('plain'), ('parent')) r(root)""")
+def listed_layouts(spark: SparkSession, folder: str) -> DataFrame:
+    """Datasets found and classified by listing a folder; one lies below a parent of its own."""
+    base = scratch_path(spark, "roots")
+    roots = {"plain": f"{base}/plain", "parent": f"{base}/parent/dataset"}
+    for root, padded in zip(roots.values(), (False, True)):
+        publish.published(spark, root, lambda staged, padded=padded: _fill_dataset(spark, folder, staged, 1000, padded))
+    files = layout.resolve_roots(layout.relative_paths(layout.list_files(spark, base), base), "dataset")
+    infos = None
+    for name, root in roots.items():
+        info = readers.read_info(spark, root).select(F.lit(name).alias("root"), "total_frames")
+        infos = info if infos is None else infos.unionByName(info)
+    return layout.classify_roots(files).select("root", "version", "basis").join(infos, "root")
+
+
 @query("A5", """
 SELECT concat('root-', doc_id) AS root, ['meta/info.json', 'meta/episodes.jsonl', 'meta/tasks.jsonl', 'meta/stats.json'][k + 1] AS path
 FROM (SELECT doc_id, n_chars % 6 AS k FROM documents) WHERE k < 4""")
