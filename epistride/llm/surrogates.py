@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from epistride.llm.keyed import spread_lookup
 from epistride.session import stored
 
-#: Candidates are drawn so many times at most; the space of candidates grows with the number of the draw.
-ROUNDS = 24
+#: Candidates are drawn so many times at most; after some draws each kind's space of candidates grows, so a full one is left.
+ROUNDS = 48
+_FIXED_DRAWS = 6
 
 # Patterns of entities. All begin where no ASCII letter or digit stands before; a cheap look at the first
 # character keeps the search quick elsewhere.
@@ -89,7 +90,11 @@ def _digits(text: Column) -> Column:
 
 
 def _parts(kind: Column, raw: Column) -> Column:
-    """(part, norm) of an entity: one, but for persons one for each name; a person's last name is its family name."""
+    """(part, norm, gender) of an entity: one, but for persons one for each name.
+
+    A name is the same entity wherever it stands; the title tells the gender
+    of the given names behind it.
+    """
     single = (
         F.when(kind == "email", F.lower(raw))
         .when(kind.isin("phone", "ssn", "card"), F.concat(F.when(raw.startswith("+"), "+").otherwise(""), _digits(raw)))
@@ -106,10 +111,10 @@ def _parts(kind: Column, raw: Column) -> Column:
 
     def named(name: Column, place: Column) -> Column:
         given = place < F.size(names) - 1
-        part = F.concat_ws(":", F.lit("name"), F.when(given, gender).otherwise("n"), F.when(given, "given").otherwise("family"), script(name))
-        return F.struct(part.alias("part"), F.lower(name).alias("norm"))
+        part = F.concat_ws(":", F.lit("name"), script(name))
+        return F.struct(part.alias("part"), F.lower(name).alias("norm"), F.when(given, gender).otherwise("n").alias("gender"))
 
-    plain = F.array(F.struct(kind.alias("part"), single.alias("norm")))
+    plain = F.array(F.struct(kind.alias("part"), single.alias("norm"), F.lit("n").alias("gender")))
     return F.when(kind == "person", F.transform(names, named)).otherwise(plain)
 
 
@@ -176,9 +181,9 @@ def _octets(norm: Column, stream: Column, wide: bool) -> Column:
     return F.array_join(F.transform(F.split(norm, r"\."), one), ".")
 
 
-def _name(part: Column, stream: Column, syllables: int) -> Column:
+def _name(part: Column, gender: Column, stream: Column, syllables: int) -> Column:
     """A name made of syllables of the part's script, with an ending for its gender."""
-    gender, script = F.split(part, ":")[1], F.split(part, ":")[3]
+    script = F.split(part, ":")[1]
 
     def made(name: str) -> Column:
         first, second = SOUNDS[name]
@@ -192,17 +197,23 @@ def _name(part: Column, stream: Column, syllables: int) -> Column:
     return F.when(script == "cyrillic", made("cyrillic")).when(script == "greek", made("greek")).otherwise(made("latin"))
 
 
-def candidate(part: Column, norm: Column, stream: Column, draw: int) -> Column:
-    """The ``draw``-th candidate surrogate of a normal form, from its ``_stream``."""
+def candidate(part: Column, norm: Column, gender: Column, stream: Column, draw: int) -> Column:
+    """The ``draw``-th candidate surrogate of a normal form, from its ``_stream``.
+
+    From a certain draw on candidates are longer than the normal form, by one
+    more digit for every second draw.
+    """
+    longer = max(0, (draw - _FIXED_DRAWS) // 2 + 1)
+    tail = F.concat(*[(_byte(stream, F.lit(70 + i)) % 10).cast("string") for i in range(longer)]) if longer else F.lit("")
     alike = _alike(norm, stream)
     # The last label of an address's domain stays.
-    address = F.concat(_alike(F.regexp_extract(norm, r"^(.*)\.[^.]*$", 1), stream), F.regexp_extract(norm, r"(\.[^.]*)$", 1))
-    body = alike.substr(F.lit(1), F.length(norm) - 1)
+    address = F.concat(tail, _alike(F.regexp_extract(norm, r"^(.*)\.[^.]*$", 1), stream), F.regexp_extract(norm, r"(\.[^.]*)$", 1))
+    body = F.concat(alike.substr(F.lit(1), F.length(norm) - 1), tail)
     valid = _luhn(norm.substr(F.lit(1), F.length(norm) - 1)) == F.right(norm, F.lit(1))
     # The country code of a number with a plus stays.
     code = F.regexp_extract(norm, r"^(\+(?:1|7|[2-69][0-9]|8[0-9]))", 1)
-    phone = F.concat(code, _alike(norm.substr(F.length(code) + 1, F.length(norm)), stream))
-    country, rest = F.left(norm, F.lit(2)), _alike(norm.substr(F.lit(5), F.length(norm)), stream)
+    phone = F.concat(code, _alike(norm.substr(F.length(code) + 1, F.length(norm)), stream), tail)
+    country, rest = F.left(norm, F.lit(2)), F.concat(_alike(norm.substr(F.lit(5), F.length(norm)), stream), tail)
     hexadecimal = _alike(norm, stream, lower="abcdef")
     marked = F.regexp_extract(norm, r"^(AKIA|ASIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-])", 1)
     secret = F.when(norm.rlike("^[0-9a-f]+$"), hexadecimal).otherwise(
@@ -211,17 +222,17 @@ def candidate(part: Column, norm: Column, stream: Column, draw: int) -> Column:
     return (
         F.when(part == "email", address)
         .when(part == "ipv4", _octets(norm, stream, wide=draw >= 4))
-        .when(part == "card", F.when(valid, F.concat(body, _luhn(body))).otherwise(alike))
+        .when(part == "card", F.when(valid, F.concat(body, _luhn(body))).otherwise(F.concat(alike, tail)))
         .when(part == "phone", phone)
         .when(part == "iban", F.concat(country, _iban_check(country, rest), rest))
-        .when(part.startswith("name:"), _name(part, stream, 3 + draw // 2))
-        .when(part == "secret", secret)
-        .otherwise(alike)
+        .when(part.startswith("name:"), _name(part, gender, stream, 3 + draw // 2))
+        .when(part == "secret", F.concat(secret, tail))
+        .otherwise(F.concat(alike, tail))
     )
 
 
 def distinct_surrogates(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
-    """(part, norm, surrogate) for distinct (part, norm): no two share a surrogate and none is a real entity of the table.
+    """(part, norm, surrogate) for distinct (part, norm), with gender: no two share a surrogate and none is a real entity of the table.
 
     Of several that draw the same candidate the least keeps it; the others
     draw again. Ends with an error if some still collide after ``rounds``.
@@ -231,7 +242,7 @@ def distinct_surrogates(entities: DataFrame, key: str, rounds: int = ROUNDS) ->
     for draw in range(rounds):
         # The digest is a column of its own, else each character would ask for it anew.
         drawn = pending.withColumn("stream", _stream(key, F.col("part"), F.col("norm"), draw))
-        drawn = drawn.withColumn("candidate", candidate(F.col("part"), F.col("norm"), F.col("stream"), draw))
+        drawn = drawn.withColumn("candidate", candidate(F.col("part"), F.col("norm"), F.col("gender"), F.col("stream"), draw))
         won = drawn.groupBy("part", "candidate").agg(F.min("norm").alias("norm")).join(real, ["part", "candidate"], "left_anti")
         if taken is not None:
             won = won.join(taken.select("part", F.col("surrogate").alias("candidate")), ["part", "candidate"], "left_anti")
@@ -244,31 +255,35 @@ def distinct_surrogates(entities: DataFrame, key: str, rounds: int = ROUNDS) ->
 
 
 def _masked(raw: Column, digits: Column) -> Column:
-    """``raw`` with its digits replaced in order."""
+    """``raw`` with its digits replaced in order; further digits stand behind."""
 
     def one(c: Column, i: Column) -> Column:
         place = F.length(_digits(raw.substr(F.lit(1), i + 1)))
         return F.when(c.rlike("^[0-9]$"), digits.substr(place, F.lit(1))).otherwise(c)
 
-    return F.array_join(F.transform(_chars(raw), one), "")
+    more = digits.substr(F.length(_digits(raw)) + 1, F.length(digits))
+    return F.concat(F.array_join(F.transform(_chars(raw), one), ""), more)
 
 
 def _spaced(raw: Column, letters: Column) -> Column:
-    """``raw`` with its characters other than spaces replaced in order."""
+    """``raw`` with its characters other than spaces replaced in order; further ones stand behind."""
 
     def one(c: Column, i: Column) -> Column:
         place = F.length(F.replace(raw.substr(F.lit(1), i + 1), F.lit(" "), F.lit("")))
         return F.when(c != " ", letters.substr(place, F.lit(1))).otherwise(c)
 
-    return F.array_join(F.transform(_chars(raw), one), "")
+    more = letters.substr(F.length(F.replace(raw, F.lit(" "), F.lit(""))) + 1, F.length(letters))
+    return F.concat(F.array_join(F.transform(_chars(raw), one), ""), more)
 
 
 def replacements(raws: DataFrame, key: str) -> DataFrame:
     """(raw, kind, replacement) for distinct entity texts ``raw``, each in its own format and case."""
     kinds = raws.select("raw", kind_of(F.col("raw")).alias("kind"))
     parts = kinds.select("raw", "kind", F.posexplode(_parts(F.col("kind"), F.col("raw"))).alias("place", "p"))
-    parts = stored(parts.select("raw", "kind", "place", "p.part", "p.norm"), "entity-parts")
-    chosen = distinct_surrogates(parts.select("part", "norm").distinct(), key)
+    parts = stored(parts.select("raw", "kind", "place", "p.part", "p.norm", "p.gender"), "entity-parts")
+    # A title that tells the gender settles it for the name everywhere.
+    gender = F.coalesce(F.min(F.when(F.col("gender") != "n", F.col("gender"))), F.lit("n"))
+    chosen = distinct_surrogates(stored(parts.groupBy("part", "norm").agg(gender.alias("gender")), "distinct-entities"), key)
     found = spread_lookup(parts, chosen, ["part", "norm"], ["raw"])
     found = found.groupBy("raw", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "surrogate"))), lambda s: s["surrogate"]).alias("s"))
     raw, first = F.col("raw"), F.get("s", F.lit(0))
@@ -310,7 +325,8 @@ def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     # concat of a gap and what stood behind it; nothing stands behind the last one.
     text = F.array_join(F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(p["new"], F.lit("")))), "")
     listed = F.transform("told", lambda t: F.struct(t["kind"].alias("kind"), t["replacement"].alias("replacement")))
-    changed = marked.join(told, "row").select("id", text.alias("text"), F.size("told").cast("long").alias("n_entities"), listed.alias("entities"))
+    # Written first, so that copies of one row that very many rows are can be split.
+    changed = marked.join(stored(told, "told"), "row").select("id", text.alias("text"), F.size("told").cast("long").alias("n_entities"), listed.alias("entities"))
     none = F.array().cast("array<struct<kind:string,replacement:string>>")
     same = plain.filter(~has).select("id", "text", F.lit(0).cast("long").alias("n_entities"), none.alias("entities"))
     return changed.unionByName(same)

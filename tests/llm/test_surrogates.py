@@ -69,7 +69,7 @@ def test_key_decides(spark):
 def test_distinct_in_a_small_space(spark):
     # 3,000 of the 6,561 addresses with one digit an octet: most draws collide.
     real = [f"{a}.{b}.{c}.{d}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)][:3000]
-    entities = spark.createDataFrame([("ipv4", r) for r in real], "part string, norm string")
+    entities = spark.createDataFrame([("ipv4", r, "n") for r in real], "part string, norm string, gender string")
     got = surrogates.distinct_surrogates(entities, "k").collect()
     assert sorted(r.norm for r in got) == sorted(real)
     new = {r.surrogate for r in got}
@@ -78,6 +78,33 @@ def test_distinct_in_a_small_space(spark):
         surrogates.distinct_surrogates(entities, "k", rounds=1)
 
 
+def test_full_spaces_grow(spark):
+    """Every form of the kind's own length occurs, so all surrogates are longer."""
+    real = {"ssn": [f"{i}" for i in range(10, 100)], "phone": [f"+1{i}" for i in range(10, 100)], "email": [f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "xyz"]}
+    rows = [(part, r, "n") for part, rs in real.items() for r in rs]
+    got = surrogates.distinct_surrogates(spark.createDataFrame(rows, "part string, norm string, gender string"), "k").collect()
+    assert sorted((r.part, r.norm) for r in got) == sorted(r[:2] for r in rows)
+    for part, rs in real.items():
+        new = {r.surrogate for r in got if r.part == part}
+        assert len(new) == len(rs) and not new & set(rs)
+    assert all(r.surrogate.startswith("+1") for r in got if r.part == "phone")
+
+
+def test_longer_numbers_stand_behind(spark):
+    cells = spark.createDataFrame([("12-3", "9876", "1 2", "abcd")], "raw string, digits string, spaced string, letters string")
+    from pyspark.sql import functions as F
+
+    row = cells.select(surrogates._masked(F.col("raw"), F.col("digits")), surrogates._spaced(F.col("spaced"), F.col("letters"))).first()
+    assert tuple(row) == ("98-76", "a bcd")
+
+
+def test_a_name_is_one_person_wherever_it_stands(spark):
+    got = run(spark, [(1, "Herr Peter Schmidt und Dr Peter Schmidt und Mr Peter und Frau Schmidt", "x", "x"), (2, "Dr Kim Schmidt", "x", "x")])
+    words = got[1].text.split()
+    assert words[1] == words[5] == words[9] and words[2] == words[6] == words[12] == got[2].text.split()[2]
+    assert "Peter" not in words and "Schmidt" not in words
+
+
 def test_odd_rows(spark, table):
     long = "words and 8.8.8.8 " * 20_000
     docs = table([(1, None, "a"), (2, "", None), (3, "no data, version 2.0.", "a"), (4, "x@y.org", "a"), (4, "x@y.org", "a"), (None, "x@y.org", "b"), (5, long, "b")])
