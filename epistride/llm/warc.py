@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from epistride.llm.keyed import spread_lookup
+from epistride.llm.keyed import numbered_copies, spread_lookup
 
 #: Payloads below this length never become a revisit.
 REVISIT_BYTES = 100
@@ -23,9 +23,11 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 _BETWEEN = "\r\n\r\nWARC/1."
 
 
-def record_id(kind: str, page: Column) -> Column:
-    """A URN made from the kind of record and the page's id; the same at every run."""
-    name = F.md5(F.concat(F.lit(f"{kind}:"), page.cast("string")))
+def record_id(kind: str, page: Column, copy: Column | None = None) -> Column:
+    """A URN made from the kind of record and the page's id, and the number of the row among those that repeat the id."""
+    told = [F.lit(f"{kind}:"), F.coalesce(page.cast("string"), F.lit(""))]
+    told += [] if copy is None else [F.when(copy > 0, F.concat(F.lit(":"), copy.cast("string"))).otherwise("")]
+    name = F.md5(F.concat(*told))
     parts = [F.substring(name, start, size) for start, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -47,26 +49,30 @@ def with_revisits(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFra
     large = sized.filter(F.col("payload_bytes") >= least_bytes)
     firsts = large.groupBy("payload_digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     # Only ids and digests move; a digest that many pages share is spread by page.
-    slim = large.select("id", "payload_digest")
-    again = spread_lookup(slim, firsts, ["payload_digest"], ["id"]).filter("id <> first").select(F.col("id").alias("_id"), F.col("first").alias("refers_to"))
-    return sized.join(again, sized.id == F.col("_id"), "left").drop("_id")
+    slim = large.select("id", "payload_digest").distinct()
+    again = spread_lookup(slim, firsts, ["payload_digest"], ["id"]).filter("id <> first")
+    again = again.select(F.col("id").alias("_id"), F.col("payload_digest").alias("_digest"), F.col("first").alias("refers_to"))
+    return sized.join(again, (sized.id == F.col("_id")) & (sized.payload_digest == F.col("_digest")), "left").drop("_id", "_digest")
 
 
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z",
                   least_bytes: int = REVISIT_BYTES) -> None:
     """Write a request, a response or revisit, and a metadata record for every page.
 
-    The page's id is kept in the field Page-Id. A null payload is empty. Ids
-    name the records and must be unique and not null; a null url is empty.
+    The page's id is kept in the field Page-Id. A null payload or url is
+    empty. Ids name the records; rows that repeat an id are told apart by a
+    number, and a null id is one that no record refers to.
     """
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"),
         F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"[\r\n]", " ").alias("url"),
         F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"),
     )
+    # A null id has a key of its own.
+    rows = numbered_copies(rows.withColumn("name", F.coalesce(F.col("id").cast("string"), F.lit(""))), ["name"], "copy")
     rows = with_revisits(rows, least_bytes)
     revisit = F.col("refers_to").isNotNull()
-    main_id = record_id("response", F.col("id"))
+    main_id = record_id("response", F.col("id"), F.col("copy"))
     common = [("WARC-Target-URI", F.col("url")), ("WARC-Date", F.lit(date)), ("Page-Id", F.col("id"))]
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n")
@@ -86,12 +92,12 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload"))),
     )
     request = _record(
-        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", record_id("request", F.col("id"))), *common, ("WARC-Concurrent-To", main_id),
+        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", record_id("request", F.col("id"), F.col("copy"))), *common, ("WARC-Concurrent-To", main_id),
          ("Content-Type", F.lit("application/http; msgtype=request"))],
         F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1\r\n\r\n")),
     )
     metadata = _record(
-        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", record_id("metadata", F.col("id"))), *common, ("WARC-Concurrent-To", main_id),
+        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", record_id("metadata", F.col("id"), F.col("copy"))), *common, ("WARC-Concurrent-To", main_id),
          ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.lit("fetched: "), F.lit(date), F.lit("\r\n")),
     )

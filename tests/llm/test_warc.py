@@ -99,3 +99,17 @@ def test_pieces_that_hold_several_records():
         batch = pa.RecordBatch.from_arrays([pa.array(["f"] * len(parts)), pa.array(parts, pa.binary())], names=["file", "piece"])
         out = pa.Table.from_batches(list(warc._records(iter([batch]))))
         assert out.column("payload").to_pylist() == [b"x", b"", b"a\r\n\r\nWARC/1.0 b", b"c\r\n", b"d"]
+
+
+def test_repeated_rows_come_back_once_each(spark, tmp_path):
+    page, other = "x" * 150, "y" * 150
+    rows = [(1, "u", page), (2, "v", page), (2, "v", page), (2, "w", other), (3, "t", other), (None, "n", page), (None, "m", "short"), (4, None, None), (4, None, None)]
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "warc"))
+    found = warc.captures(warc.read_archive(spark, str(tmp_path / "warc"))).collect()
+    got = sorted(((r.page_id, r.response.record_type, r.refers_to_page_id, r.response.target) for r in found), key=str)
+    assert got == sorted(
+        [(1, "response", None, "u"), (2, "revisit", 1, "v"), (2, "revisit", 1, "v"), (2, "response", None, "w"), (3, "revisit", 2, "t"),
+         (None, "response", None, "n"), (None, "response", None, "m"), (4, "response", None, ""), (4, "response", None, "")], key=str,
+    )
+    assert len({r.response.record_id for r in found}) == len(rows)
+    assert all(r.request is not None and len(r.metadata) == 1 for r in found)
