@@ -19,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from epistride.llm.arrow import prepared, record_batch, slices
+from epistride.llm.keyed import numbered_copies
 
 ROW_TOKENS = 4096
 PAD = 0
 #: A task packs the tokens of about so many bytes of text together.
 SHARD_BYTES = 10_000_000
+#: Rows that more than so many others equal are dealt to shards one by one.
+MANY_COPIES = 100
 #: Longer texts are encoded in parts of about so many characters.
 PART_CHARS = 1 << 20
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -68,7 +71,9 @@ class Tokens:
 def token_pieces(
     docs: DataFrame, row_tokens: int = ROW_TOKENS, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY
 ) -> DataFrame:
-    """(id, piece, n, ids): each row's ids (uint16, little endian) and end mark, in pieces of ``row_tokens`` at most.
+    """(id, copy, piece, n, ids): each row's ids (uint16, little endian) and end mark, in pieces of ``row_tokens`` at most.
+
+    ``copy`` tells rows apart that very many others equal, and is 0 for all else.
 
     A null or empty text is the end mark alone. The vocabulary (below 2 MB, a
     fixed size) is read once by the driver and sent to the tasks.
@@ -76,6 +81,8 @@ def token_pieces(
     spark = docs.sparkSession
     plain = prepared(docs, id_col, text_col)
     kind = plain.schema["id"].dataType.simpleString()
+    keyed = plain.withColumns({"_key": F.xxhash64("id", "text"), "_key2": F.xxhash64(F.lit(1), "id", "text")})
+    plain = numbered_copies(keyed, ["_key", "_key2"], "copy", MANY_COPIES).select("id", "copy", "text")
     with open(vocabulary, "rb") as file:
         held = spark.sparkContext.broadcast(file.read())
 
@@ -92,11 +99,11 @@ def token_pieces(
                     size.append(len(part) // 2)
                     ids.append(part)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(size, pa.int32()), pa.array(ids, pa.binary())],
-                names=["id", "piece", "n", "ids"],
+                [*[batch.column(c).take(pa.array(rows, pa.int64())) for c in ("id", "copy")], pa.array(piece, pa.int32()), pa.array(size, pa.int32()), pa.array(ids, pa.binary())],
+                names=["id", "copy", "piece", "n", "ids"],
             )
 
-    return plain.mapInArrow(run, f"id {kind}, piece int, n int, ids binary")
+    return plain.mapInArrow(run, f"id {kind}, copy long, piece int, n int, ids binary")
 
 
 class Rooms:
@@ -156,9 +163,10 @@ def packed_rows(pieces: DataFrame, shards: int, row_tokens: int = ROW_TOKENS) ->
     cumulative lengths 0, l1, l1 + l2, ..., positions the place of each token
     within its segment (uint16; padding counts up from 0 as a segment of its own),
     doc_ids and pieces the segments' origin. Pieces are dealt to shards by a
-    hash, of a document's pieces each for itself; a task packs one shard.
+    hash, of a document's pieces each for itself, of very many equal rows each
+    for itself; a task packs one shard.
     """
-    dealt = pieces.select("id", "piece", "n", "ids", F.xxhash64("id", "piece", "ids").alias("place")).repartition(shards, "place")
+    dealt = pieces.select("id", "piece", "n", "ids", F.xxhash64("id", "copy", "piece", "ids").alias("place")).repartition(shards, "place")
     dealt = dealt.sortWithinPartitions(F.desc("n"), "place", "id", "piece").withColumn("shard", F.spark_partition_id())
     schema = pa.schema(
         [("shard", pa.int32()), ("row", pa.int32()), ("ids", pa.binary()), ("n_tokens", pa.int32()), ("cu_seqlens", pa.list_(pa.int32())),

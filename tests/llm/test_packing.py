@@ -95,3 +95,13 @@ def test_long_text_in_parts(encoding, monkeypatch):
     tokens = packing.Tokens(open(packing.VOCABULARY, "rb").read())
     text = "alpha's  beta \n gamma 12 34, delta\t é  \n\n epsilon we'll   end  "
     assert np.frombuffer(tokens.ids(text), "<u2").tolist() == encoding.encode_ordinary(text)
+
+
+def test_many_equal_rows_are_dealt_to_many_shards(spark, table, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_BYTES", 2_000)
+    docs = table([(1, "a text that very many rows hold", "s")] * 600 + [(2, "another", "s")] * 3)
+    rows = packing.pack(docs, 64).collect()
+    held = [sum(d == 1 for d in r.doc_ids) for r in rows]
+    assert sum(held) == 600 and sum(d == 2 for r in rows for d in r.doc_ids) == 3
+    shards = {r.shard for r in rows if 1 in r.doc_ids}
+    assert len(shards) > 5
