@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from epistride.llm.arrow import SLICE_BYTES, prepared, slices
@@ -97,11 +98,9 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_byt
     return [items.filter(part == b) for b in range(blocks)]
 
 
-def _held_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list:
-    """Broadcast parts; each is bounded by block_bytes, but for an item that is longer by itself."""
-    context = benchmark.sparkSession.sparkContext
-    blocks = benchmark_blocks(benchmark, id_col, text_col, block_bytes)
-    return [context.broadcast([(r.id, (r.text or "").encode()) for r in block.collect()]) for block in blocks]
+def _held(block: DataFrame) -> Broadcast:
+    """One block of items for the tasks; it is bounded by the block's size, but for an item that is longer by itself."""
+    return block.sparkSession.sparkContext.broadcast([(r.id, (r.text or "").encode()) for r in block.collect()])
 
 
 def _structs(runs: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -134,9 +133,10 @@ def benchmark_hits(
     hits = "array<struct<start:bigint,end:bigint>>"
     none = F.array().cast(hits)
     rows = rows.select("id", "text", F.lit(0).cast("long").alias("n_words"), none.alias("word_runs"), none.alias("char_spans"), F.array().cast("array<bigint>").alias("items"))
-    blocks = _held_blocks(benchmark, item_col, item_text_col, block_bytes)
-    for number, held in enumerate(blocks):
-        last = number + 1 == len(blocks)
+    blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
+    for number, block in enumerate(blocks):
+        # One block at a time is held: each but the last is done and gone before the next is read.
+        last, held = number + 1 == len(blocks), _held(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held, last=last) -> Iterator[pa.RecordBatch]:
             windows = Windows(held.value, window)
@@ -168,6 +168,7 @@ def benchmark_hits(
         rows = rows.mapInArrow(run, f"id {kind}, text binary, n_words long, word_runs {hits}, char_spans {hits}, items array<bigint>")
         if not last:
             rows = stored(rows, "benchmark-hits")
+            held.destroy()
     return rows.drop("text")
 
 
@@ -181,9 +182,10 @@ def clean_documents(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The rows whose text holds no window, with all their columns; one pass, no shuffle."""
-    rows, blocks = docs, _held_blocks(benchmark, item_col, item_text_col, block_bytes)
+    rows, blocks = docs, benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
     place = docs.columns.index(text_col)
-    for number, held in enumerate(blocks):
+    for number, block in enumerate(blocks):
+        held = _held(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             windows = Windows(held.value, window)
@@ -194,6 +196,7 @@ def clean_documents(
         rows = rows.mapInArrow(run, docs.schema)
         if number + 1 < len(blocks):
             rows = stored(rows, "clean-documents")
+            held.destroy()
     return rows
 
 
