@@ -28,7 +28,7 @@ SHINGLE = 4
 SEED = 42
 DISTANCE = 4
 SEGMENTS = (22, 21, 21)
-#: A key with more fingerprints is not compared pair by pair; its fingerprints meet at midpoints.
+#: A key with more fingerprints is not compared pair by pair; its fingerprints meet under wider keys, and at last at midpoints.
 DENSE = 1024
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _PIECE = 1 << 20
@@ -144,6 +144,24 @@ def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs >> 26, pairs & ((1 << 26) - 1)
 
 
+def wide_keys(prints: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """For each print and pair of segments, all words within one bit of the pair's bits, one row each.
+
+    Two prints that meet under a Golay key differ in at most two bits of its
+    two segments, so they share one. The third segment holds the pair's number,
+    which keeps most words of different pairs apart.
+    """
+    out = np.zeros((len(prints), 1 + SEGMENTS[0] + SEGMENTS[1]), np.uint64)
+    for pair, third in enumerate((2, 1, 0)):
+        start, mine = sum(SEGMENTS[:third]), number == pair
+        inside = [bit for bit in range(64) if not start <= bit < start + SEGMENTS[third]]
+        mask = np.uint64(sum(1 << bit for bit in inside))
+        flips = np.array([0] + [1 << bit for bit in inside], np.uint64)
+        flips = np.r_[flips, np.zeros(out.shape[1] - len(flips), np.uint64)]
+        out[mine] = ((prints[mine] & mask)[:, None] ^ flips[None, :]) | np.uint64((pair + 1) << start)
+    return out
+
+
 def midpoints(prints: np.ndarray) -> np.ndarray:
     """All words within two bits of each fingerprint, one row each; two prints within four bits share one."""
     flips = [0] + [1 << i for i in range(64)] + [1 << i | 1 << j for i in range(64) for j in range(i)]
@@ -181,8 +199,8 @@ def links_within(key: np.ndarray, prints: np.ndarray) -> np.ndarray:
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links inside each key of a partition sorted by key; dense keys give their rows back (b null)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Links inside each key of a partition sorted by key; dense keys give their rows back, with the key and b null."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
     keys, prints = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     dense = None
 
@@ -195,7 +213,8 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         moved = label != np.arange(len(label))
         given = prints[heavy].view(np.int64)
         found = pa.concat_arrays([pa.array(own[label][moved]), pa.nulls(len(given), pa.int64())])
-        return pa.RecordBatch.from_arrays([pa.array(np.r_[own[moved], given]), found], schema=schema)
+        under = pa.concat_arrays([pa.nulls(int(moved.sum()), pa.int64()), pa.array(keys[heavy])])
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[own[moved], given]), found, under], schema=schema)
 
     for batch in batches:
         keys = np.r_[keys, batch.column("key").to_numpy().astype(np.int64)]
@@ -203,7 +222,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if dense is not None:  # the rest of a key already known as dense
             rest = int(np.searchsorted(keys, dense, "right"))
             if rest:
-                yield record_batch(schema, [prints[:rest].view(np.int64), [None] * rest])
+                yield record_batch(schema, [prints[:rest].view(np.int64), [None] * rest, keys[:rest]])
             keys, prints = keys[rest:], prints[rest:]
         if not len(keys):
             continue
@@ -258,13 +277,25 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
                 words = midpoints(part.view(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(words.ravel()), pa.array(np.repeat(part, words.shape[1]))], names=["word", "fp"])
 
-    keys = prints.select("fp").mapInArrow(keyed, "key int, fp long").repartition(parts, "key").sortWithinPartitions("key")
-    found = stored(keys.mapInArrow(_bucket_links, "a long, b long").distinct(), "bucket-links")
-    crowded = found.filter("b is null").select(F.col("a").alias("fp"))
+    def widened(batches):
+        for batch in batches:
+            fp, key = batch.column("a").to_numpy(), batch.column("key").to_numpy()
+            for start in range(0, len(fp), 4_000):
+                part = fp[start : start + 4_000]
+                words = wide_keys(part.view(np.uint64), key[start : start + 4_000] >> 24).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(words.ravel()), pa.array(np.repeat(part, words.shape[1]))], names=["key", "fp"])
+
+    def linked(rows: DataFrame) -> DataFrame:
+        rows = rows.repartition(parts, "key").sortWithinPartitions("key")
+        return stored(rows.mapInArrow(_bucket_links, "a long, b long, key long").distinct(), "bucket-links")
+
+    found = linked(prints.select("fp").mapInArrow(keyed, "key int, fp long"))
+    wide = linked(found.filter("b is null").mapInArrow(widened, "key long, fp long").distinct())
+    crowded = wide.filter("b is null").select(F.col("a").alias("fp")).distinct()
     met = crowded.repartition(parts, "fp").mapInArrow(middles, "word long, fp long")
     met = met.repartition(parts, "word").sortWithinPartitions("word", "fp")
     tied = met.mapInArrow(_tied_to_first, "a long, b long").distinct()
-    return found.filter("b is not null").unionByName(tied)
+    return found.unionByName(wide).filter("b is not null").select("a", "b").distinct().unionByName(tied)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

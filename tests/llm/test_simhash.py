@@ -185,3 +185,18 @@ def test_rows_that_share_an_id_or_have_none(spark, table):
     assert kept([(1, a, "s"), (1, b, "s"), (2, c, "s")]) == [("1", a), ("1", b), ("2", c)]
     # Id 2 comes from a component of its own and from that of id 1.
     assert kept([(1, a, "s"), (2, a, "s"), (2, b, "s")]) == [("1", a), ("2", b)]
+
+
+def test_prints_alike_in_two_segments_share_a_wide_key():
+    rng = np.random.default_rng(4)
+    starts = np.cumsum([0, *simhash.SEGMENTS])
+    for pair, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
+        bits = [bit for s in (a, b) for bit in range(starts[s], starts[s + 1])]
+        third = ({0, 1, 2} - {a, b}).pop()
+        for _ in range(60):
+            x = int(rng.integers(0, 1 << 63)) * 2 + int(rng.integers(0, 2))
+            y = x ^ sum(1 << bit for bit in rng.choice(bits, int(rng.integers(0, 3)), replace=False).tolist())
+            y ^= int(rng.integers(0, 1 << simhash.SEGMENTS[third])) << int(starts[third])
+            far = x ^ sum(1 << bit for bit in rng.choice(bits, 3, replace=False).tolist())
+            words = [set(w.tolist()) for w in simhash.wide_keys(np.array([x, y, far], np.uint64), np.array([pair] * 3))]
+            assert words[0] & words[1] and not words[0] & words[2]
