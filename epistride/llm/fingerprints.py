@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from epistride.llm.arrow import prepared, slices
+from epistride.llm.keyed import numbered_copies
 from epistride.llm.terms import PART_BYTES, WORDS, Tokens, mixed
 
 EXACT_LANES = 512
@@ -27,6 +28,8 @@ SKETCH_LANES = 512
 #: In units of 16 bits; a sketch lane takes two, the lower half first.
 LANES = EXACT_LANES + 2 * SKETCH_LANES
 SHINGLE = 3
+#: An id that more rows have, and than two ranges hold, is cut into parts.
+MANY_ROWS = 1_000
 
 
 def paragraphs(text: bytes) -> list[bytes]:
@@ -193,29 +196,66 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows are dealt to ranges of ids, by default four for each shuffle
     partition; the first row of a range is sent to the range before it as a
-    guest, so texts are shuffled once. Only range edges and first ids, one of
-    each per range, pass the driver.
+    guest, so texts are shuffled once. An id that very many rows have, or the
+    lack of one, is a range of its own, cut further by a digest of the text
+    and, for copies of one row, by their number. Only range edges and first
+    ids, one of each per range, pass the driver.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    edges = _edges(plain.select("id"), ranges or 4 * partitions)
+    pieces = ranges or 4 * partitions
+    counts = plain.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    most = max(MANY_ROWS, 2 * (counts.agg(F.sum("n")).first()[0] or 0) // pieces)
+    crowded = {r.id: -(-r.n // most) for r in counts.filter(F.col("n") > most).collect()}  # at most half as many as ranges
+    edges = sorted({*_edges(plain.select("id"), pieces), *[e for i in crowded if i is not None for e in (i, i + 1)]})
     # 0 holds the null ids, 1 and up ascending ranges, which are read downwards.
     placed = plain.withColumn("home", F.when(F.col("id").isNull(), 0).otherwise(1 + _place(F.col("id"), edges)).cast("int"))
-    heads = {r.home: r.head for r in placed.groupBy("home").agg(F.max("id").alias("head")).collect()}
-    if not heads:
+    nothing = F.lit(0).cast("long")
+    if crowded:
+        placed = _spread(placed, crowded, most)
+    else:
+        placed = placed.withColumns({"copy": nothing, "spread": nothing, "part": _part(nothing, nothing, nothing)})
+    slots = placed.groupBy("home", "part").agg(F.max("id").alias("head")).collect()
+    if not slots:
         return spark.createDataFrame([], EDITED)
-    order = sorted(heads, reverse=True)
-    before = {home: order[i - 1] for i, home in enumerate(order)}
-    slots = range(len(edges) + 2)
-    head = F.get(F.array(*[F.lit(heads.get(s)).cast("long") for s in slots]), F.col("home"))
-    to = F.get(F.array(*[F.lit(before.get(s)).cast("int") for s in slots]), F.col("home"))
-    # Of rows that repeat the first id the least text stands first.
-    guests = placed.filter(F.col("id").eqNullSafe(head)).groupBy("home", "id").agg(F.min("text").alias("text"))
-    guests = guests.select("id", "text", to.alias("home"), F.lit(True).alias("guest"))
-    rows = placed.select("id", "text", "home", F.lit(False).alias("guest")).union(guests)
-    rows = rows.repartition(max(1, min(len(heads), 2 * partitions)), "home").sortWithinPartitions("home", "guest", F.desc_nulls_last("id"), "text")
-    return rows.mapInArrow(_with_next, EDITED)
+    slots.sort(key=lambda r: (-r.home, tuple(r.part)))
+    told = [(r.home, r.part, r.head, number, number - 1 if number else len(slots) - 1) for number, r in enumerate(slots)]
+    told = spark.createDataFrame(told, f"home int, part {_PART}, head long, slot int, before int")
+    # A row for each range.
+    placed = placed.join(F.broadcast(told), ["home", "part"])
+    # Of rows that repeat the first id the first by digest and text stands first.
+    guests = placed.filter(F.col("id").eqNullSafe(F.col("head"))).groupBy("before", "id", "slot")
+    guests = guests.agg(F.min(F.struct("spread", "text")).alias("first"))
+    guests = guests.select("id", F.col("first.text").alias("text"), F.col("before").alias("slot"), F.lit(True).alias("guest"), "first.spread", nothing.alias("copy"))
+    rows = placed.select("id", "text", "slot", F.lit(False).alias("guest"), "spread", "copy").union(guests)
+    rows = rows.repartition(max(1, min(len(slots), 2 * partitions)), "slot")
+    rows = rows.sortWithinPartitions("slot", "guest", F.desc_nulls_last("id"), "spread", "text", "copy")
+    return rows.select("id", "text", F.col("slot").alias("home"), "guest").mapInArrow(_with_next, EDITED)
+
+
+_PART = "struct<range:bigint,digest:bigint,chunk:bigint>"
+
+
+def _part(first: Column, digest: Column, chunk: Column) -> Column:
+    return F.struct(first.alias("range"), digest.alias("digest"), chunk.alias("chunk"))
+
+
+def _spread(placed: DataFrame, crowded: dict[int | None, int], most: int) -> DataFrame:
+    """Rows with ``part``, ascending within a crowded id by ``spread``, a digest of the text, and ``copy``, the number among equal rows."""
+    known = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    keyed = placed.withColumns({"_key": F.xxhash64(known, "text"), "_key2": F.xxhash64(F.lit(1), known, "text")})
+    keyed = numbered_copies(keyed, ["_key", "_key2"], "copy", most)
+    parts = F.lit(0)
+    for i, n in crowded.items():
+        parts = F.when(F.col("id").eqNullSafe(F.lit(i).cast("long")), n).otherwise(parts)
+    spread = F.when(parts > 0, F.col("_key").bitwiseAND(F.lit(0x7FFFFFFF))).otherwise(0).cast("long")
+    keyed = keyed.withColumns({"spread": spread, "parts": parts.cast("long")})
+    # A part for each digest range, and behind it one for so many further copies of each row.
+    first = F.floor(F.col("spread") * F.col("parts") / F.lit(1 << 31)).cast("long")
+    chunk = F.floor(F.col("copy") / most).cast("long")
+    part = _part(first, F.when(chunk > 0, F.col("_key")).otherwise(F.lit(0).cast("long")), chunk)
+    return keyed.withColumn("part", part).drop("_key", "_key2", "parts")
 
 
 def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -108,3 +109,24 @@ def test_a_word_repeated_often_keeps_its_likeness(n):
     twice = fingerprints.inserted(v[0], whole.encode())
     assert (twice == fingerprints.vectors([(whole + "\n" + whole).encode()])[0]).all()
     assert (fingerprints.deleted(twice, whole.encode()) == v[0]).all()
+
+
+@pytest.mark.parametrize("hot", [7, None])
+def test_an_id_of_very_many_rows_is_cut(spark, table, monkeypatch, hot):
+    """Rows of one id, some of them equal: all rows stand in one order, each before exactly one other."""
+    monkeypatch.setattr(fingerprints, "MANY_ROWS", 10)
+    rows = [(hot, f"{i:03d} a text of its own", "a") for i in range(80)] + [(hot, "same as many others", "a")] * 60
+    rows += [(i, f"{900 + i} with an id", "b") for i in (1, 2, 8, 9)]
+    got = fingerprints.edited_fingerprints(table(rows), ranges=6).collect()
+    texts = {t for _, t, _ in rows}
+    edited = {hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest(): (a, b) for a in texts for b in texts}
+    assert len(edited) == len(texts) ** 2
+    pairs = [edited[r.edited_sha256] for r in got]
+    every = Counter(t for _, t, _ in rows)
+    assert Counter(a for a, _ in pairs) == Counter(b for _, b in pairs) == every
+    assert Counter(r.id for r in got) == Counter(i for i, _, _ in rows)
+    # Ids descend, a crowded one's rows among themselves, and after the last comes the first.
+    by_text = {t: i for i, t, _ in rows}
+    steps = Counter((by_text[a], by_text[b]) for a, b in pairs if by_text[a] != by_text[b])
+    order = [9, 8, 7, 2, 1] if hot else [9, 8, 2, 1, None]
+    assert steps == Counter(zip(order, order[1:] + order[:1]))
