@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from epistride.llm.arrow import prepared, slices
 from epistride.session import stored
@@ -80,10 +80,7 @@ def sample(
     rows = texts.mapInArrow(run, f"id {kind}, label int, found binary").groupBy("id", "label").agg(F.min("found").alias("found"))
     rows = stored(rows, "sample")
     rows = rows if reduced is None else reduced(rows)
-    # A window over the sample's few thousand rows.
-    upto = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), "id"), "id")
-    rows = rows.withColumn("upto", F.sum(F.octet_length("found")).over(upto)).filter(F.col("upto") <= bytes_per_label)
-    rows = rows.select("id", "label", "found").orderBy("id").collect()
+    rows = _within(rows, bytes_per_label, seed).orderBy("id").collect()
     seen = {label: sum(r.label == label for r in rows) for label in counts}
     weight = {label: counts[label] / max(1, seen[label]) for label in counts}
     scale = sum(seen.values()) / max(1, sum(counts.values()))
@@ -94,6 +91,22 @@ def sample(
     )
 
 
+def _within(rows: DataFrame, bytes_per_label: int, seed: int) -> DataFrame:
+    """The sample's rows, or where a label's features take more than so many bytes, as many of them as fit, in seeded order."""
+    total = rows.groupBy("label").agg(F.sum(F.octet_length("found")).alias("bytes"))
+    if total.filter(F.col("bytes") > bytes_per_label).isEmpty():
+        return rows
+    # A few thousand ids and sizes.
+    listed = rows.select("id", "label", F.octet_length("found").alias("size")).orderBy("label", F.xxhash64(F.lit(seed), "id"), "id").collect()
+    kept, used = [], {}
+    for r in listed:
+        used[r.label] = used.get(r.label, 0) + r.size
+        if used[r.label] <= bytes_per_label:
+            kept.append((r.id,))
+    chosen = rows.sparkSession.createDataFrame(kept, f"id {rows.schema['id'].dataType.simpleString()}")
+    return rows.join(F.broadcast(chosen), "id")
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
