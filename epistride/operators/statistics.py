@@ -215,6 +215,56 @@ def inferred_features(frames: DataFrame, features: Sequence[str] | None = None)
     return measured.select(F.inline(F.array(*described)))
 
 
+# Storage names of the types that variants have.
+VARIANT_NAMES = {"BIGINT": "int64", "DOUBLE": "float64", "FLOAT": "float64", "STRING": "string", "BOOLEAN": "bool"}
+_LEVELS = 3
+
+
+def line_features(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(feature, dtype, shape, fixed, depth, rows, missing, conflict) of the members of JSON objects, one a line.
+
+    Types of all lines are joined in one aggregate: whole numbers and others
+    give float64, nulls give way, and what has no common type is a
+    ``conflict`` without a type.  ``shape`` holds the largest sizes of lists
+    up to three levels deep, ``fixed`` tells that all lists of a level are
+    equally long, ``missing`` counts the objects without the member.  Lines
+    that hold no object are left out.
+    """
+    objects = lines.select(F.try_parse_json(named(column)).alias("__line"))
+    objects = objects.where(F.schema_of_variant("__line").startswith("OBJECT"))
+    members = objects.lateralJoin(lines.sparkSession.tvf.variant_explode(F.col("__line").outer()))
+    level, sizes = F.array("value"), []
+    for _ in range(_LEVELS):
+        lists = F.filter(F.transform(level, lambda v: F.try_variant_get(v, "$", "array<variant>")), lambda a: a.isNotNull())
+        sizes.append(F.transform(lists, lambda a: F.size(a)))
+        level = F.flatten(lists)
+    told = members.groupBy(F.col("key").alias("feature")).agg(
+        F.schema_of_variant_agg("value").alias("kind"),
+        F.count(F.lit(1)).alias("rows"),
+        *[F.min(F.array_min(size)).alias(f"low_{n}") for n, size in enumerate(sizes)],
+        *[F.max(F.array_max(size)).alias(f"high_{n}") for n, size in enumerate(sizes)],
+    )
+    element = F.regexp_replace("kind", r"^(?:ARRAY<)+|>+$", "")
+    element = F.when(F.col("kind").startswith("ARRAY"), element).otherwise(F.col("kind"))
+    names = F.create_map(*[F.lit(x) for pair in VARIANT_NAMES.items() for x in pair])
+    dtype = F.when(element.startswith("DECIMAL"), "float64").when(element.startswith("OBJECT"), "struct").otherwise(F.try_element_at(names, element))
+    depth = F.length(F.regexp_extract("kind", r"^((?:ARRAY<)*)", 1)) / F.lit(len("ARRAY<"))
+    highs = F.array(*[F.col(f"high_{n}").cast("long") for n in range(_LEVELS)])
+    level_fixed = F.array(*[F.col(f"low_{n}").eqNullSafe(F.col(f"high_{n}")) for n in range(_LEVELS)])
+    deep = F.least(depth.cast("int"), F.lit(_LEVELS))
+    total = objects.agg(F.count(F.lit(1)).alias("n"))
+    return told.select(
+        "feature",
+        dtype.alias("dtype"),
+        F.when(depth > 0, F.slice(highs, F.lit(1), deep)).otherwise(F.array(F.lit(1).cast("long"))).alias("shape"),
+        F.forall(F.slice(level_fixed, F.lit(1), deep), lambda x: x).alias("fixed"),
+        depth.cast("int").alias("depth"),
+        "rows",
+        (total.scalar() - F.col("rows")).alias("missing"),
+        (element == "VARIANT").alias("conflict"),
+    )
+
+
 def feature_map(inferred: DataFrame, motors: bool = False) -> DataFrame:
     """One row: the features as the map that the info file holds.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from epistride.operators import normalise, permutation, splits, statistics, windows
 from epistride.operators.integrity import partly_missing, size_gates
 from epistride.operators.scans import hash_rank, ordered_rank, position_block
+from epistride.session import scratch_path
 from epistride.workload.registry import query
 from epistride.workload.tables import (
     EVENT_EPISODES,
@@ -221,6 +222,32 @@ def damaged_time_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return statistics.rollup_differences(statistics.episode_statistics(frames), whole).select("feature", "position")
 
 
+@query("D23 A5", """
+WITH sizes AS (SELECT min(n_chars % 5 + 1) AS low, max(n_chars % 5 + 1) AS high, count(*) FILTER (doc_id % 4 = 1) AS noted, count(*) AS n FROM documents)
+SELECT 'amount' AS feature, 'float64' AS dtype, '1' AS shape, true AS fixed, CAST(0 AS BIGINT) AS missing, false AS conflict FROM sizes
+UNION ALL SELECT 'doc_id', 'int64', '1', true, 0, false FROM sizes
+UNION ALL SELECT 'mark', NULL, '1', true, 0, true FROM sizes
+UNION ALL SELECT 'note', 'string', '1', true, n - noted, false FROM sizes
+UNION ALL SELECT 'steps', 'int64', CAST(high AS VARCHAR) || ',2', low = high, 0, false FROM sizes""")
+def disagreeing_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of JSON lines whose types and list lengths differ from line to line."""
+    i = F.col("doc_id")
+    pairs = F.transform(F.sequence(F.lit(1), (F.col("n_chars") % 5 + 1).cast("int")), lambda k: F.array(k, k + 1))
+    member = lambda name, value: F.concat(F.lit(f'"{name}": '), value)
+    line = F.concat_ws(
+        ", ",
+        member("doc_id", i.cast("string")),
+        member("amount", F.when(i % 2 == 0, i.cast("string")).otherwise((i / 4).cast("string"))),
+        member("mark", F.when(i % 3 == 0, F.lit('"three"')).otherwise(i.cast("string"))),
+        member("steps", F.to_json(pairs)),
+        F.when(i % 4 == 1, member("note", F.lit('"one"'))),
+    )
+    path = scratch_path(spark, "lines")
+    table(spark, folder, "documents").select(F.concat(F.lit("{"), line, F.lit("}")).alias("value")).write.text(path)
+    found = statistics.line_features(spark.read.text(path))
+    return found.select("feature", "dtype", F.array_join("shape", ",").alias("shape"), "fixed", "missing", "conflict")
+
+
 @query("D22", """
 WITH lists AS (SELECT string_split(text, ' ') AS words FROM documents)
 SELECT 'words' AS feature, min(len(words)) AS smallest, max(len(words)) AS largest FROM lists HAVING min(len(words)) <> max(len(words))""")

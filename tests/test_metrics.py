@@ -144,3 +144,18 @@ def test_no_state_and_no_variation(spark):
     assert metrics.metrics_of(empty).collect()[0]["count"] == 0
     merged = metrics.metrics_of(metrics.merge_states(empty)).collect()
     assert [r["count"] for r in merged] == [0]
+
+
+def test_features_of_lines_that_disagree(spark):
+    lines = ['{"a": 1, "b": [1, 2], "c": "x", "d": null, "e": [[1, 2], [3, 4]]}', '{"a": 1.5, "b": [1, 2], "c": 1, "d": true, "e": [[1], [2.5]], "f": {"x": 1}}', "[1]", "no json", None]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    got = {r.feature: (r.dtype, list(r["shape"]), r.fixed, r.depth, r["rows"], r.missing, r.conflict) for r in statistics.line_features(df).collect()}
+    assert got == {
+        "a": ("float64", [1], True, 0, 2, 0, False),
+        "b": ("int64", [2], True, 1, 2, 0, False),
+        "c": (None, [1], True, 0, 2, 0, True),
+        "d": ("bool", [1], True, 0, 2, 0, False),
+        "e": ("float64", [2, 2], False, 2, 2, 0, False),
+        "f": ("struct", [1], True, 0, 1, 1, False),
+    }
+    assert statistics.line_features(df.limit(0)).count() == 0
