@@ -38,7 +38,7 @@ _PLACE_BITS = 20
 _BUFFER = 1 << _PLACE_BITS
 _LOW = np.uint64(_BUFFER - 1)
 #: A task compares at most so many contexts of one symbol; larger blocks are refined by wider symbols first.
-CROWDED = 1_000
+CROWDED = 20_000
 #: Each refinement cuts the range of starts that share a symbol into so many.
 _CUTS = 4
 #: Rows that a task merges.
