@@ -27,6 +27,9 @@ EPISODE_BLOCKS = 4096
 
 _BLOCK = "__block"
 
+# Tables stored by episode and block (see ``colocated``) carry the block under this name.
+STORED_BLOCK = "__frame_block"
+
 
 @dataclass(frozen=True)
 class Running:
@@ -285,15 +288,21 @@ def join_episodes(
     ``frames``.
 
     Columns of the episode side come out with ``__`` before their name, so
-    they never clash with frame columns.
+    they never clash with frame columns.  Frames that are stored by episode
+    and block are joined where they lie; only the episode side moves.
     """
-    wrapped = lambda block: F.pmod(block, F.lit(EPISODE_BLOCKS))
+    key = STORED_BLOCK if STORED_BLOCK in frames.columns and block_rows == BLOCK_ROWS else _BLOCK
     low, high = position_block(named(first), block_rows), position_block(named(last), block_rows)
     blocks = F.sequence(low, F.least(high, low + (EPISODE_BLOCKS - 1)))
     spread = episodes.select(
         named(episode),
         *[named(n).alias(f"__{n}") for n in episodes.columns if n != episode],
-        F.explode(F.transform(blocks, wrapped)).alias(_BLOCK),
+        F.explode(F.transform(blocks, wrapped_block)).alias(key),
     )
-    placed = frames.withColumn(_BLOCK, wrapped(position_block(named(frame), block_rows)))
-    return placed.join(spread, [episode, _BLOCK]).drop(_BLOCK)
+    placed = frames if key == STORED_BLOCK else frames.withColumn(key, wrapped_block(position_block(named(frame), block_rows)))
+    joined = placed.join(spread, [episode, key])
+    return joined if key == STORED_BLOCK else joined.drop(key)
+
+
+def wrapped_block(block: Column) -> Column:
+    return F.pmod(block, F.lit(EPISODE_BLOCKS))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epistride.functions.scalars import clean_text, strict_bool, strict_long, strict_long_token
-from epistride.operators import bitmaps, integrity, labels, returns
-from epistride.operators.scans import number_rows
+from epistride.operators import bitmaps, colocated, integrity, labels, returns
+from epistride.operators.scans import number_rows, running_sum
 from epistride.operators.shards import first_seen_ids
 from epistride.workload.registry import query
 from epistride.workload.tables import (
@@ -113,6 +113,23 @@ def broken_conversation_steps(spark: SparkSession, folder: str) -> DataFrame:
     return broken.groupBy("episode_index").agg(F.count(F.lit(1)).alias("gaps"))
 
 
+@query("K1 C1 E2", f"""
+WITH {EVENT_RETURNS}
+SELECT episode_index, frame_index, round(CAST(CAST(ret AS FLOAT) AS DOUBLE), 5) + 0.0 AS "return", CAST(raw AS DOUBLE) AS return_raw,
+       CASE WHEN success THEN 1 ELSE 0 END AS episode_success,
+       round(sum(observed) OVER (PARTITION BY episode_index ORDER BY frame_index), 4) AS observed_so_far FROM returns""")
+def colocated_returns(spark: SparkSession, folder: str) -> DataFrame:
+    """Returns and a running sum over frames stored by episode and block: no frame is shuffled again."""
+    frames = colocated.stored_by_episode(event_frames(spark, folder))
+    made = returns.with_returns(frames, event_labels(frames))
+    summed = colocated.running_by_episode(made, {"observed_so_far": running_sum(F.col("observed"))})
+    return summed.select(
+        "episode_index", "frame_index", F.round(F.col("return").cast("double"), 5).alias("return"),
+        F.col("return_raw").cast("double").alias("return_raw"), F.col("episode_success").cast("int").alias("episode_success"),
+        F.round("observed_so_far", 4).alias("observed_so_far"),
+    )
+
+
 @query("E6", """
 SELECT o_custkey AS episode_index, "after", o_orderkey AS "before" FROM (
   SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS "after" FROM orders)
