@@ -27,7 +27,8 @@ def score_windows(
     """Call ``scorer`` on Arrow batches of windows.
 
     ``carried`` columns of the windows, such as their targets, stand beside
-    the scores of their row, so that no join has to bring them together again.
+    the scores of their row, so that no join has to bring them together again;
+    the scorer sees none of them but those it asks for in ``arrays``.
 
     A batch has at most ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows,
     so a task's memory does not grow with the data.
@@ -39,7 +40,7 @@ def score_windows(
         for batch in parts:
             if len(batch):
                 uniform_batch(batch, checked)
-                scored = scorer(batch)
+                scored = scorer(batch.drop(columns=[n for n in carried if n not in checked]))
                 yield scored.assign(**{name: batch[name].to_numpy() for name in carried}) if carried else scored
 
     return windows.mapInPandas(run, ", ".join([schema, *kept]))

@@ -48,18 +48,18 @@ def evaluate(
     """
     chosen = frames if split is None else select_split(frames, split, split_name, c)
     integrity.require_none(integrity.uneven_episodes(chosen, c), "episodes are not consecutive", [c.episode])
-    wanted = list(dict.fromkeys([*fields, *upcoming]))
-    made = windows.split_window(windows.history_windows(chosen, history, wanted, c), history, list(fields), list(upcoming))
-    scored = stored(scoring.score_windows(made, scorer, schema, list(fields)), "scores")
+    # The targets travel with their windows, unseen by the scorer.
+    current = list(dict.fromkeys([*fields, c.ret]))
+    wanted = list(dict.fromkeys([*current, *upcoming]))
+    made = windows.split_window(windows.history_windows(chosen, history, wanted, c), history, current, list(upcoming))
+    scored = stored(scoring.score_windows(made, scorer, schema, list(fields), carried=[c.ret]), "scores")
     total = windows.total_windows(chosen, history, c)
     complete = scoring.completeness(scored, total)
     integrity.require_none(complete.where(~F.col("complete") | (F.col("windows") < 1)), "windows were not all scored", ["records"])
 
-    targets = chosen.select(
-        named(c.episode).alias("episode_id"), named(c.frame).alias("frame_index"), named(c.ret).cast("double").alias("return")
-    )
     key = ["episode_id", "frame_index"]
-    tokens = scoring.scored_positions(scored).join(targets, key)
+    tokens = scoring.scored_positions(scored, carried=[c.ret])
+    tokens = tokens.select(*[n for n in tokens.columns if n != c.ret], named(c.ret).cast("double").alias("return"))
     unusable = tokens.where(~(is_finite(F.col("value")) & is_finite(F.col("return"))))
     integrity.require_none(unusable.select(*key), "values that are not finite", key)
     points = stored(tokens.where(F.col("position") == history - 1).select(*key, "value", "return"), "points")

@@ -83,3 +83,19 @@ def test_normalisation_uses_only_finite_training_rows(spark):
     assert scaled.action == pytest.approx([-1.0, 0.0])
     assert normalise.statistics_problems(stats, 2).count() == 0
     assert [r.problem for r in normalise.statistics_problems(stats, 3).collect()] == ["dimension"]
+
+
+def test_carried_targets_stand_beside_scores_unseen(spark):
+    import pandas as pd
+
+    from epistride.operators import scoring
+
+    windows_df = spark.createDataFrame([(1, "1:0", [0, 1], [1.0, 2.0], [0.5, 0.25])], "episode_id long, sample_id string, frame_indices array<long>, x array<double>, target array<double>")
+
+    def scorer(batch):
+        assert "target" not in batch.columns
+        return pd.DataFrame({"episode_id": batch["episode_id"], "sample_id": batch["sample_id"], "frame_indices": batch["frame_indices"], "value": [[3.0, 4.0]]})
+
+    scored = scoring.score_windows(windows_df, scorer, "episode_id long, sample_id string, frame_indices array<long>, value array<double>", ["x"], ["target"])
+    rows = scoring.scored_positions(scored, carried=["target"]).collect()
+    assert sorted((r.frame_index, r.value, r.target) for r in rows) == [(0, 3.0, 0.5), (1, 4.0, 0.25)]
