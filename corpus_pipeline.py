@@ -15,7 +15,11 @@ def _not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, of the least doc_id, of every component of texts whose 5-word shingles are alike to 0.8."""
+    """One row, of the least doc_id, of every component of texts whose 5-word shingles are alike to 0.8.
+
+    SimHash fingerprints under Golay keys propose, as in op7, and MinHash bands what lies beyond their four bits;
+    the whole sets decide.
+    """
     return simhash.keep_one(docs, near=nearcopies.near_copies)
 
 

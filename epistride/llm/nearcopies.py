@@ -1,11 +1,14 @@
 """Near copies: texts whose word shingles have at least a given Jaccard similarity.
 
 A text is the set of its shingles' hashes; texts of equal sets are one node.
-MinHash bands only propose pairs, and every proposed pair is compared by its
-whole sets. Of two texts at similarity s, no band agrees with probability
-(1 - s^ROWS)^BANDS, which is 7e-6 at 0.8 and less above it.
-
-Pairs are never listed band by band. First every node of a band is compared
+SimHash fingerprints of the same shingles, linked through Golay keys, propose
+groups of texts; so that nothing beyond their few bits is lost, MinHash bands
+propose more. Every proposed pair is compared by its whole sets. Of two texts
+at similarity s, no band agrees with probability (1 - s^ROWS)^BANDS, which is
+7e-6 at 0.8 and less above it.
+
+Pairs are never listed band by band; a component of fingerprints is a band like
+the others. First every node of a band is compared
 with the band's hub, the node that shares most bands with others; that joins
 groups of near copies in as many comparisons as they have nodes. What bands
 are then still apart go through an exact similarity join: in an order from
@@ -36,10 +39,13 @@ _DRAWN = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np
 FLIPS, FACTORS = _DRAWN[0], _DRAWN[1] | np.uint64(1)
 
 
+def _distinct(runs: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(runs)) if runs else np.zeros(0, np.uint64)
+
+
 def shingles(data: bytes, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct hashes of a text's word shingles; none where it has no word."""
-    parts = list(simhash.shingle_hashes(data.lower(), width))
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    return _distinct(list(simhash.shingle_hashes(data.lower(), width)))
 
 
 def bands(found: np.ndarray) -> list[int]:
@@ -71,13 +77,19 @@ def _sketched(rows: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
+            sets, prints = [], []
+            for text in batch.column("text").to_pylist():
+                runs = list(simhash.shingle_hashes(text.lower(), width))
+                sets.append(_distinct(runs))
+                prints.append(simhash.print_of(runs))
+            prints = pa.array(np.array(prints, np.uint64).view(np.int64))
             names = pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string())
             keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), names, sizes, keys], names=["id", "key", "name", "size", "bands"])
+            columns = [batch.column("id"), batch.column("key"), names, sizes, prints, keys]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "name", "size", "fp", "bands"])
 
-    return rows.mapInArrow(run, f"id {kind}, key string, name string, size long, bands array<long>")
+    return rows.mapInArrow(run, f"id {kind}, key string, name string, size long, fp long, bands array<long>")
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
@@ -167,12 +179,20 @@ def _crossing_pairs(prefixes: DataFrame, least: float) -> DataFrame:
     return crossed.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
 
 
-def links(nodes: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
-    """Edges (a, b) that connect all nodes joined by pairs that share a band and are alike.
+def _print_bands(prints: DataFrame) -> DataFrame:
+    """(node, size, band) of (node, size, fp): a band for each component of fingerprints that Golay keys link."""
+    roots = simhash.with_roots(stored(prints.select("fp").distinct(), "distinct-prints"))
+    band = F.xxhash64(F.lit("simhash"), F.col("root"))
+    return lookup(prints, roots, ["fp"]).select("node", "size", band.alias("band")).distinct()
+
+
+def links(nodes: DataFrame, prints: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
+    """Edges (a, b) that connect all nodes joined by pairs that share a band, or a component of fingerprints, and are alike.
 
-    ``nodes`` holds (node, key, size, bands), ``rows`` (key, text).
+    ``nodes`` holds (node, key, size, bands), ``prints`` (node, size, fp), where a
+    node may have several, and ``rows`` (key, text).
     """
-    spread = nodes.select("node", "size", F.explode("bands").alias("band"))
+    spread = nodes.select("node", "size", F.explode("bands").alias("band")).unionByName(stored(_print_bands(prints), "print-bands"))
     counts = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = stored(lookup(spread, counts, ["band"]), "bands")
     wanted = met.select("node").distinct().join(nodes.select("node", "key"), "node")
@@ -201,7 +221,10 @@ def near_copies(
     sketched = stored(_sketched(rows, width), "sketches")
     nodes = sketched.groupBy("name").agg(F.min("id").alias("low"), F.min("key").alias("key"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    near = stored(links(nodes.select("node", "key", "size", "bands"), rows, width, least), "near-links")
+    # Equal sets with other repeats have other fingerprints.
+    prints = sketched.select("name", "fp").distinct().join(nodes.select("name", "node", "size"), "name")
+    prints = stored(prints.select("node", "size", "fp"), "prints")
+    near = stored(links(nodes.select("node", "key", "size", "bands"), prints, rows, width, least), "near-links")
     rooted = stored(_with_roots(nodes.select("node", "name", "low"), near), "rooted-nodes")
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = lookup(rooted, lowest, ["root"]).select("name", "component_id")

@@ -12,7 +12,7 @@ compared bit by bit.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -72,16 +72,21 @@ def shingle_hashes(data: bytes, width: int) -> Iterator[np.ndarray]:
         yield np.array(hashes, np.uint64)
 
 
-def fingerprint(data: bytes) -> int:
-    """The SimHash of a text's word shingles; 0 where it has no word."""
+def print_of(runs: Iterable[np.ndarray]) -> int:
+    """The SimHash of a text's shingle hashes, repeats included; 0 where there are none."""
     ones, total = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(data.lower(), SHINGLE):
+    for hashes in runs:
         bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         ones += bits.sum(axis=0, dtype=np.int64)
         total += len(hashes)
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big") if total else 0
 
 
+def fingerprint(data: bytes) -> int:
+    """The SimHash of a text's word shingles; 0 where it has no word."""
+    return print_of(shingle_hashes(data.lower(), SHINGLE))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) of every row; null and wordless texts have fingerprint 0."""
     plain = prepared(docs, id_col, text_col)
@@ -298,6 +303,12 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     return found.unionByName(wide).filter("b is not null").select("a", "b").distinct().unionByName(tied)
 
 
+def with_roots(prints: DataFrame) -> DataFrame:
+    """``prints``, one row for each ``fp``, with ``root``: the least fingerprint reachable over links, or itself."""
+    roots = components(fingerprint_links(prints.select("fp")))
+    return prints.join(roots, prints.fp == roots.node, "left").drop("node").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) of every row.
 
@@ -308,8 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     least_id = stored(prints.groupBy("fp").agg(F.min("id").alias("low")), "distinct-prints")
-    roots = components(fingerprint_links(least_id.select("fp")))
-    rooted = least_id.join(roots, least_id.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = with_roots(least_id)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = spread_lookup(rooted, lowest, ["root"], ["fp"]).select("fp", "component_id")
     return spread_lookup(prints, named, ["fp"], ["id"]).select(

@@ -105,3 +105,31 @@ def test_long_text_in_pieces(monkeypatch):
     whole = nearcopies.shingles(text)
     monkeypatch.setattr(simhash, "_PIECE", 100)
     assert (nearcopies.shingles(text) == whole).all() and len(whole) == len(plain_shingles(text.decode()))
+
+
+def test_fingerprints_propose_what_bands_miss(spark, folder, table):
+    """Alike to 0.8, three bits apart, and without a common MinHash band: only Golay keys propose the pair."""
+    base = [f"b{i}" for i in range(12)]
+    a, b = (" ".join([*base, last]) for last in ("e1919", "e3032"))
+    assert not set(nearcopies.bands(nearcopies.shingles(a.encode()))) & set(nearcopies.bands(nearcopies.shingles(b.encode())))
+    docs = table([(1, a, "s"), (2, b, "s"), (3, " ".join(reversed(base)), "s")])
+    assert plain_kept([(1, a), (2, b)]) == [1]
+    assert sorted(r.doc_id for r in corpus_pipeline._one_of_each(spark, docs, folder).collect()) == [1, 3]
+
+
+def test_fingerprints_only_propose(spark, folder, table):
+    """Passages said very often make equal fingerprints of texts that are not alike; some of these are, in chains too."""
+    rng = np.random.default_rng(12)
+    often = "alpha beta gamma delta epsilon " * 400
+    rows, words = [], None
+    for doc in range(60):
+        words = edited(rng, words, 1) if doc % 6 in (1, 2) else [f"q{rng.integers(10**9)}" for _ in range(80)]
+        rows.append((doc, often + " ".join(words), "s"))
+    # Equal sets of shingles whose repeats differ: one node under two fingerprints.
+    rows.append((60, rows[0][1].replace(often, often[: len(often) // 200]), "s"))
+    prints = [simhash.fingerprint(t.encode()) for _, t, _ in rows[:60]]
+    assert all((p ^ prints[0]).bit_count() <= simhash.DISTANCE for p in prints)
+    want = plain_kept(rows)
+    assert len(want) == 40
+    got = corpus_pipeline._one_of_each(spark, table(rows), folder)
+    assert sorted(r.doc_id for r in got.collect()) == want
