@@ -269,8 +269,8 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
         schema = pa.schema([("key", pa.int32()), ("fp", pa.int64())])
         for batch in batches:
             fp = batch.column("fp").to_numpy()
-            for start in range(0, len(fp), 4_000):
-                part = fp[start : start + 4_000]
+            for start in range(0, len(fp), 1_000):
+                part = fp[start : start + 1_000]
                 row, key = golay_keys(part.view(np.uint64))
                 yield record_batch(schema, [key.astype(np.int32), part[row]])
 
