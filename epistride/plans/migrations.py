@@ -96,7 +96,8 @@ def write_episode_statistics(spark: SparkSession, source: str, output: str, tole
     Per-episode statistics take the place of those of the whole, with which
     they must agree.
     """
-    frames = readers.read_episode_files(spark, source)
+    publish.check_output(spark, source, output)
+    frames = stored(readers.read_episode_files(spark, source), "frames")
     whole = spark.read.schema(STATISTICS).json(f"{source}/meta/stats.json")
     info = readers.read_info(spark, source)
 
@@ -108,13 +109,13 @@ def write_episode_statistics(spark: SparkSession, source: str, output: str, tole
         writers.write_task_lines(readers.read_task_lines(spark, source), root)
         writers.write_info(info.withColumn("codebase_version", F.lit("v2.1")), root)
 
-    publish.check_output(spark, source, output)
     publish.published(spark, output, write)
 
 
 def write_sharded(spark: SparkSession, source: str, output: str, max_frames: int = writers.DATA_FRAMES, c: Columns = COLUMNS) -> None:
     """The third step: a v3.0 dataset from a v2.1 one, with the statistics merged."""
-    frames = readers.read_episode_files(spark, source)
+    publish.check_output(spark, source, output)
+    frames = stored(readers.read_episode_files(spark, source), "frames")
     episodes = stored(readers.read_episode_lines(spark, source).select("episode_index", "length", "tasks"), "episodes")
     tasks = readers.read_task_lines(spark, source)
     fps = readers.read_info(spark, source).first()["fps"]
@@ -124,7 +125,6 @@ def write_sharded(spark: SparkSession, source: str, output: str, max_frames: int
         to_sharded(frames, episodes, tasks, root, fps, max_frames, c=c)
         writers.write_statistics(statistics.merge_statistics(parts), root)
 
-    publish.check_output(spark, source, output)
     publish.published(spark, output, write)
 
 

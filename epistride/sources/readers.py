@@ -32,6 +32,7 @@ from epistride.functions.scalars import (
 from epistride.operators.integrity import duplicate_keys, require_none
 from epistride.operators.scans import spread_join
 from epistride.session import stored
+from epistride.sources import episode_files
 from epistride.sources.json_scan import document_problems, json_leaves
 
 
@@ -169,7 +170,14 @@ def read_episode_statistics_lines(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_episode_files(spark: SparkSession, root: str) -> DataFrame:
-    """Frames of a legacy dataset; the episode stands in the directory's name."""
+    """Frames of a legacy dataset; the episode stands in the directory's name.
+
+    Each reading opens as many files as there are episodes, so store what is
+    read more than once.
+    """
+    found = episode_files.read_files(spark, f"{root}/data")
+    if found is not None:
+        return found
     frames = spark.read.parquet(f"{root}/data")
     return frames.withColumn("episode_index", F.col("episode_index").cast("long")).drop("episode_chunk")
 

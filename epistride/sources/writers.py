@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from epistride.columns import COLUMNS, Columns, named
 from epistride.functions.scalars import chunk_of, file_of, json_safe
@@ -18,7 +19,7 @@ from epistride.operators.curves import assemble_curves
 from epistride.operators.integrity import frame_spans
 from epistride.operators.metrics import curve_metrics
 from epistride.operators.scans import BLOCK_ROWS, join_episodes, position_block
-from epistride.sources.publish import named_parts
+from epistride.sources import episode_files, publish
 
 ROW_GROUP_ROWS = 65_536
 DATA_FRAMES = 250_000
@@ -118,7 +119,7 @@ def write_frame_files(
         path = FILE_PATH.format(chunk_index=keys["chunk"], file_index=keys["file"])
         return path if not keys["piece"] else path.replace(".parquet", f".part-{keys['piece']:03d}.parquet")
 
-    named_parts(frames.sparkSession, f"{root}/data-parts", name)
+    publish.named_parts(frames.sparkSession, f"{root}/data-parts", name)
 
 
 def write_episodes(episodes: DataFrame, root: str) -> None:
@@ -187,23 +188,31 @@ def write_episode_files(frames: DataFrame, root: str, chunk_size: int = 1000, bl
     """One directory per episode, long episodes in several files.
 
     The number of tasks is fixed: many small files cost more than their bytes
-    say, so the writers must not be merged by size.
+    say, so the writers must not be merged by size.  On a mounted file system
+    the tasks write the files themselves, see ``episode_files``; ``data`` then
+    gets its name when all are there.
     """
-    tasks = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = frames.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunked = frames.withColumns(
         {
             "episode_chunk": chunk_of(named(c.episode), chunk_size),
             "__piece": position_block(named(c.frame), block_rows),
         }
     )
-    (
-        chunked.repartition(tasks, "episode_chunk", named(c.episode), "__piece")
-        .sortWithinPartitions("episode_chunk", *[named(k) for k in c.key])
-        .drop("__piece")
-        .write.mode("errorifexists")
-        .partitionBy("episode_chunk", c.episode)
-        .parquet(f"{root}/data")
+    placed = chunked.repartition(tasks, "episode_chunk", named(c.episode), "__piece").sortWithinPartitions(
+        "episode_chunk", *[named(k) for k in c.key]
     )
+    path, whole = episode_files.mounted(spark, f"{root}/data"), isinstance(frames.schema[c.episode].dataType, T.IntegralType)
+    kept = [n for n in frames.columns if n not in ("episode_chunk", c.episode)]
+    if path is None or not whole or not episode_files.plain(T.StructType([frames.schema[n] for n in kept])):
+        placed.drop("__piece").write.mode("errorifexists").partitionBy("episode_chunk", c.episode).parquet(f"{root}/data")
+        return
+    value = lambda name: F.coalesce(named(name).cast("string"), F.lit(episode_files.NO_VALUE))
+    part = F.when(F.col("__piece").isNull(), "part-none").otherwise(F.format_string("part-%05d", F.col("__piece")))
+    file = F.concat(F.lit("episode_chunk="), value("episode_chunk"), F.lit(f"/{c.episode}="), value(c.episode), F.lit("/"), part, F.lit(".parquet"))
+    named_rows = placed.select(*[named(n) for n in kept], file.alias("__file"))
+    publish.published(spark, f"{root}/data", lambda staged: episode_files.write_files(named_rows, staged))
 
 
 def return_definition(
