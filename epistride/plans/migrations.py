@@ -83,7 +83,8 @@ def write_indexed_tasks(
 def to_episode_statistics(frames: DataFrame, whole: DataFrame, tolerance: float = 1e-6, c: Columns = COLUMNS) -> DataFrame:
     """Second step: per-episode statistics that must add up to ``whole``."""
     features = [row[0] for row in whole.select("feature").distinct().collect()]
-    parts = statistics.episode_statistics(frames, features, c)
+    # Read by each part of the check and by what follows.
+    parts = stored(statistics.episode_statistics(frames, features, c), "statistics")
     require_none(
         statistics.rollup_differences(parts, whole, tolerance), "episode statistics do not add up", statistics.STAT_KEY
     )
@@ -119,7 +120,7 @@ def write_sharded(spark: SparkSession, source: str, output: str, max_frames: int
     episodes = stored(readers.read_episode_lines(spark, source).select("episode_index", "length", "tasks"), "episodes")
     tasks = readers.read_task_lines(spark, source)
     fps = readers.read_info(spark, source).first()["fps"]
-    parts = statistics.from_episode_lines(readers.read_episode_statistics_lines(spark, source))
+    parts = stored(statistics.from_episode_lines(readers.read_episode_statistics_lines(spark, source)), "statistics")
 
     def write(root: str) -> None:
         to_sharded(frames, episodes, tasks, root, fps, max_frames, c=c)

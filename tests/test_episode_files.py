@@ -122,3 +122,21 @@ def test_each_step_opens_the_episode_files_once(spark, tmp_path, rows, monkeypat
         assert given.inputFiles() and all("/scratch/" in path for path in given.inputFiles())
     got = readers.read_frames(spark, str(tmp_path / "v30")).select("episode_index", "frame_index", "index", "x")
     assert rows(got) == rows(frames.select("episode_index", "frame_index", "index", "x"))
+
+
+def test_statistics_of_the_episodes_are_computed_once(spark, tmp_path, rows, monkeypatch):
+    """The check and the merge read them several times, so they are stored."""
+    frames = legacy(spark, str(tmp_path / "v20"))
+    whole = statistics.feature_statistics(frames, ["x"])
+    parts = migrations.to_episode_statistics(frames, whole)
+    assert parts.inputFiles() and all("/scratch/" in path for path in parts.inputFiles())
+    assert rows(parts) == rows(statistics.episode_statistics(frames, ["x"]))
+
+    seen, was = [], statistics.merge_statistics
+    monkeypatch.setattr(statistics, "merge_statistics", lambda given: (seen.append(given), was(given))[1])
+    migrations.write_episode_statistics(spark, str(tmp_path / "v20"), str(tmp_path / "v21"))
+    migrations.write_sharded(spark, str(tmp_path / "v21"), str(tmp_path / "v30"), max_frames=11)
+    assert len(seen) == 2 and all("/scratch/" in path for given in seen for path in given.inputFiles())
+    merged = spark.read.schema(migrations.STATISTICS).json(str(tmp_path / "v30" / "meta" / "stats.json"))
+    got = {r.feature: (r.min, r.max, round(r.mean, 9)) for r in merged.collect()}
+    assert (got["x"], got["index"]) == ((0.0, 9.0, 4.5), (0.0, 29.0, 14.5))
