@@ -47,7 +47,11 @@ def append_log(rows: DataFrame, path: str, keys: Sequence[str] = ("epoch",)) ->
 
 
 def _in_shards(frames: DataFrame, sharded: DataFrame, max_frames: int, c: Columns) -> DataFrame:
-    """The frames with chunk, file and piece, dealt so that a task holds one piece of one shard."""
+    """The frames with chunk, file and piece, dealt so that a piece of a shard lies in one task.
+
+    The number of tasks is fixed, as in ``write_episode_files``.
+    """
+    tasks = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     begins = sharded.groupBy("shard").agg(F.min("offset").alias("__begin"))
     address = sharded.join(begins, "shard").select(
         named(c.episode), "shard", (F.col("offset") - F.col("__begin")).alias("before")
@@ -59,7 +63,7 @@ def _in_shards(frames: DataFrame, sharded: DataFrame, max_frames: int, c: Column
         file_of(F.col("__shard")).alias("file"),
         F.floor((F.col("__before") + named(c.frame) - F.col("__first_frame")) / F.lit(max_frames)).alias("piece"),
     )
-    return placed.repartition("chunk", "file", "piece").sortWithinPartitions("chunk", "file", "piece", *[named(k) for k in c.key])
+    return placed.repartition(tasks, "chunk", "file", "piece").sortWithinPartitions("chunk", "file", "piece", *[named(k) for k in c.key])
 
 
 def _write_parquet(rows: DataFrame, path: str, by: Sequence[str], max_frames: int, compression: str) -> None:

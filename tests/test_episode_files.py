@@ -7,7 +7,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from epistride.operators import statistics
+from epistride.columns import COLUMNS
+from epistride.operators import shards, statistics
 from epistride.plans import migrations
 from epistride.sources import episode_files, readers, writers
 
@@ -140,3 +141,14 @@ def test_statistics_of_the_episodes_are_computed_once(spark, tmp_path, rows, mon
     merged = spark.read.schema(migrations.STATISTICS).json(str(tmp_path / "v30" / "meta" / "stats.json"))
     got = {r.feature: (r.min, r.max, round(r.mean, 9)) for r in merged.collect()}
     assert (got["x"], got["index"]) == ((0.0, 9.0, 4.5), (0.0, 29.0, 14.5))
+
+
+def test_shards_are_written_by_all_tasks(spark, tmp_path):
+    """However few bytes they have: each shard costs a directory and a file."""
+    frames = spark.range(600).select(F.floor(F.col("id") / 3).alias("episode_index"), F.col("id") % 3, F.col("id").alias("index"))
+    frames = frames.toDF("episode_index", "frame_index", "index")
+    sharded = shards.episode_shards(frames.groupBy("episode_index").agg(F.count("*").alias("length")), 6)
+    placed = writers._in_shards(frames, sharded, 6, COLUMNS)
+    assert placed.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    held = placed.withColumn("task", F.spark_partition_id()).groupBy("chunk", "file", "piece").agg(F.countDistinct("task"), F.count("*"))
+    assert {tuple(r)[3:] for r in held.collect()} == {(1, 6)} and held.count() == 100
